@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, token_counts
+from . import bpe_chunks, decontaminate, line_frequency, oracle, quality, site_spread, token_counts, unit_dedup, url_filter
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
+QUALITY_FROM = 0.3
 
 
 def op2_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,5 +34,44 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_chunks, op4_token_counts)}
-SQL: dict[str, str] = {}
+def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= QUALITY_FROM, 1).otherwise(0).alias("predicted"))
+
+
+def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = unit_dedup.repeated_units(table(spark, sf_dir, "documents"))
+    places = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
+    return out.select("doc_id", "n_units", "n_removed", places.alias("removed_spans"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op10_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = site_spread.remove_spread_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_removed_lines", "n_removed_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_line_frequency, op2_bpe_chunks, op3_quality, op4_token_counts, op6_unit_dedup, op7_decontaminate, op9_url_filter, op10_site_spread)
+}
+SQL: dict[str, str] = {
+    "op1_line_frequency": oracle.OP1,
+    "op6_unit_dedup": oracle.OP6,
+    "op7_decontaminate": oracle.OP7,
+    "op9_url_filter": oracle.OP9,
+    "op10_site_spread": oracle.OP10,
+}
