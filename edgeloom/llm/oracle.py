@@ -30,7 +30,7 @@ hit AS (SELECT DISTINCT rid, p + k AS p FROM (SELECT rid, p, unnest(range(3)) AS
 rep AS (SELECT rid, count(*) AS n FROM hit GROUP BY rid),
 dup AS (SELECT rid, sum(n - 1) AS n FROM (SELECT rid, line, count(*) AS n FROM l WHERE words > 0 GROUP BY rid, line) GROUP BY rid),
 base AS (
-  SELECT d.rid, d.doc_id, d.source, d.text, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0) AS word_chars,
+  SELECT d.rid, d.doc_id, d.source, d.text, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
     length(regexp_replace(coalesce(d.text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
   FROM d JOIN w0 USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid)),
 size AS (SELECT source, count(DISTINCT coalesce(text, '')) AS n FROM d GROUP BY source),
@@ -57,8 +57,8 @@ bw AS (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(greatest(len(w) -
 win AS (SELECT DISTINCT item_id, n, array_to_string(w[p + 1:p + n], ' ') AS s FROM bw),
 sizes AS (SELECT DISTINCT n FROM win),
 dw AS (SELECT rid, n, w, unnest(range(greatest(len(w) - n + 1, 0))) AS p FROM d, sizes),
-at AS (SELECT rid, n, p, array_to_string(w[p + 1:p + n], ' ') AS s FROM dw),
-hit AS (SELECT rid, p, at.n, item_id FROM at JOIN win ON at.n = win.n AND at.s = win.s),
+spots AS (SELECT rid, n, p, array_to_string(w[p + 1:p + n], ' ') AS s FROM dw),
+hit AS (SELECT rid, p, spots.n, item_id FROM spots JOIN win ON spots.n = win.n AND spots.s = win.s),
 cov AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM hit) GROUP BY rid),
 items AS (SELECT rid, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS i FROM (SELECT DISTINCT rid, item_id::VARCHAR AS i FROM hit WHERE item_id IS NOT NULL) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
