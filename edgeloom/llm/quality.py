@@ -6,7 +6,8 @@ however large the vocabulary grows. A document is the mean of its words' index v
 context vectors.
 
 Tokens are letter runs, digits and symbols, with the case shape as its own token (Upper for a word of two or more
-capitals), so shouting, tables and symbol noise have words of their own.
+capitals), and a run equal to the one before it is the one token Again, so shouting, tables, symbol noise and
+stuttering have words of their own.
 
 Fitting uses at most ``max_rows`` labelled rows outside the held-out fold, those with the smallest id hash: a bounded
 sample, the documented bound of the driver's work. A part of them, chosen by another hash, sets the temperature.
@@ -92,6 +93,12 @@ def tokens(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         if found is None:
             found = _known[word] = [xxhash.xxh32_intdigest(t.encode()) % buckets for t in _pieces(word)]
         lists.append(found)
+    lists.append([xxhash.xxh32_intdigest(b"\x01AGAIN") % buckets])
+    again = np.zeros(len(at), bool)
+    again[1:] = which[1:] == which[:-1]
+    firsts = np.searchsorted(at, offs[:-1])
+    again[firsts[firsts < len(at)]] = False  # a text's first word
+    which = np.where(again, len(lists) - 1, which)
     size = np.fromiter(map(len, lists), np.int64, len(lists))
     flat = np.fromiter((x for y in lists for x in y), np.int64, int(size.sum()))
     starts, n = np.cumsum(size) - size, size[which]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, decontaminate, line_frequency, oracle, quality, site_spread, token_counts, unit_dedup, url_filter
+from . import bpe_chunks, decontaminate, line_frequency, near_dups, oracle, quality, site_spread, token_counts, unit_dedup, url_filter
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -55,6 +55,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -66,7 +70,7 @@ def op10_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_frequency, op2_bpe_chunks, op3_quality, op4_token_counts, op6_unit_dedup, op7_decontaminate, op9_url_filter, op10_site_spread)
+    for f in (op1_line_frequency, op2_bpe_chunks, op3_quality, op4_token_counts, op6_unit_dedup, op7_decontaminate, op8_near_dups, op9_url_filter, op10_site_spread)
 }
 SQL: dict[str, str] = {
     "op1_line_frequency": oracle.OP1,
