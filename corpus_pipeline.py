@@ -8,18 +8,47 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import bpe_chunks
+from edgeloom.llm import bpe_chunks, decontaminate, near_dups, quality, site_spread
 from edgeloom.llm.common import staged, table
-from edgeloom.llm.queries import WORD_BPE, bpe_digests
+from edgeloom.llm.queries import QUALITY_FROM, WORD_BPE, bpe_digests
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones among them, doesn't reject."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, tuple(docs.columns))
+    return scored.filter(F.col("score") >= QUALITY_FROM).select(docs.columns)
+
+
+def drop_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines of too many sources; n_chars follows the text."""
+    clean = site_spread.remove_spread_lines(docs)
+    return clean.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dups.keep_first(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    return decontaminate.keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the encoded and the decoded text of each document."""
     return bpe_digests(bpe_chunks.encode_decode(docs, public_tokenizers.path(WORD_BPE)))
 
 
-STAGES: list[tuple[str, Stage]] = [("encode", encode)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", keep_quality),
+    ("line dedup", drop_spread_lines),
+    ("n-gram Jaccard join", keep_one_of_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("BPE encoding and decoding", encode),
+]
 
 #: Training a classifier can't be put in SQL; tests/llm hold run() against a brute-force version instead.
 ORACLE_SQL = None

@@ -118,3 +118,12 @@ def contamination(
         id_col, "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce("items", empty).alias("items"), F.size(F.coalesce("items", empty)).cast("bigint").alias("n_items"),
     )
+
+
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, whose texts hold no window of an item. Rows with the same id and text go or
+    stay together; a null id is an id like others."""
+    key = F.xxhash64(F.lit(1), text_col)
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), key.alias("key")).alias("_who"), F.col(text_col).alias("_text"))
+    hit = contamination(keyed, items, "_who", "_text", **options).filter("n_hit > 0").select(F.col("_who.id").alias("_id"), F.col("_who.key").alias("_key")).distinct()
+    return docs.withColumn("_k", key).join(hit, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left_anti").drop("_k")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import LOWER, UPPER
+from .license_scan import TEMPLATES
 from .url_filter import BLOCKED, RULES
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -42,6 +43,24 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   n_repeat_words::BIGINT AS n_repeat_words, gone::BIGINT AS n_removed_words, failed AS base_failed, NOT failed AND gone <= 0.5 * n_words AS kept FROM f
 """
 
+OP5 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())}) AS v(name, text)),
+units AS (SELECT rid, unnest(string_split(text, chr(10))) AS u, true AS is_line FROM d UNION ALL SELECT rid, text, false FROM d),
+uw AS (SELECT rid, is_line, regexp_extract_all({_fold("u")}, '{_ITEM_WORD}') AS w FROM units),
+ub AS (SELECT rid, is_line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM uw WHERE len(w) > 1),
+nw AS (SELECT name, regexp_extract_all({_fold("text")}, '{_ITEM_WORD}') AS w FROM n),
+nb AS (SELECT name, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM nw),
+s AS (SELECT rid, is_line, name, 2 * len(list_intersect(ub.b, nb.b)) / (len(ub.b) + len(nb.b))::DOUBLE AS dice
+  FROM ub JOIN nb ON len(nb.b) BETWEEN len(ub.b) * 0.8::DOUBLE / 1.2 - 1e-9 AND len(ub.b) * 1.2::DOUBLE / 0.8 + 1e-9),
+m AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY dice DESC, name) AS rank FROM s WHERE dice >= 0.8),
+ln AS (SELECT rid, count(*) AS n FROM (
+  SELECT rid FROM (SELECT row_number() OVER () AS k, rid, b FROM ub WHERE is_line) q
+  WHERE EXISTS (SELECT 1 FROM nb WHERE 2 * len(list_intersect(q.b, nb.b)) / (len(q.b) + len(nb.b))::DOUBLE >= 0.8)) GROUP BY rid)
+SELECT doc_id, name AS license, coalesce(round(dice, 6), 0) AS dice, coalesce(ln.n, 0)::BIGINT AS n_matches
+FROM d LEFT JOIN (SELECT * FROM m WHERE rank = 1) USING (rid) LEFT JOIN ln USING (rid)
+"""
+
 OP6 = rf"""
 WITH {_LINES},
 u AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY rid ORDER BY pos) - length(line) - 1 AS s FROM l),

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, decontaminate, line_frequency, near_dups, oracle, quality, site_spread, token_counts, unit_dedup, url_filter
+from . import bpe_chunks, decontaminate, license_scan, line_frequency, near_dups, oracle, quality, site_spread, token_counts, unit_dedup, url_filter
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -44,6 +44,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= QUALITY_FROM, 1).otherwise(0).alias("predicted"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = unit_dedup.repeated_units(table(spark, sf_dir, "documents"))
     places = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
@@ -70,10 +74,11 @@ def op10_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_frequency, op2_bpe_chunks, op3_quality, op4_token_counts, op6_unit_dedup, op7_decontaminate, op8_near_dups, op9_url_filter, op10_site_spread)
+    for f in (op1_line_frequency, op2_bpe_chunks, op3_quality, op4_token_counts, op5_license_scan, op6_unit_dedup, op7_decontaminate, op8_near_dups, op9_url_filter, op10_site_spread)
 }
 SQL: dict[str, str] = {
     "op1_line_frequency": oracle.OP1,
+    "op5_license_scan": oracle.OP5,
     "op6_unit_dedup": oracle.OP6,
     "op7_decontaminate": oracle.OP7,
     "op9_url_filter": oracle.OP9,
