@@ -50,32 +50,40 @@ class ChunkEncoder:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def many(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks that begin with white space or a text, as int32 bytes. Neighbours in a call are joined
-        where cuts are safe, and the places of the tokens tell them apart. A chunk with the text of an added
-        token gets its own call."""
+        """Ids of chunks, as int32 bytes. Chunks that begin with white space are put into calls of some size, one
+        after another where joins of their context agree, and the places of the tokens tell them apart. A text's
+        first chunk, and one with the text of an added token, is encoded by itself."""
         out = [b""] * len(chunks)
         group: list[int] = []
-        size = 0
+        size, last = 0, 0
+        alone = [i for i, x in enumerate(chunks) if x[0] not in _SPACES or len(x) < 2 or self.special.search(x)]
+        for i, ids in zip(alone, self.plain([chunks[i] for i in alone]), strict=True):
+            out[i] = np.array(ids, np.int32).tobytes()
+        single = set(alone)
         for i, chunk in enumerate(chunks):
-            if self.special.search(chunk):
-                out[i] = np.array(self.plain([chunk])[0], np.int32).tobytes()
-            else:
-                group.append(i)
-                size += len(chunk)
-            if group and (size >= 1 << 15 or i + 1 == len(chunks)):
-                self.calls += len(group)
-                texts = [chunks[k] if chunks[k][0] in _SPACES else " " + chunks[k] for k in group]
-                e = self.tokenizer.encode("".join(texts), add_special_tokens=False)
-                ids = np.array(e.ids, np.int32)
-                begins = np.fromiter((x[0] for x in e.offsets), np.int64, len(ids))
-                ends = np.searchsorted(begins, np.cumsum([len(x) for x in texts])).tolist()
-                start = 0
-                for k, end in zip(group, ends, strict=True):
-                    out[k] = ids[start:end].tobytes()
-                    start = end
+            if i in single:
+                continue
+            raw = chunk.encode()
+            if group and (size >= 1 << 15 or self.joins[last << 16 | raw[0] << 8 | raw[1]] != 1):
+                self._apart(chunks, group, out)
                 group, size = [], 0
+            group.append(i)
+            size += len(chunk)
+            last = raw[-1]
+        if group:
+            self._apart(chunks, group, out)
         return out
 
+    def _apart(self, chunks: list[str], group: list[int], out: list[bytes]) -> None:
+        self.calls += len(group)
+        e = self.tokenizer.encode("".join([chunks[k] for k in group]), add_special_tokens=False)
+        ids = np.array(e.ids, np.int32)
+        begins = np.fromiter((x[0] for x in e.offsets), np.int64, len(ids))
+        start = 0
+        for k, end in zip(group, np.searchsorted(begins, np.cumsum([len(chunks[k]) for k in group])).tolist(), strict=True):
+            out[k] = ids[start:end].tobytes()
+            start = end
+
     def cuts(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Places of cuts within texts, ascending; starts of texts are not among them."""
         n = len(buf)
@@ -89,8 +97,9 @@ class ChunkEncoder:
         at = at[inside[at]]
         if self.mask:
             h = np.zeros(len(at), np.uint32)
-            for k in range(1, _WINDOW + 1):
-                h = h * np.uint32(0x01000193) + buf[np.maximum(at - k, 0)]
+            start = offs[np.searchsorted(offs, at, side="right") - 1]
+            for k in range(1, _WINDOW + 1):  # the window ends where its text begins
+                h = h * np.uint32(0x01000193) + np.where(at - k >= start, buf[np.maximum(at - k, 0)], 0).astype(np.uint32)
             h ^= h >> np.uint32(15)
             at = at[(h & self.mask) == 0]
         return at

@@ -61,6 +61,6 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def without(text, removed):
     """Column: ``text`` without the places in ``removed``; each goes with the line break after it, or before it at the end."""
     lines = F.split(text, "\n", -1)
-    ends = F.aggregate(lines, F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array((F.coalesce(F.element_at(acc, -1), F.lit(-1).cast("bigint")) + 1 + F.length(x)).cast("bigint"))))
+    ends = F.aggregate(lines, F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-1).cast("bigint")) + 1 + F.length(x)).cast("bigint"))))
     gone = F.transform(removed, lambda r: r["end"])
     return F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, F.get(ends, i))), "\n")
