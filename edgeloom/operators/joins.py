@@ -47,10 +47,22 @@ def sphere_band_join(left: DataFrame, right: DataFrame, arc: float, radius: floa
     return pairs.withColumn("distance", sphere.linear_to_arc(F.col("distance"), radius)).filter(F.col("distance") <= arc + 1e-9)
 
 
+def _first_radius(spans: list[float], n: int, wanted: float) -> float:
+    """Radius whose box holds ``wanted`` of n evenly spread points; a narrow axis stops counting once it is spanned."""
+    low, high = 0.0, sum(spans) + 1e-9
+    for _ in range(50):
+        r = (low + high) / 2
+        if n * math.prod(min(1.0, 2 * r / s) for s in spans if s > 0) < wanted:
+            low = r
+        else:
+            high = r
+    return high
+
+
 def knn_join(points: DataFrame, k: int, coords: tuple[str, ...] = ("x", "y"), p: float = 2) -> DataFrame:
     """focal, neighbor, distance of the k nearest other points of each; ties go to the lesser id.
 
-    The first radius comes from the points' density. Points whose k-th neighbor isn't within the radius go on with
+    The first radius comes from the points' density over their extent. Points whose k-th neighbor isn't within the radius go on with
     twice the radius, until all are done or the radius spans all points; so sparse regions cost rounds, and dense
     ones don't pay for them. Rows of a finished round are written to a table."""
     if k < 1:
@@ -63,8 +75,7 @@ def knn_join(points: DataFrame, k: int, coords: tuple[str, ...] = ("x", "y"), p:
     spans = [float(box[c]) for c in coords]
     k_true = min(k, box["n"] - 1)
     reach = sum(spans) + 1e-9
-    volume = math.prod(s if s > 0 else reach / box["n"] for s in spans)
-    radius = max((volume * (k_true + 1) / box["n"]) ** (1 / len(coords)), reach / 1e6)
+    radius = _first_radius(spans, box["n"], 3 * (k_true + 1))
     todo, found, path = base, None, None
     while True:
         pairs = band_join(todo, base, radius, coords, p).filter("focal <> neighbor")
