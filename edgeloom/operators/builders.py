@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import kernel as kernel_value
 from . import paths
-from .graph import Graph
+from .graph import BlockGraph, Graph
 from .joins import band_join, knn_join, sphere_band_join
 
 
@@ -18,10 +18,9 @@ def _graph(pairs: DataFrame, nodes: DataFrame, weight=None) -> Graph:
     return Graph(pairs.select("focal", "neighbor", w.cast("double").alias("weight")), nodes.select("id"))
 
 
-def block_contiguity(regimes: DataFrame) -> Graph:
-    """id, regime: a complete graph within each regime."""
-    a, b = regimes.select(F.col("id").alias("focal"), "regime"), regimes.select(F.col("id").alias("neighbor"), "regime")
-    return _graph(a.join(b, "regime").filter("focal <> neighbor"), regimes)
+def block_contiguity(regimes: DataFrame) -> BlockGraph:
+    """id, regime: a complete graph within each regime; a null regime has no neighbors."""
+    return BlockGraph(regimes)
 
 
 def distance_band(points: DataFrame, threshold: float, binary: bool = True, alpha: float = -1.0, kernel: str | None = None, bandwidth: float | None = None, p: float = 2, coords=("x", "y"), taper=True, decay=False) -> Graph:

@@ -360,3 +360,48 @@ class Graph:
         """``names``: id and new_id, one row a node."""
         a, b = names.select(F.col("id").alias("focal"), F.col("new_id").alias("f")), names.select(F.col("id").alias("neighbor"), F.col("new_id").alias("n"))
         return Graph(self.edges.join(a, "focal").join(b, "neighbor").select(F.col("f").alias("focal"), F.col("n").alias("neighbor"), "weight"), names.select(F.col("new_id").alias("id")))
+
+
+class BlockGraph(Graph):
+    """Complete graph within each regime. Its edges grow with the square of a regime, so what sums can answer never
+    makes them: lag, cardinalities and row standardisation work on one row a regime."""
+
+    def __init__(self, regimes: DataFrame, transformation: str = "O"):
+        self.regimes = regimes.select("id", "regime")
+        self.nodes = self.regimes.select("id")
+        self.transformation = transformation
+        self._edges: DataFrame | None = None
+
+    @property
+    def edges(self) -> DataFrame:
+        if self._edges is None:
+            a, b = self.regimes.select(F.col("id").alias("focal"), "regime"), self.regimes.select(F.col("id").alias("neighbor"), "regime")
+            w = F.lit(1.0)
+            pairs = a.join(b, "regime").filter("focal <> neighbor")
+            if self.transformation == "R":
+                pairs = pairs.join(self._sizes(), "regime")
+                w = 1 / (F.col("n") - 1)
+            self._edges = with_isolates(pairs.select("focal", "neighbor", w.alias("weight")), self.nodes)
+        return self._edges
+
+    def _sizes(self) -> DataFrame:
+        return self.regimes.groupBy("regime").agg(F.count(F.lit(1)).alias("n"))
+
+    def transform(self, kind) -> Graph:
+        if not callable(kind) and kind.upper() in ("R", "B"):
+            return self if kind.upper() == self.transformation else BlockGraph(self.regimes, kind.upper())
+        return Graph(self.edges, self.nodes).transform(kind)
+
+    def cardinalities(self) -> DataFrame:
+        alone = self.regimes.filter("regime IS NULL").select("id", F.lit(0).cast("bigint").alias("cardinality"))
+        return self.regimes.join(self._sizes(), "regime").select("id", (F.col("n") - 1).alias("cardinality")).unionByName(alone)
+
+    def lag(self, y: DataFrame, value: str = "y", categorical: bool | None = None, ties: str = "raise") -> DataFrame:
+        if categorical or (categorical is None and dict(y.dtypes)[value] in ("string", "boolean")):
+            return super().lag(y, value, True, ties)
+        own = self.regimes.join(y.select("id", F.col(value).cast("double").alias("y")), "id", "left")
+        total = own.groupBy("regime").agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("n"))
+        others = F.coalesce("s", F.lit(0.0)) - F.coalesce("y", F.lit(0.0))
+        if self.transformation == "R":
+            others = others / F.when(F.col("n") > 1, F.col("n") - 1)
+        return own.join(total, "regime", "left").select("id", F.when(F.col("n") > 1, others).otherwise(0.0).alias("lag"))

