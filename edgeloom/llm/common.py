@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,26 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_root: dict[str, str] = {}
+from ..scratch import remove, write
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``. Where it is unset, a local session gets a
-    temporary folder, removed at exit; on a cluster that is an error, since executors share no local disk."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if "root" not in _own_root:
-        _own_root["root"] = tempfile.mkdtemp(prefix="edgeloom-")
-        atexit.register(shutil.rmtree, _own_root["root"], ignore_errors=True)
-    return f"file://{_own_root['root']}"
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than cores (one small file) dealt to all cores; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def staged(df: DataFrame, files: int | None = None) -> DataFrame:
@@ -42,16 +29,12 @@ def staged(df: DataFrame, files: int | None = None) -> DataFrame:
 
 
 def staged_at(df: DataFrame, files: int | None = None) -> tuple[DataFrame, str]:
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/edgeloom-{uuid.uuid4().hex}"
-    (df.coalesce(files) if files else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    return write(df.coalesce(files) if files else df)
 
 
 def drop_staged(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that nothing reads any more (loops drop the tables of past rounds)."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    remove(spark, path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_chunks, decontaminate, license_scan, line_frequency, near_dups, oracle, quality, site_spread, token_counts, unit_dedup, url_filter
-from .common import table
+from .common import spread, table
 
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -15,8 +15,12 @@ TOKEN_LIMIT = 4096
 QUALITY_FROM = 0.3
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe_chunks.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+    out = bpe_chunks.encode_decode(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
     return bpe_digests(out)
 
 
@@ -30,26 +34,26 @@ def bpe_digests(out: DataFrame) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
+    out = token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(PIECE_BPE))
     return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_frequency.quality_rules(table(spark, sf_dir, "documents"))
+    return line_frequency.quality_rules(documents(spark, sf_dir))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     out = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= QUALITY_FROM, 1).otherwise(0).alias("predicted"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.scan(documents(spark, sf_dir))
 
 
 def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = unit_dedup.repeated_units(table(spark, sf_dir, "documents"))
+    out = unit_dedup.repeated_units(documents(spark, sf_dir))
     places = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
     return out.select("doc_id", "n_units", "n_removed", places.alias("removed_spans"))
 
@@ -60,7 +64,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+    return near_dups.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +72,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = site_spread.remove_spread_lines(table(spark, sf_dir, "documents"))
+    out = site_spread.remove_spread_lines(documents(spark, sf_dir))
     return out.select("doc_id", "n_removed_lines", "n_removed_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
