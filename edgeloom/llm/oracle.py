@@ -85,6 +85,23 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 """
 
 
+OP8 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, array_to_string(regexp_extract_all({_fold("coalesce(text, '')")}, '{_WORD}'), ' ') AS t FROM documents),
+c AS (SELECT t, min(rid) AS cid, count(*) AS n_copies, string_split(t, ' ') AS w FROM d GROUP BY t),
+p AS (SELECT cid, w, unnest(range(greatest(len(w) - 4, 1))) AS p FROM c WHERE t <> ''),
+s AS (SELECT DISTINCT cid, array_to_string(w[p + 1:p + 5], ' ') AS sh FROM p),
+n AS (SELECT cid, count(*) AS n FROM s GROUP BY cid),
+j AS (SELECT a.cid AS a, b.cid AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.cid <> b.cid GROUP BY 1, 2),
+l AS (SELECT a, b FROM j JOIN n x ON a = x.cid JOIN n y ON b = y.cid WHERE k >= 0.8::DOUBLE * (x.n + y.n - k) - 1e-9),
+r AS (SELECT cid, cid AS o FROM c UNION SELECT r.cid, l.b FROM r JOIN l ON r.o = l.a),
+m AS (SELECT cid, min(o) AS root FROM r GROUP BY cid),
+g AS (SELECT root, min(doc_id) AS class_id FROM d JOIN c USING (t) JOIN m USING (cid) GROUP BY root),
+k AS (SELECT a AS cid, count(*) AS n_links FROM l GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, n_copies::BIGINT AS n_copies
+FROM d JOIN c USING (t) JOIN m USING (cid) JOIN g USING (root) LEFT JOIN k USING (cid)
+"""
+
+
 def _rule(rule: str) -> str:
     host, path = rule[: rule.index("/")], rule[rule.index("/") :]
     return f"WHEN (host = '{host}' OR host LIKE '%.{host}') AND starts_with(path, '{path}') THEN"

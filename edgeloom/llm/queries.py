@@ -85,6 +85,7 @@ SQL: dict[str, str] = {
     "op5_license_scan": oracle.OP5,
     "op6_unit_dedup": oracle.OP6,
     "op7_decontaminate": oracle.OP7,
+    "op8_near_dups": oracle.OP8,
     "op9_url_filter": oracle.OP9,
     "op10_site_spread": oracle.OP10,
 }
