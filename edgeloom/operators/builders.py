@@ -90,6 +90,24 @@ def kernel(points: DataFrame, function="gaussian", k: int | None = None, bandwid
     return _graph(pairs, points, kernel_value(F.col("distance"), h, function, taper, decay))
 
 
+def kernel_from_distances(pairs: DataFrame, nodes: DataFrame, function="gaussian", bandwidth: float | None = None, taper=True, decay=False) -> Graph:
+    """Kernel of precomputed distances (focal, neighbor, distance); without a bandwidth, their lower quartile."""
+    h = F.lit(bandwidth) if bandwidth is not None else F.col("_h")
+    if bandwidth is None:
+        pairs = pairs.crossJoin(F.broadcast(pairs.agg(F.percentile("distance", F.lit(0.25)).alias("_h"))))  # one row
+    return _graph(pairs.filter("focal <> neighbor"), nodes, kernel_value(F.col("distance"), h, function, taper, decay))
+
+
+def h3_rings(pairs: DataFrame, nodes: DataFrame, weight: str = "distance") -> Graph:
+    """pairs: focal, neighbor, ring (grid distance, from an H3 library). weight: distance, binary or inverse."""
+    ring = F.col("ring").cast("double")
+    w = {"distance": ring, "binary": F.lit(1.0), "inverse": 1 / ring}.get(weight)
+    if w is None:
+        raise ValueError("weight must be distance, binary or inverse")
+    inside = pairs.filter("ring > 0").join(nodes.select(F.col("id").alias("focal")), "focal", "left_semi").join(nodes.select(F.col("id").alias("neighbor")), "neighbor", "left_semi")
+    return _graph(inside, nodes, w)
+
+
 def adaptive_kernel(points: DataFrame, k: int = 2, function="triangular", eps: float = 1.0000001, coords=("x", "y")) -> Graph:
     """Each point's own bandwidth: the distance to its k-th neighbor times eps; the point itself included."""
     near = knn_join(points, k, coords)

@@ -93,3 +93,9 @@ def knn_join(points: DataFrame, k: int, coords: tuple[str, ...] = ("x", "y"), p:
         todo, path = rest, rest_path
         radius *= 2
     return found
+
+
+def sphere_knn_join(points: DataFrame, k: int, radius: float = sphere.RADIUS_EARTH_KM) -> DataFrame:
+    """As knn_join for points with lon and lat: chords order points as great circles do."""
+    on = points.select("id", sphere.to_xyz(F.col("lon"), F.col("lat")).alias("s")).select("id", "s.*")
+    return knn_join(on, k, ("x", "y", "z")).withColumn("distance", sphere.linear_to_arc(F.col("distance"), radius))

@@ -84,7 +84,8 @@ def triangles(points: DataFrame, max_points: int = MAX_POINTS) -> DataFrame:
     return points.select("id", F.col("x").cast("double"), F.col("y").cast("double")).groupBy(F.lit(1).alias("all")).applyInPandas(lambda pdf: run(pdf.drop(columns="all", errors="ignore")), f"a {kind}, b {kind}, c {kind}")
 
 
-def _edges(points: DataFrame) -> DataFrame:
+def delaunay_edges(points: DataFrame) -> DataFrame:
+    """focal, neighbor, their coordinates and squared length of the Delaunay sides, in both directions."""
     t = triangles(points)
     sides = t.select(F.explode(F.array(*[F.struct(F.col(p).alias("focal"), F.col(q).alias("neighbor")) for p in "abc" for q in "abc" if p != q])).alias("e")).select("e.*").distinct()
     at = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
@@ -97,7 +98,7 @@ def triangulation(points: DataFrame, method: str = "delaunay", kernel: str | Non
     """delaunay, gabriel or relative_neighborhood; weights by a kernel of the edge's length."""
     from ..scratch import write
 
-    e, _ = write(_edges(points))
+    e, _ = write(delaunay_edges(points))
     if method == "gabriel":  # no other Delaunay neighbor of the focal point inside the circle over the edge
         other = e.select("focal", F.col("neighbor").alias("k"), F.col("nx").alias("kx"), F.col("ny").alias("ky"), F.col("d2").alias("ik"))
         jk = (F.col("nx") - F.col("kx")) * (F.col("nx") - F.col("kx")) + (F.col("ny") - F.col("ky")) * (F.col("ny") - F.col("ky"))

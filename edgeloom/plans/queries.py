@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import sphere
-from ..operators import builders, triangulation
+from ..operators import builders, matching, polygons, triangulation
 from ..operators.graph import Graph
+from ..operators.joins import sphere_knn_join
 
 BAND, K = 400.0, 4
 
@@ -213,6 +214,16 @@ add("gabriel", lambda s, d: edges(triangulation.triangulation(EMB(s, d), "gabrie
 add("relative_neighborhood", lambda s, d: edges(triangulation.triangulation(EMB(s, d), "relative_neighborhood")), "WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings) SELECT a.id AS focal, b.id AS neighbor, 1::DOUBLE AS weight FROM p a JOIN p b ON a.id <> b.id WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.id <> a.id AND c.id <> b.id AND greatest((a.x - c.x) ** 2 + (a.y - c.y) ** 2, (b.x - c.x) ** 2 + (b.y - c.y) ** 2) <= (a.x - b.x) ** 2 + (a.y - b.y) ** 2)")
 
 
+add("strict_rook", lambda s, d: edges(polygons.strict_contiguity(squares(s, d))), _SQE + "abs(a.x - b.x) + abs(a.y - b.y) = 1")
+add("strict_queen", lambda s, d: edges(polygons.strict_contiguity(squares(s, d), rook=False)), _SQE + "greatest(abs(a.x - b.x), abs(a.y - b.y)) = 1")
+IN = lambda s, d: _t(s, d, "customer").select(F.col("c_custkey").alias("id"), (F.pmod(F.col("c_custkey") * 37, F.lit(700)) / 100).alias("x"), (F.pmod(F.col("c_custkey") * 53, F.lit(600)) / 100).alias("y"))
+add("points_in_polygons", lambda s, d: polygons.points_in_polygons(IN(s, d), squares(s, d)), f"WITH {_SQ}, c AS (SELECT c_custkey AS id, ((c_custkey * 37) % 700) / 100::DOUBLE AS px, ((c_custkey * 53) % 600) / 100::DOUBLE AS py FROM customer) SELECT c.id, q.id AS polygon_id FROM c JOIN q ON px BETWEEN x AND x + 1 AND py BETWEEN y AND y + 1")
+add("dissolve_sides", lambda s, d: rounded(polygons.dissolve_sides(squares(s, d).withColumn("g", F.col("id") % 5), "g").groupBy("group").agg(F.count(F.lit(1)).alias("sides"), F.sum(F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y"))).alias("length"))), "SELECT v AS \"group\", 12::BIGINT AS sides, 12::DOUBLE AS length FROM range(5) t(v)")
+add("sphere_knn", lambda s, d: sphere_knn_join(LL(s, d).filter("id <= 300"), 2).select("focal", F.round("distance", 3).alias("distance")), f"WITH {_LL}, d AS (SELECT a.id AS focal, 2 * asin(sqrt(least(1, sin(radians(a.lat - b.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(a.lon - b.lon) / 2) ** 2))) * 6371 AS d FROM p a JOIN p b ON a.id <> b.id AND a.id <= 300 AND b.id <= 300) SELECT focal, round(d, 3) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY focal ORDER BY d) AS r FROM d) WHERE r <= 2")
+add("voronoi_total_area", lambda s, d: rounded(polygons.voronoi_cells(EMB(s, d)).agg(F.count(F.lit(1)).alias("cells"), F.sum(geo.ring_area(F.col("parts")[0])).alias("area"))), "WITH p AS (SELECT embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings) SELECT count(*) AS cells, round((max(x) - min(x)) * (max(y) - min(y)), 6) AS area FROM p")
+add("spatial_matches", lambda s, d: edges(matching.spatial_matches(supplier(s, d).filter("id <= 5"), supplier(s, d).filter("id BETWEEN 6 AND 100"))))
+
+
 def queries() -> dict:
     return {name: plan for name, (plan, _) in CATALOG.items()}
 

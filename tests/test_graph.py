@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from edgeloom.functions import geometry as geo
 from edgeloom.functions import sphere
 from edgeloom.functions.kernels import KERNELS, kernel
-from edgeloom.operators import builders, triangulation, weights
+from edgeloom.operators import builders, matching, polygons, triangulation, weights
 from edgeloom.operators.graph import Graph
 from edgeloom.operators.joins import band_join, knn_join
 from edgeloom.plans import queries
@@ -203,6 +203,38 @@ def test_triangulation(spark):
     assert triangulation.alpha_faces(p, 1e-6).count() == triangulation.convex_hull(p).count()
 
 
+def test_matching(spark):
+    from itertools import permutations
+
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        c = rng.uniform(0, 1, (4, 6))
+        got = matching.assign(c)
+        assert len(set(got)) == 4 and c[range(4), got].sum() == pytest.approx(min(c[range(4), p].sum() for p in permutations(range(6), 4)))
+    a = points(spark, rng.uniform(0, 1, (3, 2)))
+    b = points(spark, rng.uniform(0, 1, (8, 2))).withColumn("id", F.col("id") + 100)
+    g = matching.spatial_matches(a, b, k=2)
+    assert len(pairs(g)) == 6 and len({j for _, j in pairs(g)}) == 6
+    with pytest.raises(ValueError):
+        matching.spatial_matches(b, a)
+
+
+def test_polygons(spark):
+    sq = lambda x, y, w, h: [[{"x": float(p), "y": float(q)} for p, q in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]]
+    df = spark.createDataFrame([(0, sq(0, 0, 2, 2)), (1, sq(2, 0.5, 1, 1)), (2, sq(2, 2, 1, 1)), (3, sq(9, 9, 1, 1))], "id long, parts array<array<struct<x:double,y:double>>>")
+    assert pairs(polygons.strict_contiguity(df)) == {(0, 1), (1, 0)} and pairs(builders.contiguity(df, rook=False)) == {(0, 2), (2, 0)}
+    assert pairs(polygons.strict_contiguity(df, rook=False)) == {(0, 1), (1, 0), (0, 2), (2, 0)}
+    assert {r["weight"] for r in polygons.strict_contiguity(df, by_perimeter=True).links().collect()} == {1.0}
+    assert polygons.points_in_polygons(points(spark, [(1, 1), (2, 1), (5, 5)]), df, "left").count() == 4
+    two = df.crossJoin(df.select(F.col("id").alias("o"), F.col("parts").alias("other"))).filter("id = 0")
+    area = {r["o"]: r["a"] for r in two.select("o", geo.ring_area(polygons.intersect_convex(F.col("parts")[0], F.transform(F.col("other")[0], lambda p: F.struct((p["x"] - 0.5).alias("x"), p["y"].alias("y"))))).alias("a")).collect()}
+    assert area[0] == pytest.approx(3.0) and area[1] == pytest.approx(0.5) and area[3] == 0
+    rings = builders.h3_rings(spark.createDataFrame([(0, 1, 1), (0, 2, 2), (0, 9, 1)], "focal long, neighbor long, ring int"), spark.range(3), "inverse")
+    assert {r["weight"] for r in rings.links().collect()} == {1.0, 0.5}
+    d = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (0, 2, 5.0)], "focal long, neighbor long, distance double")
+    assert len(pairs(builders.kernel_from_distances(d, spark.range(3), "triangular", 2.0).eliminate_zeros())) == 2
+
+
 def test_geometry(spark):
     sq = [(0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 1.0)]
     df = spark.createDataFrame([([{"x": x, "y": y} for x, y in sq],)], "r array<struct<x:double,y:double>>")
