@@ -147,7 +147,7 @@ class _Links:
         row_l[left], row_r[right] = np.arange(len(left)), np.arange(len(right))
         for a in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):  # bounded memory: some columns at a time
             s = slice(*np.searchsorted(column, [a, a + 4096]))
-            m = np.zeros((2, len(sets), 4096), np.float32)[0]
+            m = np.zeros((len(sets), 4096), np.float32)
             m[owner[s], column[s] - a] = 1
             both += m[left] @ m[right].T
         union = size[left][:, None] + size[right][None, :] - both
