@@ -133,6 +133,56 @@ def alpha_faces(points: DataFrame, alpha: float) -> DataFrame:
     return side.groupBy("s").count().filter("count = 1").select("s.a", "s.b")
 
 
+def tightest_radius(xy: np.ndarray, tri: np.ndarray) -> float:
+    """Least circumradius bound whose triangles still hold every point and hang together by their sides."""
+    a, b, c = (xy[tri[:, k]] for k in range(3))
+    la, lb, lc = (np.linalg.norm(p - q, axis=1) for p, q in ((b, c), (a, c), (a, b)))
+    twice = np.abs((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0]))
+    radius = np.where(twice > 0, la * lb * lc / np.maximum(2 * twice, 1e-300), np.maximum(np.maximum(la, lb), lc) / 2)
+
+    def holds(r: float) -> bool:
+        kept = tri[radius <= r]
+        if len(np.unique(kept)) < len(np.unique(tri)):
+            return False
+        root = np.arange(len(kept))
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        seen: dict[tuple[int, int], int] = {}
+        for k, t in enumerate(kept):
+            for p, q in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])):
+                other = seen.setdefault((min(p, q), max(p, q)), k)
+                root[find(k)] = find(other)
+        return len({find(k) for k in range(len(kept))}) == 1
+
+    steps = np.unique(radius)
+    low, high = 0, len(steps) - 1
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if holds(steps[mid]) else (mid + 1, high)
+    return float(steps[low])
+
+
+def alpha_auto(points: DataFrame) -> DataFrame:
+    """Boundary edges (a, b) of the tightest alpha shape that is one piece and holds all points, with its radius."""
+    kind = dict(points.dtypes)["id"]
+    if points.count() > MAX_POINTS:
+        raise ValueError(f"triangulation is a single task; {MAX_POINTS} points at most")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "y", "id"]).reset_index(drop=True)
+        xy = pdf[["x", "y"]].to_numpy(float)
+        found = delaunay_triangles(xy)
+        return pd.DataFrame({"radius": [tightest_radius(xy, found)] if len(found) else [np.nan]})
+
+    flat = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "id")
+    radius = flat.groupBy(F.lit(1).alias("all")).applyInPandas(run, "radius double").first()["radius"]
+    return alpha_faces(points, 1 / (radius * (1 + 1e-9))).withColumn("radius", F.lit(radius)).select(F.col("a").cast(kind), F.col("b").cast(kind), "radius")
+
+
 def convex_hull(points: DataFrame, group: str | None = None) -> DataFrame:
     """Hull vertices (counter-clockwise, ord) of all points or of each group. Only extremes of cells of a partition
     reach the task that joins them: hulls of parts are taken first."""

@@ -200,6 +200,9 @@ def test_triangulation(spark):
     p = points(spark, xy)
     dl, gb, rn = (pairs(triangulation.triangulation(p, m)) for m in ("delaunay", "gabriel", "relative_neighborhood"))
     assert rn <= gb <= dl and {(j, i) for i, j in dl} == dl and len(dl) == 2 * (3 * 60 - 3 - triangulation.convex_hull(p).count())
+    tight = triangulation.alpha_auto(p).collect()
+    degree = np.bincount([i for r in tight for i in (r["a"], r["b"])], minlength=60)
+    assert (degree % 2 == 0).all() and len(tight) >= triangulation.convex_hull(p).count() and tight[0]["radius"] > 0
     assert triangulation.alpha_faces(p, 1e-6).count() == triangulation.convex_hull(p).count()
 
 
