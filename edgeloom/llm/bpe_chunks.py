@@ -32,7 +32,7 @@ _WINDOW, _SPACES = 8, " \n\t\r"
 class ChunkEncoder:
     """mask_bits: a cut at one of 2**mask_bits candidate places on average. store_bytes: bound of the store."""
 
-    def __init__(self, path: str, mask_bits: int = 0, store_bytes: int = 150_000_000):
+    def __init__(self, path: str, mask_bits: int = 0, store_bytes: int = 90_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -12,7 +12,17 @@ from pyspark.sql import functions as F
 from ..scratch import remove, write
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most, whatever the texts' lengths; a lower setting of the session stays."""
+    if int(spark.conf.get(BATCH_BYTES, "67108864").rstrip("b")) > 8 << 20:
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +39,7 @@ def staged(df: DataFrame, files: int | None = None) -> DataFrame:
 
 
 def staged_at(df: DataFrame, files: int | None = None) -> tuple[DataFrame, str]:
+    small_batches(df.sparkSession)
     return write(df.coalesce(files) if files else df)
 
 

@@ -85,7 +85,7 @@ def tokens(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     places = np.concatenate([before[at], [int(inside.sum())]]).astype(np.int32)
     d = pa.StringArray.from_buffers(len(at), pa.py_buffer(places), pa.py_buffer(buf[inside])).dictionary_encode()
     which = d.indices.to_numpy(zero_copy_only=False)
-    if len(_known) > 400_000:
+    if len(_known) > 150_000:
         _known.clear()
     lists = []
     for word in d.dictionary.to_pylist():
