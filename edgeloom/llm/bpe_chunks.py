@@ -3,8 +3,9 @@
 A rolling hash over the last bytes of UTF-8 chooses the places where a text is cut, always just before white
 space, so equal passages of different documents give equal chunks wherever they stand. Each distinct chunk of
 a batch is encoded once; a bounded store of encoded chunks lives as long as the Python worker, so later batches
-and tasks of the same worker reuse it. Texts are never shuffled: once per worker is what sharing costs nothing
-to reach, while once per cluster would move every text over the network.
+and tasks of the same worker reuse it. A chunk not met before is cut again at every candidate place, and its parts
+have a store of their own, so a new chunk of known words costs no call of the tokenizer. Texts are never shuffled:
+once per worker is what sharing costs nothing to reach, while once per cluster would move every text over the network.
 
 Joins: for every context of a cut (the byte before it, the white space, the byte after) the first example is
 encoded both in parts and as a whole. If they disagree, cuts in that context are taken back and the longer
@@ -27,12 +28,13 @@ from .common import id_fields, slices, text_bytes
 
 _workers: dict = {}
 _WINDOW, _SPACES = 8, " \n\t\r"
+MASK_BITS = 4
 
 
 class ChunkEncoder:
-    """mask_bits: a cut at one of 2**mask_bits candidate places on average. store_bytes: bound of the store."""
+    """mask_bits: a cut at one of 2**mask_bits candidate places on average. store_bytes: bound of both stores."""
 
-    def __init__(self, path: str, mask_bits: int = 0, store_bytes: int = 90_000_000):
+    def __init__(self, path: str, mask_bits: int = MASK_BITS, store_bytes: int = 90_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -40,9 +42,11 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
-        self.mask, self.bound = np.uint32((1 << mask_bits) - 1), store_bytes
-        self.store: dict[str, bytes] = {}
-        self.stored = self.calls = 0
+        self.masks = [np.uint32((1 << b) - 1) for b in sorted({mask_bits, 0}, reverse=True)]  # of each level
+        self.bound = store_bytes // len(self.masks)
+        self.stores: list[dict[str, bytes]] = [{} for _ in self.masks]
+        self.stored = [0] * len(self.masks)
+        self.calls = 0
         self.joins = np.zeros(1 << 24, np.int8)  # 0 not seen, 1 agrees, 2 does not
 
     def plain(self, texts: list[str]) -> list[list[int]]:
@@ -84,7 +88,7 @@ class ChunkEncoder:
             out[k] = ids[start:end].tobytes()
             start = end
 
-    def cuts(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    def cuts(self, buf: np.ndarray, offs: np.ndarray, mask: np.uint32) -> np.ndarray:
         """Places of cuts within texts, ascending; starts of texts are not among them."""
         n = len(buf)
         if n < 3:
@@ -95,13 +99,13 @@ class ChunkEncoder:
         inside[offs] = False  # a text's first byte
         inside[np.maximum(offs[1:] - 1, 0)] = False  # its last one
         at = at[inside[at]]
-        if self.mask:
+        if mask:
             h = np.zeros(len(at), np.uint32)
             start = offs[np.searchsorted(offs, at, side="right") - 1]
             for k in range(1, _WINDOW + 1):  # the window ends where its text begins
                 h = h * np.uint32(0x01000193) + np.where(at - k >= start, buf[np.maximum(at - k, 0)], 0).astype(np.uint32)
             h ^= h >> np.uint32(15)
-            at = at[(h & self.mask) == 0]
+            at = at[(h & mask) == 0]
         return at
 
     def checked(self, buf: np.ndarray, offs: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -123,27 +127,28 @@ class ChunkEncoder:
             at = at[good]
         return at
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, column: pa.Array, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and n + 1 offsets into them."""
         buf, offs = text_bytes(column)
-        edges = _edges(len(buf), offs, self.checked(buf, offs, self.cuts(buf, offs)))
+        edges = _edges(len(buf), offs, self.checked(buf, offs, self.cuts(buf, offs, self.masks[level])))
         if len(edges) < 2:
             return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
         chunks = pa.StringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(buf)))
         d = chunks.dictionary_encode()
         which, distinct = d.indices.to_numpy(zero_copy_only=False), d.dictionary.to_pylist()
-        ids = [self.store.get(x) for x in distinct]
+        store = self.stores[level]
+        ids = [store.get(x) for x in distinct]
         missing = [i for i, x in enumerate(ids) if x is None]
         if missing:
             texts = [distinct[i] for i in missing]
-            if self.stored > self.bound:
-                self.store.clear()
-                self.stored = 0
-            for i, text, found in zip(missing, texts, self.many(texts), strict=True):
+            if self.stored[level] > self.bound:
+                store.clear()
+                self.stored[level] = 0
+            for i, text, found in zip(missing, texts, self._fresh(texts, level + 1), strict=True):
                 ids[i] = found
                 if len(text) <= 4096:
-                    self.store[text] = found
-                    self.stored += 150 + len(text) + len(found)
+                    store[text] = found
+                    self.stored[level] += 150 + len(text) + len(found)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), np.int32)
         starts = np.cumsum(sizes) - sizes
@@ -154,6 +159,15 @@ class ChunkEncoder:
         return flat[take], total[np.searchsorted(edges, offs)]
 
 
+    def _fresh(self, chunks: list[str], level: int) -> list[bytes]:
+        """Ids of chunks that no store has: from their parts, or at the last level from the tokenizer."""
+        if level == len(self.masks):
+            return self.many(chunks)
+        ids, offs = self.encode(pa.array(chunks, pa.string()), level)
+        raw, at = ids.tobytes(), (offs * 4).tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
 def _edges(n: int, offs: np.ndarray, at: np.ndarray) -> np.ndarray:
     flag = np.zeros(n + 1, bool)
     flag[offs] = True
@@ -168,7 +182,7 @@ def _worker(path: str, mask_bits: int) -> ChunkEncoder:
 
 
 def encode_decode(
-    docs: DataFrame, tokenizer_path: str, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", mask_bits: int = 0,
+    docs: DataFrame, tokenizer_path: str, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", mask_bits: int = MASK_BITS,
 ) -> DataFrame:
     """``id_cols``, ids (array of int: the library's encoding of the whole text) and decoded (its decoding).
 

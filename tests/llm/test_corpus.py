@@ -111,7 +111,7 @@ def test_line_frequency_depletes(spark):
 def test_bpe_equals_library(docs, empty):
     path = public_tokenizers.path(queries.WORD_BPE)
     tokenizer = bpe_chunks.ChunkEncoder(path).tokenizer
-    for bits in (0, 3):
+    for bits in (0, bpe_chunks.MASK_BITS):
         out = bpe_chunks.encode_decode(docs.withColumn("key", F.xxhash64("text", "doc_id")), path, ("key",), "text", bits).collect()
         texts = {r["key"]: r["text"] for r in docs.select(F.xxhash64("text", "doc_id").alias("key"), "text").collect()}
         assert len(out) == docs.count()
@@ -127,7 +127,7 @@ ODD = ["<|endoftext|>", "<|startoftext|>", "<|endof", " ", "  ", "\n", "\t", "\r
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(st.one_of(st.sampled_from(ODD), st.text(max_size=5)), max_size=30).map("".join), min_size=1, max_size=6))
 def test_bpe_odd_texts(texts):
-    for bits in (0, 2):
+    for bits in (0, 2, bpe_chunks.MASK_BITS):
         encoder = bpe_chunks._worker(public_tokenizers.path(queries.WORD_BPE), bits)
         ids, offs = encoder.encode(pa.array(texts, pa.string()))
         assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == encoder.plain(texts)
