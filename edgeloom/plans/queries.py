@@ -115,8 +115,8 @@ add("kernel_knn_adaptive", lambda s, d: edges(builders.adaptive_kernel(supplier(
 EMB = lambda s, d: _t(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.element_at("embedding", 1).cast("double").alias("x"), F.element_at("embedding", 2).cast("double").alias("y"))
 add("knn_embeddings", lambda s, d: edges(builders.knn(EMB(s, d), 3)), "WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), d AS (SELECT a.id AS focal, b.id AS neighbor, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id) AS r FROM p a JOIN p b ON a.id <> b.id) SELECT focal, neighbor, 1::DOUBLE AS weight FROM d WHERE r <= 3")
 add("min_threshold_distance", lambda s, d: rounded(builders.min_threshold_distance(supplier(s, d))), f"WITH {P}, {DIST} SELECT round(max(m), 6) AS threshold FROM (SELECT min(d) AS m FROM d GROUP BY focal)")
-add("knn_coplanar_clique", lambda s, d: edges(builders.knn(_t(s, d, "part").filter("p_partkey <= 2000").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.floor(F.col("p_retailprice") / 20).cast("double").alias("y")), 2, coplanar="clique")), """
-WITH q AS (SELECT p_partkey AS id, p_size::DOUBLE AS x, floor(p_retailprice / 20)::DOUBLE AS y FROM part WHERE p_partkey <= 2000), m AS (SELECT *, min(id) OVER (PARTITION BY x, y) AS rep FROM q),
+add("knn_coplanar_clique", lambda s, d: edges(builders.knn(_t(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.floor(F.col("p_retailprice") / 20).cast("double").alias("y")), 2, coplanar="clique")), """
+WITH q AS (SELECT p_partkey AS id, p_size::DOUBLE AS x, floor(p_retailprice / 20)::DOUBLE AS y FROM part), m AS (SELECT *, min(id) OVER (PARTITION BY x, y) AS rep FROM q),
 r AS (SELECT * FROM m WHERE id = rep), d AS (SELECT a.id AS focal, b.id AS neighbor, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id) AS k FROM r a JOIN r b ON a.id <> b.id)
 SELECT f.id AS focal, n.id AS neighbor, 1::DOUBLE AS weight FROM d JOIN m f ON d.focal = f.rep JOIN m n ON d.neighbor = n.rep WHERE k <= 2 UNION ALL SELECT a.id, b.id, 1::DOUBLE FROM m a JOIN m b ON a.rep = b.rep AND a.id <> b.id""")
 
@@ -150,7 +150,7 @@ for _k, _f, _x in (
 ):
     add(f"graph_{_k}", lambda s, d, f=_f: edges(f(knn(s, d), band(s, d))), f"WITH {BOTH}, e0 AS (SELECT focal, neighbor, 1::DOUBLE AS weight FROM ({_x})), {FULL()} {OUT}")
 add("graph_clip", lambda s, d: edges(inverse(s, d).clip(knn(s, d))), f"WITH {INV}, k0 AS (SELECT focal, neighbor FROM (SELECT *, row_number() OVER (PARTITION BY focal ORDER BY d, neighbor) AS r FROM d) WHERE r <= {K}), c0 AS (SELECT e0.* FROM e0 JOIN k0 USING (focal, neighbor)), {FULL('c0')} {OUT}")
-add("subgraph", lambda s, d: edges(band(s, d).subgraph(supplier(s, d).filter("id % 2 = 0"))), f"WITH {BANDED}, s AS (SELECT id FROM n WHERE id % 2 = 0), s0 AS (SELECT * FROM e0 WHERE focal % 2 = 0 AND neighbor % 2 = 0), {FULL('s0', n='s')} {OUT}")
+add("subgraph", lambda s, d: edges(band(s, d).subgraph(supplier(s, d).filter("x > 0"))), f"WITH {BANDED}, s AS (SELECT id FROM p WHERE x > 0), s0 AS (SELECT * FROM e0 WHERE focal IN (SELECT id FROM s) AND neighbor IN (SELECT id FROM s)), {FULL('s0', n='s')} {OUT}")
 add("self_weight", lambda s, d: edges(band(s, d).assign_self_weight(2.0)), f"WITH {BANDED}, e AS (SELECT * FROM e0 UNION ALL SELECT id, id, 2 FROM n) {OUT}")
 add("eliminate_zeros", lambda s, d: edges(builders.kernel(supplier(s, d), "boxcar", bandwidth=BAND).eliminate_zeros()), f"WITH {BANDED.replace('d <= ', 'd < ')}, {FULL()} {OUT}")
 _W2 = "w2 AS (SELECT DISTINCT a.focal, b.neighbor FROM k0 a JOIN k0 b ON a.neighbor = b.focal)"
@@ -173,10 +173,19 @@ add("describe", lambda s, d: rounded(band(s, d).describe(Y(s, d))), f"WITH {BAND
 add("describe_percentile_band", lambda s, d: rounded(band(s, d).describe(Y(s, d), q=(25, 75))), f"WITH {BANDED}, v0 AS (SELECT focal, y FROM e0 JOIN p ON neighbor = p.id), q AS (SELECT focal, quantile_cont(y, 0.25) AS lo, quantile_cont(y, 0.75) AS hi, count(*) AS c FROM v0 GROUP BY focal), v AS (SELECT focal, y FROM v0 JOIN q USING (focal) WHERE c <= 2 OR y BETWEEN lo AND hi) {_DESC}")
 add("local_clustering", lambda s, d: rounded(knn(s, d).make_symmetric().local_clustering()), f"WITH {KNN}, u AS (SELECT focal, neighbor FROM k0 UNION SELECT neighbor, focal FROM k0), k AS (SELECT focal, count(*) AS k FROM u GROUP BY focal), t AS (SELECT a.focal, count(*) AS t FROM u a JOIN u b ON a.focal = b.focal AND a.neighbor <> b.neighbor JOIN u c ON c.focal = a.neighbor AND c.neighbor = b.neighbor GROUP BY 1) SELECT focal AS id, CASE WHEN k > 1 THEN round(coalesce(t, 0)::DOUBLE / (k * (k - 1)), 6) END AS clustering FROM k LEFT JOIN t USING (focal)")
 add("attach_islands", lambda s, d: edges(builders.attach_islands(SPARSE(s, d), supplier(s, d))), f"WITH {P}, {N}, {DIST}, e0 AS (SELECT focal, neighbor, 1::DOUBLE AS weight FROM d WHERE d <= 15), i AS (SELECT focal, neighbor FROM (SELECT *, row_number() OVER (PARTITION BY focal ORDER BY d, neighbor) AS r FROM d) WHERE r = 1 AND focal NOT IN (SELECT focal FROM e0)), e AS (SELECT * FROM e0 UNION SELECT focal, neighbor, 1 FROM i UNION SELECT neighbor, focal, 1 FROM i) {OUT}")
-FLOWS = lambda s, d: _t(s, d, "lineitem").filter("l_orderkey <= 400").groupBy(F.col("l_suppkey").alias("o"), F.col("l_partkey").alias("d")).agg(F.min("l_orderkey").alias("k")).select((F.col("o") * 1000000 + F.col("d")).alias("id"), "o", "d")
-_FLOWS = "f AS (SELECT DISTINCT l_suppkey * 1000000 + l_partkey AS id, l_suppkey AS o, l_partkey AS d FROM lineitem WHERE l_orderkey <= 400), n AS (SELECT id FROM f)"
+
+
+def flows(spark, sf):
+    """Trade flows between nations: origin and destination of all order lines."""
+    lines = _t(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").join(_t(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    ends = lines.join(_t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_t(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    o, d = F.col("s_nationkey").cast("bigint"), F.col("c_nationkey").cast("bigint")
+    return ends.select(o.alias("o"), d.alias("d")).distinct().select((F.col("o") * 1000 + F.col("d")).alias("id"), "o", "d")
+
+
+_FLOWS = "f AS (SELECT DISTINCT s_nationkey::BIGINT * 1000 + c_nationkey AS id, s_nationkey AS o, c_nationkey AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey), n AS (SELECT id FROM f)"
 for _k, _x in {"o": "a.o = b.o", "d": "a.d = b.d", "od": "(a.o = b.o OR a.d = b.d)", "c": "a.d = b.o", "a": "(a.o = b.o OR a.d = b.d OR a.o = b.d OR a.d = b.o)"}.items():
-    add(f"netw_{_k}", lambda s, d, k=_k: edges(builders.net_weights(FLOWS(s, d), k)), f"WITH {_FLOWS}, e0 AS (SELECT a.id AS focal, b.id AS neighbor, 1::DOUBLE AS weight FROM f a JOIN f b ON a.id <> b.id AND {_x}), {FULL()} {OUT}")
+    add(f"netw_{_k}", lambda s, d, k=_k: edges(builders.net_weights(flows(s, d), k)), f"WITH {_FLOWS}, e0 AS (SELECT a.id AS focal, b.id AS neighbor, 1::DOUBLE AS weight FROM f a JOIN f b ON a.id <> b.id AND {_x}), {FULL()} {OUT}")
 add("od_kron", lambda s, d: rounded(builders.od_weights(builders.lattice(s, 2, 2), builders.lattice(s, 2, 3)).edges.select(*[(F.col(c)["o"] * 6 + F.col(c)["d"]).alias(c) for c in ("focal", "neighbor")], "weight")), "WITH g AS (SELECT a.i * 2 + b.i AS id, a.i AS r, b.i AS c FROM range(2) a(i), range(2) b(i)), h AS (SELECT a.i * 3 + b.i AS id, a.i AS r, b.i AS c FROM range(2) a(i), range(3) b(i)), x AS (SELECT a.id AS f, b.id AS n FROM g a JOIN g b ON abs(a.r - b.r) + abs(a.c - b.c) = 1), y AS (SELECT a.id AS f, b.id AS n FROM h a JOIN h b ON abs(a.r - b.r) + abs(a.c - b.c) = 1) SELECT x.f * 6 + y.f AS focal, x.n * 6 + y.n AS neighbor, round(1::DOUBLE / count(*) OVER (PARTITION BY x.f, y.f), 6) AS weight FROM x, y")
 add("vecw_band", lambda s, d: edges(builders.vector_weights(supplier(s, d).select("id", F.col("x").alias("ox"), F.col("y").alias("oy"), (F.col("x") / 2).alias("dx"), (F.col("y") * 3).alias("dy")), 300.0)), f"WITH {P}, {N}, e0 AS (SELECT a.id AS focal, b.id AS neighbor, 1::DOUBLE AS weight FROM p a JOIN p b ON a.id <> b.id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.x / 2 - b.x / 2) ** 2 + (a.y * 3 - b.y * 3) ** 2) <= 300), {FULL()} {OUT}")
 
@@ -186,8 +195,8 @@ _ANG = "2 * asin(sqrt(least(1, sin(radians(20 - lat) / 2) ** 2 + cos(radians(lat
 to = lambda: (F.lit(10.0), F.lit(20.0))
 add("haversine", lambda s, d: rounded(LL(s, d).select("id", sphere.harcdist(F.col("lon"), F.col("lat"), *to()).alias("km"))), f"WITH {_LL} SELECT id, round({_ANG} * 6371, 6) AS km FROM p")
 add("arcdist", lambda s, d: LL(s, d).select("id", F.round(sphere.arcdist(F.col("lon"), F.col("lat"), *to()), 4).alias("km")), f"WITH {_LL} SELECT id, round({_ANG} * 6371, 4) AS km FROM p")
-add("geointerpolate", lambda s, d: rounded(LL(s, d).filter("id <= 100").select("id", sphere.geointerpolate(F.col("lon"), F.col("lat"), *to(), F.lit(0.3)).alias("p")).select("id", "p.*")), f"WITH {_LL}, a AS (SELECT *, {_ANG} AS d FROM p WHERE id <= 100), k AS (SELECT *, sin(0.7 * d) / sin(d) AS k, sin(0.3 * d) / sin(d) AS j FROM a), v AS (SELECT id, k * cos(radians(lat)) * cos(radians(lon)) + j * cos(radians(20)) * cos(radians(10)) AS x, k * cos(radians(lat)) * sin(radians(lon)) + j * cos(radians(20)) * sin(radians(10)) AS y, k * sin(radians(lat)) + j * sin(radians(20)) AS z FROM k) SELECT id, round(degrees(atan2(y, x)), 6) AS lon, round(degrees(atan2(z, sqrt(x * x + y * y))), 6) AS lat FROM v")
-add("sphere_band", lambda s, d: edges(builders.sphere_band(LL(s, d).filter("id <= 300"), 700.0)), f"WITH {_LL}, n AS (SELECT id FROM p WHERE id <= 300), e0 AS (SELECT a.id AS focal, b.id AS neighbor, 1::DOUBLE AS weight FROM p a JOIN p b ON a.id <> b.id AND a.id <= 300 AND b.id <= 300 AND 2 * asin(sqrt(least(1, sin(radians(a.lat - b.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(a.lon - b.lon) / 2) ** 2))) * 6371 <= 700), {FULL()} {OUT}")
+add("geointerpolate", lambda s, d: rounded(LL(s, d).select("id", sphere.geointerpolate(F.col("lon"), F.col("lat"), *to(), F.lit(0.3)).alias("p")).select("id", "p.*")), f"WITH {_LL}, a AS (SELECT *, {_ANG} AS d FROM p), k AS (SELECT *, sin(0.7 * d) / sin(d) AS k, sin(0.3 * d) / sin(d) AS j FROM a), v AS (SELECT id, k * cos(radians(lat)) * cos(radians(lon)) + j * cos(radians(20)) * cos(radians(10)) AS x, k * cos(radians(lat)) * sin(radians(lon)) + j * cos(radians(20)) * sin(radians(10)) AS y, k * sin(radians(lat)) + j * sin(radians(20)) AS z FROM k) SELECT id, round(degrees(atan2(y, x)), 6) AS lon, round(degrees(atan2(z, sqrt(x * x + y * y))), 6) AS lat FROM v")
+add("sphere_band", lambda s, d: edges(builders.sphere_band(LL(s, d), 700.0)), f"WITH {_LL}, n AS (SELECT id FROM p), e0 AS (SELECT a.id AS focal, b.id AS neighbor, 1::DOUBLE AS weight FROM p a JOIN p b ON a.id <> b.id AND 2 * asin(sqrt(least(1, sin(radians(a.lat - b.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(a.lon - b.lon) / 2) ** 2))) * 6371 <= 700), {FULL()} {OUT}")
 
 
 def squares(spark, sf):
@@ -219,9 +228,10 @@ add("strict_queen", lambda s, d: edges(polygons.strict_contiguity(squares(s, d),
 IN = lambda s, d: _t(s, d, "customer").select(F.col("c_custkey").alias("id"), (F.pmod(F.col("c_custkey") * 37, F.lit(700)) / 100).alias("x"), (F.pmod(F.col("c_custkey") * 53, F.lit(600)) / 100).alias("y"))
 add("points_in_polygons", lambda s, d: polygons.points_in_polygons(IN(s, d), squares(s, d)), f"WITH {_SQ}, c AS (SELECT c_custkey AS id, ((c_custkey * 37) % 700) / 100::DOUBLE AS px, ((c_custkey * 53) % 600) / 100::DOUBLE AS py FROM customer) SELECT c.id, q.id AS polygon_id FROM c JOIN q ON px BETWEEN x AND x + 1 AND py BETWEEN y AND y + 1")
 add("dissolve_sides", lambda s, d: rounded(polygons.dissolve_sides(squares(s, d).withColumn("g", F.col("id") % 5), "g").groupBy("group").agg(F.count(F.lit(1)).alias("sides"), F.sum(F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y"))).alias("length"))), "SELECT v AS \"group\", 12::BIGINT AS sides, 12::DOUBLE AS length FROM range(5) t(v)")
-add("sphere_knn", lambda s, d: sphere_knn_join(LL(s, d).filter("id <= 300"), 2).select("focal", F.round("distance", 3).alias("distance")), f"WITH {_LL}, d AS (SELECT a.id AS focal, 2 * asin(sqrt(least(1, sin(radians(a.lat - b.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(a.lon - b.lon) / 2) ** 2))) * 6371 AS d FROM p a JOIN p b ON a.id <> b.id AND a.id <= 300 AND b.id <= 300) SELECT focal, round(d, 3) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY focal ORDER BY d) AS r FROM d) WHERE r <= 2")
+add("sphere_knn", lambda s, d: sphere_knn_join(LL(s, d), 2).select("focal", F.round("distance", 3).alias("distance")), f"WITH {_LL}, d AS (SELECT a.id AS focal, 2 * asin(sqrt(least(1, sin(radians(a.lat - b.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(a.lon - b.lon) / 2) ** 2))) * 6371 AS d FROM p a JOIN p b ON a.id <> b.id) SELECT focal, round(d, 3) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY focal ORDER BY d) AS r FROM d) WHERE r <= 2")
 add("voronoi_total_area", lambda s, d: rounded(polygons.voronoi_cells(EMB(s, d)).agg(F.count(F.lit(1)).alias("cells"), F.sum(geo.ring_area(F.col("parts")[0])).alias("area"))), "WITH p AS (SELECT embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings) SELECT count(*) AS cells, round((max(x) - min(x)) * (max(y) - min(y)), 6) AS area FROM p")
-add("spatial_matches", lambda s, d: edges(matching.spatial_matches(supplier(s, d).filter("id <= 5"), supplier(s, d).filter("id BETWEEN 6 AND 100"))))
+DEPOTS = lambda s, d: _t(s, d, "region").select((-1 - F.col("r_regionkey")).cast("bigint").alias("id"), (F.col("r_regionkey") * 2000.0).alias("x"), (F.col("r_regionkey") * 5.0).alias("y"))
+add("spatial_matches", lambda s, d: edges(matching.spatial_matches(DEPOTS(s, d), supplier(s, d))))
 
 
 def queries() -> dict:

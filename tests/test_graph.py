@@ -45,7 +45,7 @@ def points(spark, xy):
 def test_catalogue(spark, name):
     plan, sql = queries.CATALOG[name]
     con = duckdb.connect()
-    for t in "nation customer supplier part lineitem embeddings".split():
+    for t in "nation customer supplier part orders lineitem embeddings".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, want = plan(spark, SF), con.sql(sql)
     cols = sorted(df.columns)
