@@ -43,7 +43,7 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         self.masks = [np.uint32((1 << b) - 1) for b in sorted({mask_bits, 0}, reverse=True)]  # of each level
-        self.bound = store_bytes // len(self.masks)
+        self.bounds = [store_bytes // 4, store_bytes * 3 // 4] if mask_bits else [store_bytes]
         self.stores: list[dict[str, bytes]] = [{} for _ in self.masks]
         self.stored = [0] * len(self.masks)
         self.calls = 0
@@ -141,7 +141,7 @@ class ChunkEncoder:
         missing = [i for i, x in enumerate(ids) if x is None]
         if missing:
             texts = [distinct[i] for i in missing]
-            if self.stored[level] > self.bound:
+            if self.stored[level] > self.bounds[level]:
                 store.clear()
                 self.stored[level] = 0
             for i, text, found in zip(missing, texts, self._fresh(texts, level + 1), strict=True):
