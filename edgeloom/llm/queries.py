@@ -53,7 +53,14 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = unit_dedup.repeated_units(documents(spark, sf_dir))
+    return _removed_spans(unit_dedup.repeated_units(documents(spark, sf_dir)))
+
+
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _removed_spans(unit_dedup.repeated_passages(documents(spark, sf_dir)))
+
+
+def _removed_spans(out: DataFrame) -> DataFrame:
     places = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
     return out.select("doc_id", "n_units", "n_removed", places.alias("removed_spans"))
 
@@ -78,7 +85,7 @@ def op10_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_frequency, op2_bpe_chunks, op3_quality, op4_token_counts, op5_license_scan, op6_unit_dedup, op7_decontaminate, op8_near_dups, op9_url_filter, op10_site_spread)
+    for f in (op1_line_frequency, op2_bpe_chunks, op3_quality, op4_token_counts, op5_license_scan, op6_unit_dedup, op6_passage_dedup, op7_decontaminate, op8_near_dups, op9_url_filter, op10_site_spread)
 }
 SQL: dict[str, str] = {
     "op1_line_frequency": oracle.OP1,

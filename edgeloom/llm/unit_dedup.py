@@ -3,6 +3,10 @@
 Units are lines of at least ``min_words`` words. Digests of 128 bits are grouped over the whole corpus with a
 partial aggregate (count, earliest place), so a unit of a third of all documents is one row a task before the
 shuffle; only digests that occur twice or more are joined back to their places.
+
+``repeated_passages`` also sees what is wrapped over shorter lines: its units are runs of consecutive lines, from every
+line onward and from every line back to ``min_words`` words, so every word of a text is in some unit, and a repeated
+run of whole lines is found wherever it begins.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, staged
-from .lines import Lines
+from .lines import Lines, digest, normalised
 
 _UNIT = "array<struct<pos:int,start:bigint,end:bigint,words:bigint,h1:bigint,h2:bigint>>"
 
@@ -58,6 +62,83 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
+_PASSAGES = "`lines` array<struct<start:bigint,end:bigint>>, `units` array<struct<lo:int,hi:int,h1:bigint,h2:bigint>>"
+
+
+def _runs(doc: np.ndarray, words: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of each unit, in order: the shortest runs of at least ``min_words`` words that begin or end
+    at each line; a text of fewer words is one run."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    at, low, high = np.arange(len(words)), first[doc], first[doc + 1]
+    hi = np.searchsorted(total, total[:-1] + min_words) - 1
+    lo = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+    short = (total[high] - total[low] < min_words) & (at == low)
+    ahead, back = hi < high, lo >= low
+    runs = np.concatenate([np.stack(x, 1) for x in ((at[ahead], hi[ahead]), (lo[back], at[back]), (at[short], high[short] - 1))])
+    runs = np.unique(runs, axis=0)
+    return runs[:, 0], runs[:, 1]
+
+
+def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            view = Lines(batch.column(2))
+            has = view.words > 0
+            doc, plain = view.doc[has], [normalised(x) for x in view.strings().filter(pa.array(has)).to_pylist()]
+            first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            lo, hi = _runs(doc, view.words[has], first, min_words)
+            texts = [" ".join(plain[a : b + 1]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+            h1, h2 = (np.array([digest(x, seed) for x in texts], np.int64) for seed in (1, 2))
+            start, end = view.chars()
+            base = first[doc[lo]]
+            units = {"lo": (lo - base).astype(np.int32), "hi": (hi - base).astype(np.int32), "h1": h1, "h2": h2}
+            ends = np.searchsorted(doc[lo], np.arange(batch.num_rows + 1)).astype(np.int32)
+            found = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(v) for v in units.values()], list(units)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), view.lists(has, start=start, end=end), found], [id_col, "row", "lines", "units"])
+
+    kind = dict(docs.dtypes)[id_col]
+    return docs.select(id_col, F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, `row` bigint, {_PASSAGES}")
+
+
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the lines of each row, those inside its runs."""
+    for batch in batches:
+        lines, runs = batch.column(2), batch.column(3)
+        n = np.concatenate([[0], np.cumsum(lines.value_lengths().to_numpy(zero_copy_only=False))])
+        base = np.repeat(n[:-1], runs.value_lengths().to_numpy(zero_copy_only=False))
+        lo, hi = (runs.flatten().field(k).to_numpy() for k in (0, 1))
+        edge = np.bincount(base + lo, minlength=n[-1] + 1) - np.bincount(base + hi + 1, minlength=n[-1] + 1)
+        gone = np.cumsum(edge)[: n[-1]] > 0
+        ends = np.concatenate([[0], np.cumsum(gone)])[n].astype(np.int32)
+        removed = pa.ListArray.from_arrays(pa.array(ends), lines.flatten().filter(pa.array(gone)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends), pa.int64()), removed], [batch.schema.names[0], "n_units", "n_removed", "removed"])
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
+    """As ``repeated_units``, with runs of lines as units: n_units counts runs, n_removed and removed are the lines to
+    take out, which are those of every run but the first equal one.
+
+    Lines are compared as normalised and joined by a space; lines without a word are passed over and stay. A passage
+    that one text wraps otherwise than another is found only where runs begin and end at the same words. A run that overlaps the first equal one in its own text loses only
+    the lines after it. A text of under ``min_words`` words is one unit.
+    """
+    seen = staged(_passages(docs, id_col, text_col, min_words))
+    each = seen.select(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "row", F.explode("units").alias("u")).select("last", "id", "row", "u.*")
+    first = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("last", "id", "row", "lo", "hi")).alias("kept")).filter(F.col("times") > 1)
+    same = F.col("row") == F.col("kept_row")
+    again = (
+        each.select("row", "lo", "hi", "h1", "h2")
+        .join(first.select("h1", "h2", F.col("kept.row").alias("kept_row"), F.col("kept.hi").alias("kept_hi")), ["h1", "h2"])
+        .select("row", F.when(same, F.greatest("lo", F.col("kept_hi") + 1)).otherwise(F.col("lo")).alias("lo"), "hi")
+        .filter(F.col("lo") <= F.col("hi"))
+    )
+    runs = again.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+    return seen.select(id_col, "row", F.size("units").cast("bigint").alias("n_units"), "lines").join(runs, "row", "left").select(
+        id_col, "n_units", "lines", F.coalesce("runs", none).alias("runs")
+    ).mapInArrow(_covered, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_units bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>")
+
+
 def without(text, removed):
     """Column: ``text`` without the places in ``removed``; each goes with the line break after it, or before it at the end."""
     lines = F.split(text, "\n", -1)

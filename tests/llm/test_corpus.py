@@ -202,6 +202,51 @@ def test_unit_dedup(docs, empty):
             assert r["clean"] == "\n".join(kept)
 
 
+def brute_passages(rows, min_words=20):
+    """(id, text) in order -> {place: (n_units, removed spans)}."""
+    units, lines = [], []
+    for k, (_, text) in enumerate(rows):
+        at, here = 0, []
+        for line in (text or "").split("\n"):
+            w = re.findall(r"[^ \t\n\x0b\x0c\r]+", line.translate({a: a + 32 for a in range(65, 91)}))
+            if w:
+                here.append((at, at + len(line), w))
+            at += len(line) + 1
+        n = lambda a, b: sum(len(x[2]) for x in here[a : b + 1])  # noqa: B023, E731
+        runs = {(a, b) for a in range(len(here)) for b in range(a, min(a + min_words, len(here))) if n(a, b) >= min_words and (n(a, b - 1) < min_words or n(a + 1, b) < min_words)}
+        if here and n(0, len(here)) < min_words:
+            runs = {(0, len(here) - 1)}
+        units += [(tuple(x for y in here[a : b + 1] for x in y[2]), k, a, b) for a, b in runs]
+        lines.append((len(runs), here))
+    gone, first = defaultdict(set), {}
+    for words, k, a, b in sorted(units, key=lambda u: (rows[u[1]][0] is None, rows[u[1]][0] or 0, *u[1:])):
+        if words in first:
+            kept, last = first[words]
+            gone[k] |= set(range(max(a, last + 1) if kept == k else a, b + 1))
+        else:
+            first[words] = (k, b)
+    return [(n, [here[x][:2] for x in sorted(gone[k])]) for k, (n, here) in enumerate(lines)]
+
+
+def test_repeated_passages(spark, docs, empty):
+    rng = random.Random(5)
+    verse = [sentences(rng, rng.randrange(3, 9)) for _ in range(12)]
+    head, long = "A heading", sentences(rng, 30)
+    texts = ["\n".join(["own opening line", *verse, sentences(rng, 25)]), "\n".join([sentences(rng, 7), "", *verse[:6], "", *verse[6:], "the end"]), f"{head}\n{long}\nafter", f"{head}\n{long}", "few words", "Few  words", "\n".join(["again and again"] * 30), "\n".join(long.split()), None, "é\n" + "\n".join(verse)]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    out = {r["doc_id"]: r for r in unit_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = brute_passages(rows)
+    for k, _ in rows:
+        assert (out[k]["n_units"], [tuple(x) for x in out[k]["removed"]]) == want[k]
+    cut = lambda k: {texts[k][s["start"] : s["end"]] for s in out[k]["removed"]}
+    assert cut(0) == set() and cut(1) == set(verse) == cut(9) and cut(3) == {head, long} and cut(5) == {"Few  words"} and out[6]["n_removed"] == 23
+    assert all(r["n_removed"] == 0 for r in unit_dedup.repeated_units(spark.createDataFrame(rows, "doc_id long, text string").filter("doc_id IN (0, 1, 9)")).collect())  # lines alone don't see it
+    rows = [(r["doc_id"], r["text"]) for r in docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect()]
+    out = unit_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_units"], [tuple(x) for x in r["removed"]]) for r in out) == sorted((i, *x) for (i, _), x in zip(rows, brute_passages(rows), strict=True))
+    assert unit_dedup.repeated_passages(docs).count() == docs.count() and unit_dedup.repeated_passages(empty).count() == 0
+
+
 def test_decontaminate(spark, docs, empty):
     texts = make_texts()
     items = [(0, " ".join(texts[6].split()[20:45])), (1, "TWO, words!"), (2, "one"), (3, None), (4, "..."), (None, " ".join(texts[7].split()[:12])), (5, "nowhere to be found at all in any of these"), (6, " ".join(texts[8].split()[5:9])), (0, "Àé ß 数据 Àé ß 数据"), (9, "a a a a a a a a a a a a")]
