@@ -1,8 +1,13 @@
-"""Licence scan: lines and whole texts against licence templates, by the Dice coefficient over word bigrams.
+"""Licence scan: all runs of words of a text against licence templates, by the Dice coefficient over word bigrams.
 
 Dice is 2 c / (a + b) for a and b distinct bigrams and c common ones. Since c is at most the lesser of a and b, a
 unit can reach the threshold t only with templates of t / (2 - t) * a to (2 - t) / t * a bigrams; templates are kept
-by size, and a unit is compared only to those within the bounds.
+by size, and a line is compared only to those within the bounds.
+
+Runs of words (windows) begin and end at any word, so a notice is found over several lines and inside one. The best
+window begins and ends with a bigram of the template: cutting off others never lowers the coefficient. Nor does
+cutting off the first bigram where it comes again, so a window ends before that, and the search takes time in
+proportion to the text times the template.
 """
 
 from __future__ import annotations
@@ -49,6 +54,7 @@ class Templates:
         self.threshold = threshold
         self.known = sorted((len(bigrams(t)), name, bigrams(t)) for name, t in texts.items())
         self.sizes = [k[0] for k in self.known]
+        self.all = frozenset().union(*(k[2] for k in self.known))
 
     def best(self, unit: str) -> tuple[float, str] | None:
         """The template with the highest coefficient at the threshold or above; of equals, the first by name."""
@@ -63,9 +69,50 @@ class Templates:
                 top = (dice, name)
         return top
 
+    def best_window(self, text: str) -> tuple[float, str] | None:
+        """As ``best``, over all runs of words of ``text``."""
+        words = _word.findall(text.translate(FOLD))
+        pairs = list(zip(words, words[1:]))
+        seen = self.all.intersection(pairs)
+        if not seen:
+            return None
+        top, places = None, None
+        for b, name, theirs in self.known:
+            if len(seen & theirs) < b * self.low - 1e-9:
+                continue
+            if places is None:
+                places = [p for p, x in enumerate(pairs) if x in seen]
+            dice = self._window(pairs, [p for p in places if pairs[p] in theirs], b, theirs)
+            if dice >= self.threshold and (top is None or (-dice, name) < (-top[0], top[1])):
+                top = (dice, name)
+        return top
+
+    def _window(self, pairs: list[tuple[str, str]], hits: list[int], b: int, theirs: set[tuple[str, str]]) -> float:
+        """The highest coefficient of a window that begins at one of ``hits``."""
+        most, top = b * self.high + 1e-9, 0.0
+        for start in hits:
+            own, common, first = set(), 0, pairs[start]
+            for p in range(start, len(pairs)):
+                x = pairs[p]
+                if x in own:
+                    if x == first:
+                        break
+                    continue
+                own.add(x)
+                if len(own) > most:
+                    break
+                if x in theirs:
+                    common += 1
+                    top = max(top, 2 * common / (len(own) + b))
+                    if common == b:
+                        break
+            if top == 1:
+                break
+        return top
+
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """``id_col``, license (best template over the lines and the whole text, or null), dice (0 without one) and
+    """``id_col``, license (best template over all runs of words, so over lines and the whole text too, or null), dice (0 without one) and
     n_matches (lines that match a template) of every row.
 
     Null and empty texts match nothing. Null and repeated ids and repeated rows have a result each. An empty table
@@ -80,16 +127,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             which, distinct = codes(view.strings())
             of_line = [known.best(x) if len(x) >= 2 * shortest else None for x in distinct.to_pylist()]
             texts = batch.column(1).to_pylist()
-            single = (view.first[1:] - view.first[:-1] == 1).tolist()
             names, scores, matches = [], [], []
             for k, text in enumerate(texts):
-                found = [of_line[c] for c in which[view.first[k] : view.first[k + 1]].tolist() if of_line[c]]
-                matches.append(len(found))
-                if text and not single[k]:  # a text of one line is that line
-                    whole = known.best(text)
-                    if whole:
-                        found.append(whole)
-                best = min(found, key=lambda x: (-x[0], x[1]), default=(0.0, None))
+                matches.append(sum(of_line[c] is not None for c in which[view.first[k] : view.first[k + 1]].tolist()))
+                best = text and known.best_window(text) or (0.0, None)
                 scores.append(round(best[0], 6))
                 names.append(best[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(matches, pa.int64())], [id_col, "license", "dice", "n_matches"])

@@ -368,6 +368,32 @@ def test_licenses(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+GPL_HEADER = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+
+
+def test_licenses_over_lines_and_inside_them(spark):
+    rng = random.Random(4)
+    mit = license_scan.TEMPLATES["MIT"].split()
+    wrapped = "MIT License\n\nCopyright (c) 2020 Acme\n\n" + "\n".join(" ".join(mit[k : k + 9]) for k in range(0, len(mit), 9)) + "\n\nThe above copyright notice shall be included in all copies."
+    code = "\n".join(sentences(rng, 8) for _ in range(60))
+    rows = [(0, f"{GPL_HEADER}\n{code}", "GPL-notice", 1.0), (1, wrapped, "MIT", 1.0), (2, "Copyright 2020 Acme. All rights reserved.", "ALL-RIGHTS-RESERVED", 1.0), (3, f"{code}\n{' '.join(mit[:12])} x\ny {' '.join(mit[14:])}\n{code}", "MIT", None), (4, code, None, 0.0), (5, "all rights " * 20_000, None, 0.0), (6, "rights all reserved " * 20_000, None, 0.0)]
+    out = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    for k, _, name, dice in rows:
+        assert out[k]["license"] == name and (dice is None and 0.8 <= out[k]["dice"] < 1 or out[k]["dice"] == dice)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.sampled_from("pqr"), st.text("ab ", min_size=3, max_size=20).filter(lambda t: len(t.split()) > 1), min_size=1), st.text("abc ", max_size=60), st.sampled_from([0.5, 0.8, 1.0]))
+def test_license_windows_are_exact(texts, text, threshold):
+    known = license_scan.Templates(texts, threshold)
+    words = text.split()
+    every = [known.best(" ".join(words[a:b])) for a in range(len(words)) for b in range(a + 2, len(words) + 1)]
+    assert known.best_window(text) == min((x for x in every if x), key=lambda x: (-x[0], x[1]), default=None)
+
+
 def test_entry_lists_them():
     found = entry.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {name.split("_")[0] for name in found} and "pipeline" in found
