@@ -128,3 +128,13 @@ g AS (SELECT rid, any_value(text) AS text, sum(words * hit::INT) <= 0.5 * sum(wo
 o AS (SELECT rid, text, CASE WHEN clean AND n > 0 THEN rest ELSE coalesce(text, '') END AS t, CASE WHEN clean THEN n ELSE 0 END AS n FROM g)
 SELECT doc_id, n::BIGINT AS n_removed_lines, (length(coalesce(o.text, '')) - length(t))::BIGINT AS n_removed_chars, sha256(t) AS text_sha256 FROM d JOIN o USING (rid)
 """
+
+#: Lines on over 10 sites and in over 10 distinct texts, out of every text.
+OP10_ALL = rf"""
+WITH {_LINES},
+bad AS (SELECT norm FROM l WHERE words > 0 GROUP BY norm HAVING count(DISTINCT coalesce(source, chr(0))) > 10 AND count(DISTINCT text) > 10),
+h AS (SELECT l.*, words > 0 AND norm IN (SELECT norm FROM bad) AS hit FROM l),
+g AS (SELECT rid, any_value(text) AS text, sum(hit::INT) AS n, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT hit), '') AS rest FROM h GROUP BY rid),
+o AS (SELECT rid, n, coalesce(text, '') AS text, CASE WHEN n > 0 THEN rest ELSE coalesce(text, '') END AS t FROM g)
+SELECT doc_id, n::BIGINT AS n_removed_lines, (length(o.text) - length(t))::BIGINT AS n_removed_chars, sha256(t) AS text_sha256 FROM d JOIN o USING (rid)
+"""

@@ -79,13 +79,20 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = site_spread.remove_spread_lines(documents(spark, sf_dir))
+    return _cleaned(site_spread.remove_spread_lines(documents(spark, sf_dir)))
+
+
+def op10_spread_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cleaned(site_spread.remove_spread_lines(documents(spark, sf_dir), whole=True))
+
+
+def _cleaned(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_removed_lines", "n_removed_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_frequency, op2_bpe_chunks, op3_quality, op4_token_counts, op5_license_scan, op6_unit_dedup, op6_passage_dedup, op7_decontaminate, op8_near_dups, op9_url_filter, op10_site_spread)
+    for f in (op1_line_frequency, op2_bpe_chunks, op3_quality, op4_token_counts, op5_license_scan, op6_unit_dedup, op6_passage_dedup, op7_decontaminate, op8_near_dups, op9_url_filter, op10_site_spread, op10_spread_lines_all)
 }
 SQL: dict[str, str] = {
     "op1_line_frequency": oracle.OP1,
@@ -95,4 +102,5 @@ SQL: dict[str, str] = {
     "op8_near_dups": oracle.OP8,
     "op9_url_filter": oracle.OP9,
     "op10_site_spread": oracle.OP10,
+    "op10_spread_lines_all": oracle.OP10_ALL,
 }

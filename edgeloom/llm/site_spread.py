@@ -43,33 +43,38 @@ def _text_keys(text_col: str) -> list:
     return [F.xxhash64(F.lit(seed), text_col).alias(f"k{seed}") for seed in (1, 2)]
 
 
-def spread_lines(seen: DataFrame, max_sites: int, log2_k: int = 12) -> DataFrame:
-    """Hashes of lines on more than ``max_sites`` distinct sites."""
-    each = seen.select("site", F.explode("lines.h").alias("h"))
-    sketched = each.groupBy("h").agg(F.hll_sketch_agg("site", log2_k).alias("sketch"))
+def spread_lines(seen: DataFrame, max_sites: int, log2_k: int = 12, by: tuple[str, ...] = ("site",)) -> DataFrame:
+    """Hashes of lines on more than ``max_sites`` distinct sites (values of each column in ``by``)."""
+    each = seen.select(*by, F.explode("lines.h").alias("h"))
+    sketched = each.groupBy("h").agg(*[F.hll_sketch_agg(c, log2_k).alias(c) for c in by])
     margin = max(1.0, 6 * 1.04 / 2 ** (log2_k / 2) * max_sites)
-    guess = staged(sketched.select("h", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") > max_sites - margin))
+    least = lambda counts: F.least(*counts) if len(counts) > 1 else counts[0]
+    guess = staged(sketched.select("h", least([F.hll_sketch_estimate(c) for c in by]).alias("sites")).filter(F.col("sites") > max_sites - margin))
     sure = guess.filter(F.col("sites") > max_sites + margin).select("h")
     near = guess.filter(F.col("sites") <= max_sites + margin).select("h")
-    exact = each.join(near, "h").groupBy("h").agg(F.count_distinct("site").alias("sites")).filter(F.col("sites") > max_sites).select("h")
+    exact = each.join(near, "h").groupBy("h").agg(least([F.count_distinct(c) for c in by]).alias("sites")).filter(F.col("sites") > max_sites).select("h")
     return sure.unionByName(exact)
 
 
 def remove_spread_lines(
-    docs: DataFrame, site_col: str = "source", text_col: str = "text", max_sites: int = 10, max_removed: float = 0.5,
+    docs: DataFrame, site_col: str = "source", text_col: str = "text", max_sites: int = 10, max_removed: float = 0.5, whole: bool = False,
 ) -> DataFrame:
     """All rows and columns of ``docs`` with the cleaned text, and n_removed_lines (long) and n_removed_chars (long).
 
     Null texts stay null and empty ones empty. A null site is one site. Repeated rows are treated alike. An empty
     table gives an empty result. Columns of ``docs`` that clash with the two new names are replaced.
+
+    A text that would lose over ``max_removed`` of its words stays as it is. With ``whole`` there is no such exemption;
+    a line must then be on over ``max_sites`` sites and in over ``max_sites`` distinct texts, so that copies of a text
+    keep their lines.
     """
     seen = staged(site_lines(docs, site_col, text_col))
-    bad = spread_lines(seen, max_sites)
+    bad = spread_lines(seen, max_sites, by=("site", "k1") if whole else ("site",))
     texts = seen.groupBy("k1", "k2").agg(F.max("n_words").alias("n_words"), F.first("lines").alias("lines"))
     hit = texts.select("k1", "k2", "n_words", F.explode("lines").alias("line")).select("k1", "k2", "n_words", "line.*").join(bad, "h")
     drop = staged(
         hit.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("pos")).alias("gone"), F.sum("words").alias("lost"), F.max("n_words").alias("n_words"))
-        .filter(F.col("lost") <= max_removed * F.col("n_words")).select("k1", "k2", "gone")
+        .filter(F.lit(whole) | (F.col("lost") <= max_removed * F.col("n_words"))).select("k1", "k2", "gone")
     )
     names = [c for c in docs.columns if c not in ("n_removed_lines", "n_removed_chars")]
     row = F.struct(*[F.col(f"`{c}`") for c in names])

@@ -358,6 +358,22 @@ def test_site_spread(docs, empty):
     assert out.filter("text IS NULL").count() == docs.filter("text IS NULL").count()
 
 
+def test_site_spread_whole(spark, docs, empty):
+    rng = random.Random(6)
+    common, copied = sentences(rng, 12), f"{sentences(rng, 20)}\n{sentences(rng, 20)}"
+    own = [sentences(rng, 5) for _ in range(12)]
+    rows = [(k, f"{common}\n{own[k]}", f"s{k}") for k in range(12)] + [(100 + k, copied, f"s{k}") for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r["doc_id"]: r for r in site_spread.remove_spread_lines(df, whole=True).collect()}
+    assert all(out[k]["text"] == own[k] and out[k]["n_removed_lines"] == 1 for k in range(12))  # two thirds of its words
+    assert all(out[100 + k]["text"] == copied for k in range(12))
+    assert site_spread.remove_spread_lines(df).filter("n_removed_lines > 0").isEmpty()
+    for frame in (docs, df):
+        digest = queries._cleaned(site_spread.remove_spread_lines(frame, whole=True))
+        compare(digest, duck(frame), queries.SQL["op10_spread_lines_all"])
+    assert site_spread.remove_spread_lines(empty, whole=True).count() == 0
+
+
 def test_licenses(spark, empty):
     rng = random.Random(8)
     mit = license_scan.TEMPLATES["MIT"]
