@@ -4,6 +4,7 @@ Lines are normalised and hashed together with their host. For each, the distinct
 are counted (exact copies count once: a copied text is the business of deduplication). Lines held by more texts
 than the limits allow are boilerplate of the host and are taken out; a document that loses more than half of its
 words is depleted and rejected. Two limits must both be passed: a number of texts, and a share of the host's texts.
+The second grows with the host; with ``min_share`` 0 the number alone decides, on hosts of any size.
 
 Counts are partial aggregates keyed by line and text, so a hot host or a hot line is spread over all tasks before
 the final sum; joins back are plain equi-joins, which adaptive execution splits where a line is hot.
@@ -95,9 +96,11 @@ def quality_rules(
     """
     seen = staged(measure(docs, host_col, id_col, text_col))
     held = seen.select("host", "text_key", F.explode("lines").alias("line")).groupBy("text_key", "line.h").agg(F.max("host").alias("host"), F.max("line.words").alias("words"))
-    size = seen.groupBy("host").agg(F.count_distinct("text_key").alias("size"))
     often = held.groupBy("h").agg(F.max("host").alias("host"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > min_texts)
-    bad = often.join(size, "host").filter(F.col("texts") > F.col("size") * min_share).select("h")
+    if min_share > 0:
+        size = seen.groupBy("host").agg(F.count_distinct("text_key").alias("size"))
+        often = often.join(size, "host").filter(F.col("texts") > F.col("size") * min_share)
+    bad = often.select("h")
     lost = held.join(bad, "h").groupBy("text_key").agg(F.sum("words").alias("lost"))
     out = seen.drop("lines", "host").join(lost, "text_key", "left").withColumn("n_removed_words", F.coalesce("lost", F.lit(0)).cast("bigint"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeat * F.col("n_words"))

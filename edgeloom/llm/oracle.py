@@ -43,6 +43,9 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   n_repeat_words::BIGINT AS n_repeat_words, gone::BIGINT AS n_removed_words, failed AS base_failed, NOT failed AND gone <= 0.5 * n_words AS kept FROM f
 """
 
+#: The count of texts alone, whatever the host's size.
+OP1_COUNT = OP1.replace(" AND o.n > s.n * 0.02::DOUBLE", "")
+
 OP5 = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())}) AS v(name, text)),

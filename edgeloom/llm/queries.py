@@ -42,6 +42,10 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.quality_rules(documents(spark, sf_dir))
 
 
+def op1_line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.quality_rules(documents(spark, sf_dir), min_share=0.0)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -92,10 +96,11 @@ def _cleaned(out: DataFrame) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_frequency, op2_bpe_chunks, op3_quality, op4_token_counts, op5_license_scan, op6_unit_dedup, op6_passage_dedup, op7_decontaminate, op8_near_dups, op9_url_filter, op10_site_spread, op10_spread_lines_all)
+    for f in (op1_line_frequency, op1_line_count, op2_bpe_chunks, op3_quality, op4_token_counts, op5_license_scan, op6_unit_dedup, op6_passage_dedup, op7_decontaminate, op8_near_dups, op9_url_filter, op10_site_spread, op10_spread_lines_all)
 }
 SQL: dict[str, str] = {
     "op1_line_frequency": oracle.OP1,
+    "op1_line_count": oracle.OP1_COUNT,
     "op5_license_scan": oracle.OP5,
     "op6_unit_dedup": oracle.OP6,
     "op7_decontaminate": oracle.OP7,

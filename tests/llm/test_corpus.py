@@ -108,6 +108,18 @@ def test_line_frequency_depletes(spark):
     assert all(out[100 + k]["kept"] for k in range(30))
 
 
+def test_line_count_on_a_large_host(spark, tmp_path):
+    rng = random.Random(2)
+    hot = sentences(rng, 60)
+    rows = [(k, f"{hot}\n{sentences(rng, 20)}", "large") for k in range(25)] + [(100 + k, sentences(rng, 60), "large") for k in range(1400)]
+    rows += [(5000 + k, f"{hot}\n{sentences(rng, 20)}", "small") for k in range(25)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    removed = lambda query: {r["doc_id"] for r in query(spark, str(tmp_path)).filter("n_removed_words = 60 AND NOT kept").collect()}
+    assert removed(queries.op1_line_frequency) == {5000 + k for k in range(25)}  # 25 texts are under 2 % of 1425
+    assert removed(queries.op1_line_count) == {5000 + k for k in range(25)} | set(range(25))
+    compare(queries.op1_line_count(spark, str(tmp_path)), duck(spark.read.parquet(f"{tmp_path}/documents.parquet")), queries.SQL["op1_line_count"])
+
+
 def test_bpe_equals_library(docs, empty):
     path = public_tokenizers.path(queries.WORD_BPE)
     tokenizer = bpe_chunks.ChunkEncoder(path).tokenizer
