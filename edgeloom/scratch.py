@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_written: dict[str, SparkSession] = {}
 
 
 def root(spark: SparkSession) -> str:
@@ -30,6 +32,9 @@ def root(spark: SparkSession) -> str:
 def write(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{root(spark)}/edgeloom-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_at_exit)
+    _written[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -37,3 +42,21 @@ def write(df: DataFrame) -> tuple[DataFrame, str]:
 def remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written.pop(path, None)
+
+
+def tables() -> set[str]:
+    """Scratch tables that exist now."""
+    return set(_written)
+
+
+def release(spark: SparkSession, keep: set[str] = frozenset()) -> None:
+    """Delete all scratch tables but those in ``keep``: results that read them must have been written before."""
+    for path in [p for p, owner in _written.items() if owner is spark and p not in keep]:
+        remove(spark, path)
+
+
+def _at_exit() -> None:
+    for path, spark in list(_written.items()):
+        with contextlib.suppress(Exception):  # the JVM may have gone before
+            remove(spark, path)
