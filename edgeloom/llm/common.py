@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,14 +16,26 @@ from ..scratch import remove, write
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 8 MB at most, whatever the texts' lengths; a lower setting of the session stays."""
-    if int(spark.conf.get(BATCH_BYTES, "67108864").rstrip("b")) > 8 << 20:
-        spark.conf.set(BATCH_BYTES, str(8 << 20))
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of 8 MB at most, whatever the texts' lengths; a lower setting of the session stays, and the
+    session has its own setting again afterwards."""
+    before = spark.conf.get(BATCH_BYTES, "67108864")
+    if int(before.rstrip("b")) <= 8 << 20:
+        yield
+        return
+    spark.conf.set(BATCH_BYTES, str(8 << 20))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
+    """A table for a registered query or the pipeline. These are applications, so they set Arrow batches to 8 MB for their
+    session; operators given a DataFrame leave the session's setting as it is."""
+    if int(spark.conf.get(BATCH_BYTES, "67108864").rstrip("b")) > 8 << 20:
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,8 +52,8 @@ def staged(df: DataFrame, files: int | None = None) -> DataFrame:
 
 
 def staged_at(df: DataFrame, files: int | None = None) -> tuple[DataFrame, str]:
-    small_batches(df.sparkSession)
-    return write(df.coalesce(files) if files else df)
+    with small_batches(df.sparkSession):
+        return write(df.coalesce(files) if files else df)
 
 
 def drop_staged(spark: SparkSession, path: str) -> None:
@@ -95,6 +108,7 @@ def id_fields(df: DataFrame, names: tuple[str, ...]) -> str:
     return ", ".join(f"`{c}` {kinds[c]}" for c in names)
 
 
-def row_key(*columns: str):
-    """64-bit key of a row's id and text, so that null or repeated ids don't mix different texts."""
-    return F.xxhash64(*[F.col(c) for c in columns])
+def small_side(df: DataFrame, row_bytes: int, most_bytes: int = 16 << 20) -> DataFrame:
+    """``df`` (a staged table) with a broadcast hint if its counted rows, at ``row_bytes`` each, are under ``most_bytes``;
+    a larger table stays as it is, and both sides of its join are shuffled."""
+    return F.broadcast(df) if df.count() * row_bytes <= most_bytes else df

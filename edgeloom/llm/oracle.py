@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import LOWER, UPPER
 from .license_scan import TEMPLATES
+from .unit_dedup import SENTENCE_END, STRETCH
 from .url_filter import BLOCKED, RULES
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -64,12 +65,36 @@ SELECT doc_id, name AS license, coalesce(round(dice, 6), 0) AS dice, coalesce(ln
 FROM d LEFT JOIN (SELECT * FROM m WHERE rank = 1) USING (rid) LEFT JOIN ln USING (rid)
 """
 
+_LIST_END = SENTENCE_END.replace("'", "''")
 OP6 = rf"""
-WITH {_LINES},
-u AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY rid ORDER BY pos) - length(line) - 1 AS s FROM l),
-k AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST, rid, pos) AS rank FROM u WHERE words >= 20),
-g AS (SELECT rid, count(*) AS n, sum((rank > 1)::INT) AS r, coalesce(string_agg(s::BIGINT || '-' || (s + length(line))::BIGINT, ',' ORDER BY pos) FILTER (rank > 1), '') AS spans FROM k GROUP BY rid)
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_units, coalesce(r, 0)::BIGINT AS n_removed, coalesce(spans, '') AS removed_spans FROM d LEFT JOIN g USING (rid)
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+x AS (SELECT rid, regexp_extract_all(text, '{_SPACE}|{_WORD}') AS t FROM d),
+k0 AS (SELECT rid, unnest(t) AS x, generate_subscripts(t, 1) AS k FROM x),
+k1 AS (SELECT *, sum(length(x)) OVER (PARTITION BY rid ORDER BY k) AS e FROM k0),
+w AS (SELECT rid, {_fold("x")} AS w, e - length(x) AS s, e, row_number() OVER (PARTITION BY rid ORDER BY k) AS p, count(*) OVER (PARTITION BY rid) AS n
+  FROM k1 WHERE NOT regexp_matches(x, '^{_SPACE}')),
+m AS (SELECT *, p = n OR regexp_matches(w, '{_LIST_END}') AS fin FROM w),
+y AS (SELECT *, coalesce(sum(fin::INT) OVER (PARTITION BY rid ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM m),
+c AS (SELECT *, fin OR (count(*) OVER (PARTITION BY rid, sentence) > {STRETCH} AND substr(md5(w), 2, 1) IN ('0', '8')) AS cut FROM y),
+q AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY rid ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM c),
+a AS (SELECT rid, part, min(p) AS lo, max(p) AS hi, any_value(n) AS n FROM q GROUP BY rid, part),
+r AS (
+  SELECT l.rid, l.lo, min(h.hi) AS hi FROM a l JOIN a h ON l.rid = h.rid AND h.hi - l.lo >= 19 AND h.part BETWEEN l.part AND l.part + 20 GROUP BY l.rid, l.lo
+  UNION SELECT h.rid, max(l.lo), h.hi FROM a h JOIN a l ON l.rid = h.rid AND h.hi - l.lo >= 19 AND l.part BETWEEN h.part - 20 AND h.part GROUP BY h.rid, h.hi
+  UNION SELECT rid, 1, n FROM a WHERE n < 20),
+t AS (SELECT rid, list(w ORDER BY p) AS ws, list(s ORDER BY p) AS ss, list(e ORDER BY p) AS es FROM w GROUP BY rid),
+u AS (SELECT rid, doc_id, array_to_string(ws[lo:hi], ' ') AS words, ss[lo] AS s, es[hi] AS e FROM r JOIN t USING (rid) JOIN d USING (rid)),
+k AS (SELECT *, count(*) OVER b AS times, min(rid) OVER b < max(rid) OVER b AS shared, first_value(rid) OVER o AS kr, first_value(s) OVER o AS ks, first_value(e) OVER o AS ke, first_value(doc_id) OVER o AS ki
+  FROM u WINDOW b AS (PARTITION BY words), o AS (PARTITION BY words ORDER BY doc_id NULLS LAST, rid, s, e)),
+z AS (SELECT *, kr <> rid OR ks <> s AS again, CASE WHEN kr = rid THEN greatest(s, ke) ELSE s END AS s2 FROM k WHERE times > 1),
+g0 AS (SELECT rid, s2, e, max(e) OVER (PARTITION BY rid ORDER BY s2, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM z WHERE again AND s2 < e),
+g1 AS (SELECT *, sum((reach IS NULL OR s2 > reach)::INT) OVER (PARTITION BY rid ORDER BY s2, e ROWS UNBOUNDED PRECEDING) AS span FROM g0),
+g AS (SELECT rid, string_agg(s::BIGINT || '-' || e::BIGINT, ',' ORDER BY s) AS spans FROM (SELECT rid, min(s2) AS s, max(e) AS e FROM g1 GROUP BY rid, span) GROUP BY rid),
+n AS (SELECT rid, count(*) AS n FROM r GROUP BY rid),
+h AS (SELECT rid, sum(shared::INT) AS n_repeated, sum(again::INT) AS n_removed FROM z GROUP BY rid),
+i AS (SELECT rid, string_agg(ki::VARCHAR, ',' ORDER BY ki) AS kept_in FROM (SELECT DISTINCT rid, ki FROM z WHERE kr <> rid AND ki IS NOT NULL) GROUP BY rid)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_units, coalesce(n_repeated, 0)::BIGINT AS n_repeated, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(spans, '') AS removed_spans,
+  coalesce(kept_in, '') AS kept_in FROM d LEFT JOIN n USING (rid) LEFT JOIN h USING (rid) LEFT JOIN g USING (rid) LEFT JOIN i USING (rid)
 """
 
 OP7 = rf"""

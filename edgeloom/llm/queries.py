@@ -57,16 +57,13 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _removed_spans(unit_dedup.repeated_units(documents(spark, sf_dir)))
+    return passage_digests(unit_dedup.repeated_passages(documents(spark, sf_dir)))
 
 
-def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _removed_spans(unit_dedup.repeated_passages(documents(spark, sf_dir)))
-
-
-def _removed_spans(out: DataFrame) -> DataFrame:
+def passage_digests(out: DataFrame) -> DataFrame:
     places = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
-    return out.select("doc_id", "n_units", "n_removed", places.alias("removed_spans"))
+    kept = F.array_join(F.col("kept_in").cast("array<string>"), ",")
+    return out.select("doc_id", "n_units", "n_repeated", "n_removed", places.alias("removed_spans"), kept.alias("kept_in"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +93,7 @@ def _cleaned(out: DataFrame) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_frequency, op1_line_count, op2_bpe_chunks, op3_quality, op4_token_counts, op5_license_scan, op6_unit_dedup, op6_passage_dedup, op7_decontaminate, op8_near_dups, op9_url_filter, op10_site_spread, op10_spread_lines_all)
+    for f in (op1_line_frequency, op1_line_count, op2_bpe_chunks, op3_quality, op4_token_counts, op5_license_scan, op6_unit_dedup, op7_decontaminate, op8_near_dups, op9_url_filter, op10_site_spread, op10_spread_lines_all)
 }
 SQL: dict[str, str] = {
     "op1_line_frequency": oracle.OP1,

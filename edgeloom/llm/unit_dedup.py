@@ -1,73 +1,49 @@
-"""Substring dedup by hashes of lines: of equal normalised lines the earliest ranked one stays.
+"""Substring dedup by hashes of passages: of equal passages the earliest ranked one stays.
 
-Units are lines of at least ``min_words`` words. Digests of 128 bits are grouped over the whole corpus with a
-partial aggregate (count, earliest place), so a unit of a third of all documents is one row a task before the
-shuffle; only digests that occur twice or more are joined back to their places.
+A text is a row of words, whatever its line breaks. It is cut after every sentence end and, in a stretch of over
+``STRETCH`` words without one, after words that their own hash chooses, so that equal words are cut alike wherever they
+stand. Units are runs of such cuts: from every cut on, and from every cut back, the shortest of at least ``min_words``
+words; a text of fewer words is one unit. Every word of a text is in some unit, and a passage is found inside longer
+lines, over lines wrapped otherwise, and between other words before and after it.
 
-``repeated_passages`` also sees what is wrapped over shorter lines: its units are runs of consecutive lines, from every
-line onward and from every line back to ``min_words`` words, so every word of a text is in some unit, and a repeated
-run of whole lines is found wherever it begins.
+Digests of 128 bits are grouped over the whole corpus with a partial aggregate (count, earliest place), so a unit of a
+third of all documents is one row a task before the shuffle; only digests that occur twice or more are joined back to
+their places.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged
-from .lines import Lines, digest, normalised
+from .common import codes, slices, staged, text_bytes
+from .lines import _space
 
-_UNIT = "array<struct<pos:int,start:bigint,end:bigint,words:bigint,h1:bigint,h2:bigint>>"
+#: A word that ends a sentence: one of these marks, and closing quotes or brackets after it (fixed value).
+SENTENCE_END = r"[.!?。！？][\"')\]]*$"
+#: Words without a sentence end beyond which hashes choose the cuts, and of how many words one is chosen on average.
+STRETCH, ONE_OF = 20, 8
+_end = re.compile(SENTENCE_END)
+_base = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_known: dict[str, tuple[bool, bool, int, int]] = {}
 
 
-def _units(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            view = Lines(batch.column(2))
-            h1, h2 = view.hashes(1, 2)
-            start, end = view.chars()
-            pos = (np.arange(len(h1)) - view.first[view.doc]).astype(np.int32)
-            units = view.lists(view.words >= min_words, pos=pos, start=start, end=end, words=view.words, h1=h1, h2=h2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), units], [id_col, "row", "units"])
-
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, `row` bigint, units {_UNIT}")
-
-
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
-    """``id_col``, n_units, n_removed and removed: the places to take out, as structs of start and end in characters
-    of the original text, ascending. One row for each row of ``docs``.
-
-    Rank: by id, nulls last, then by the order of the rows in the table, then by place. So the first of repeated
-    rows keeps its units and the others lose them. Null and empty texts have no units; an empty table gives an
-    empty result; further columns are not read.
-    """
-    seen = staged(_units(docs, id_col, text_col, min_words))
-    each = seen.select(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "row", F.explode("units").alias("u"))
-    place = F.struct("last", "id", "row", F.col("u.pos").alias("pos"))
-    first = each.groupBy("u.h1", "u.h2").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("kept")).filter(F.col("times") > 1)
-    again = (
-        each.select("row", F.col("u.pos").alias("pos"), F.col("u.start").alias("start"), F.col("u.end").alias("end"), F.col("u.h1").alias("h1"), F.col("u.h2").alias("h2"))
-        .join(first.select("h1", "h2", F.col("kept.row").alias("kept_row"), F.col("kept.pos").alias("kept_pos")), ["h1", "h2"])
-        .filter((F.col("row") != F.col("kept_row")) | (F.col("pos") != F.col("kept_pos")))
-    )
-    gone = again.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return seen.select(id_col, "row", F.size("units").cast("bigint").alias("n_units")).join(gone, "row", "left").select(
-        id_col, "n_units", F.size(F.coalesce("removed", none)).cast("bigint").alias("n_removed"), F.coalesce("removed", none).alias("removed")
-    )
-
-
-_PASSAGES = "`lines` array<struct<start:bigint,end:bigint>>, `units` array<struct<lo:int,hi:int,h1:bigint,h2:bigint>>"
+def _word(word: str) -> tuple[bool, bool, int, int]:
+    """Whether a word ends a sentence, whether its hash chooses it, and its two hashes."""
+    raw = word.encode()
+    return _end.search(word) is not None, hashlib.md5(raw).digest()[0] % ONE_OF == 0, xxhash.xxh64_intdigest(raw, 1), xxhash.xxh64_intdigest(raw, 2)
 
 
 def _runs(doc: np.ndarray, words: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last line of each unit, in order: the shortest runs of at least ``min_words`` words that begin or end
-    at each line; a text of fewer words is one run."""
+    """First and last part of each unit, in order: the shortest runs of at least ``min_words`` words that begin or end
+    at each part; a text of fewer words is one run."""
     total = np.concatenate([[0], np.cumsum(words)])
     at, low, high = np.arange(len(words)), first[doc], first[doc + 1]
     hi = np.searchsorted(total, total[:-1] + min_words) - 1
@@ -79,69 +55,127 @@ def _runs(doc: np.ndarray, words: np.ndarray, first: np.ndarray, min_words: int)
     return runs[:, 0], runs[:, 1]
 
 
-def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+def _digests(h: np.ndarray, base: np.uint64, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of the ranges of word hashes from ``lo`` to ``hi``, by differences of sums (modulo 2**64)."""
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h), base, np.uint64)]), dtype=np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:-1], dtype=np.uint64)])
+    inverse = np.uint64(pow(int(base), -1, 1 << 64))
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h), inverse, np.uint64)]), dtype=np.uint64)
+    x = (total[hi + 1] - total[lo]) * back[lo] + (hi - lo + 1).astype(np.uint64) * _base[0]
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def passages(column: pa.Array, min_words: int) -> tuple[np.ndarray, ...]:
+    """Units of all texts in order: n + 1 offsets, then start, end (characters of the text), h1 and h2 of each."""
+    buf, offs = text_bytes(column)
+    inside = ~_space[buf]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    fresh = offs[:-1][offs[:-1] < len(buf)]
+    begins[fresh] = inside[fresh]
+    ends[fresh[fresh > 0] - 1] = inside[fresh[fresh > 0] - 1]
+    at, to = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    none = np.zeros(0, np.int64)
+    if not len(at):
+        return np.zeros(len(offs), np.int64), none, none, none, none
+    before = np.concatenate([[0], np.cumsum(inside)])
+    places = np.concatenate([before[at], [int(inside.sum())]]).astype(np.int32)
+    low = buf[inside]
+    low = np.where((low >= 65) & (low <= 90), low + 32, low).astype(np.uint8)
+    which, distinct = codes(pa.StringArray.from_buffers(len(at), pa.py_buffer(places), pa.py_buffer(low)))
+    if len(_known) > 150_000:
+        _known.clear()
+    each = []
+    for w in distinct.to_pylist():
+        got = _known.get(w)
+        if got is None:
+            got = _known[w] = _word(w)
+        each.append(got)
+    full, chosen, h1, h2 = (np.array(x, kind)[which] for x, kind in zip(zip(*each, strict=True), (bool, bool, np.uint64, np.uint64), strict=True))
+    first = np.searchsorted(at, offs)
+    last = first[1:][np.diff(first) > 0] - 1
+    full[last] = True
+    sentence = np.cumsum(full) - full
+    cut = np.flatnonzero(full | (chosen & (np.bincount(sentence)[sentence] > STRETCH)))
+    start = np.concatenate([[0], cut[:-1] + 1])
+    doc = np.searchsorted(offs, at[start], side="right") - 1
+    lo, hi = _runs(doc, cut - start + 1, np.searchsorted(doc, np.arange(len(offs))), min_words)
+    a, b = start[lo], cut[hi]
+    chars = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    base = chars[offs[doc[lo]]]
+    n = np.searchsorted(doc[lo], np.arange(len(offs)))
+    return n, chars[at[a]] - base, chars[to[b]] - base, _digests(h1, _base[0], a, b), _digests(h2, _base[1], a, b)
+
+
+def _units(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            view = Lines(batch.column(2))
-            has = view.words > 0
-            doc, plain = view.doc[has], [normalised(x) for x in view.strings().filter(pa.array(has)).to_pylist()]
-            first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            lo, hi = _runs(doc, view.words[has], first, min_words)
-            texts = [" ".join(plain[a : b + 1]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-            h1, h2 = (np.array([digest(x, seed) for x in texts], np.int64) for seed in (1, 2))
-            start, end = view.chars()
-            base = first[doc[lo]]
-            units = {"lo": (lo - base).astype(np.int32), "hi": (hi - base).astype(np.int32), "h1": h1, "h2": h2}
-            ends = np.searchsorted(doc[lo], np.arange(batch.num_rows + 1)).astype(np.int32)
-            found = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(v) for v in units.values()], list(units)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), view.lists(has, start=start, end=end), found], [id_col, "row", "lines", "units"])
+        for batch in slices(batches, "text", 2 << 20):
+            n, start, end, h1, h2 = passages(batch.column(2), min_words)
+            fields = {"start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32()), "h1": pa.array(h1), "h2": pa.array(h2)}
+            units = pa.ListArray.from_arrays(pa.array(n, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), units], [id_col, "row", "units"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, `row` bigint, {_PASSAGES}")
+    return docs.select(F.col(id_col), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")).mapInArrow(
+        run, f"`{id_col}` {kind}, `row` bigint, units array<struct<start:int,end:int,h1:bigint,h2:bigint>>"
+    )
 
 
-def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the lines of each row, those inside its runs."""
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the places of each row: those that overlap or touch as one, ascending."""
     for batch in batches:
-        lines, runs = batch.column(2), batch.column(3)
-        n = np.concatenate([[0], np.cumsum(lines.value_lengths().to_numpy(zero_copy_only=False))])
-        base = np.repeat(n[:-1], runs.value_lengths().to_numpy(zero_copy_only=False))
-        lo, hi = (runs.flatten().field(k).to_numpy() for k in (0, 1))
-        edge = np.bincount(base + lo, minlength=n[-1] + 1) - np.bincount(base + hi + 1, minlength=n[-1] + 1)
-        gone = np.cumsum(edge)[: n[-1]] > 0
-        ends = np.concatenate([[0], np.cumsum(gone)])[n].astype(np.int32)
-        removed = pa.ListArray.from_arrays(pa.array(ends), lines.flatten().filter(pa.array(gone)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends), pa.int64()), removed], [batch.schema.names[0], "n_units", "n_removed", "removed"])
+        places = batch.column(4)
+        owner = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
+        start, end = (places.flatten().field(k).to_numpy() for k in (0, 1))
+        order = np.lexsort((end, start, owner))
+        owner, start, end = owner[order], start[order].astype(np.int64), end[order].astype(np.int64)
+        reach = np.maximum.accumulate(end + (owner << 32)) - (owner << 32)  # furthest end so far in the row
+        new = np.ones(len(start), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (start[1:] > reach[:-1])
+        at = np.flatnonzero(new)
+        stop = np.concatenate([at[1:], [len(start)]]) - 1 if len(at) else at
+        ends = np.searchsorted(owner[at], np.arange(batch.num_rows + 1)).astype(np.int32)
+        merged = pa.StructArray.from_arrays([pa.array(start[at]), pa.array(reach[stop])], ["start", "end"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.ListArray.from_arrays(pa.array(ends), merged)], [*batch.schema.names[:4], "removed"])
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
-    """As ``repeated_units``, with runs of lines as units: n_units counts runs, n_removed and removed are the lines to
-    take out, which are those of every run but the first equal one.
-
-    Lines are compared as normalised and joined by a space; lines without a word are passed over and stay. A passage
-    that one text wraps otherwise than another is found only where runs begin and end at the same words. A run that overlaps the first equal one in its own text loses only
-    the lines after it. A text of under ``min_words`` words is one unit.
+    """One row for each row of ``docs``: ``id_col``, n_units, n_repeated (units that occur in other rows too, the kept
+    occurrences included), n_removed (units that aren't their first occurrence), removed (the places to take out: structs of start
+    and end in characters of the original text, ascending, without overlaps) and kept_in (sorted ids of the rows where
+    the first occurrences stay; null ids aren't listed).
+
+    Words are parted by ASCII white space and compared with A-Z folded. Rank: by id, nulls last, then by the order of the
+    rows in the table, then by place. So the first of repeated rows keeps its units and the others lose them. A unit that
+    overlaps its first occurrence in its own text loses only what comes after that. Null and empty texts have no units; a
+    very long text has many, and is read in one piece; an empty table gives an empty result; further columns are not read.
     """
-    seen = staged(_passages(docs, id_col, text_col, min_words))
+    seen = staged(_units(docs, id_col, text_col, min_words))
     each = seen.select(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "row", F.explode("units").alias("u")).select("last", "id", "row", "u.*")
-    first = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("last", "id", "row", "lo", "hi")).alias("kept")).filter(F.col("times") > 1)
-    same = F.col("row") == F.col("kept_row")
-    again = (
-        each.select("row", "lo", "hi", "h1", "h2")
-        .join(first.select("h1", "h2", F.col("kept.row").alias("kept_row"), F.col("kept.hi").alias("kept_hi")), ["h1", "h2"])
-        .select("row", F.when(same, F.greatest("lo", F.col("kept_hi") + 1)).otherwise(F.col("lo")).alias("lo"), "hi")
-        .filter(F.col("lo") <= F.col("hi"))
+    place = F.struct("last", "id", "row", "start", "end")
+    first = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("kept"), (F.min("row") != F.max("row")).alias("shared")).filter(F.col("times") > 1)
+    first = staged(first.select("h1", "h2", "shared", F.col("kept.row").alias("kept_row"), F.col("kept.start").alias("kept_start"), F.col("kept.end").alias("kept_end"), F.col("kept.id").alias("kept_id")))
+    own = F.col("row") == F.col("kept_row")
+    met = each.select("row", "start", "end", "h1", "h2").join(first, ["h1", "h2"])
+    again = ~own | (F.col("start") != F.col("kept_start"))
+    left = F.struct(F.when(own, F.greatest("start", F.col("kept_end"))).otherwise(F.col("start")).alias("start"), F.col("end"))
+    found = met.groupBy("row").agg(
+        F.count_if("shared").alias("n_repeated"), F.count_if(again).alias("n_removed"), F.sort_array(F.collect_set(F.when(~own, F.col("kept_id")))).alias("kept_in"),
+        F.collect_list(F.when(again & (left["start"] < left["end"]), left)).alias("places"),
+    )
+    kind = dict(docs.dtypes)[id_col]
+    gone = found.mapInArrow(_merged, f"`row` bigint, n_repeated bigint, n_removed bigint, kept_in array<{kind}>, removed array<struct<start:bigint,end:bigint>>")
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    return seen.select(F.col(id_col), "row", F.size("units").cast("bigint").alias("n_units")).join(gone, "row", "left").select(
+        F.col(id_col), "n_units", F.coalesce("n_repeated", F.lit(0)).cast("bigint").alias("n_repeated"), F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"),
+        F.coalesce("removed", none).alias("removed"), F.coalesce("kept_in", F.array().cast(f"array<{kind}>")).alias("kept_in"),
     )
-    runs = again.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    none = F.array().cast("array<struct<lo:int,hi:int>>")
-    return seen.select(id_col, "row", F.size("units").cast("bigint").alias("n_units"), "lines").join(runs, "row", "left").select(
-        id_col, "n_units", "lines", F.coalesce("runs", none).alias("runs")
-    ).mapInArrow(_covered, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_units bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>")
 
 
 def without(text, removed):
-    """Column: ``text`` without the places in ``removed``; each goes with the line break after it, or before it at the end."""
-    lines = F.split(text, "\n", -1)
-    ends = F.aggregate(lines, F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-1).cast("bigint")) + 1 + F.length(x)).cast("bigint"))))
-    gone = F.transform(removed, lambda r: r["end"])
-    return F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, F.get(ends, i))), "\n")
+    """Column: ``text`` without the places in ``removed``."""
+    start = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(removed, lambda r: r["end"]))
+    end = F.concat(F.transform(removed, lambda r: r["start"]), F.array(F.length(text).cast("bigint")))
+    return F.array_join(F.transform(F.arrays_zip(start.alias("a"), end.alias("b")), lambda p: text.substr((p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int"))), "")

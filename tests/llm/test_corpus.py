@@ -197,66 +197,74 @@ def test_quality_odd_rows(spark, docs, empty):
 
 
 def test_unit_dedup(docs, empty):
-    out = unit_dedup.repeated_units(docs)
     rows = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])  # rows with equal ids rank by place, which SQL can't see
-    places = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
-    compare(unit_dedup.repeated_units(rows).select("doc_id", "n_units", "n_removed", places.alias("removed_spans")), duck(rows), queries.SQL["op6_unit_dedup"])
-    assert out.count() == docs.count() and unit_dedup.repeated_units(empty).count() == 0
-    cleaned = rows.join(unit_dedup.repeated_units(rows).drop("n_units"), "doc_id").select("doc_id", "text", "removed", unit_dedup.without(F.col("text"), F.col("removed")).alias("clean"))
+    compare(queries.passage_digests(unit_dedup.repeated_passages(rows)), duck(rows), queries.SQL["op6_unit_dedup"])
+    assert unit_dedup.repeated_passages(docs).count() == docs.count() and unit_dedup.repeated_passages(empty).count() == 0
+    cleaned = rows.join(unit_dedup.repeated_passages(rows), "doc_id").select("doc_id", "text", "removed", unit_dedup.without(F.col("text"), F.col("removed")).alias("clean"))
     for r in cleaned.collect():
         if r["text"] is not None:
-            spans = [(s["start"], s["end"]) for s in r["removed"]]
-            kept, at = [], 0
-            for line in r["text"].split("\n"):
-                if (at, at + len(line)) not in spans:
-                    kept.append(line)
-                at += len(line) + 1
-            assert r["clean"] == "\n".join(kept)
+            gone = {k for s in r["removed"] for k in range(s["start"], s["end"])}
+            assert r["clean"] == "".join(c for k, c in enumerate(r["text"]) if k not in gone)
 
 
 def brute_passages(rows, min_words=20):
-    """(id, text) in order -> {place: (n_units, removed spans)}."""
-    units, lines = [], []
+    """(id, text) in order -> (n_units, n_repeated, n_removed, removed spans, kept ids) of each."""
+    units, counts = [], []
     for k, (_, text) in enumerate(rows):
-        at, here = 0, []
-        for line in (text or "").split("\n"):
-            w = re.findall(r"[^ \t\n\x0b\x0c\r]+", line.translate({a: a + 32 for a in range(65, 91)}))
-            if w:
-                here.append((at, at + len(line), w))
-            at += len(line) + 1
-        n = lambda a, b: sum(len(x[2]) for x in here[a : b + 1])  # noqa: B023, E731
-        runs = {(a, b) for a in range(len(here)) for b in range(a, min(a + min_words, len(here))) if n(a, b) >= min_words and (n(a, b - 1) < min_words or n(a + 1, b) < min_words)}
-        if here and n(0, len(here)) < min_words:
-            runs = {(0, len(here) - 1)}
-        units += [(tuple(x for y in here[a : b + 1] for x in y[2]), k, a, b) for a, b in runs]
-        lines.append((len(runs), here))
-    gone, first = defaultdict(set), {}
+        found = [(m.group().translate({a: a + 32 for a in range(65, 91)}), *m.span()) for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", text or "")]
+        full = [re.search(unit_dedup.SENTENCE_END, w) is not None or n + 1 == len(found) for n, (w, _, _) in enumerate(found)]
+        edges = [n + 1 for n, x in enumerate(full) if x]
+        cuts = []
+        for a, b in zip([0, *edges], edges):
+            cuts += [n + 1 for n in range(a, b - 1) if b - a > unit_dedup.STRETCH and hashlib.md5(found[n][0].encode()).digest()[0] % unit_dedup.ONE_OF == 0] + [b]
+        starts = [0, *cuts[:-1]]
+        runs = {(a, min(b for b in cuts if b - a >= min_words)) for a in starts if len(found) - a >= min_words}
+        runs |= {(max(a for a in starts if b - a >= min_words), b) for b in cuts if b >= min_words}
+        if found and len(found) < min_words:
+            runs = {(0, len(found))}
+        units += [(tuple(w for w, _, _ in found[a:b]), k, found[a][1], found[b - 1][2]) for a, b in runs]
+        counts.append(len(runs))
+    holders = defaultdict(set)
+    for words, k, _, _ in units:
+        holders[words].add(k)
+    out = [[n, 0, 0, set(), set()] for n in counts]
+    first: dict = {}
     for words, k, a, b in sorted(units, key=lambda u: (rows[u[1]][0] is None, rows[u[1]][0] or 0, *u[1:])):
-        if words in first:
-            kept, last = first[words]
-            gone[k] |= set(range(max(a, last + 1) if kept == k else a, b + 1))
-        else:
+        out[k][1] += len(holders[words]) > 1
+        if words not in first:
             first[words] = (k, b)
-    return [(n, [here[x][:2] for x in sorted(gone[k])]) for k, (n, here) in enumerate(lines)]
+            continue
+        kept, last = first[words]
+        out[k][2] += 1
+        out[k][3] |= set(range(max(a, last) if kept == k else a, b))
+        if kept != k:
+            out[k][4].add(rows[kept][0])
+    for x in out:
+        gone = sorted(x[3])
+        x[3] = [(a, b + 1) for a, b in zip([c for c in gone if c - 1 not in x[3]], [c for c in gone if c + 1 not in x[3]])]
+        x[4] = sorted(i for i in x[4] if i is not None)
+    return out
 
 
 def test_repeated_passages(spark, docs, empty):
     rng = random.Random(5)
     verse = [sentences(rng, rng.randrange(3, 9)) for _ in range(12)]
-    head, long = "A heading", sentences(rng, 30)
-    texts = ["\n".join(["own opening line", *verse, sentences(rng, 25)]), "\n".join([sentences(rng, 7), "", *verse[:6], "", *verse[6:], "the end"]), f"{head}\n{long}\nafter", f"{head}\n{long}", "few words", "Few  words", "\n".join(["again and again"] * 30), "\n".join(long.split()), None, "é\n" + "\n".join(verse)]
-    rows = [(k, t) for k, t in enumerate(texts)]
+    long, plain = f"{sentences(rng, 14)}. {sentences(rng, 25)}! {sentences(rng, 21)}.", sentences(rng, 60)
+    texts = ["\n".join(["own opening line", *verse, sentences(rng, 25)]), "\n".join([sentences(rng, 7), "", *verse[:6], "", *verse[6:], "the end"]), f"A heading\n{long}\nafter", f"é {sentences(rng, 5)}. {long.upper()} {sentences(rng, 9)}", "few words", "Few  words"]
+    texts += ["\n".join(["again and again"] * 30), "\n".join(long.split()), None, "é\n" + "\n".join(verse), f"{sentences(rng, 33)} {plain} {sentences(rng, 8)}", f"{sentences(rng, 11)} {plain} {sentences(rng, 4)}", "", sentences(rng, 20_000)]
+    rows = list(enumerate(texts))
     out = {r["doc_id"]: r for r in unit_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     want = brute_passages(rows)
     for k, _ in rows:
-        assert (out[k]["n_units"], [tuple(x) for x in out[k]["removed"]]) == want[k]
-    cut = lambda k: {texts[k][s["start"] : s["end"]] for s in out[k]["removed"]}
-    assert cut(0) == set() and cut(1) == set(verse) == cut(9) and cut(3) == {head, long} and cut(5) == {"Few  words"} and out[6]["n_removed"] == 23
-    assert all(r["n_removed"] == 0 for r in unit_dedup.repeated_units(spark.createDataFrame(rows, "doc_id long, text string").filter("doc_id IN (0, 1, 9)")).collect())  # lines alone don't see it
+        assert [out[k]["n_units"], out[k]["n_repeated"], out[k]["n_removed"], [tuple(x) for x in out[k]["removed"]], list(out[k]["kept_in"])] == want[k]
+    cut = lambda k: [texts[k][s["start"] : s["end"]] for s in out[k]["removed"]]
+    assert cut(2) == [] and out[2]["n_repeated"] > 0 and len(cut(3)[0].split()) >= 46 and len(" ".join(cut(7)).split()) >= 46 and cut(5) == ["Few  words"]
+    assert len(cut(11)[0].split()) > 40 and set(out[11]["kept_in"]) == {10}  # inside a line without a sentence end
     rows = [(r["doc_id"], r["text"]) for r in docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect()]
     out = unit_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r["doc_id"], r["n_units"], [tuple(x) for x in r["removed"]]) for r in out) == sorted((i, *x) for (i, _), x in zip(rows, brute_passages(rows), strict=True))
-    assert unit_dedup.repeated_passages(docs).count() == docs.count() and unit_dedup.repeated_passages(empty).count() == 0
+    assert sorted([r["doc_id"], r["n_units"], r["n_repeated"], r["n_removed"], [tuple(x) for x in r["removed"]], list(r["kept_in"])] for r in out) == sorted([i, *x] for (i, _), x in zip(rows, brute_passages(rows), strict=True))
+    clash = docs.withColumn("units", F.lit(1)).withColumn("last", F.lit("x"))
+    assert unit_dedup.repeated_passages(clash).count() == docs.count()
 
 
 def test_decontaminate(spark, docs, empty):
