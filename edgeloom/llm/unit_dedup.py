@@ -2,13 +2,13 @@
 
 A text is a row of words, whatever its line breaks. It is cut after every sentence end and, in a stretch of over
 ``STRETCH`` words without one, after words that their own hash chooses, so that equal words are cut alike wherever they
-stand. Units are runs of such cuts: from every cut on, and from every cut back, the shortest of at least ``min_words``
-words; a text of fewer words is one unit. Every word of a text is in some unit, and a passage is found inside longer
-lines, over lines wrapped otherwise, and between other words before and after it.
+stand. Units are runs of such cuts: from every cut on, and from the text's end back, the shortest of at least
+``min_words`` words; a text of fewer words is one unit. Every word of a text is in some unit, and a passage is found inside
+longer lines, over lines wrapped otherwise, and between other words before and after it.
 
-Digests of 128 bits are grouped over the whole corpus with a partial aggregate (count, earliest place), so a unit of a
-third of all documents is one row a task before the shuffle; only digests that occur twice or more are joined back to
-their places.
+Half of each digest is counted over the whole corpus with a partial aggregate, so a unit of a third of all documents is
+one row a task before the shuffle. Only units whose half occurs twice or more go on; of these, whole digests of 128 bits
+are grouped (count, earliest place) and joined back to their places.
 """
 
 from __future__ import annotations
@@ -42,17 +42,17 @@ def _word(word: str) -> tuple[bool, bool, int, int]:
 
 
 def _runs(doc: np.ndarray, words: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last part of each unit, in order: the shortest runs of at least ``min_words`` words that begin or end
-    at each part; a text of fewer words is one run."""
+    """First and last part of each unit, in order: the shortest runs of at least ``min_words`` words that begin at each
+    part or end with the text; a text of fewer words is one run."""
     total = np.concatenate([[0], np.cumsum(words)])
     at, low, high = np.arange(len(words)), first[doc], first[doc + 1]
     hi = np.searchsorted(total, total[:-1] + min_words) - 1
-    lo = np.searchsorted(total, total[1:] - min_words, side="right") - 1
-    short = (total[high] - total[low] < min_words) & (at == low)
-    ahead, back = hi < high, lo >= low
-    runs = np.concatenate([np.stack(x, 1) for x in ((at[ahead], hi[ahead]), (lo[back], at[back]), (at[short], high[short] - 1))])
-    runs = np.unique(runs, axis=0)
-    return runs[:, 0], runs[:, 1]
+    ahead = np.flatnonzero(hi < high)
+    ends = high[low == at]  # after the last part of each text that has words
+    back = np.maximum(np.searchsorted(total, total[ends] - min_words, side="right") - 1, low[ends - 1])
+    runs = np.concatenate([at[ahead] << 32 | hi[ahead], back << 32 | (ends - 1)])
+    runs = np.unique(runs)
+    return runs >> 32, runs & 0xFFFFFFFF
 
 
 def _digests(h: np.ndarray, base: np.uint64, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -153,12 +153,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     very long text has many, and is read in one piece; an empty table gives an empty result; further columns are not read.
     """
     seen = staged(_units(docs, id_col, text_col, min_words))
-    each = seen.select(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "row", F.explode("units").alias("u")).select("last", "id", "row", "u.*")
-    place = F.struct("last", "id", "row", "start", "end")
-    first = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("kept"), (F.min("row") != F.max("row")).alias("shared")).filter(F.col("times") > 1)
-    first = staged(first.select("h1", "h2", "shared", F.col("kept.row").alias("kept_row"), F.col("kept.start").alias("kept_start"), F.col("kept.end").alias("kept_end"), F.col("kept.id").alias("kept_id")))
+    each = seen.select(F.col(id_col).alias("id"), "row", F.explode("units").alias("u")).select("id", "row", "u.*")
+    often = each.groupBy("h1").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > 1).select("h1")
+    met = staged(each.join(often, "h1", "left_semi"))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "row", "start", "end")
+    first = met.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("kept"), (F.min("row") != F.max("row")).alias("shared")).filter(F.col("times") > 1)
+    first = first.select("h1", "h2", "shared", F.col("kept.row").alias("kept_row"), F.col("kept.start").alias("kept_start"), F.col("kept.end").alias("kept_end"), F.col("kept.id").alias("kept_id"))
     own = F.col("row") == F.col("kept_row")
-    met = each.select("row", "start", "end", "h1", "h2").join(first, ["h1", "h2"])
+    met = met.drop("id").join(first, ["h1", "h2"])
     again = ~own | (F.col("start") != F.col("kept_start"))
     left = F.struct(F.when(own, F.greatest("start", F.col("kept_end"))).otherwise(F.col("start")).alias("start"), F.col("end"))
     found = met.groupBy("row").agg(
