@@ -1,15 +1,15 @@
 """Benchmark decontamination as a prefix-filtered set join, with DataFrame functions only.
 
 A window is ``window`` consecutive words of a benchmark item (an item with fewer words is one window). Its shingles
-are runs of ``shingle`` words (of all its words, if fewer). Documents are read once: their shingles meet the
-benchmark's, and what matches is written to a small table. Shingles are ordered by how often documents hold them;
-since a window is contained only as a whole, the prefix that must be joined is its one rarest shingle. The place of
-that shingle and the lengths of window and document bound where the window can stand; it is contained if its first
-and last shingles, which cover all its words, stand at their places.
-
-The benchmark's side is broadcast only if its number of distinct shingles is under ``broadcast_rows``; above that
-the same join shuffles both sides. Shingles are compared by 64-bit hashes; a false hit needs two of them to collide
-at matching places.
+are runs of ``shingle`` words (of all its words, if fewer). A first pass counts how often all documents hold each word
+of the benchmark; shingles are ordered by the count of their rarest word. Since a window is contained only as a whole,
+the prefix that must be joined is its one rarest shingle, so documents' shingles meet these prefixes and no others. The
+place of the shingle in its window and the lengths of window and document bound where the window can stand, and there
+its words are compared, one by one, with the document's.
+
+The prefixes, with their windows, are broadcast while their counted bytes are within ``broadcast_bytes``: documents are then read and verified
+in one pass without a shuffle. Beyond that, places of shingles are joined by a shuffle, and candidates meet the words of
+their documents, which are written once, by row.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_side, staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters between words, after A-Z are lower-cased (fixed value).
@@ -33,9 +33,9 @@ def words_of(text):
     return F.array_remove(F.split(folded, BETWEEN, -1), "")
 
 
-def _shingles(words, n, size: int):
-    at = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(F.lit(size).alias("size"), i.alias("pos"), F.xxhash64(F.lit(size), *[F.get(words, i + k) for k in range(size)]).alias("h")))
+def _hash(words, pos, size, most: int):
+    """Of the run of ``size`` words from ``pos`` on, ``most`` at most."""
+    return F.xxhash64(size, *[F.when(size > k, F.get(words, pos + k)) for k in range(most)])
 
 
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -47,83 +47,81 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str, window: int)
     return each.groupBy("w").agg(F.collect_set("item").alias("items")).withColumn("len", F.size("w"))
 
 
+def _prefixes(bench: DataFrame, counts: DataFrame, shingle: int) -> DataFrame:
+    """The rarest shingle of each window: win, w, len, off (its place) and h."""
+    n = F.least("len", F.lit(shingle))
+    places = bench.select("win", "w", "len", n.alias("size"), F.explode(F.sequence(F.lit(0), F.col("len") - n)).alias("off"))
+    each = places.select("win", "size", "off", F.explode(F.slice("w", F.col("off") + 1, F.col("size"))).alias("word")).join(small_side(counts, 64), "word", "left")
+    rare = each.groupBy("win", "size", "off").agg(F.min(F.coalesce("often", F.lit(0))).alias("often"))
+    best = rare.groupBy("win").agg(F.min(F.struct("often", "off")).alias("p")).select("win", F.col("p.off").alias("off"))
+    return bench.join(best, "win").select("win", "w", "len", "off", _hash(F.col("w"), F.col("off"), n, shingle).alias("h"))
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    window: int = 10, shingle: int = 5, broadcast_rows: int = 500_000,
+    window: int = 10, shingle: int = 5, broadcast_bytes: int = 32 << 20,
 ) -> DataFrame:
     """One row a document: ``id_col``, n_words, n_hit (words inside occurring windows), items (sorted ids of items
     with occurring windows) and n_items.
 
-    Null and empty texts have no words. Rows are told apart by their place in the table, so null or repeated ids and
-    repeated rows have their own results. An item with a null id counts as a hit but isn't listed. With an empty
-    benchmark nothing is hit; an empty table gives an empty result; further columns are not read.
+    Null and empty texts have no words; a very long text is one row like others. Rows are told apart by their place in the
+    table, so null or repeated ids and repeated rows have their own results. An item with a null id counts as a hit but isn't
+    listed. With an empty benchmark nothing is hit; an empty table gives an empty result; further columns are not read,
+    whatever their names.
     """
     bench = staged(benchmark_windows(items, item_col, item_text_col, window).withColumn("win", F.monotonically_increasing_id()))
     sizes = sorted(r[0] for r in bench.select(F.least("len", F.lit(shingle)).alias("size")).distinct().collect())  # at most ``shingle`` numbers
-    n = F.size("w")
-    parts = [bench.select("win", "len", F.explode(_shingles(F.col("w"), n, s)).alias("s")).filter(F.least("len", F.lit(shingle)) == s) for s in sizes]
-    whole = bench.sparkSession.range(1).select(F.lit(0).alias("size"), F.lit(0).cast("bigint").alias("h"))  # marks one row for each document
-    known = whole
-    shingles = None
-    for p in parts:
-        p = p.select("win", "len", "s.*")
-        shingles = p if shingles is None else shingles.unionByName(p)
-    if shingles is not None:
-        known = staged(whole.unionByName(shingles.select("size", "h").distinct()))
-    side = F.broadcast(known) if shingles is None or known.count() <= broadcast_rows else known
-
-    words = docs.select(F.col(id_col), F.monotonically_increasing_id().alias("row"), words_of(F.col(text_col)).alias("words"))
-    counted = words.select(id_col, "row", "words", F.size("words").alias("n"))
-    mark = F.array(F.struct(F.lit(0).alias("size"), F.lit(0).alias("pos"), F.lit(0).cast("bigint").alias("h")))
-    spread = counted.select(id_col, "row", "n", F.explode(F.concat(mark, *[_shingles(F.col("words"), F.col("n"), s) for s in sizes])).alias("s"))
-    met = staged(spread.select(id_col, "row", "n", "s.*").join(side, ["size", "h"]))
-    base = met.filter(F.col("size") == 0).select(F.col(id_col), "row", F.col("n").cast("bigint").alias("n_words"))
+    base = docs.select(F.struct(F.col(id_col).alias("id")).alias("who"), F.monotonically_increasing_id().alias("row"), words_of(F.col(text_col)).alias("words"))
+    base = base.withColumn("n", F.size("words"))
     empty = F.array().cast("array<string>")
-    if shingles is None:
-        return base.select(id_col, "n_words", F.lit(0).cast("bigint").alias("n_hit"), empty.alias("items"), F.lit(0).cast("bigint").alias("n_items"))
-
-    found = met.filter(F.col("size") > 0).select("row", "n", "size", "h", "pos")
-    rarity = found.groupBy("size", "h").agg(F.count(F.lit(1)).alias("often"))
-    ends = shingles.groupBy("win", "len", "size").agg(
-        F.min(F.when(F.col("pos") == 0, F.col("h"))).alias("head"), F.min(F.when(F.col("pos") == F.col("len") - F.col("size"), F.col("h"))).alias("tail")
-    )
-    # a shingle that no document holds rules its window out, so an inner join is enough to find the prefix
-    rare = shingles.join(rarity, ["size", "h"]).groupBy("win").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("often", F.col("pos").alias("off"), "h")).alias("p"))
-    prefix = staged(
-        ends.join(rare, "win").filter(F.col("held") == F.col("len") - F.col("size") + 1)
-        .select("win", "len", "size", "head", "tail", F.col("p.off").alias("off"), F.col("p.h").alias("h"))
-    )
-    candidate = found.join(prefix, ["size", "h"]).withColumn("start", F.col("pos") - F.col("off"))
-    candidate = candidate.filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n")))
-    need = candidate.select(
-        "row", "win", "start", "len",
-        F.explode(F.array_distinct(F.array(
-            F.struct(F.col("start").alias("pos"), F.col("size"), F.col("head").alias("h")),
-            F.struct((F.col("start") + F.col("len") - F.col("size")).alias("pos"), F.col("size"), F.col("tail").alias("h")),
-        ))).alias("e"),
-        F.when(F.col("len") == F.col("size"), 1).otherwise(2).alias("needed"),
-    ).select("row", "win", "start", "len", "needed", "e.*")
-    there = need.join(found.select("row", "size", "h", "pos"), ["row", "size", "h", "pos"])
-    hit = there.groupBy("row", "win", "start", "len", "needed").agg(F.count(F.lit(1)).alias("got")).filter(F.col("got") == F.col("needed"))
-    hit = staged(hit.select("row", "win", "start", "len"))
-
+    if not sizes:
+        return base.select(F.col("who.id").alias(id_col), F.col("n").cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_hit"), empty.alias("items"), F.lit(0).cast("bigint").alias("n_items"))
+
+    vocabulary = staged(bench.select(F.explode("w").alias("word")).distinct())
+    spoken = docs.select(F.explode(words_of(F.col(text_col))).alias("word")).join(small_side(vocabulary, 64), "word", "left_semi")
+    counts = staged(spoken.groupBy("word").agg(F.count(F.lit(1)).alias("often")))
+    mark = F.struct(F.lit(-1).cast("bigint").alias("win"), empty.alias("w"), F.lit(0).alias("len"), F.lit(0).alias("off"), F.xxhash64(F.lit(0)).alias("h"))
+    known = bench.sparkSession.range(1).select(mark.alias("m")).select("m.*")  # meets the shingle of no words that stands for each document
+    known = staged(known.unionByName(_prefixes(bench, counts, shingle)))
+    weight = known.agg(F.sum(F.lit(64) + F.aggregate("w", F.lit(0), lambda s, x: s + 16 + F.octet_length(x)))).first()[0]
+    whole = weight <= broadcast_bytes
+    if not whole:
+        base = staged(base)
+    each = base.select("who", "row", "words", "n", F.explode(F.array(*[F.lit(s) for s in [0, *sizes]])).alias("size")).filter(F.col("size") <= F.col("n"))
+    last = F.when(F.col("size") == 0, 0).otherwise(F.col("n") - F.col("size"))
+    each = each.select("who", "row", "words", "n", "size", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
+    each = each.withColumn("h", _hash(F.col("words"), F.col("pos"), F.col("size"), shingle))
+    if not whole:
+        each = each.drop("words")
+    start = F.col("pos") - F.col("off")
+    met = each.join(F.broadcast(known) if whole else known, "h").filter((F.col("size") == 0) == (F.col("win") < 0)).withColumn("start", start)
+    met = met.filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n")))
+    if not whole:
+        met = met.filter("win < 0").unionByName(met.filter("win >= 0").join(base.select("row", "words"), "row"), allowMissingColumns=True)
+    same = (F.col("win") < 0) | (F.slice("words", F.col("start") + 1, F.col("len")) == F.col("w"))
+    met = staged(met.filter(same).select("who", "row", "n", "win", "start", "len"))
+
+    hit = met.filter("win >= 0").select("row", "win", "start", "len")
     span = hit.select("row", "start", (F.col("start") + F.col("len")).alias("end")).distinct()
     before = F.max("end").over(W.partitionBy("row").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
     covered = span.withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(before, F.col("start")))))
     covered = covered.groupBy("row").agg(F.sum("new").cast("bigint").alias("n_hit"))
     named = hit.select("row", "win").distinct().join(bench.select("win", F.explode("items").alias("item")), "win")
     listed = named.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    out = base.join(covered.join(listed, "row", "left"), "row", "left")
+    out = met.filter("win < 0").select("who", "row", "n").join(covered.join(listed, "row", "left"), "row", "left")
     return out.select(
-        id_col, "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
+        F.col("who.id").alias(id_col), F.col("n").cast("bigint").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce("items", empty).alias("items"), F.size(F.coalesce("items", empty)).cast("bigint").alias("n_items"),
     )
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, whose texts hold no window of an item. Rows with the same id and text go or
-    stay together; a null id is an id like others."""
-    key = F.xxhash64(F.lit(1), text_col)
-    keyed = docs.select(F.struct(F.col(id_col).alias("id"), key.alias("key")).alias("_who"), F.col(text_col).alias("_text"))
-    hit = contamination(keyed, items, "_who", "_text", **options).filter("n_hit > 0").select(F.col("_who.id").alias("_id"), F.col("_who.key").alias("_key")).distinct()
-    return docs.withColumn("_k", key).join(hit, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left_anti").drop("_k")
+    stay together; a null id is an id like others, and a null or empty text stays. Columns may have any names."""
+    who = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.lit(1), F.col(text_col)).alias("k1"), F.xxhash64(F.lit(2), F.col(text_col)).alias("k2"))
+    keyed = docs.select(who.alias("who"), F.col(text_col).alias("text"))
+    hit = contamination(keyed, items, "who", "text", **options).filter("n_hit > 0").select(F.col("who").alias("bad")).distinct()
+    hit = small_side(staged(hit), 96)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), who.alias("who"))
+    same = [F.col(f"who.{k}").eqNullSafe(F.col(f"bad.{k}")) for k in ("id", "k1", "k2")]
+    return row.join(hit, same[0] & same[1] & same[2], "left_anti").select("row.*")
