@@ -1,13 +1,13 @@
 """Quality rules with cross-document line frequency.
 
-Lines are normalised and hashed together with their host. For each, the distinct texts of the host that hold it
-are counted (exact copies count once: a copied text is the business of deduplication). Lines held by more texts
-than the limits allow are boilerplate of the host and are taken out; a document that loses more than half of its
-words is depleted and rejected. Two limits must both be passed: a number of texts, and a share of the host's texts.
-The second grows with the host; with ``min_share`` 0 the number alone decides, on hosts of any size.
-
-Counts are partial aggregates keyed by line and text, so a hot host or a hot line is spread over all tasks before
-the final sum; joins back are plain equi-joins, which adaptive execution splits where a line is hot.
+Lines are normalised and hashed. For each line and host the distinct documents (rows) that hold it are counted. Lines
+of more documents of a host than the limit are boilerplate there and are taken out; a document that loses more than
+half of its words is depleted and rejected. Copies of a document count like others, so a text with more copies on one
+host than the limit is depleted.
+
+Counts are partial aggregates keyed by host and line, so a hot host or a hot line is one row a task before the shuffle.
+The few lines above the limit come back to the rows by broadcast while their counted number is within a bound, and by
+a plain equi-join, which adaptive execution splits where a line is hot, beyond it.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import codes, slices, staged, sums
+from .common import codes, slices, small_side, staged, sums
 from .lines import Lines
 
 #: Characters counted as symbols (fixed values).
@@ -53,58 +53,55 @@ def _repeated_words(view: Lines) -> np.ndarray:
 
 
 def measure(docs: DataFrame, host_col: str, id_col: str, text_col: str) -> DataFrame:
-    """One row a document: host, text and row keys, base counts, and its distinct lines with their words."""
+    """One row a document: its place, the host's hash, base counts, and its distinct lines with their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             view = Lines(batch.column(3))
             n = batch.num_rows
-            (line,) = view.hashes(0)
+            h1, h2 = view.hashes(0, 1)
             raw, distinct = codes(view.strings())
             has = np.flatnonzero(view.words > 0)
             once = np.unique(view.doc[has] * np.int64(max(len(distinct), 1)) + raw[has])
             dup = np.bincount(view.doc[has], minlength=n) - np.bincount(once // max(len(distinct), 1), minlength=n)
-            host = batch.column(1).to_numpy(zero_copy_only=False)
-            h = (line * np.int64(-7046029254386353131)) ^ host[view.doc]  # odd factor: a bijection of line hashes within a host
-            order = has[np.lexsort((h[has], view.doc[has]))]
+            order = has[np.lexsort((h2[has], h1[has], view.doc[has]))]
             fresh = np.ones(len(order), bool)
-            fresh[1:] = (view.doc[order][1:] != view.doc[order][:-1]) | (h[order][1:] != h[order][:-1])
+            fresh[1:] = (view.doc[order][1:] != view.doc[order][:-1]) | (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
             first = np.flatnonzero(fresh)
             words = np.add.reduceat(view.words[order], first) if len(first) else np.zeros(0, np.int64)
             ends = np.searchsorted(view.doc[order][first], np.arange(n + 1))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(h[order][first]), pa.array(words, pa.int64())], ["h", "words"]))
+            fields = {"h1": pa.array(h1[order][first]), "h2": pa.array(h2[order][first]), "words": pa.array(words, pa.int64())}
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
             inner = view.inside & ((view.buf & 0xC0) != 0x80)
             counts = (view.per_text(view.words), sums(inner, view.offs), sums(_symbol[view.buf], view.offs), dup, _repeated_words(view))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(x, pa.int64()) for x in counts), lists], names)
 
-    names = [id_col, "host", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
+    names = [id_col, "row", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, F.xxhash64(host_col).alias("host"), F.xxhash64(F.lit(1), host_col, text_col).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"`{id_col}` {kind}, host bigint, text_key bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<struct<h:bigint,words:bigint>>"
+    host = F.xxhash64(F.col(host_col).isNull(), F.col(host_col))  # a null has a hash of its own
+    return docs.select(F.col(id_col), F.monotonically_increasing_id().alias("row"), host.alias("host"), F.col(text_col).alias("text")).mapInArrow(
+        run, f"`{id_col}` {kind}, `row` bigint, host bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<struct<h1:bigint,h2:bigint,words:bigint>>"
     )
 
 
 def quality_rules(
     docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text",
-    min_texts: int = 20, min_share: float = 0.02, max_removed: float = 0.5, min_words: int = 50, max_repeat: float = 0.5,
+    max_documents: int = 20, max_removed: float = 0.5, min_words: int = 50, max_repeat: float = 0.5,
 ) -> DataFrame:
     """``id_col``, counts, n_removed_words, base_failed and kept of every row.
 
-    A null or empty text has no words and fails the base rules. Null hosts are one host. Null and repeated ids
-    and repeated rows keep a row each, with the verdict of their text within their host. Empty tables give an
-    empty result; further columns are not read. Hashes have 64 bits.
+    A null or empty text has no words and fails the base rules. Null hosts are one host. Null and repeated ids and
+    repeated rows keep a row each and count as documents each. A very long text is read as one. Empty tables give an empty
+    result; further columns are not read, whatever their names. Lines have hashes of 128 bits, hosts of 64.
     """
     seen = staged(measure(docs, host_col, id_col, text_col))
-    held = seen.select("host", "text_key", F.explode("lines").alias("line")).groupBy("text_key", "line.h").agg(F.max("host").alias("host"), F.max("line.words").alias("words"))
-    often = held.groupBy("h").agg(F.max("host").alias("host"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > min_texts)
-    if min_share > 0:
-        size = seen.groupBy("host").agg(F.count_distinct("text_key").alias("size"))
-        often = often.join(size, "host").filter(F.col("texts") > F.col("size") * min_share)
-    bad = often.select("h")
-    lost = held.join(bad, "h").groupBy("text_key").agg(F.sum("words").alias("lost"))
-    out = seen.drop("lines", "host").join(lost, "text_key", "left").withColumn("n_removed_words", F.coalesce("lost", F.lit(0)).cast("bigint"))
+    held = seen.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.*")
+    often = held.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") > max_documents)
+    bad = staged(often.select("host", "h1", "h2"))
+    lost = held.join(small_side(bad, 64), ["host", "h1", "h2"]).groupBy("row").agg(F.sum("words").alias("lost"))
+    out = seen.drop("lines", "host").join(lost, "row", "left").withColumn("n_removed_words", F.coalesce("lost", F.lit(0)).cast("bigint"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     return out.select(
-        id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", failed.alias("base_failed"),
+        F.col(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", failed.alias("base_failed"),
         (~failed & (F.col("n_removed_words") <= max_removed * F.col("n_words"))).alias("kept"),
     )
