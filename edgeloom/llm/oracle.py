@@ -35,18 +35,13 @@ base AS (
   SELECT d.rid, d.doc_id, d.source, d.text, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
     length(regexp_replace(coalesce(d.text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
   FROM d JOIN w0 USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid)),
-size AS (SELECT source, count(DISTINCT coalesce(text, '')) AS n FROM d GROUP BY source),
-often AS (SELECT source, norm, count(DISTINCT text) AS n FROM l WHERE words > 0 GROUP BY source, norm),
-bad AS (SELECT o.source, o.norm FROM often o JOIN size s ON o.source IS NOT DISTINCT FROM s.source WHERE o.n > 20 AND o.n > s.n * 0.02::DOUBLE),
+bad AS (SELECT source, norm FROM l WHERE words > 0 GROUP BY source, norm HAVING count(DISTINCT rid) > 20),
 lost AS (SELECT l.rid, sum(words) AS n FROM l JOIN bad ON l.source IS NOT DISTINCT FROM bad.source AND l.norm = bad.norm WHERE words > 0 GROUP BY l.rid),
 f AS (SELECT *, coalesce(lost.n, 0) AS gone, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed FROM base LEFT JOIN lost USING (rid))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, gone::BIGINT AS n_removed_words, failed AS base_failed, NOT failed AND gone <= 0.5 * n_words AS kept FROM f
 """
 
-#: The count of texts alone, whatever the host's size.
-OP1_COUNT = OP1.replace(" AND o.n > s.n * 0.02::DOUBLE", "")
-
 OP5 = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())}) AS v(name, text)),
@@ -80,7 +75,7 @@ q AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY rid ORDER BY p ROWS BE
 a AS (SELECT rid, part, min(p) AS lo, max(p) AS hi, any_value(n) AS n FROM q GROUP BY rid, part),
 r AS (
   SELECT l.rid, l.lo, min(h.hi) AS hi FROM a l JOIN a h ON l.rid = h.rid AND h.hi - l.lo >= 19 AND h.part BETWEEN l.part AND l.part + 20 GROUP BY l.rid, l.lo
-  UNION SELECT h.rid, max(l.lo), h.hi FROM a h JOIN a l ON l.rid = h.rid AND h.hi - l.lo >= 19 AND l.part BETWEEN h.part - 20 AND h.part GROUP BY h.rid, h.hi
+  UNION SELECT rid, max(lo), n FROM a WHERE n - lo >= 19 GROUP BY rid, n
   UNION SELECT rid, 1, n FROM a WHERE n < 20),
 t AS (SELECT rid, list(w ORDER BY p) AS ws, list(s ORDER BY p) AS ss, list(e ORDER BY p) AS es FROM w GROUP BY rid),
 u AS (SELECT rid, doc_id, array_to_string(ws[lo:hi], ' ') AS words, ss[lo] AS s, es[hi] AS e FROM r JOIN t USING (rid) JOIN d USING (rid)),
@@ -151,17 +146,6 @@ OP10 = rf"""
 WITH {_LINES},
 bad AS (SELECT norm FROM l WHERE words > 0 GROUP BY norm HAVING count(DISTINCT coalesce(source, chr(0))) > 10),
 h AS (SELECT l.*, words > 0 AND norm IN (SELECT norm FROM bad) AS hit FROM l),
-g AS (SELECT rid, any_value(text) AS text, sum(words * hit::INT) <= 0.5 * sum(words) AS clean, sum(hit::INT) AS n,
-  coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT hit), '') AS rest FROM h GROUP BY rid),
-o AS (SELECT rid, text, CASE WHEN clean AND n > 0 THEN rest ELSE coalesce(text, '') END AS t, CASE WHEN clean THEN n ELSE 0 END AS n FROM g)
-SELECT doc_id, n::BIGINT AS n_removed_lines, (length(coalesce(o.text, '')) - length(t))::BIGINT AS n_removed_chars, sha256(t) AS text_sha256 FROM d JOIN o USING (rid)
-"""
-
-#: Lines on over 10 sites and in over 10 distinct texts, out of every text.
-OP10_ALL = rf"""
-WITH {_LINES},
-bad AS (SELECT norm FROM l WHERE words > 0 GROUP BY norm HAVING count(DISTINCT coalesce(source, chr(0))) > 10 AND count(DISTINCT text) > 10),
-h AS (SELECT l.*, words > 0 AND norm IN (SELECT norm FROM bad) AS hit FROM l),
 g AS (SELECT rid, any_value(text) AS text, sum(hit::INT) AS n, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT hit), '') AS rest FROM h GROUP BY rid),
 o AS (SELECT rid, n, coalesce(text, '') AS text, CASE WHEN n > 0 THEN rest ELSE coalesce(text, '') END AS t FROM g)
 SELECT doc_id, n::BIGINT AS n_removed_lines, (length(o.text) - length(t))::BIGINT AS n_removed_chars, sha256(t) AS text_sha256 FROM d JOIN o USING (rid)

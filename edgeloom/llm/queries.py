@@ -42,10 +42,6 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.quality_rules(documents(spark, sf_dir))
 
 
-def op1_line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_frequency.quality_rules(documents(spark, sf_dir), min_share=0.0)
-
-
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -67,7 +63,10 @@ def passage_digests(out: DataFrame) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination_digests(decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
+
+
+def contamination_digests(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
@@ -83,26 +82,20 @@ def op10_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cleaned(site_spread.remove_spread_lines(documents(spark, sf_dir)))
 
 
-def op10_spread_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cleaned(site_spread.remove_spread_lines(documents(spark, sf_dir), whole=True))
-
-
 def _cleaned(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_removed_lines", "n_removed_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_frequency, op1_line_count, op2_bpe_chunks, op3_quality, op4_token_counts, op5_license_scan, op6_unit_dedup, op7_decontaminate, op8_near_dups, op9_url_filter, op10_site_spread, op10_spread_lines_all)
+    for f in (op1_line_frequency, op2_bpe_chunks, op3_quality, op4_token_counts, op5_license_scan, op6_unit_dedup, op7_decontaminate, op8_near_dups, op9_url_filter, op10_site_spread)
 }
 SQL: dict[str, str] = {
     "op1_line_frequency": oracle.OP1,
-    "op1_line_count": oracle.OP1_COUNT,
     "op5_license_scan": oracle.OP5,
     "op6_unit_dedup": oracle.OP6,
     "op7_decontaminate": oracle.OP7,
     "op8_near_dups": oracle.OP8,
     "op9_url_filter": oracle.OP9,
     "op10_site_spread": oracle.OP10,
-    "op10_spread_lines_all": oracle.OP10_ALL,
 }

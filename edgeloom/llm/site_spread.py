@@ -4,14 +4,12 @@ Every normalised line gets a HyperLogLog sketch of the sites that hold it; sketc
 before the shuffle, so a line on every page of the web costs one small row a task. Lines whose estimate is near the
 limit are counted exactly. Lines of more sites than the limit are boilerplate and are taken out of all texts.
 
-A text made mostly of such lines is a copy of a spread text and no page around boilerplate: it stays whole for
-near-duplicate removal, which keeps one of its copies, where line removal would leave none.
+Texts are never shuffled: rows with the places of their lines are written once, and the few lines of boilerplate, if
+their counted number is within a bound, come to the tasks that read them back. Beyond that bound the lines are joined.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,71 +18,117 @@ from pyspark.sql import functions as F
 from .common import slices, staged
 from .lines import Lines
 
+_LINE = "struct<pos:int,h1:bigint,h2:bigint,words:int>"
 
-def site_lines(docs: DataFrame, site_col: str, text_col: str) -> DataFrame:
-    """One row a document: site, keys of its text, n_words, and its lines with a word (pos, h, words)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            view = Lines(batch.column(3))
-            (h,) = view.hashes(0)
-            pos = np.arange(len(h)) - view.first[view.doc]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in range(3)), pa.array(view.per_text(view.words)), view.lists(view.words > 0, pos=pos.astype(np.int32), h=h, words=view.words)],
-                ["site", "k1", "k2", "n_words", "lines"],
-            )
+def _lines(column: pa.Array) -> pa.Array:
+    """The lines with a word of each text: place, two hashes, words."""
+    out = []
+    for batch in slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text"):
+        view = Lines(batch.column(0))
+        h1, h2 = view.hashes(0, 1)
+        pos = np.arange(len(h1)) - view.first[view.doc]
+        out.append(view.lists(view.words > 0, pos=pos.astype(np.int32), h1=h1, h2=h2, words=view.words.astype(np.int32)))
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("words", pa.int32())]))
+    return pa.concat_arrays([x.cast(kind) for x in out]) if out else pa.array([], kind)
 
-    return docs.select(F.xxhash64(site_col).alias("site"), *_text_keys(text_col), F.col(text_col).alias("text")).mapInArrow(
-        run, "site bigint, k1 bigint, k2 bigint, n_words bigint, lines array<struct<pos:int,h:bigint,words:bigint>>"
-    )
 
+def spread_lines(seen: DataFrame, max_sites: int, log2_k: int = 12) -> DataFrame:
+    """h1 and h2 of the ``lines`` on more than ``max_sites`` distinct values of ``site``."""
+    each = seen.select("site", F.explode("lines").alias("l")).select("site", "l.h1", "l.h2")
+    sketched = each.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", log2_k).alias("sites"))
+    margin = max(1.0, 6 * 1.04 / 2 ** (log2_k / 2) * max_sites)
+    guess = staged(sketched.select("h1", "h2", F.hll_sketch_estimate("sites").alias("sites")).filter(F.col("sites") > max_sites - margin))
+    sure = guess.filter(F.col("sites") > max_sites + margin).select("h1", "h2")
+    near = guess.filter(F.col("sites") <= max_sites + margin).select("h1", "h2")
+    counted = each.join(near, ["h1", "h2"]).groupBy("h1", "h2").agg(F.count_distinct("site").alias("sites"))
+    return sure.unionByName(counted.filter(F.col("sites") > max_sites).select("h1", "h2"))
 
-def _text_keys(text_col: str) -> list:
-    return [F.xxhash64(F.lit(seed), text_col).alias(f"k{seed}") for seed in (1, 2)]
 
+def _marked(seen: DataFrame, bad: DataFrame, most_bytes: int) -> DataFrame:
+    """``seen`` with only those of its ``lines`` that are in ``bad`` (staged)."""
+    if bad.count() * 16 > most_bytes:
+        found = seen.select("number", F.explode("lines").alias("l")).select("number", "l.*").join(bad, ["h1", "h2"])
+        found = found.groupBy("number").agg(F.sort_array(F.collect_list(F.struct("pos", "h1", "h2", "words"))).alias("lines"))
+        return seen.drop("lines").join(found, "number", "left").withColumn("lines", F.coalesce("lines", F.array().cast(f"array<{_LINE}>")))
+    pairs = np.array([tuple(r) for r in bad.collect()], np.dtype([("h1", np.int64), ("h2", np.int64)]))  # within ``most_bytes``
+    known = seen.sparkSession.sparkContext.broadcast(np.sort(pairs))
 
-def spread_lines(seen: DataFrame, max_sites: int, log2_k: int = 12, by: tuple[str, ...] = ("site",)) -> DataFrame:
-    """Hashes of lines on more than ``max_sites`` distinct sites (values of each column in ``by``)."""
-    each = seen.select(*by, F.explode("lines.h").alias("h"))
-    sketched = each.groupBy("h").agg(*[F.hll_sketch_agg(c, log2_k).alias(c) for c in by])
-    margin = max(1.0, 6 * 1.04 / 2 ** (log2_k / 2) * max_sites)
-    least = lambda counts: F.least(*counts) if len(counts) > 1 else counts[0]
-    guess = staged(sketched.select("h", least([F.hll_sketch_estimate(c) for c in by]).alias("sites")).filter(F.col("sites") > max_sites - margin))
-    sure = guess.filter(F.col("sites") > max_sites + margin).select("h")
-    near = guess.filter(F.col("sites") <= max_sites + margin).select("h")
-    exact = each.join(near, "h").groupBy("h").agg(least([F.count_distinct(c) for c in by]).alias("sites")).filter(F.col("sites") > max_sites).select("h")
-    return sure.unionByName(exact)
+    def among(lines: pa.Array) -> pa.Array:
+        flat, size = lines.flatten(), lines.value_lengths().to_numpy(zero_copy_only=False)
+        h1, h2 = flat.field(1).to_numpy(), flat.field(2).to_numpy()
+        keep = np.isin(h1, known.value["h1"])
+        at = np.flatnonzero(keep)
+        both = np.empty(len(at), known.value.dtype)
+        both["h1"], both["h2"] = h1[at], h2[at]
+        keep[at] = np.isin(both, known.value)
+        ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(size)])]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(pa.array(keep)))
+
+    return seen.withColumn("lines", _arrow(among, f"array<{_LINE}>")(F.col("lines")))
+
+
+def _marks(lines: pa.Array) -> pa.Array:
+    """For each text whether its lines are listed, up to the last one that is."""
+    pos, size = lines.flatten().field(0).to_numpy(), lines.value_lengths().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size)
+    n = np.where(size > 0, np.concatenate([[0], pos + 1])[np.where(size > 0, ends, 0)], 0)
+    total = np.concatenate([[0], np.cumsum(n)])
+    marks = np.zeros(int(total[-1]), bool)
+    marks[np.repeat(total[:-1], size) + pos] = True
+    return pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(marks))
+
+
+def _arrow(f, kind: str):
+    """An Arrow function of one column."""
+
+    def run(column: pa.Array) -> pa.Array:
+        return f(column)
+
+    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, kind)
+
+
+def _words(lines):
+    return F.aggregate(lines, F.lit(0).cast("bigint"), lambda n, x: n + x["words"])
 
 
 def remove_spread_lines(
-    docs: DataFrame, site_col: str = "source", text_col: str = "text", max_sites: int = 10, max_removed: float = 0.5, whole: bool = False,
+    docs: DataFrame, site_col: str = "source", text_col: str = "text", max_sites: int = 10,
+    max_removed: float | None = None, voters: float | None = None, broadcast_bytes: int = 16 << 20,
 ) -> DataFrame:
     """All rows and columns of ``docs`` with the cleaned text, and n_removed_lines (long) and n_removed_chars (long).
 
-    Null texts stay null and empty ones empty. A null site is one site. Repeated rows are treated alike. An empty
-    table gives an empty result. Columns of ``docs`` that clash with the two new names are replaced.
+    Null texts stay null and empty ones empty; a text of such lines only becomes empty. A null site is one site. Repeated
+    rows are treated alike. A very long text is read as one. An empty table gives an empty result. Columns of ``docs``
+    that clash with the two new names are replaced; others keep their values, whatever their names.
 
-    A text that would lose over ``max_removed`` of its words stays as it is. With ``whole`` there is no such exemption;
-    a line must then be on over ``max_sites`` sites and in over ``max_sites`` distinct texts, so that copies of a text
-    keep their lines.
+    Two options, both off. ``max_removed``: a text that would lose over this share of its words stays as it is.
+    ``voters``: sites are counted again, without the texts of which over this share of the words stands in spread
+    lines; these are copies of a text that went round the sites, and their common lines are their own. What is still
+    spread then goes from all texts, these included.
     """
-    seen = staged(site_lines(docs, site_col, text_col))
-    bad = spread_lines(seen, max_sites, by=("site", "k1") if whole else ("site",))
-    texts = seen.groupBy("k1", "k2").agg(F.max("n_words").alias("n_words"), F.first("lines").alias("lines"))
-    hit = texts.select("k1", "k2", "n_words", F.explode("lines").alias("line")).select("k1", "k2", "n_words", "line.*").join(bad, "h")
-    drop = staged(
-        hit.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("pos")).alias("gone"), F.sum("words").alias("lost"), F.max("n_words").alias("n_words"))
-        .filter(F.lit(whole) | (F.col("lost") <= max_removed * F.col("n_words"))).select("k1", "k2", "gone")
-    )
+
     names = [c for c in docs.columns if c not in ("n_removed_lines", "n_removed_chars")]
-    row = F.struct(*[F.col(f"`{c}`") for c in names])
-    joined = docs.select(row.alias("row"), *_text_keys(text_col)).join(drop, ["k1", "k2"], "left")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    site = F.xxhash64(F.col(site_col).isNull(), F.col(site_col))
+    seen = staged(
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), site.alias("site"), _arrow(_lines, f"array<{_LINE}>")(text).alias("lines"), F.monotonically_increasing_id().alias("number"))
+    )
+    seen = seen.withColumn("n_words", _words(F.col("lines")))
+    bad = staged(spread_lines(seen, max_sites))
+    hit = _marked(seen, bad, broadcast_bytes)
+    if voters is not None:
+        bad = staged(spread_lines(hit.filter(_words(F.col("lines")) <= voters * F.col("n_words")), max_sites))
+        hit = _marked(seen, bad, broadcast_bytes)
+    take = F.size("lines") > 0
+    if max_removed is not None:
+        take &= _words(F.col("lines")) <= max_removed * F.col("n_words")
+    out = hit.select("row", F.when(take, F.size("lines")).otherwise(0).cast("bigint").alias("n"), _arrow(_marks, "array<boolean>")(F.col("lines")).alias("marks"))
     text = F.col("row")[text_col]
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("gone", i)), "\n")
-    clean = F.when(F.col("gone").isNull(), text).otherwise(kept)
-    out = joined.select("row", clean.alias("clean"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed_lines"))
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, k: ~F.coalesce(F.get("marks", k), F.lit(False))), "\n")
+    out = out.select("row", "n", F.when(F.col("n") == 0, text).otherwise(kept).alias("clean"))
     return out.select(
         *[F.col("clean").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names],
-        F.when(F.col("n_removed_lines") > 0, F.col("n_removed_lines")).otherwise(F.lit(0)).cast("bigint").alias("n_removed_lines"),
-        F.coalesce(F.length(F.col("row")[text_col]) - F.length("clean"), F.lit(0)).cast("bigint").alias("n_removed_chars"),
-    )
+        F.col("n").alias("n_removed_lines"), F.coalesce(F.length(text) - F.length("clean"), F.lit(0)).cast("bigint").alias("n_removed_chars"),
+    )
