@@ -1,15 +1,19 @@
 """Jaccard join of documents on word shingles, by a MinHash LSH forest with exact verification.
 
 Texts with the same words are one class, and only one of them, its representative, goes on. A representative has a
-label of ``max_depth`` MinHash values in each of ``trees`` prefix tries. Prefixes are shortened from the full label
-until the chance that a pair at the threshold shares one in some trie reaches the target recall; representatives
-with equal prefixes are candidates.
+label of ``max_depth`` MinHash values in each of ``trees`` prefix tries; representatives with equal prefixes of their
+labels, brought together by the tries' order, are candidates.
+
+Prefixes are shortened step by step, from whole labels to the depth at which a pair at the threshold alone shares one in
+some trie with the target recall. A text takes part in a step only while it is short of matches: it has no link yet, or
+one so weak that the prefixes so far would have missed its like too often. Texts whose matches are all close stop early,
+so the loose candidates of short prefixes neither grow large clusters nor chain them together.
 
 Candidates are never paired within a prefix's group. They are linked to the group's least member, components of
 these links are the clusters, and every pair of candidates is inside one cluster. Clusters are verified exactly on
-their full shingle sets: small ones many at a time, larger ones as pairs of blocks of bounded size, so no task holds
-a large cluster. Verification returns a row for each member and block (its number of links and the least member it
-is linked to), never a row for each pair.
+their full shingle sets when a step has changed them: small ones many at a time, larger ones as pairs of blocks of
+bounded bytes, so no task holds a large cluster. Verification returns a row for each member and block (its number of
+links, the least member it is linked to and the similarity of its weakest link), never a row for each pair.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import codes, slices, staged, text_bytes
+from .common import codes, drop_staged, slices, small_side, staged, staged_at, text_bytes
 from .graph import components
 from .lines import _space
 
@@ -75,51 +79,58 @@ def _totals(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def forest_depth(threshold: float, trees: int, max_depth: int, recall: float) -> int:
-    """Shorten from the full depth until a pair at the threshold shares a prefix often enough."""
+    """The depth at which shortening ends: a pair at the threshold shares a prefix often enough."""
     depth = max_depth
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
 
 
-def labels(h: np.ndarray, offs: np.ndarray, trees: int, max_depth: int, depth: int) -> np.ndarray:
-    """Hash of the first ``depth`` values of the label of each text in each tree; texts must have a shingle."""
+def sure_similarity(depth: int, trees: int, miss: float = 1e-4) -> float:
+    """The similarity from which on prefixes of ``depth`` miss a pair with at most the probability ``miss``."""
+    return (1 - miss ** (1 / trees)) ** (1 / depth)
+
+
+def labels(h: np.ndarray, offs: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """The label of each text in each trie: ``depth`` MinHash values of 16 bits; texts must have a shingle."""
     rng = np.random.default_rng(11)
-    factor = rng.integers(0, 1 << 31, (trees, max_depth), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    shift = rng.integers(0, 1 << 32, (trees, max_depth), dtype=np.uint32)
+    factor = rng.integers(0, 1 << 31, (trees, depth), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    shift = rng.integers(0, 1 << 32, (trees, depth), dtype=np.uint32)
     base = (h >> np.uint64(32)).astype(np.uint32)
-    out = np.zeros((len(offs) - 1, trees), np.uint64)
+    out = np.zeros((len(offs) - 1, trees, depth), np.uint16)
     for t in range(trees):
         for k in range(depth):
             low = np.minimum.reduceat(base * factor[t, k] + shift[t, k], offs[:-1])
-            out[:, t] = _mix(out[:, t] * _factors[6] + low + np.uint64(t + 1))
+            out[:, t, k] = _mix(low.astype(np.uint64) * _factors[6] + np.uint64(t + 1)) >> np.uint64(48)
     return out
 
 
-def _signatures(docs: DataFrame, id_col: str, text_col: str, trees: int, max_depth: int, depth: int) -> DataFrame:
+def _signatures(docs: DataFrame, id_col: str, text_col: str, trees: int, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             h, offs = shingles(batch.column(4))
             n = np.diff(offs)
             place = _mix((np.arange(len(h)) - np.repeat(offs[:-1], n)).astype(np.uint64) + np.uint64(1))
             same = [_totals(_mix(h * _factors[8 + k] + place), offs).view(np.int64) for k in (0, 1)]
             full = np.flatnonzero(n)
-            tags = np.zeros((0, trees), np.uint64)
+            tags = np.zeros((0, trees, depth), np.uint16)
             if len(full):
-                tags = labels(h, np.concatenate([offs[full], offs[-1:]]), trees, max_depth, depth)
+                tags = labels(h, np.concatenate([offs[full], offs[-1:]]), trees, depth)
             ends = np.concatenate([[0], np.cumsum(n > 0)]) * trees
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tags.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(same[0]), pa.array(same[1]), lists], names)
+            cuts = np.arange(len(full) * trees + 1, dtype=np.int32) * (2 * depth)
+            each = pa.BinaryArray.from_buffers(pa.binary(), len(full) * trees, [None, pa.py_buffer(cuts), pa.py_buffer(tags.tobytes())])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(same[0]), pa.array(same[1]), pa.array(n), lists], names)
 
-    names = [id_col, "row", "k1", "k2", "c1", "c2", "tags"]
+    names = [id_col, "row", "k1", "k2", "c1", "c2", "n", "tags"]
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, F.monotonically_increasing_id().alias("row"), *_keys(text_col), F.col(text_col).alias("text")).mapInArrow(
-        run, f"`{id_col}` {kind}, `row` bigint, k1 bigint, k2 bigint, c1 bigint, c2 bigint, tags array<bigint>"
+    return docs.select(F.col(id_col), F.monotonically_increasing_id().alias("row"), *_keys(text_col), F.col(text_col).alias("text")).mapInArrow(
+        run, f"`{id_col}` {kind}, `row` bigint, k1 bigint, k2 bigint, c1 bigint, c2 bigint, n bigint, tags array<binary>"
     )
 
 
 def _keys(text_col: str) -> list:
-    return [F.xxhash64(F.lit(k), text_col).alias(f"k{k}") for k in (1, 2)]
+    return [F.xxhash64(F.lit(k), F.col(text_col)).alias(f"k{k}") for k in (1, 2)]
 
 
 class _Links:
@@ -127,6 +138,7 @@ class _Links:
 
     def __init__(self, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float):
         self.count = np.zeros(len(sets), np.int64)
+        self.least = np.ones(len(sets))
         self.root = np.arange(len(sets))
         size = np.array([len(s) for s in sets])
         if len(sets) <= 6:
@@ -145,33 +157,43 @@ class _Links:
         both = np.zeros((len(left), len(right)), np.float32)
         row_l, row_r = np.full(len(sets), -1), np.full(len(sets), -1)
         row_l[left], row_r[right] = np.arange(len(left)), np.arange(len(right))
-        for a in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):  # bounded memory: some columns at a time
-            s = slice(*np.searchsorted(column, [a, a + 4096]))
-            m = np.zeros((len(sets), 4096), np.float32)
+        for a in range(0, int(number[-1]) + 1 if len(number) else 0, 1024):  # bounded memory: some columns at a time
+            s = slice(*np.searchsorted(column, [a, a + 1024]))
+            m = np.zeros((len(sets), 1024), np.float32)
             m[owner[s], column[s] - a] = 1
             both += m[left] @ m[right].T
         union = size[left][:, None] + size[right][None, :] - both
         linked = both >= threshold * union - 1e-9
         if left is right:
-            linked = np.triu(linked, 1)
-        for x, y in zip(*np.nonzero(linked), strict=True):
-            self.join(left[x], right[y])
+            np.fill_diagonal(linked, False)
+        alike = np.where(linked, both / np.maximum(union, 1), 1)
+        self.count[left] += linked.sum(1)
+        self.least[left] = np.minimum(self.least[left], alike.min(1))
+        if left is not right:
+            self.count[right] += linked.sum(0)
+            self.least[right] = np.minimum(self.least[right], alike.min(0))
+        while True:  # the least member over chains of links, in rounds
+            old = self.root.copy()
+            low = np.where(linked, self.root[right][None, :], len(sets)).min(1, initial=len(sets))
+            self.root[left] = np.minimum(self.root[left], low)
+            low = np.where(linked, self.root[left][:, None], len(sets)).min(0, initial=len(sets))
+            self.root[right] = np.minimum(self.root[right], low)
+            if (old == self.root).all():
+                break
 
     def add(self, i: int, j: int, common: int, size: np.ndarray, threshold: float) -> None:
-        if common >= threshold * (size[i] + size[j] - common) - 1e-9:
-            self.join(i, j)
+        union = size[i] + size[j] - common
+        if common >= threshold * union - 1e-9:
+            self.count[[i, j]] += 1
+            self.least[[i, j]] = np.minimum(self.least[[i, j]], common / max(union, 1))
+            a, b = self.find(i), self.find(j)
+            self.root[max(a, b)] = min(a, b)
 
     def find(self, i: int) -> int:
         while self.root[i] != i:
             self.root[i] = i = self.root[self.root[i]]
         return i
 
-    def join(self, i: int, j: int) -> None:
-        self.count[i] += 1
-        self.count[j] += 1
-        a, b = self.find(i), self.find(j)
-        self.root[max(a, b)] = min(a, b)
-
 
 def _verify(threshold: float):
     def run(group: pa.Table) -> pa.Table:
@@ -189,15 +211,61 @@ def _verify(threshold: float):
             else:
                 left, right = np.flatnonzero(block[part] == i[part[0]]), np.flatnonzero(block[part] == j[part[0]])
             links = _Links(got, left, right, threshold)
-            out.append((member[part], links.count, member[part][[links.find(k) for k in range(len(part))]]))
-        return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], ["member", "links", "root"])
+            out.append((member[part], links.count, member[part][[links.find(k) for k in range(len(part))]], links.least))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array(np.concatenate(x), kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["member", "links", "root", "least"])
 
     return run
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted distinct shingles of the texts."""
+    for batch in slices(batches, "text", 2 << 20):
+        h, offs = shingles(batch.column(4))
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(offs))
+        at = np.lexsort((h, doc))
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (h[at][1:] != h[at][:-1]) | (doc[at][1:] != doc[at][:-1])
+        at = at[fresh]
+        ends = np.searchsorted(doc[at], np.arange(batch.num_rows + 1))
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[at].view(np.int64)))], ["member", "cluster", "block", "blocks", "shingles"])
+
+
+def _checked(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, threshold: float, block_bytes: int) -> DataFrame:
+    """Exact verification of whole clusters; ``members`` (staged): member, cluster, n, id, k1, k2."""
+    size = members.groupBy("cluster").agg(F.sum("n").alias("total"))
+    blocks = F.ceil(F.col("total") * 8 / block_bytes).cast("int")
+    held = members.join(small_side(staged(size), 32), "cluster").withColumn("blocks", F.greatest(blocks, F.lit(1)))
+    held = held.select("member", "cluster", "id", "k1", "k2", "blocks", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"))
+    weight = members.agg(F.sum("n")).first()[0] or 0
+    bins = max(1, weight * 8 // block_bytes)  # of small clusters, so that a group has about ``block_bytes`` too
+    texts = docs.select(F.col(id_col).alias("id"), *_keys(text_col), F.col(text_col).alias("text"))
+    held = small_side(staged(held), 80)
+    mine = texts.join(held, (texts["id"].eqNullSafe(held["id"])) & (texts["k1"] == held["k1"]) & (texts["k2"] == held["k2"])).select("member", "cluster", "block", "blocks", "text")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = mine.mapInArrow(_sets, "member bigint, cluster bigint, block int, blocks int, shingles array<bigint>").withColumn("o", other).select(
+        "member", "cluster", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "shingles",
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.col("cluster")).alias("g"), (F.col("blocks") > 1).alias("large"),
+    )
+    return staged(dealt.groupBy("large", "g", "i", "j").applyInArrow(_verify(threshold), "member bigint, links bigint, root bigint, least double"))
+
+
+def _candidates(own: DataFrame, done: DataFrame | None, depth: int) -> DataFrame:
+    """Links (a, b) from members of each prefix's group to its least one, of groups with a text that isn't done."""
+    rows = own.select("row", "tags", F.lit(True).alias("short"))
+    if done is not None:
+        rows = own.select("row", "tags").join(done.select(F.col("member").alias("row"), F.lit(False).alias("short")), "row", "left")
+        rows = rows.withColumn("short", F.coalesce("short", F.lit(True)))
+    entries = rows.select("row", "short", F.posexplode("tags").alias("tree", "label"))
+    entries = entries.select("row", "short", F.xxhash64("tree", F.substring("label", 1, 2 * depth)).alias("prefix"))
+    met = entries.groupBy("prefix").agg(F.min("row").alias("low"), F.count(F.lit(1)).alias("n"), F.bool_or("short").alias("any"))
+    met = met.filter((F.col("n") > 1) & F.col("any")).select("prefix", "low")
+    return entries.select("row", "prefix").join(met, "prefix").filter(F.col("row") != F.col("low")).select(F.col("row").alias("a"), F.col("low").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
-    trees: int = 32, max_depth: int = 12, recall: float = 0.995, block: int = 256, broadcast_rows: int = 500_000,
+    trees: int = 32, max_depth: int = 12, recall: float = 0.995, step: int = 2, block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """A row a document: ``id_col``, k1 and k2 (keys of its text), row (its place), class_id, n_links, n_copies and first.
 
@@ -205,48 +273,35 @@ def near_duplicates(
     distinct word sequences at the threshold or above; n_copies the documents with the same words; first is true
     for one document of each class: the least by id (nulls last), then by place. Null and empty texts, and texts of
     white space, are copies of each other without links. class_id is null if all ids of the class are null. Repeated
-    rows are copies. Empty tables give an empty result; further columns are not read.
+    rows are copies. A very long text is one set like others. Empty tables give an empty result; further columns are not
+    read, whatever their names.
     """
-    depth = forest_depth(threshold, trees, max_depth, recall)
-    seen = staged(_signatures(docs, id_col, text_col, trees, max_depth, depth))
+    spark, name = docs.sparkSession, id_col
+    docs, id_col, text_col = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text"
+    seen = staged(_signatures(docs, id_col, text_col, trees, max_depth))
     order = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "row", "k1", "k2")
     same = staged(seen.groupBy("c1", "c2").agg(F.min(order).alias("m"), F.count(F.lit(1)).alias("n_copies")))
-    own = seen.join(same.select(F.col("m.row").alias("row")), "row", "left_semi").select("row", "tags")
-    entries = own.select("row", F.explode("tags").alias("tag"))
-    met = entries.groupBy("tag").agg(F.min("row").alias("low"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("tag", "low")
-    candidates = entries.join(met, "tag").filter(F.col("row") != F.col("low")).select(F.col("row").alias("a"), F.col("low").alias("b")).distinct()
-    cluster = components(candidates)
-    size = cluster.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.when(F.col("size") <= block, F.lit(1)).otherwise(F.ceil(F.col("size") / block)).cast("int")
-    member = staged(
-        cluster.join(size, "label").join(same.select(F.col("m.row").alias("node"), F.col("m.id").alias("id"), F.col("m.k1").alias("k1"), F.col("m.k2").alias("k2")), "node")
-        .select(F.col("node").alias("member"), F.col("label").alias("cluster"), "id", "k1", "k2", blocks.alias("blocks"))
-        .withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
-    )
-    n_members = member.count()
-    bins = max(1, n_members // 200)
-    texts = docs.select(F.col(id_col).alias("id"), *_keys(text_col), F.col(text_col).alias("text"))
-    small = F.broadcast(member) if n_members <= broadcast_rows else member
-    mine = texts.join(small, (texts["id"].eqNullSafe(small["id"])) & (texts["k1"] == small["k1"]) & (texts["k2"] == small["k2"])).select("member", "cluster", "block", "blocks", "text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            h, offs = shingles(batch.column(4))
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(offs))
-            at = np.lexsort((h, doc))
-            fresh = np.ones(len(at), bool)
-            fresh[1:] = (h[at][1:] != h[at][:-1]) | (doc[at][1:] != doc[at][:-1])
-            at = at[fresh]
-            ends = np.searchsorted(doc[at], np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[at].view(np.int64)))], ["member", "cluster", "block", "blocks", "shingles"])
-
-    held = mine.mapInArrow(sets, "member bigint, cluster bigint, block int, blocks int, shingles array<bigint>")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = held.withColumn("o", other).select(
-        "member", "cluster", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "shingles",
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.col("cluster")).alias("g"), (F.col("blocks") > 1).alias("large"),
-    )
-    checked = staged(dealt.groupBy("large", "g", "i", "j").applyInArrow(_verify(threshold), "member bigint, links bigint, root bigint"))
+    own = staged(seen.filter("n > 0").select("row", "n", "tags").join(same.select(F.col("m.row").alias("row"), F.col("m.id").alias("id"), F.col("m.k1").alias("k1"), F.col("m.k2").alias("k2")), "row"))
+    known = own.select(F.col("row").alias("node"), "n", "id", "k1", "k2")
+    floor = forest_depth(threshold, trees, max_depth, recall)
+    cluster = checked = done = path = None
+    for depth in sorted({*range(max_depth, floor, -step), floor}, reverse=True):
+        links = _candidates(own, done, depth)
+        if cluster is not None:
+            links = links.unionByName(cluster.filter("node != label").select(F.col("node").alias("a"), F.col("label").alias("b")))
+        now = components(links)
+        kept = now.withColumn("before", F.col("node")) if cluster is None else now.join(cluster.select("node", F.col("label").alias("old")), "node", "left").select("node", "label", F.coalesce("old", "node").alias("before"))
+        changed = kept.groupBy("label").agg(F.min("before").alias("a"), F.max("before").alias("b")).filter("a != b").select("label")
+        members, members_path = staged_at(now.join(changed, "label").join(known, "node").select(F.col("node").alias("member"), F.col("label").alias("cluster"), "n", "id", "k1", "k2"))
+        found = _checked(docs, members, id_col, text_col, threshold, block_bytes)
+        if checked is not None:
+            found = staged(found.unionByName(checked.join(members.select("member"), "member", "left_anti")))
+        drop_staged(spark, members_path)
+        cluster, checked = now, found
+        if path:
+            drop_staged(spark, path)
+        weakest = checked.groupBy("member").agg(F.sum("links").alias("links"), F.min("least").alias("least"))
+        done, path = staged_at(weakest.filter((F.col("links") > 0) & (F.col("least") >= sure_similarity(depth, trees))).select("member"))
     links = checked.groupBy("member").agg(F.sum("links").cast("bigint").alias("n_links")).filter("n_links > 0")
     found = components(checked.filter("member != root").select(F.col("member").alias("a"), F.col("root").alias("b")))
     reps = same.select("c1", "c2", "n_copies", F.col("m.id").alias("rep_id"), F.col("m.row").alias("rep"))
@@ -257,20 +312,21 @@ def near_duplicates(
         "c1", "c2", "rep", "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.when(F.col("best").isNull(), F.col("rep_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("best", "rep").alias("best"),
     )
-    return seen.select(id_col, "row", "k1", "k2", "c1", "c2").join(classes, ["c1", "c2"]).select(
-        id_col, "k1", "k2", "row", "class_id", "n_links", F.col("n_copies").cast("bigint").alias("n_copies"), (F.col("row") == F.col("best")).alias("first")
+    return seen.select("id", "row", "k1", "k2", "c1", "c2").join(classes, ["c1", "c2"]).select(
+        F.col("id").alias(name), "k1", "k2", "row", "class_id", "n_links", F.col("n_copies").cast("bigint").alias("n_copies"), (F.col("row") == F.col("best")).alias("first")
     )
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that are first in their class; of rows with the same id and text, one."""
-    best = near_duplicates(docs, id_col, text_col, **options).filter("first").select(F.col(id_col).alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
-    keys = [F.col(id_col).alias("_id"), *(k.alias(f"_k{n}") for n, k in enumerate(_keys(text_col), 1))]
-    many = docs.select(*keys).groupBy("_id", "_k1", "_k2").agg(F.count(F.lit(1)).alias("_n"))
-    chosen = staged(best.join(many, (best["_id"].eqNullSafe(many["_id"])) & (best["_k1"] == many["_k1"]) & (best["_k2"] == many["_k2"])).select(best["_id"], best["_k1"], best["_k2"], "_n"))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *keys)
-    on = (row["_id"].eqNullSafe(chosen["_id"])) & (row["_k1"] == chosen["_k1"]) & (row["_k2"] == chosen["_k2"])
-    kept = row.join(chosen, on).select("_row", row["_id"], row["_k1"], row["_k2"], "_n")
-    once = kept.filter("_n = 1").select("_row")
-    again = kept.filter("_n > 1").groupBy("_id", "_k1", "_k2").agg(F.first("_row").alias("_row")).select("_row")
-    return once.unionByName(again).select("_row.*")
+    """The rows of ``docs``, all columns, that are first in their class; of rows with the same id and text, one. Columns
+    may have any names; null, empty, repeated and very long texts are as in ``near_duplicates``."""
+    order = near_duplicates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", **options)
+    each = order.groupBy("id", "k1", "k2").agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("n"))
+    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & a["k1"].eqNullSafe(b["k1"]) & a["k2"].eqNullSafe(b["k2"])
+    each = staged(each.filter(~F.col("first") | (F.col("n") > 1)))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), *_keys(text_col))
+    gone = small_side(each, 64)
+    once = row.join(gone, same(row, gone), "left_anti").select("row")
+    many = small_side(each.filter("first"), 64)
+    again = row.join(many, same(row, many)).groupBy(row["id"], row["k1"], row["k2"]).agg(F.first("row").alias("row")).select("row")
+    return once.unionByName(again).select("row.*")
