@@ -9,9 +9,11 @@ Tokens are letter runs, digits and symbols, with the case shape as its own token
 capitals), and a run equal to the one before it is the one token Again, so shouting, tables, symbol noise and
 stuttering have words of their own.
 
-Fitting uses at most ``max_rows`` labelled rows outside the held-out fold, those with the smallest id hash: a bounded
-sample, the documented bound of the driver's work. A part of them, chosen by another hash, sets the temperature.
-Scoring reads every document in Arrow batches and shuffles nothing.
+Every text is cut into tokens once; their rows (16 bits each) are written beside the columns that go on. Context vectors
+are summed over all documents, labelled or not: a partial sum for each task, then one for each row of the table, whose
+size is fixed. Fitting uses at most ``max_rows`` labelled rows outside the held-out fold, those with the smallest id
+hash: a bounded sample, the documented bound of the driver's work. A part of them, chosen by another hash, sets the
+temperature. Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_fields, slices, text_bytes
+from .common import slices, staged, text_bytes
 
 DIM, NONZERO, WINDOW = 32, 4, 2
-_known: dict[str, int] = {}
+_known: dict[str, list[int]] = {}  # hashes of a word's tokens
 _strip = re.compile(r"[^\W\d_]+|\d|[^\w\s]|_")
 
 
@@ -91,16 +93,16 @@ def tokens(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     for word in d.dictionary.to_pylist():
         found = _known.get(word)
         if found is None:
-            found = _known[word] = [xxhash.xxh32_intdigest(t.encode()) % buckets for t in _pieces(word)]
+            found = _known[word] = [xxhash.xxh32_intdigest(t.encode()) for t in _pieces(word)]
         lists.append(found)
-    lists.append([xxhash.xxh32_intdigest(b"\x01AGAIN") % buckets])
+    lists.append([xxhash.xxh32_intdigest(b"\x01AGAIN")])
     again = np.zeros(len(at), bool)
     again[1:] = which[1:] == which[:-1]
     firsts = np.searchsorted(at, offs[:-1])
     again[firsts[firsts < len(at)]] = False  # a text's first word
     which = np.where(again, len(lists) - 1, which)
     size = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((x for y in lists for x in y), np.int64, int(size.sum()))
+    flat = np.fromiter((x for y in lists for x in y), np.int64, int(size.sum())) % buckets
     starts, n = np.cumsum(size) - size, size[which]
     ends = np.cumsum(n)
     take = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[which] - (ends - n), n)
@@ -120,27 +122,51 @@ def _pool(bucket: np.ndarray, offs: np.ndarray, table: np.ndarray) -> np.ndarray
     return out
 
 
-def features(column: pa.Array, index: np.ndarray, context: np.ndarray) -> np.ndarray:
+def features(bucket: np.ndarray, offs: np.ndarray, index: np.ndarray, context: np.ndarray) -> np.ndarray:
     """Mean index vector, mean context vector, log count of tokens."""
-    bucket, offs = tokens(column, len(index))
     return np.hstack([_pool(bucket, offs, np.hstack([index, context])), np.log1p(np.diff(offs))[:, None].astype(np.float32)])
 
 
-def context_vectors(column: pa.Array, index: np.ndarray) -> np.ndarray:
-    bucket, offs = tokens(column, len(index))
+def context_sums(bucket: np.ndarray, offs: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """For each bucket the sum of the index vectors of its tokens' neighbours, up to WINDOW places away in the text."""
+    out = np.zeros(index.shape, np.int64)
+    small = index.astype(np.int8)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    out = np.zeros_like(index)
-    for k in range(1, WINDOW + 1):
-        same = np.flatnonzero(doc[k:] == doc[:-k])
-        for a, b in ((same, same + k), (same + k, same)):
-            for start in range(0, len(a), 500_000):
-                np.add.at(out, bucket[a[start : start + 500_000]], index[bucket[b[start : start + 500_000]]])
+    for start in range(0, len(bucket), 500_000):  # bounded memory, whatever the texts' lengths
+        at = np.arange(start, min(len(bucket), start + 500_000))
+        near = np.zeros((len(at), index.shape[1]), np.int8)
+        for k in (*range(-WINDOW, 0), *range(1, WINDOW + 1)):
+            other = np.clip(at + k, 0, len(bucket) - 1)
+            near += small[bucket[other]] * ((other == at + k) & (doc[other] == doc[at]))[:, None]
+        order = np.argsort(bucket[at], kind="stable")
+        mine = bucket[at][order]
+        first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+        out[mine[first]] += np.add.reduceat(near[order], first, axis=0, dtype=np.int64)
     return out
 
 
+def logits(p: list[np.ndarray], z: np.ndarray) -> np.ndarray:
+    """Of the two-layer network with weights and biases ``p``."""
+    return np.maximum(z @ p[0] + p[1], 0) @ p[2] + p[3][0]
+
+
+def gradients(p: list[np.ndarray], z: np.ndarray, t: np.ndarray, decay: float = 1e-4) -> list[np.ndarray]:
+    """Of the mean log loss and half the ``decay`` of the squared weights."""
+    h = np.maximum(z @ p[0] + p[1], 0)
+    g = (1 / (1 + np.exp(-np.clip(h @ p[2] + p[3][0], -30, 30))) - t) / len(z)
+    back = np.outer(g, p[2]) * (h > 0)
+    return [z.T @ back + decay * p[0], back.sum(0), h.T @ g + decay * p[2], np.array([g.sum()])]
+
+
+def temperature_of(logit: np.ndarray, y: np.ndarray) -> float:
+    """The temperature of a grid with the least log loss."""
+    sign = np.where(y > 0, 1, -1)
+    grid = np.exp(np.linspace(np.log(0.25), np.log(8), 61))
+    return float(grid[np.argmin([np.logaddexp(0, -sign * logit / g).mean() for g in grid])])
+
+
 def fit_network(x: np.ndarray, y: np.ndarray, cal: np.ndarray, hidden: int = 24, epochs: int = 60) -> tuple:
-    """Adam on the rows that aren't in ``cal``, with classes weighted by their root frequency; then the temperature
-    with the least log loss on ``cal``."""
+    """Adam on the rows that aren't in ``cal``; then the temperature on ``cal``."""
     rng = np.random.default_rng(7)
     mean, scale = x[~cal].mean(0), x[~cal].std(0) + 1e-3
     z, t = (x[~cal] - mean) / scale, y[~cal].astype(np.float32)
@@ -150,58 +176,66 @@ def fit_network(x: np.ndarray, y: np.ndarray, cal: np.ndarray, hidden: int = 24,
         for part in np.array_split(rng.permutation(len(z)), max(1, len(z) // 128)):
             if not len(part):
                 continue
-            a, b = z[part], t[part]
-            h = np.maximum(a @ p[0] + p[1], 0)
-            s = 1 / (1 + np.exp(-np.clip(h @ p[2] + p[3][0], -30, 30)))
-            g = (s - b) / len(part)
-            back = np.outer(g, p[2]) * (h > 0)
             step += 1
-            for k, grad in enumerate((a.T @ back + 1e-4 * p[0], back.sum(0), h.T @ g + 1e-4 * p[2], np.array([g.sum()]))):
+            for k, grad in enumerate(gradients(p, z[part], t[part])):
                 m[k] = 0.9 * m[k] + 0.1 * grad
                 v[k] = 0.999 * v[k] + 0.001 * grad**2
                 p[k] = p[k] - 0.003 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    temperature = 1.0
-    if cal.any():
-        logit = np.maximum((x[cal] - mean) / scale @ p[0] + p[1], 0) @ p[2] + p[3][0]
-        sign = np.where(y[cal] > 0, 1, -1)
-        grid = np.exp(np.linspace(np.log(0.25), np.log(8), 61))
-        temperature = float(grid[np.argmin([np.logaddexp(0, -sign * logit / g).mean() for g in grid])])
+    temperature = temperature_of(logits(p, (x[cal] - mean) / scale), y[cal]) if cal.any() else 1.0
     return mean, scale, p[0], p[1], p[2], float(p[3][0]), temperature
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 6000, buckets: int = 1 << 14) -> Model:
-    """Rows with crc32(id as text) mod 5 = 0 are never used. Of repeated ids, and of repeated labels, the least is.
-    Without labelled rows of both classes the score is 1 for everything, so nothing is rejected."""
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a column of token lists, and n + 1 offsets into them."""
+    return lists.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+
+
+def tokenised(docs: DataFrame, keep: dict, text_col: str = "text", buckets: int = 1 << 14) -> DataFrame:
+    """Staged: the columns of ``keep`` (name: column) and ``tokens``, the rows of the table for the text's tokens."""
+
+    def run(column: pa.Array) -> pa.Array:
+        out = []
+        for batch in slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text", 2 << 20):
+            found, offs = tokens(batch.column(0), buckets)
+            out.append(pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(found.astype(np.int16))))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int16()))
+
+    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return staged(docs.select(*[c.alias(k) for k, c in keep.items()], F.arrow_udf(run, "array<smallint>")(text).alias("tokens")))
+
+
+def train(seen: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = 6000, buckets: int = 1 << 14) -> Model:
+    """``seen``: of ``tokenised``, with the column ``id_col``. Rows with crc32(id as text) mod 5 = 0 are never learnt from,
+    but their texts count for the context vectors, which know no labels. Of repeated ids, and of repeated labels, the
+    least is taken. Without labelled rows of both classes the score is 1 for everything, so nothing is rejected."""
     clean = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
-    picked = clean.groupBy(id_col).agg(F.min(label_col).alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
-    rows = docs.filter(F.col(id_col).isNotNull()).select(id_col, F.col(text_col).alias("text")).join(picked, id_col).groupBy(id_col).agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    picked = clean.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    rows = seen.select(F.col(id_col).alias("id"), "tokens").join(F.broadcast(picked), "id").groupBy("id").agg(F.min("tokens").alias("tokens"), F.min("y").alias("y"))
     index = index_vectors(buckets)
+    columns = [f"v{k}" for k in range(DIM)]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Context sums of a task, as the rows that aren't zero."""
-        total = np.zeros_like(index)
-        for batch in slices(batches, "text"):
-            total += context_vectors(batch.column(0), index)
+        total = np.zeros(index.shape, np.int64)
+        for batch in batches:
+            total += context_sums(*_flat(batch.column(0)), index)
         at = np.flatnonzero(total.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([r.tobytes() for r in total[at].astype(np.float32)], pa.binary())], ["bucket", "v"])
-
-    def featured(context: np.ndarray):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text"):
-                x = features(batch.column(1), index, context).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2)], ["h", "x", "y"])
-
-        return run
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[at, k]) for k in range(DIM))], ["bucket", *columns])
 
-    from .common import staged
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = features(*_flat(batch.column(1)), index, context).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2)], ["h", "x", "y"])
 
-    sample = staged(rows.select(F.xxhash64(F.lit(3), id_col).alias("h"), F.coalesce("text", F.lit("")).alias("text"), F.col("y").cast("int").alias("y")))
-    sums = sample.select("text").mapInArrow(partial, "bucket int, v binary")
+    sums = seen.select("tokens").mapInArrow(partial, f"bucket int, {', '.join(f'{c} bigint' for c in columns)}")
+    total = sums.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in columns])
     context = np.zeros((buckets, DIM), np.float32)
-    for part in sums.toLocalIterator():  # at most ``buckets`` rows a task of a bounded sample
-        context[part["bucket"]] += np.frombuffer(part["v"], np.float32)
+    for part in total.toArrow().to_batches():  # ``buckets`` rows at most, of DIM numbers
+        context[part.column(0).to_numpy()] = np.stack([part.column(k + 1).to_numpy() for k in range(DIM)], 1)
     context /= np.linalg.norm(context, axis=1, keepdims=True) + 1e-6
-    got = sorted((r["h"], r["x"], r["y"]) for r in sample.mapInArrow(featured(context), "h bigint, x binary, y int").collect())  # ``max_rows`` rows at most
+    sample = rows.select(F.xxhash64(F.lit(3), "id").alias("h"), "tokens", F.col("y").cast("int").alias("y"))
+    got = sorted((r["h"], r["x"], r["y"]) for r in sample.mapInArrow(featured, "h bigint, x binary, y int").collect())  # ``max_rows`` rows at most
     x = np.array([np.frombuffer(r[1], np.float32) for r in got], np.float32).reshape(len(got), 2 * DIM + 1).astype(np.float64)
     y = np.array([r[2] for r in got], np.int64)
     if len(set(y.tolist())) < 2:
@@ -213,19 +247,19 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def score(docs: DataFrame, model: Model, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """``id_cols`` and score (0 to 1) of every row.
+def score(seen: DataFrame, model: Model) -> DataFrame:
+    """The columns of ``seen`` (of ``tokenised``) without its tokens, and score (0 to 1) of every row.
 
-    Null and empty texts have the features of no words and a score like any other. Null and repeated ids and
-    repeated rows have a score each. An empty table gives an empty result; further columns are not read.
+    Null and empty texts have the features of no words and a score like any other; of a very long text all words count.
+    Null and repeated ids and repeated rows have a score each. An empty table gives an empty result; columns are those
+    that were kept.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: 2 tables of buckets x DIM
+    shared = seen.sparkSession.sparkContext.broadcast(model)  # of fixed size: 2 tables of buckets x DIM
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(lists: pa.Array) -> pa.Array:
         m = shared.value
-        for batch in slices(batches, text_col, 2 << 20):
-            got = m.score(features(batch.column(batch.schema.get_field_index(text_col)), m.index, m.context).astype(np.float64))
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in id_cols]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.asarray(got, np.float64))], [*id_cols, "score"])
+        bucket, offs = _flat(lists)
+        return pa.array(m.score(features(bucket, offs, m.index, m.context).astype(np.float64)), pa.float64())
 
-    return docs.select(*id_cols, text_col).mapInArrow(run, f"{id_fields(docs, id_cols)}, score double")
+    run.__annotations__ = {"lists": pa.Array, "return": pa.Array}
+    return seen.select(*[F.col(f"`{c}`") for c in seen.columns if c != "tokens"], F.arrow_udf(run, "double")(F.col("tokens")).alias("score"))
