@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import codes, slices, staged, text_bytes
+from .common import codes, slices, small_side, staged, text_bytes
 from .lines import _space
 
 #: A word that ends a sentence: one of these marks, and closing quotes or brackets after it (fixed value).
@@ -155,10 +155,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     seen = staged(_units(docs, id_col, text_col, min_words))
     each = seen.select(F.col(id_col).alias("id"), "row", F.explode("units").alias("u")).select("id", "row", "u.*")
     often = each.groupBy("h1").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > 1).select("h1")
-    met = staged(each.join(often, "h1", "left_semi"))
+    met = staged(each.join(small_side(staged(often), 32), "h1", "left_semi"))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "row", "start", "end")
     first = met.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("kept"), (F.min("row") != F.max("row")).alias("shared")).filter(F.col("times") > 1)
     first = first.select("h1", "h2", "shared", F.col("kept.row").alias("kept_row"), F.col("kept.start").alias("kept_start"), F.col("kept.end").alias("kept_end"), F.col("kept.id").alias("kept_id"))
+    first = small_side(staged(first), 96)
     own = F.col("row") == F.col("kept_row")
     met = met.drop("id").join(first, ["h1", "h2"])
     again = ~own | (F.col("start") != F.col("kept_start"))
