@@ -5,13 +5,17 @@ from __future__ import annotations
 from .decontaminate import LOWER, UPPER
 from .license_scan import TEMPLATES
 from .unit_dedup import SENTENCE_END, STRETCH
-from .url_filter import BLOCKED, RULES
+from .url_filter import RULES, blocked_globs
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]+"
 _ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def _quoted(x: str) -> str:
+    return x.replace("'", "''")
+
+
 def _fold(x: str) -> str:
     return f"translate({x}, '{UPPER}', '{LOWER}')"
 
@@ -44,7 +48,7 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 
 OP5 = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-n AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())}) AS v(name, text)),
+n AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{_quoted(v)}')" for k, v in TEMPLATES.items())}) AS v(name, text)),
 units AS (SELECT rid, unnest(string_split(text, chr(10))) AS u, true AS is_line FROM d UNION ALL SELECT rid, text, false FROM d),
 uw AS (SELECT rid, is_line, regexp_extract_all({_fold("u")}, '{_ITEM_WORD}') AS w FROM units),
 ub AS (SELECT rid, is_line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM uw WHERE len(w) > 1),
@@ -60,7 +64,6 @@ SELECT doc_id, name AS license, coalesce(round(dice, 6), 0) AS dice, coalesce(ln
 FROM d LEFT JOIN (SELECT * FROM m WHERE rank = 1) USING (rid) LEFT JOIN ln USING (rid)
 """
 
-_LIST_END = SENTENCE_END.replace("'", "''")
 OP6 = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 x AS (SELECT rid, regexp_extract_all(text, '{_SPACE}|{_WORD}') AS t FROM d),
@@ -68,7 +71,7 @@ k0 AS (SELECT rid, unnest(t) AS x, generate_subscripts(t, 1) AS k FROM x),
 k1 AS (SELECT *, sum(length(x)) OVER (PARTITION BY rid ORDER BY k) AS e FROM k0),
 w AS (SELECT rid, {_fold("x")} AS w, e - length(x) AS s, e, row_number() OVER (PARTITION BY rid ORDER BY k) AS p, count(*) OVER (PARTITION BY rid) AS n
   FROM k1 WHERE NOT regexp_matches(x, '^{_SPACE}')),
-m AS (SELECT *, p = n OR regexp_matches(w, '{_LIST_END}') AS fin FROM w),
+m AS (SELECT *, p = n OR regexp_matches(w, '{_quoted(SENTENCE_END)}') AS fin FROM w),
 y AS (SELECT *, coalesce(sum(fin::INT) OVER (PARTITION BY rid ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM m),
 c AS (SELECT *, fin OR (count(*) OVER (PARTITION BY rid, sentence) > {STRETCH} AND substr(md5(w), 2, 1) IN ('0', '8')) AS cut FROM y),
 q AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY rid ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM c),
@@ -139,7 +142,7 @@ OP9 = rf"""
 WITH p AS (SELECT page_id, {_fold("regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 r AS (SELECT *, CASE {" ".join(f"{_rule(r)} '{r}'" for r, _ in _LONGEST)} END AS rule FROM p)
 SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in _LONGEST)}
-  WHEN {" OR ".join(f"host || path LIKE '{_like(g)}'" for g in BLOCKED)} THEN 'block' ELSE 'allow' END AS verdict FROM r
+  WHEN {" OR ".join(f"host || path LIKE '{_like(g)}'" for g in blocked_globs())} THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
 OP10 = rf"""

@@ -43,8 +43,8 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    out = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    seen = quality.tokenised(documents(spark, sf_dir), {"doc_id": F.col("doc_id")})
+    out = quality.score(seen, quality.train(seen, table(spark, sf_dir, "labels")))
     return out.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= QUALITY_FROM, 1).otherwise(0).alias("predicted"))
 
 

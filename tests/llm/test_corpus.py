@@ -134,7 +134,7 @@ def test_bpe_equals_library(docs, empty):
     assert bpe_chunks.encode_decode(empty, path).count() == 0
 
 
-ODD = ["<|endoftext|>", "<|startoftext|>", "<|endof", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\u00a0", "\u3000", "e\u0301", "\u0301", "İ", "Σ", "ǅ", "don't", "I'LL", "'s", "数据", "Ａ", "½", "١٢", "123", "x1y", "€%", "👍🏽", "</s>", "<s>", "▁", "\x00"]
+ODD = ["<|endoftext|>", "<|startoftext|>", "<|endof", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\u00a0", "\u3000", "e\u0301", "\u0301", "İ", "Σ", "ǅ", "don't", "I'LL", "'s", "数据", "Ａ", "½", "١٢", "123", "x1y", "€%", "👍🏽", "</s>", "<s>", "▁", "\x00", "пример", "слово", "가 나", "か な", "字 字", "अ ा", "ß ö"]
 
 
 @settings(max_examples=150, deadline=None)
@@ -187,14 +187,76 @@ def test_quality_held_out(spark):
     assert len(held) > 50 and np.mean([a == b for a, b in held]) > 0.93
 
 
+    score, y = (np.array(x) for x in zip(*[(r["score"], labels[r["doc_id"]]) for r in out if r["held_out"] and r["doc_id"] in labels]))
+    bins = np.minimum((score * 10).astype(int), 9)
+    error = sum(abs(score[bins == b].mean() - y[bins == b].mean()) * (bins == b).mean() for b in set(bins.tolist()))
+    assert error < 0.06  # expected calibration error on the held-out fold
+
+
+def quality_labels(docs, spark, value):
+    return docs.select("doc_id", value.cast("int").alias("quality"))
+
+
 def test_quality_odd_rows(spark, docs, empty):
-    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
-    model = quality.train(docs, labels)
-    out = quality.score(docs, model, ("doc_id", "source")).collect()
+    labels = quality_labels(docs, spark, F.col("doc_id") % 2)
+    seen = quality.tokenised(docs, {"doc_id": F.col("doc_id"), "score": F.col("source"), "tokens_": F.col("h")})
+    model = quality.train(seen, labels)
+    out = quality.score(seen.drop("score"), model).collect()
     assert len(out) == docs.count() and all(0 <= r["score"] <= 1 for r in out)
-    assert quality.score(empty, model).count() == 0
+    none = quality.tokenised(empty, {"doc_id": F.col("doc_id")})
+    assert quality.score(none, model).count() == 0 and quality.train(none, labels).temperature == 1
     for few in (labels.limit(0), labels.withColumn("quality", F.lit(1))):
-        assert all(r["score"] > 0.99 for r in quality.score(docs, quality.train(docs, few)).collect())
+        assert all(r["score"] > 0.99 for r in quality.score(seen.drop("score"), quality.train(seen, few)).collect())
+
+
+def test_quality_brute_force(spark):
+    """Tokens, context vectors and features in plain Python; the gradient against differences; the temperature."""
+    import xxhash
+
+    texts = ["Two words here. two WORDS here", "", "a a a b", "É1 $$ Ok", " \n", sentences(random.Random(1), 50)]
+    buckets = 1 << 10
+    index = quality.index_vectors(buckets)
+    place = lambda t: xxhash.xxh32_intdigest(t.encode()) % buckets
+    lists = []
+    for t in texts:
+        found, before = [], None
+        for w in re.findall(r"[^ \t\n\x0b\x0c\r]+", t):
+            if w == before:
+                found.append(place("\x01AGAIN"))
+            else:
+                for x in re.findall(r"[^\W\d_]+|\d|[^\w\s]|_", w):
+                    found += [place("\x01UP"), place(x.lower())] if len(x) > 1 and x.isupper() else [place(x.lower())]
+            before = w
+        lists.append(found)
+    got, offs = quality.tokens(pa.array(texts), buckets)
+    assert [got[a:b].tolist() for a, b in zip(offs, offs[1:])] == lists
+    want = np.zeros_like(index)
+    for f in lists:
+        for k, t in enumerate(f):
+            for j in range(max(0, k - quality.WINDOW), min(len(f), k + quality.WINDOW + 1)):
+                if j != k:
+                    want[t] += index[f[j]]
+    assert (quality.context_sums(got, offs, index) == want).all()
+    x = quality.features(got, offs, index, want)
+    for k, f in enumerate(lists):
+        rows = [np.hstack([index[t], want[t]]) for t in f]
+        assert np.allclose(x[k], [*(np.mean(rows, 0) if f else np.zeros(2 * quality.DIM)), np.log1p(len(f))], atol=1e-4)
+    seen = quality.tokenised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), {"doc_id": F.col("doc_id")}, buckets=buckets)
+    model = quality.train(seen, spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, quality int"), buckets=buckets)
+    assert np.allclose(model.context, want / (np.linalg.norm(want, axis=1, keepdims=True) + 1e-6), atol=1e-6)  # over all documents
+    rng = np.random.default_rng(3)
+    z, t = rng.normal(size=(40, 6)), rng.integers(0, 2, 40)
+    p = [rng.normal(size=(6, 5)), rng.normal(size=5), rng.normal(size=5), rng.normal(size=1)]
+    loss = lambda q: np.logaddexp(0, -np.where(t > 0, 1, -1) * quality.logits(q, z)).mean() + 0.5e-4 * ((q[0] ** 2).sum() + (q[2] ** 2).sum())
+    for k, grad in enumerate(quality.gradients(p, z, t)):
+        for at in np.ndindex(p[k].shape):
+            more, less = [a.copy() for a in p], [a.copy() for a in p]
+            more[k][at] += 1e-6
+            less[k][at] -= 1e-6
+            assert abs((loss(more) - loss(less)) / 2e-6 - grad[at]) < 1e-5
+    logit = rng.normal(size=4000) * 3
+    y = (rng.random(4000) < 1 / (1 + np.exp(-logit / 2))).astype(int)
+    assert 1.7 < quality.temperature_of(logit, y) < 2.4
 
 
 def test_unit_dedup(docs, empty):
@@ -344,12 +406,11 @@ def brute_classes(rows, threshold=0.8):
 
 
 def test_near_duplicates_brute_force(spark, docs, empty):
-    for df, block in ((docs, 256), (docs, 1), (spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 256)):
-        out = near_dups.near_duplicates(df, block=block).cache()
+    for df, block in ((docs, 4 << 20), (docs, 3000), (spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 4 << 20)):
+        out = near_dups.near_duplicates(df, block_bytes=block).cache()
         want = brute_classes([(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()])
         assert Counter((r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in out.collect()) == want
     assert near_dups.near_duplicates(empty).count() == 0
-    assert near_dups.near_duplicates(docs, broadcast_rows=0).count() == docs.count()
 
 
 def test_near_duplicates_large_group(spark):
@@ -361,8 +422,35 @@ def test_near_duplicates_large_group(spark):
         changed[rng.randrange(200)] = f"w{k}"
         rows.append((k, " ".join(changed)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    out = near_dups.near_duplicates(df, block=40).collect()
-    assert Counter(tuple(r[c] for c in ("doc_id", "class_id", "n_links", "n_copies")) for r in out) == brute_classes(rows)
+    for step, block in ((2, 60_000), (4, 4 << 20)):
+        out = near_dups.near_duplicates(df, step=step, block_bytes=block).collect()
+        assert Counter(tuple(r[c] for c in ("doc_id", "class_id", "n_links", "n_copies")) for r in out) == brute_classes(rows)
+
+
+def test_near_duplicates_cluster_of_5000(spark):
+    rng = random.Random(3)
+    words = sentences(rng, 120).split()
+    rows = []
+    for k in range(5000):  # each differs in one word at one of 60 places: all are at 0.8 or more
+        changed = list(words)
+        changed[2 * (k % 60)] = f"w{k}"
+        rows.append((k, " ".join(changed)))
+    out = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(out) == 5000 and {(r["class_id"], r["n_links"]) for r in out} == {(0, 4999)}
+
+
+def test_forest_shortens_prefixes_of_texts_short_of_matches(spark):
+    assert near_dups.forest_depth(0.8, 32, 12, 0.995) == 8 and 0.88 < near_dups.sure_similarity(12, 32) < 0.9
+    h = np.random.default_rng(0).integers(0, 1 << 63, 400, dtype=np.uint64)
+    long = near_dups.labels(h, np.array([0, 200, 400]), 4, 12)
+    assert (near_dups.labels(h, np.array([0, 200, 400]), 4, 12) == long).all() and long.shape == (2, 4, 12)
+    tag = lambda x: [x] * 32
+    rows = [(0, tag(b"aabbcc")), (1, tag(b"aabbcc")), (2, tag(b"aabbdd")), (3, tag(b"xxyyzz"))]
+    own = spark.createDataFrame([(r, [bytearray(t) for t in ts]) for r, ts in rows], "row long, tags array<binary>")
+    pairs = lambda done, depth: sorted(map(tuple, near_dups._candidates(own, done, depth).collect()))
+    assert pairs(None, 3) == [(1, 0)] and pairs(None, 2) == [(1, 0), (2, 0)]
+    done = lambda *k: spark.createDataFrame([(x,) for x in k], "member long")
+    assert pairs(done(0, 1, 2), 2) == [] and pairs(done(0, 1), 2) == [(1, 0), (2, 0)]
 
 
 def test_keep_first(docs, empty):
@@ -372,6 +460,12 @@ def test_keep_first(docs, empty):
     assert kept.count() == classes.filter("first").count()
     assert near_dups.keep_first(kept).count() == kept.count()
     assert near_dups.keep_first(empty).count() == 0
+    clash = docs
+    for c in ("id", "who", "k1", "_id", "_key", "_k", "first", "text_"):
+        clash = clash.withColumn(c, F.lit(c))
+    again = near_dups.keep_first(clash)
+    assert again.columns == clash.columns and again.count() == kept.count()
+    assert Counter(r["text"] for r in again.collect()) == Counter(r["text"] for r in kept.collect())
 
 
 def glob_match(pattern: str, text: str) -> bool:
@@ -379,9 +473,9 @@ def glob_match(pattern: str, text: str) -> bool:
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text("ab*?", max_size=70), min_size=1, max_size=5), st.lists(st.text("ab", max_size=80), min_size=1, max_size=5))
+@given(st.lists(st.text("abé数*?", max_size=70), min_size=1, max_size=5), st.lists(st.text("abé数👍", max_size=80), min_size=1, max_size=5))
 def test_globs(patterns, texts):
-    got = url_filter.Globs(patterns).match([t.encode() for t in texts])
+    got = url_filter.Globs(patterns).match(texts)
     assert got.tolist() == [[glob_match(p, t) for p in patterns] for t in texts]
 
 
@@ -393,6 +487,10 @@ def test_url_odd_rows(spark):
     con.register("pages", pages.toArrow())
     compare(url_filter.judge_urls(pages), con, queries.SQL["op9_url_filter"])
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
+    globs = url_filter.globs_of(spark.createDataFrame([("*/b?c",), (None,), ("",), ("*/b?c",), ("é*",)], "glob string"))
+    assert globs == ["*/b?c", "é*"] and url_filter.Globs(url_filter.blocked_globs()).words > 20
+    few = spark.createDataFrame([(0, "http://x.com/bßc"), (1, "http://x.com/bc"), (2, "http://é.com/"), (3, "http://x.com/b👍c")], "page_id long, url string")
+    assert [r["verdict"] for r in url_filter.judge_urls(few, rules=[], blocked=globs).orderBy("page_id").collect()] == ["block", "allow", "block", "block"]
 
 
 def test_site_spread(docs, empty):
@@ -431,13 +529,23 @@ def test_site_spread_options(spark, empty):
 def test_licenses(spark, empty):
     rng = random.Random(8)
     mit = license_scan.TEMPLATES["MIT"]
-    rows = [(0, None), (1, ""), (2, sentences(rng, 300)), (3, f"{sentences(rng, 50)}\n{mit.upper()}\n{sentences(rng, 50)}"), (3, "All rights reserved."), (None, mit), (5, "word " * 40_000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rows = [(0, None), (1, ""), (2, sentences(rng, 300)), (3, f"{sentences(rng, 50)}\n{mit.upper()}\n{sentences(rng, 50)}"), (3, "All rights reserved."), (None, mit), (None, mit), (5, "word " * 40_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit("mine")).withColumn("dice", F.lit(7)).withColumn("row", F.lit(1))
     out = license_scan.scan(df).collect()
-    assert Counter((r["doc_id"], r["license"]) for r in out) == Counter([(0, None), (1, None), (2, None), (3, "MIT"), (3, "ALL-RIGHTS-RESERVED"), (None, "MIT"), (5, None)])
+    want = [(0, None, 0.0, 0), (1, None, 0.0, 0), (2, None, 0.0, 0), (3, "MIT", 1.0, 1), (3, "ALL-RIGHTS-RESERVED", 1.0, 1), (None, "MIT", 1.0, 1), (None, "MIT", 1.0, 1), (5, None, 0.0, 0)]
+    assert Counter((r["doc_id"], r["license"], r["dice"], r["n_matches"]) for r in out) == Counter(want)
     assert license_scan.scan(empty).count() == 0
 
 
+def test_whole_licences_wrapped_in_files(spark):
+    rng = random.Random(12)
+    wrap = lambda text, n: "\n".join(" ".join(text.split()[k : k + n]) for k in range(0, len(text.split()), n))
+    names = [n for n in license_scan.TEMPLATES if n.endswith("-text")]
+    rows = [(k, f"# {sentences(rng, 20)}\nCopyright 2020 Acme\n{wrap(license_scan.TEMPLATES[n], 7 + k % 5)}\n{sentences(rng, 60)}") for k, n in enumerate(names)]
+    out = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[k]["license"].removesuffix("-text") for k in range(len(names))] == [n.removesuffix("-text") for n in names] and all(out[k]["dice"] == 1 for k in out)
+
+
 GPL_HEADER = """# This program is free software: you can redistribute it and/or modify
 # it under the terms of the GNU General Public License as published by
 # the Free Software Foundation, either version 3 of the License, or

@@ -25,20 +25,20 @@ def words(text: str) -> list[str]:
 
 
 def spread_lines(rows: list[tuple]) -> list[tuple]:
-    sites = defaultdict(set)
     norm = lambda line: " ".join(words(line.translate(FOLD)))
-    for _, text, source in rows:
-        for line in (text or "").split("\n"):
-            sites[norm(line)].add(source)
-    out = []
-    for i, text, source in rows:
-        lines = (text or "").split("\n")
-        bad = [bool(words(x)) and len(sites[norm(x)]) > 10 for x in lines]
-        lost = sum(len(words(x)) for x, b in zip(lines, bad, strict=True) if b)
-        if text is not None and any(bad) and lost <= 0.5 * len(words(text)):
-            text = "\n".join(x for x, b in zip(lines, bad, strict=True) if not b)
-        out.append((i, text, source))
-    return out
+
+    def spread(voters, among=None):
+        sites = defaultdict(set)
+        for _, text, source in voters:
+            for line in (text or "").split("\n"):
+                if words(line) and (among is None or norm(line) in among):
+                    sites[norm(line)].add(source)
+        return {line for line, s in sites.items() if len(s) > 10}
+
+    first = spread(rows)
+    share = lambda text: sum(len(words(x)) for x in (text or "").split("\n") if norm(x) in first) <= 0.5 * len(words(text or ""))
+    bad = spread([r for r in rows if share(r[1])], first)
+    return [(i, text if text is None else "\n".join(x for x in text.split("\n") if norm(x) not in bad), source) for i, text, source in rows]
 
 
 def one_of_near_copies(rows: list[tuple]) -> list[tuple]:
@@ -77,8 +77,8 @@ def uncontaminated(rows: list[tuple], items: list[str]) -> list[tuple]:
 
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    good = quality.score(docs, model, ("doc_id", "text", "source")).filter(F.col("score") >= queries.QUALITY_FROM)
+    seen = quality.tokenised(docs, {c: F.col(c) for c in ("doc_id", "text", "source")})
+    good = quality.score(seen, quality.train(seen, spark.read.parquet(f"{SF}/labels.parquet"))).filter(F.col("score") >= queries.QUALITY_FROM)
     rows = sorted((r["doc_id"], r["text"], r["source"]) for r in good.collect())
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     want = uncontaminated(one_of_near_copies(spread_lines(rows)), items)
@@ -91,12 +91,28 @@ def test_pipeline(spark):
     assert len(got) == len(expected) > 50 and set(got) == expected
 
 
-def test_stages_keep_columns_and_odd_rows(spark):
+def test_stages_keep_columns_and_odd_rows(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
     odd = docs.limit(3).withColumn("text", F.lit(None).cast("string")).unionByName(docs.limit(2).withColumn("text", F.lit(""))).unionByName(docs.limit(2)).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("bigint")))
-    for frame in (docs.unionByName(odd).withColumn("extra", F.lit(1)).withColumn("h", F.lit("x")), docs.limit(0)):
+    long = docs.limit(1).withColumn("text", F.concat_ws("\n", F.transform(F.sequence(F.lit(0), F.lit(20_000)), lambda k: F.concat(F.lit("line of words number "), k.cast("string"))))).withColumn("doc_id", F.lit(10**6))
+    frame = docs.unionByName(odd).unionByName(long)
+    for c in ("extra", "h", "_id", "_k", "_key", "row", "score", "tokens", "n_removed_lines", "who", "first", "id", "k1"):
+        frame = frame.withColumn(c, F.lit(c))
+    for frame in (frame, docs.limit(0)):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, frame, SF)
             assert out.columns == frame.columns, name
             assert out.count() <= frame.count()
+            if "row" in frame.columns:
+                assert all(r[c] == c for r in out.collect() for c in ("row", "_k", "_key", "score", "n_removed_lines", "id"))
+                assert out.filter("doc_id = 1000000").count() == 1 or name == "quality classifier", name
         assert corpus_pipeline.STAGES[-1][1](spark, frame, SF).count() == frame.count()
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    odd.unionByName(docs.limit(8)).unionByName(docs.limit(8)).withColumn("extra", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert 0 < len(out) <= 12 and len({r["doc_id"] for r in out if r["doc_id"] is not None}) >= len(out) - 1
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/none/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
