@@ -24,9 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_fields, slices, text_bytes
+from .common import id_fields, slices, text_bytes, worker_cache
 
-_workers: dict = {}
 _WINDOW, _SPACES = 8, " \n\t\r"
 MASK_BITS = 4
 
@@ -176,9 +175,7 @@ def _edges(n: int, offs: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _worker(path: str, mask_bits: int) -> ChunkEncoder:
-    if (path, mask_bits) not in _workers:
-        _workers[path, mask_bits] = ChunkEncoder(path, mask_bits)
-    return _workers[path, mask_bits]
+    return worker_cache(f"bpe {mask_bits} {path}", lambda: ChunkEncoder(path, mask_bits))
 
 
 def encode_decode(

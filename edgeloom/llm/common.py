@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -13,29 +15,40 @@ from pyspark.sql import functions as F
 from ..scratch import remove, write
 
 
+T = TypeVar("T")
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _batch_settings(spark: SparkSession) -> dict[str, str]:
+    """Settings for Arrow batches of 8 MB and 2,000 rows at most, where the session's are higher (0 or less: no bound)."""
+    most = {BATCH_BYTES: 8 << 20, BATCH_ROWS: 2000}
+    now = {k: int(spark.conf.get(k, str(1 << 30)).rstrip("b")) for k in most}
+    return {k: str(v) for k, v in most.items() if not 0 < now[k] <= v}
 
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of 8 MB at most, whatever the texts' lengths; a lower setting of the session stays, and the
-    session has its own setting again afterwards."""
-    before = spark.conf.get(BATCH_BYTES, "67108864")
-    if int(before.rstrip("b")) <= 8 << 20:
-        yield
-        return
-    spark.conf.set(BATCH_BYTES, str(8 << 20))
+    """Small Arrow batches for a while, whatever the texts' lengths; the session has its own settings again afterwards."""
+    new = _batch_settings(spark)
+    before = {k: spark.conf.get(k, None) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(BATCH_BYTES, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for a registered query or the pipeline. These are applications, so they set Arrow batches to 8 MB for their
-    session; operators given a DataFrame leave the session's setting as it is."""
-    if int(spark.conf.get(BATCH_BYTES, "67108864").rstrip("b")) > 8 << 20:
-        spark.conf.set(BATCH_BYTES, str(8 << 20))
+    """A table for a registered query or the pipeline. These are applications, so they set small Arrow batches for their
+    session; operators given a DataFrame leave the session's settings as they are."""
+    for k, v in _batch_settings(spark).items():
+        spark.conf.set(k, v)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -61,7 +74,20 @@ def drop_staged(spark: SparkSession, path: str) -> None:
     remove(spark, path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+_held: list = ["", None]
+
+
+def worker_cache(owner: str, make: Callable[[], T]) -> T:
+    """What an operator keeps in a Python worker from batch to batch. Workers live on through other operators' tasks, so
+    one operator's cache at a time is held: the next one that asks takes its place."""
+    if _held[0] != owner:
+        _held[1] = None
+        gc.collect()
+        _held[:] = [owner, make()]
+    return _held[1]
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows of about ``max_bytes`` of text; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import codes, drop_staged, slices, small_side, staged, staged_at, text_bytes
+from .common import codes, drop_staged, slices, small_side, staged, staged_at, text_bytes, worker_cache
 from .graph import components
 from .lines import _space
 
@@ -107,7 +107,8 @@ def labels(h: np.ndarray, offs: np.ndarray, trees: int, depth: int) -> np.ndarra
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, trees: int, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        worker_cache("near_dups", dict)  # nothing to keep, and nothing of others
+        for batch in slices(batches, "text"):
             h, offs = shingles(batch.column(4))
             n = np.diff(offs)
             place = _mix((np.arange(len(h)) - np.repeat(offs[:-1], n)).astype(np.uint64) + np.uint64(1))
@@ -220,7 +221,7 @@ def _verify(threshold: float):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted distinct shingles of the texts."""
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text"):
         h, offs = shingles(batch.column(4))
         doc = np.repeat(np.arange(batch.num_rows), np.diff(offs))
         at = np.lexsort((h, doc))

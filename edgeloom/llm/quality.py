@@ -28,10 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged, text_bytes
+from .common import slices, staged, text_bytes, worker_cache
 
 DIM, NONZERO, WINDOW = 32, 4, 2
-_known: dict[str, list[int]] = {}  # hashes of a word's tokens
 _strip = re.compile(r"[^\W\d_]+|\d|[^\w\s]|_")
 
 
@@ -87,13 +86,14 @@ def tokens(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     places = np.concatenate([before[at], [int(inside.sum())]]).astype(np.int32)
     d = pa.StringArray.from_buffers(len(at), pa.py_buffer(places), pa.py_buffer(buf[inside])).dictionary_encode()
     which = d.indices.to_numpy(zero_copy_only=False)
-    if len(_known) > 150_000:
-        _known.clear()
+    known: dict[str, list[int]] = worker_cache("quality", dict)  # hashes of a word's tokens
+    if len(known) > 150_000:
+        known.clear()
     lists = []
     for word in d.dictionary.to_pylist():
-        found = _known.get(word)
+        found = known.get(word)
         if found is None:
-            found = _known[word] = [xxhash.xxh32_intdigest(t.encode()) for t in _pieces(word)]
+            found = known[word] = [xxhash.xxh32_intdigest(t.encode()) for t in _pieces(word)]
         lists.append(found)
     lists.append([xxhash.xxh32_intdigest(b"\x01AGAIN")])
     again = np.zeros(len(at), bool)
@@ -132,8 +132,8 @@ def context_sums(bucket: np.ndarray, offs: np.ndarray, index: np.ndarray) -> np.
     out = np.zeros(index.shape, np.int64)
     small = index.astype(np.int8)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    for start in range(0, len(bucket), 500_000):  # bounded memory, whatever the texts' lengths
-        at = np.arange(start, min(len(bucket), start + 500_000))
+    for start in range(0, len(bucket), 250_000):  # bounded memory, whatever the texts' lengths
+        at = np.arange(start, min(len(bucket), start + 250_000))
         near = np.zeros((len(at), index.shape[1]), np.int8)
         for k in (*range(-WINDOW, 0), *range(1, WINDOW + 1)):
             other = np.clip(at + k, 0, len(bucket) - 1)
@@ -185,9 +185,15 @@ def fit_network(x: np.ndarray, y: np.ndarray, cal: np.ndarray, hidden: int = 24,
     return mean, scale, p[0], p[1], p[2], float(p[3][0]), temperature
 
 
-def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a column of token lists, and n + 1 offsets into them."""
-    return lists.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+def _flat(lists: pa.Array, most: int = 250_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of a column of token lists, and n + 1 offsets into them, by runs of texts of about ``most`` tokens (a longer
+    text stands alone)."""
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+    start = 0
+    while start < len(lists):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, side="right")) - 1)
+        yield lists.slice(start, stop - start).flatten().to_numpy().astype(np.int64), ends[start : stop + 1] - ends[start]
+        start = stop
 
 
 def tokenised(docs: DataFrame, keep: dict, text_col: str = "text", buckets: int = 1 << 14) -> DataFrame:
@@ -195,7 +201,7 @@ def tokenised(docs: DataFrame, keep: dict, text_col: str = "text", buckets: int
 
     def run(column: pa.Array) -> pa.Array:
         out = []
-        for batch in slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text", 2 << 20):
+        for batch in slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text", 1 << 20):
             found, offs = tokens(batch.column(0), buckets)
             out.append(pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(found.astype(np.int16))))
         return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int16()))
@@ -219,13 +225,14 @@ def train(seen: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
         """Context sums of a task, as the rows that aren't zero."""
         total = np.zeros(index.shape, np.int64)
         for batch in batches:
-            total += context_sums(*_flat(batch.column(0)), index)
+            for bucket, offs in _flat(batch.column(0)):
+                total += context_sums(bucket, offs, index)
         at = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[at, k]) for k in range(DIM))], ["bucket", *columns])
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(*_flat(batch.column(1)), index, context).astype(np.float32)
+            x = np.concatenate([features(*part, index, context) for part in _flat(batch.column(1))] or [np.zeros((0, 2 * DIM + 1))]).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2)], ["h", "x", "y"])
 
     sums = seen.select("tokens").mapInArrow(partial, f"bucket int, {', '.join(f'{c} bigint' for c in columns)}")
@@ -258,8 +265,8 @@ def score(seen: DataFrame, model: Model) -> DataFrame:
 
     def run(lists: pa.Array) -> pa.Array:
         m = shared.value
-        bucket, offs = _flat(lists)
-        return pa.array(m.score(features(bucket, offs, m.index, m.context).astype(np.float64)), pa.float64())
+        each = [m.score(features(*part, m.index, m.context).astype(np.float64)) for part in _flat(lists)]
+        return pa.array(np.concatenate(each) if each else [], pa.float64())
 
     run.__annotations__ = {"lists": pa.Array, "return": pa.Array}
     return seen.select(*[F.col(f"`{c}`") for c in seen.columns if c != "tokens"], F.arrow_udf(run, "double")(F.col("tokens")).alias("score"))

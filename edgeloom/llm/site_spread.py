@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged
+from .common import slices, staged, worker_cache
 from .lines import Lines
 
 _LINE = "struct<pos:int,h1:bigint,h2:bigint,words:int>"
@@ -24,6 +24,7 @@ _LINE = "struct<pos:int,h1:bigint,h2:bigint,words:int>"
 def _lines(column: pa.Array) -> pa.Array:
     """The lines with a word of each text: place, two hashes, words."""
     out = []
+    worker_cache("site_spread", dict)  # nothing to keep, and nothing of others
     for batch in slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text"):
         view = Lines(batch.column(0))
         h1, h2 = view.hashes(0, 1)
