@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import codes, slices, small_side, staged, text_bytes
+from .common import codes, slices, staged, text_bytes, worker_cache
 from .lines import _space
 
 #: A word that ends a sentence: one of these marks, and closing quotes or brackets after it (fixed value).
@@ -32,7 +32,6 @@ SENTENCE_END = r"[.!?。！？][\"')\]]*$"
 STRETCH, ONE_OF = 20, 8
 _end = re.compile(SENTENCE_END)
 _base = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
-_known: dict[str, tuple[bool, bool, int, int]] = {}
 
 
 def _word(word: str) -> tuple[bool, bool, int, int]:
@@ -85,13 +84,14 @@ def passages(column: pa.Array, min_words: int) -> tuple[np.ndarray, ...]:
     low = buf[inside]
     low = np.where((low >= 65) & (low <= 90), low + 32, low).astype(np.uint8)
     which, distinct = codes(pa.StringArray.from_buffers(len(at), pa.py_buffer(places), pa.py_buffer(low)))
-    if len(_known) > 150_000:
-        _known.clear()
+    known: dict[str, tuple[bool, bool, int, int]] = worker_cache("passages", dict)
+    if len(known) > 150_000:
+        known.clear()
     each = []
     for w in distinct.to_pylist():
-        got = _known.get(w)
+        got = known.get(w)
         if got is None:
-            got = _known[w] = _word(w)
+            got = known[w] = _word(w)
         each.append(got)
     full, chosen, h1, h2 = (np.array(x, kind)[which] for x, kind in zip(zip(*each, strict=True), (bool, bool, np.uint64, np.uint64), strict=True))
     first = np.searchsorted(at, offs)
@@ -111,7 +111,7 @@ def passages(column: pa.Array, min_words: int) -> tuple[np.ndarray, ...]:
 
 def _units(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             n, start, end, h1, h2 = passages(batch.column(2), min_words)
             fields = {"start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32()), "h1": pa.array(h1), "h2": pa.array(h2)}
             units = pa.ListArray.from_arrays(pa.array(n, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
@@ -155,11 +155,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     seen = staged(_units(docs, id_col, text_col, min_words))
     each = seen.select(F.col(id_col).alias("id"), "row", F.explode("units").alias("u")).select("id", "row", "u.*")
     often = each.groupBy("h1").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > 1).select("h1")
-    met = staged(each.join(small_side(staged(often), 32), "h1", "left_semi"))
+    met = staged(each.join(staged(often), "h1", "left_semi"))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "row", "start", "end")
     first = met.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("kept"), (F.min("row") != F.max("row")).alias("shared")).filter(F.col("times") > 1)
     first = first.select("h1", "h2", "shared", F.col("kept.row").alias("kept_row"), F.col("kept.start").alias("kept_start"), F.col("kept.end").alias("kept_end"), F.col("kept.id").alias("kept_id"))
-    first = small_side(staged(first), 96)
+    first = staged(first)  # a table of its own, so that adaptive execution can split a hot digest
     own = F.col("row") == F.col("kept_row")
     met = met.drop("id").join(first, ["h1", "h2"])
     again = ~own | (F.col("start") != F.col("kept_start"))
