@@ -152,3 +152,103 @@ def circumradius(a: Column, b: Column, c: Column) -> Column:
 
 def shape_attributes(ring: Column) -> dict[str, Column]:
     return {"area": ring_area(ring), "perimeter": perimeter(ring), "centroid": centroid(ring), "bbox": bbox(ring), "len": F.size(ring), "vertices": ring}
+
+
+def point_on_segment(a: Column, b: Column, p: Column, tolerance: float = 1e-12) -> Column:
+    """p if it lies on segment ab, else null."""
+    return F.when(segment_point_dist(a, b, p)["dist"] <= tolerance, p)
+
+
+def rectangle_contains(box: Column, p: Column) -> Column:
+    """Whether p is in a box or on its edge."""
+    return p["x"].between(box["left"], box["right"]) & p["y"].between(box["lower"], box["upper"])
+
+
+def touches_rectangle(p: Column, box: Column) -> Column:
+    """1 where p is in a box or on its edge, else 0."""
+    return rectangle_contains(box, p).cast("int")
+
+
+def rectangle(left: Column, lower: Column, right: Column, upper: Column) -> Column:
+    return F.struct(left.alias("left"), lower.alias("lower"), right.alias("right"), upper.alias("upper"))
+
+
+def rectangle_measures(box: Column) -> dict[str, Column]:
+    width, height = box["right"] - box["left"], box["upper"] - box["lower"]
+    return {"width": width, "height": height, "area": width * height, "centre": F.struct(((box["left"] + box["right"]) / 2).alias("x"), ((box["lower"] + box["upper"]) / 2).alias("y"))}
+
+
+def moved_to(box: Column, centre: Column) -> Column:
+    """The box with another centre."""
+    m = rectangle_measures(box)
+    return rectangle(centre["x"] - m["width"] / 2, centre["y"] - m["height"] / 2, centre["x"] + m["width"] / 2, centre["y"] + m["height"] / 2)
+
+
+def scaled(box: Column, factor: Column) -> Column:
+    """The box grown by a factor about its centre."""
+    m = rectangle_measures(box)
+    w, h = m["width"] * factor / 2, m["height"] * factor / 2
+    return rectangle(m["centre"]["x"] - w, m["centre"]["y"] - h, m["centre"]["x"] + w, m["centre"]["y"] + h)
+
+
+def ray_segment_intersection(o: Column, p: Column, a: Column, b: Column) -> Column:
+    """The common point of segment ab and the ray from o through p, or null: the ray is cut beyond the segment's ends."""
+    reach = F.greatest(points_dist(a, o), points_dist(b, o)) + 1
+    ratio = F.try_divide(reach, points_dist(o, p))
+    return segments_intersection(a, b, o, F.struct((o["x"] + ratio * (p["x"] - o["x"])).alias("x"), (o["y"] + ratio * (p["y"] - o["y"])).alias("y")))
+
+
+def line(m: Column, b: Column) -> Column:
+    """The line y = m x + b."""
+    return F.struct(m.alias("m"), b.alias("b"))
+
+
+def line_y(ln: Column, x: Column) -> Column:
+    return ln["m"] * x + ln["b"]
+
+
+def line_x(ln: Column, y: Column) -> Column:
+    """Null for a level line."""
+    return F.try_divide(y - ln["b"], ln["m"])
+
+
+def segment_line(a: Column, b: Column) -> Column:
+    """The line through a segment; null slope and intercept if it is vertical (then x is a's)."""
+    m = F.try_divide(b["y"] - a["y"], b["x"] - a["x"])
+    return F.struct(m.alias("m"), (a["y"] - m * a["x"]).alias("b"), F.when(b["x"] == a["x"], a["x"]).alias("x"))
+
+
+def segment_swap(a: Column, b: Column) -> Column:
+    return F.struct(b.alias("a"), a.alias("b"))
+
+
+def segment_turn(a: Column, b: Column, p: Column) -> Column:
+    """1 where p lies counter-clockwise of segment ab, -1 clockwise, 0 on its line."""
+    return F.signum(orientation(a, b, p)).cast("int")
+
+
+def chain_segments(chain: Column) -> Column:
+    return F.zip_with(F.slice(chain, 1, F.size(chain) - 1), F.slice(chain, 2, F.size(chain)), lambda p, q: F.struct(p.alias("a"), q.alias("b")))
+
+
+def lonlat(points: Column) -> Column:
+    """Points as (lat, lon) from (lon, lat), or back: the two coordinates change places."""
+    return F.transform(points, lambda p: F.struct(p["y"].alias("x"), p["x"].alias("y")))
+
+
+def from_geojson(text: Column) -> Column:
+    """Parts of a GeoJSON geometry or feature: a point's or line's positions as one part, rings of polygons without their
+    closing position; null for other texts."""
+    shape = F.coalesce(F.get_json_object(text, "$.geometry"), text)
+    kind, body = F.get_json_object(shape, "$.type"), F.get_json_object(shape, "$.coordinates")
+    xy = lambda c: F.struct(c[0].alias("x"), c[1].alias("y"))
+    open_ = lambda r: F.slice(F.transform(r, xy), 1, F.greatest(F.size(r) - 1, F.lit(0)))
+    point = F.array(F.array(xy(F.from_json(body, "array<double>"))))
+    lines = F.from_json(body, "array<array<double>>")
+    rings = F.from_json(body, "array<array<array<double>>>")
+    many = F.flatten(F.from_json(body, "array<array<array<array<double>>>>"))
+    return (
+        F.when(kind == "Point", point).when(kind.isin("LineString", "MultiPoint"), F.array(F.transform(lines, xy)))
+        .when(kind == "MultiLineString", F.transform(rings, lambda r: F.transform(r, xy)))
+        .when(kind == "Polygon", F.transform(rings, open_)).when(kind == "MultiPolygon", F.transform(many, open_))
+    )

@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import sphere
 from ..functions.kernels import kernel as kernel_value
 from . import paths
 from .graph import BlockGraph, Graph
-from .joins import band_join, knn_join, sphere_band_join
+from .joins import band_join, knn_join, minkowski, nearest_join, sphere_band_join, sphere_knn_join
 
 
 def _graph(pairs: DataFrame, nodes: DataFrame, weight=None) -> Graph:
@@ -54,48 +56,189 @@ def induce_cliques(graph: Graph, reps: DataFrame) -> Graph:
     return Graph(spread.unionByName(own.select("focal", "neighbor", F.lit(1.0).alias("weight"))), to.select("id"))
 
 
-def knn(points: DataFrame, k: int, p: float = 2, coords=("x", "y"), coplanar: str = "keep", kernel: str | None = None) -> Graph:
-    """k nearest other points, ties to the lesser id. coplanar: keep (co-located points are neighbors at distance 0),
-    raise, or clique."""
+METRICS = {"euclidean": 2, "manhattan": 1, "cityblock": 1, "l1": 1, "l2": 2, "chebyshev": math.inf}
+
+
+def _power(metric: str, p: float) -> float | None:
+    """The Minkowski power of a metric's name; None for haversine."""
+    if metric == "haversine":
+        return None
+    if metric == "minkowski":
+        return p
+    if metric not in METRICS:
+        raise ValueError(f"metric must be minkowski, haversine or one of {', '.join(METRICS)}")
+    return METRICS[metric]
+
+
+def jitter(points: DataFrame, seed: int = 0, coords=("x", "y"), resolution: float = 1e-15) -> DataFrame:
+    """Points that share a place are moved by a random length up to ``resolution`` times the size of their coordinates (and
+    no less than a float can tell apart), in a random direction; others stay. The same seed and partitions give the same
+    places."""
+    shared = F.count(F.lit(1)).over(W.partitionBy(*coords)) > 1
+    size = F.greatest(*[F.abs(F.col(c)) for c in coords], F.lit(1.0)) * (resolution * 1e3)
+    r, turn = F.sqrt(F.rand(seed)) * size, F.rand(seed + 1) * (2 * math.pi)
+    moved = points.withColumns({"_r": r, "_a": turn, "_s": shared})
+    new = {c: F.when(F.col("_s"), F.col(c) + F.col("_r") * f(F.col("_a"))).otherwise(F.col(c)) for c, f in zip(coords, (F.sin, F.cos), strict=False)}
+    return moved.withColumns(new).drop("_r", "_a", "_s")
+
+
+def knn(points: DataFrame, k: int, p: float = 2, coords=("x", "y"), coplanar: str = "keep", kernel: str | None = None, metric: str = "minkowski", seed: int = 0) -> Graph:
+    """k nearest other points, ties to the lesser id. metric: euclidean, manhattan, chebyshev, minkowski (with p), or
+    haversine (columns lon and lat in degrees, distances in km). coplanar: keep (co-located points are neighbors at
+    distance 0), raise, clique, or jitter (with a seed)."""
+    p = _power(metric, p)
+    coords = ("lon", "lat") if p is None else coords
+    if coplanar == "jitter":
+        from ..scratch import write
+
+        points, _ = write(jitter(points, seed, coords))
     if coplanar in ("raise", "clique"):
         reps = representatives(points, coords)
         if coplanar == "raise":
             if not reps.filter("id <> rep").isEmpty():
-                raise ValueError("points share a place; use coplanar='clique' or 'keep'")
+                raise ValueError("points share a place; use coplanar='clique', 'jitter' or 'keep'")
         else:
-            return induce_cliques(knn(reps.filter("id = rep").select("id", *coords), k, p, coords), reps)
-    pairs = knn_join(points, k, coords, p)
+            return induce_cliques(knn(reps.filter("id = rep").select("id", *coords), k, p or 2, coords, metric="haversine" if p is None else "minkowski"), reps)
+    elif coplanar not in ("keep", "jitter"):
+        raise ValueError("coplanar must be keep, raise, clique or jitter")
+    pairs = sphere_knn_join(points, k) if p is None else knn_join(points, k, coords, p)
     return _graph(pairs, points, None if kernel is None else kernel_value(F.col("distance"), math.inf, kernel))
 
 
-def kernel(points: DataFrame, function="gaussian", k: int | None = None, bandwidth: float | None = None, p: float = 2, coords=("x", "y"), taper=True, decay=False, max_pairs: int = 400_000_000) -> Graph:
+def all_pairs(points: DataFrame, p: float | None = 2, coords=("x", "y")) -> DataFrame:
+    """focal, neighbor, distance of all pairs of different points, by its nature a row for each: for point sets of which the
+    square can be afforded. p None: great circles of lon and lat in km."""
+    a = points.select(F.col("id").alias("focal"), *[F.col(c).cast("double").alias(f"a_{c}") for c in coords])
+    b = points.select(F.col("id").alias("neighbor"), *[F.col(c).cast("double").alias(f"b_{c}") for c in coords])
+    ends = [tuple(F.col(f"{n}_{c}") for c in coords) for n in "ab"]
+    d = sphere.harcdist(*ends[0], *ends[1]) if p is None else minkowski(p, *ends)
+    return a.crossJoin(b).filter("focal <> neighbor").select("focal", "neighbor", d.alias("distance"))
+
+
+def quantile(df: DataFrame, column: str, q: float, parts: int = 4096, most: int = 20_000) -> float | None:
+    """Exact quantile with linear interpolation. The range is narrowed by counting values in equal parts of it, a partial
+    aggregate each time, until ``most`` values at most are left to sort; so no task holds all values."""
+    v = F.col(column)
+    low, high, n = df.agg(F.min(v), F.max(v), F.count(v)).first()
+    if not n:
+        return None
+    rank = q * (n - 1)
+    wanted = {math.floor(rank), math.ceil(rank)}
+    before = 0  # values under the range
+    for _ in range(40):
+        width = (high - low) / parts
+        if n <= most or width <= 0 or low + width == low:
+            break
+        place = F.least(F.greatest(F.floor((v - low) / width), F.lit(0)), F.lit(parts - 1))
+        counts = {r[0]: r[1] for r in df.filter(v.between(low, high)).groupBy(place).count().collect()}  # ``parts`` rows at most
+        seen, hit = before, []
+        for k in sorted(counts):
+            if any(seen <= w < seen + counts[k] for w in wanted):
+                hit.append((k, seen, counts[k]))
+            seen += counts[k]
+        first, last = hit[0], hit[-1]
+        # ends a little wider than the parts, as their edges are rounded
+        new = (max(low, low + (first[0] - 1e-6) * width), min(high, low + (last[0] + 1 + 1e-6) * width))
+        if new == (low, high):
+            break
+        low, high = new
+        inside = df.agg(F.count_if(v < low), F.count_if(v.between(low, high))).first()
+        before, n = inside
+    rows = df.filter(v.between(low, high))
+    if low == high:
+        return float(low)
+    if n > most:  # many equal values: count them by value
+        ranked = sorted((r[0], r[1]) for r in rows.groupBy(v).count().collect())
+        values, seen = {}, before
+        for x, c in ranked:
+            values |= {w: x for w in wanted if seen <= w < seen + c}
+            seen += c
+    else:
+        kept = sorted(r[0] for r in rows.select(v).collect())
+        values = {w: kept[w - before] for w in wanted}
+    a, b = values[math.floor(rank)], values[math.ceil(rank)]
+    return float(a + (b - a) * (rank - math.floor(rank)))
+
+
+def optimal_bandwidth(pairs: DataFrame, function: str, n: int, steps: int = 60) -> float:
+    """The bandwidth up to twice the greatest distance whose kernel values are spread most evenly: the greatest entropy
+    of their histogram over [0, 1] in int(sqrt(n)) bins. A golden-section search; each probe is one partial aggregate."""
+    top = pairs.agg(F.max("distance")).first()[0]
+    bins = max(1, int(n**0.5))
+
+    def loss(h: float) -> float:
+        value = kernel_value(F.col("distance"), h, function, False)
+        place = F.when(value.between(0, 1), F.least(F.floor(value * bins), F.lit(bins - 1)))
+        counts = [r[1] for r in pairs.groupBy(place.alias("b")).count().filter("b IS NOT NULL").collect()]  # ``bins`` rows
+        total = sum(counts)
+        return sum(c / total * math.log(c / total) for c in counts) if total else 0.0
+
+    ratio = (math.sqrt(5) - 1) / 2
+    low, high = 0.0, 2 * float(top or 0)
+    a, b = high - ratio * (high - low), low + ratio * (high - low)
+    fa, fb = loss(a), loss(b)
+    for _ in range(steps):
+        if high - low <= 1e-5 * max(1.0, abs(high)):
+            break
+        if fa <= fb:
+            high, b, fb = b, a, fa
+            a = high - ratio * (high - low)
+            fa = loss(a)
+        else:
+            low, a, fa = a, b, fb
+            b = low + ratio * (high - low)
+            fb = loss(b)
+    return (low + high) / 2
+
+
+def kernel(
+    points: DataFrame, function="gaussian", k: int | None = None, bandwidth: float | str | None = None, p: float = 2, coords=("x", "y"), taper=True, decay=False,
+    metric: str = "minkowski",
+) -> Graph:
     """Kernel weights over the k nearest, or within a bandwidth. Without k and bandwidth, the bandwidth is the lower
-    quartile of all distances, which needs every pair: beyond ``max_pairs`` of them, give a bandwidth."""
+    quartile of all distances; ``auto`` spreads the weights most evenly. Both, and kernels without taper, need every pair
+    by their definition. metric: as in ``knn``."""
+    p = _power(metric, p)
+    coords = ("lon", "lat") if p is None else coords
     if k is not None:
-        pairs = knn_join(points, k, coords, p)
+        pairs = sphere_knn_join(points, k) if p is None else knn_join(points, k, coords, p)
         h = F.lit(float(bandwidth)) if bandwidth is not None else F.col("_h")
         if bandwidth is None:
             pairs = pairs.crossJoin(F.broadcast(pairs.agg(F.max("distance").alias("_h"))))  # one row
-    elif bandwidth is not None and taper is True:
-        pairs, h = band_join(points, points, bandwidth, coords, p).filter("focal <> neighbor"), F.lit(float(bandwidth))
+    elif isinstance(bandwidth, (int, float)) and taper is True:
+        pairs = sphere_band_join(points, points, bandwidth) if p is None else band_join(points, points, bandwidth, coords, p)
+        pairs, h = pairs.filter("focal <> neighbor"), F.lit(float(bandwidth))
     else:
-        n = points.count()
-        if n * n > max_pairs:
-            raise ValueError("too many points for all pairs; give k, or a bandwidth with taper")
-        box = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in coords]).first()
-        pairs = band_join(points, points, sum(float(box[c] or 0) for c in coords) + 1, coords, p).filter("focal <> neighbor")
-        h = F.lit(float(bandwidth)) if bandwidth is not None else F.col("_h")
+        pairs = all_pairs(points, p, coords)
         if bandwidth is None:
-            pairs = pairs.crossJoin(F.broadcast(pairs.agg(F.percentile("distance", F.lit(0.25)).alias("_h"))))  # one row
+            bandwidth = quantile(pairs, "distance", 0.25)
+        elif bandwidth == "auto":
+            bandwidth = optimal_bandwidth(pairs, function, points.count())
+        h = F.lit(None if bandwidth is None else float(bandwidth)).cast("double")
     return _graph(pairs, points, kernel_value(F.col("distance"), h, function, taper, decay))
 
 
 def kernel_from_distances(pairs: DataFrame, nodes: DataFrame, function="gaussian", bandwidth: float | None = None, taper=True, decay=False) -> Graph:
     """Kernel of precomputed distances (focal, neighbor, distance); without a bandwidth, their lower quartile."""
-    h = F.lit(bandwidth) if bandwidth is not None else F.col("_h")
-    if bandwidth is None:
-        pairs = pairs.crossJoin(F.broadcast(pairs.agg(F.percentile("distance", F.lit(0.25)).alias("_h"))))  # one row
-    return _graph(pairs.filter("focal <> neighbor"), nodes, kernel_value(F.col("distance"), h, function, taper, decay))
+    h = quantile(pairs, "distance", 0.25) if bandwidth is None else bandwidth
+    return _graph(pairs.filter("focal <> neighbor"), nodes, kernel_value(F.col("distance"), F.lit(h), function, taper, decay))
+
+
+def nearest(points: DataFrame, others: DataFrame, k: int = 1, p: float = 2, coords=("x", "y"), metric: str = "minkowski") -> DataFrame:
+    """focal (ids of ``points``), neighbor (ids of ``others``) and distance of the k nearest of another set."""
+    from .joins import sphere_nearest_join
+
+    p = _power(metric, p)
+    return sphere_nearest_join(points, others, k) if p is None else nearest_join(points, others, k, coords, p)
+
+
+def reweight(graph: Graph, points: DataFrame, k: int, new_points: DataFrame | None = None, p: float = 2, coords=("x", "y")) -> Graph:
+    """The k nearest anew, with another k or p, or with further points; ``graph`` keeps its own edges."""
+    both = points.select("id", *coords)
+    if new_points is not None:
+        both = both.unionByName(new_points.select("id", *coords))
+    found = knn(both, k, p, coords)
+    return found if graph.transformation == "O" else found.transform(graph.transformation)
 
 
 def h3_rings(pairs: DataFrame, nodes: DataFrame, weight: str = "distance") -> Graph:
@@ -183,8 +326,12 @@ def lattice(spark: SparkSession, nrows: int, ncols: int, criterion: str = "rook"
     return _graph(at.select(F.col("id").alias("focal"), (F.col("nr") * ncols + F.col("nc")).alias("neighbor")), nodes)
 
 
-def raster_contiguity(cells: DataFrame, rook: bool = False, k: int = 1) -> Graph:
-    """cells: id, row, col of the cells with data. Queen or rook contiguity, up to order k."""
+def raster_contiguity(cells: DataFrame, rook: bool = False, k: int = 1, nodata_cells: DataFrame | None = None) -> Graph:
+    """cells: id, row, col of the cells with data. Queen or rook contiguity, up to order k. Steps to higher orders go through
+    cells with data, and, where ``nodata_cells`` (row, col) are given, through those too."""
+    if nodata_cells is not None and k > 1:
+        lone = nodata_cells.select((-1 - F.xxhash64("row", "col").bitwiseAND(F.lit((1 << 62) - 1))).alias("id"), "row", "col")
+        return raster_contiguity(cells.select(F.col("id").cast("bigint"), "row", "col").unionByName(lone), rook, k).subgraph(cells.select(F.col("id").cast("bigint")))
     steps = ROOK if rook else ROOK + BISHOP
     a = cells.select(F.col("id").alias("focal"), "row", "col", F.explode(F.array(*[F.struct(F.lit(x).alias("r"), F.lit(y).alias("c")) for x, y in steps])).alias("s"))
     a = a.select("focal", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
@@ -192,6 +339,41 @@ def raster_contiguity(cells: DataFrame, rook: bool = False, k: int = 1) -> Graph
     return g if k == 1 else g.higher_order(k, lower_order=True)
 
 
+def lattice_polygons(spark: SparkSession, nrows: int, ncols: int) -> DataFrame:
+    """id and parts of unit squares, id row * ncols + column; ``sources.binary`` writes them as a shapefile."""
+    cells = spark.range(nrows * ncols).select("id", F.floor(F.col("id") / ncols).cast("double").alias("y"), (F.col("id") % ncols).cast("double").alias("x"))
+    corner = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    return cells.select("id", F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1))).alias("parts"))
+
+
+def test_raster(spark: SparkSession, layers: int = 3, rows: int = 4, cols: int = 4, nodata: float = -32768.0, missing: bool = True, seed: int = 12345) -> DataFrame:
+    """layer, row, col and value of a made-up raster; with ``missing``, about a quarter of its cells hold ``nodata``."""
+    at = spark.range(layers * rows * cols)
+    value = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(255)) + 1).cast("double")
+    gone = F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(4)) == 0
+    layer, rest = F.floor(F.col("id") / (rows * cols)), F.col("id") % (rows * cols)
+    return at.select(layer.cast("int").alias("layer"), F.floor(rest / cols).cast("int").alias("row"), (rest % cols).cast("int").alias("col"), (F.when(gone, nodata).otherwise(value) if missing else value).alias("value"))
+
+
+def check_raster(raster: DataFrame) -> None:
+    """An error unless a raster has whole row and col, a numeric value, and one cell for each place."""
+    kinds = dict(raster.dtypes)
+    if any(kinds.get(c) not in ("tinyint", "smallint", "int", "bigint") for c in ("row", "col")):
+        raise ValueError("a raster has the whole numbers row and col")
+    if kinds.get("value") not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        raise ValueError("a raster has a numeric value")
+    if not raster.groupBy(*[c for c in ("layer", "row", "col") if c in kinds]).count().filter("count > 1").isEmpty():
+        raise ValueError("a raster has one value for each cell")
+
+
+def raster_cells(raster: DataFrame, layer: int | None = None, nodata: float | None = None) -> DataFrame:
+    """id (row by row from 0), row, col and value of the cells of a layer that hold data."""
+    r = raster if layer is None else raster.filter(F.col("layer") == layer)
+    box = r.agg((F.max("col") + 1).alias("_n"))  # one row
+    r = r.filter(F.col("value").isNotNull() if nodata is None else F.col("value").isNotNull() & (F.col("value") != nodata))
+    return r.crossJoin(F.broadcast(box)).select((F.col("row").cast("bigint") * F.col("_n") + F.col("col")).alias("id"), "row", "col", "value")
+
+
 # flows and networks
 
 
@@ -225,7 +407,7 @@ def vector_weights(flows: DataFrame, threshold: float, binary: bool = True, alph
 
 def attach_islands(graph: Graph, points: DataFrame, coords=("x", "y")) -> Graph:
     """Link each isolate to its nearest point, both ways, weight 1."""
-    near = knn_join(points, 1, coords).join(graph.isolates().withColumnRenamed("id", "focal"), "focal", "left_semi").select("focal", "neighbor")
+    near = nearest_join(points.join(graph.isolates(), "id", "left_semi"), points, 1, coords, others=True).select("focal", "neighbor")
     both = near.unionByName(near.select(F.col("neighbor").alias("focal"), F.col("focal").alias("neighbor"))).distinct()
     fresh = both.join(graph.links(), ["focal", "neighbor"], "left_anti").withColumn("weight", F.lit(1.0))
     return Graph(graph.links().unionByName(fresh), graph.nodes)

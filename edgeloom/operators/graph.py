@@ -24,6 +24,18 @@ def with_isolates(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.select("focal", "neighbor", "weight").unionByName(lone.select("focal", F.col("focal").alias("neighbor"), F.lit(0.0).alias("weight")))
 
 
+def numbered(nodes: DataFrame) -> DataFrame:
+    """id and ord, its place from 0 in the order of ids: sorted by ranges, and numbered from each range's first place, so
+    that no task sees all rows."""
+    from ..scratch import write
+
+    rows, _ = write(nodes.select("id").orderBy("id").withColumn("part", F.spark_partition_id()))
+    size = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = size.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # a row for each partition
+    own = F.row_number().over(W.partitionBy("part").orderBy("id"))
+    return rows.withColumn("own", own).join(F.broadcast(before), "part").select("id", (F.col("before") + F.col("own") - 1).cast("bigint").alias("ord"))
+
+
 class Graph:
     def __init__(self, edges: DataFrame, nodes: DataFrame | None = None, transformation: str = "O"):
         missing = {"focal", "neighbor", "weight"} - set(edges.columns)
@@ -83,6 +95,39 @@ class Graph:
         a, b = nodes.select(F.col("ord").alias("i"), F.col("id").alias("focal")), nodes.select(F.col("ord").alias("j"), F.col("id").alias("neighbor"))
         return cls(cells.join(a, "i").join(b, "j").select("focal", "neighbor", F.col("w").alias("weight")), nodes)
 
+    @classmethod
+    def from_networkx(cls, spark: SparkSession, graph, weight: str | None = "weight") -> Graph:
+        """From an object with the networkx interface: links of undirected graphs go both ways. ``weight`` None: 1."""
+        rows = []
+        for a, b, data in graph.edges(data=True):
+            if weight is not None and weight not in data:
+                raise ValueError(f"the link {a!r}, {b!r} has no {weight!r}")
+            w = 1.0 if weight is None else float(data[weight])
+            rows += [(a, b, w)] if graph.is_directed() or a == b else [(a, b, w), (b, a, w)]
+        ids = list(graph.nodes)
+        kind = "bigint" if all(isinstance(i, int) for i in ids) else "string"
+        text = (lambda i: i) if kind == "bigint" else str
+        e = spark.createDataFrame([(text(a), text(b), w) for a, b, w in rows], f"focal {kind}, neighbor {kind}, weight double")
+        return cls(e, spark.createDataFrame([(text(i),) for i in ids], f"id {kind}"))
+
+    def node_link(self) -> dict:
+        """The graph as the dictionary of the node-link exchange format; made on the driver, for small graphs."""
+        e = [r.asDict() for r in self.links().orderBy("focal", "neighbor").collect()]
+        return {
+            "directed": not self.asymmetry().isEmpty(), "multigraph": False, "graph": {},
+            "nodes": [{"id": r["id"]} for r in self.unique_ids().collect()], "links": [{"source": r["focal"], "target": r["neighbor"], "weight": r["weight"]} for r in e],
+        }
+
+    def to_networkx(self):
+        """A networkx graph (directed if weights differ between directions); needs that library."""
+        import networkx
+
+        data = self.node_link()
+        out = networkx.DiGraph() if data["directed"] else networkx.Graph()
+        out.add_nodes_from(n["id"] for n in data["nodes"])
+        out.add_weighted_edges_from((x["source"], x["target"], x["weight"]) for x in data["links"])
+        return out
+
     def _like(self, edges: DataFrame, transformation: str | None = None) -> Graph:
         return Graph(edges, self.nodes, transformation or "O")
 
@@ -92,7 +137,7 @@ class Graph:
 
     def to_sparse(self) -> DataFrame:
         """i, j, w by the place of each id in the order of ids."""
-        place = self.nodes.select("id", (F.row_number().over(W.orderBy("id")) - 1).cast("bigint").alias("ord"))
+        place = numbered(self.nodes)
         e = self.edges.filter("weight <> 0")
         return e.join(place.select(F.col("id").alias("focal"), F.col("ord").alias("i")), "focal").join(place.select(F.col("id").alias("neighbor"), F.col("ord").alias("j")), "neighbor").select("i", "j", F.col("weight").alias("w"))
 
@@ -156,9 +201,12 @@ class Graph:
 
     # lag and neighborhood statistics
 
-    def lag(self, y: DataFrame, value: str = "y", categorical: bool | None = None, ties: str = "raise") -> DataFrame:
+    def lag(self, y: DataFrame, value: str = "y", categorical: bool | None = None, ties: str = "raise", seed: int = 0) -> DataFrame:
         """id and lag. y: id and ``value``. Text and boolean values give the most frequent label of the neighbors.
-        ties: raise; lowest; tryself (the own label breaks a tie, then the lowest)."""
+        ties: raise; lowest; tryself (the own label breaks a tie, then the lowest); random (by a hash of the id, the label
+        and ``seed``, so the same seed gives the same labels)."""
+        if ties not in ("raise", "lowest", "tryself", "random"):
+            raise ValueError("ties must be raise, lowest, tryself or random")
         if categorical is None:
             categorical = dict(y.dtypes)[value] in ("string", "boolean")
         v = y.select(F.col("id").alias("neighbor"), F.col(value).alias("y"))
@@ -169,7 +217,7 @@ class Graph:
         tally = joined.groupBy("focal", "y").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("focal") == F.col("neighbor")).cast("int")).alias("has_self"))
         top = tally.groupBy("focal").agg(F.max("n").alias("n"), F.max("has_self").alias("has_self"))
         best = tally.select("focal", "y", "n").join(top, ["focal", "n"]).join(own, "focal", "left")
-        score = F.when((F.col("y") == F.col("own")) & (F.col("has_self") == 0), 0).otherwise(1) if ties == "tryself" else F.lit(0)
+        score = F.when((F.col("y") == F.col("own")) & (F.col("has_self") == 0), 0).otherwise(1) if ties == "tryself" else F.xxhash64(F.lit(seed), "focal", "y") if ties == "random" else F.lit(0)
         out = best.groupBy(F.col("focal").alias("id")).agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(score.alias("s"), "y")).alias("m"))
         if ties == "raise":
             stop = F.raise_error(F.lit("there are ties; choose another way with ties=")).cast(dict(y.dtypes)[value])
@@ -307,8 +355,126 @@ class Graph:
         one = lambda df, c, what: df.agg(F.lit(what).alias("what"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), *[F.percentile(c, F.lit(p)).alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.75)], F.max(c).cast("double").alias("max"))
         return one(self.cardinalities(), "cardinality", "cardinality").unionByName(one(self.links(), "weight", "weight"))
 
+    def diag_gtg_gg(self) -> DataFrame:
+        """id and diag: the diagonal of G'G + GG."""
+        return self.diagonals().select("id", (F.col("diag_gg") + F.col("diag_gtg")).alias("diag"))
+
+    def report(self) -> str:
+        """A text of the graph's size, cardinalities, weights, sums and traces."""
+        one = self.properties().first().asDict() | self.summary().first().asDict()
+        one |= {"n_components": self.n_components().first()[0], "n_asymmetries": self.asymmetry().count()}
+        spread = {r["what"]: r.asDict() for r in self.distribution().collect()}
+        line = lambda name, x: f"{name:<34}{x if isinstance(x, str) else f'{x:,.4g}' if isinstance(x, float) else x:>16}"
+        out = ["Graph", "=" * 50]
+        out += [line(n, one[k]) for n, k in (("nodes", "n"), ("links", "n_edges"), ("components", "n_components"), ("isolates", "n_isolates"), ("links over 0", "nonzero"), ("percent of pairs", "pct_nonzero"), ("asymmetries", "n_asymmetries"))]
+        for what, title in (("cardinality", "Cardinalities"), ("weight", "Weights")):
+            out += [title, "-" * 50, *[line(k, v) for k, v in spread[what].items() if k != "what"]]
+        out += ["Sums and traces", "-" * 50, *[line(k, one[k]) for k in ("s0", "s1", "s2", "trace_gg", "trace_gtg", "trace_gtg_gg")]]
+        return "\n".join(out)
+
+    def edge_lines(self, points: DataFrame, focal=None) -> DataFrame:
+        """focal, neighbor, weight and the ends of each link (x0, y0, x1, y1), for a map or plot; of one focal id or all."""
+        links = self.links() if focal is None else self.links().filter(F.col("focal") == F.lit(focal))
+        at = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+        return links.join(at.toDF("focal", "x0", "y0"), "focal").join(at.toDF("neighbor", "x1", "y1"), "neighbor")
+
+    def plot(self, points: DataFrame, focal=None, width: int = 600, nodes: bool = True, most: int = 100_000) -> str:
+        """An SVG picture of the links between points; made on the driver, so ``most`` links at most."""
+        lines = self.edge_lines(points, focal)
+        if lines.count() > most:
+            raise ValueError(f"over {most} links; draw a subgraph, or use edge_lines()")
+        rows, dots = lines.collect(), points.collect()
+        if not dots:
+            return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{width}"/>'
+        left, low = min(p["x"] for p in dots), min(p["y"] for p in dots)
+        scale = (width - 20) / max(max(p["x"] for p in dots) - left, max(p["y"] for p in dots) - low, 1e-12)
+        at = lambda x, y: (round(10 + (x - left) * scale, 2), round(width - 10 - (y - low) * scale, 2))
+        body = ["<line x1='{}' y1='{}' x2='{}' y2='{}'/>".format(*at(r["x0"], r["y0"]), *at(r["x1"], r["y1"])) for r in rows]
+        body += ["<circle cx='{}' cy='{}' r='2'><title>{}</title></circle>".format(*at(p["x"], p["y"]), p["id"]) for p in dots if nodes]
+        return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{width}" stroke="black">{"".join(body)}</svg>'
+
+    def geojson(self, points: DataFrame, focal=None) -> DataFrame:
+        """One GeoJSON feature (text) a link, for web maps."""
+        r = self.edge_lines(points, focal)
+        line = F.struct(F.lit("LineString").alias("type"), F.array(F.array("x0", "y0"), F.array("x1", "y1")).alias("coordinates"))
+        return r.select(F.to_json(F.struct(F.lit("Feature").alias("type"), line.alias("geometry"), F.struct("focal", "neighbor", "weight").alias("properties"))).alias("feature"))
+
+    explore = geojson
+
     # sets
 
+    def isomorphic(self, other: Graph, most: int = 2000) -> bool:
+        """Whether some renaming of nodes makes the graphs' links equal (weights aside). Sizes and degrees are compared by
+        aggregates; what they don't decide is searched on the driver, for ``most`` nodes at most."""
+        shape = lambda g: g.links().groupBy("focal").agg(F.count(F.lit(1)).alias("out")).join(g.links().groupBy(F.col("neighbor").alias("focal")).agg(F.count(F.lit(1)).alias("in")), "focal", "full").na.fill(0).groupBy("out", "in").count()
+        if self.nodes.count() != other.nodes.count() or not shape(self).exceptAll(shape(other)).isEmpty() or not shape(other).exceptAll(shape(self)).isEmpty():
+            return False
+        if self.nodes.count() > most:
+            raise ValueError(f"the graphs have equal degrees; a search is for {most} nodes at most")
+        sets = []
+        for g in (self, other):
+            to, back = {r["id"]: set() for r in g.nodes.collect()}, {r["id"]: set() for r in g.nodes.collect()}
+            for r in g.links().collect():
+                to[r["focal"]].add(r["neighbor"])
+                back[r["neighbor"]].add(r["focal"])
+            sets.append((to, back))
+        colours: list[dict] = [dict.fromkeys(s[0], 0) for s in sets]
+        for _ in range(len(colours[0])):  # refine colours by the neighbors' colours
+            marks = [{i: (c[i], tuple(sorted(c[j] for j in s[0][i])), tuple(sorted(c[j] for j in s[1][i]))) for i in c} for c, s in zip(colours, sets, strict=True)]
+            names = {m: k for k, m in enumerate(sorted({x for m in marks for x in m.values()}))}
+            new = [{i: names[x] for i, x in m.items()} for m in marks]
+            stable = len(set(new[0].values())) == len(set(colours[0].values()))
+            colours = new
+            if sorted(colours[0].values()) != sorted(colours[1].values()):
+                return False
+            if stable:
+                break
+        many: dict = {}
+        for c in colours[0].values():
+            many[c] = many.get(c, 0) + 1
+        order = sorted(colours[0], key=lambda i: (many[colours[0][i]], str(i)))
+        image: dict = {}
+        used: set = set()
+        stack = [iter([j for j in colours[1] if colours[1][j] == colours[0][order[0]]])] if order else []
+        while stack:
+            i = order[len(stack) - 1]
+            used.discard(image.pop(i, None))
+            for j in stack[-1]:
+                fits = j not in used and (i in sets[0][0][i]) == (j in sets[1][0][j])
+                if fits and all((a in sets[0][k][i]) == (b in sets[1][k][j]) for a, b in image.items() for k in (0, 1)):
+                    image[i] = j
+                    used.add(j)
+                    break
+            else:
+                stack.pop()
+                continue
+            if len(image) == len(order):
+                return True
+            nxt = order[len(stack)]
+            stack.append(iter([j for j in colours[1] if colours[1][j] == colours[0][nxt]]))
+        return not order
+
+    def __len__(self) -> int:
+        return self.links().count()
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Graph) and self.equals(other)
+
+    def __ne__(self, other: object) -> bool:
+        return not self == other
+
+    __hash__ = object.__hash__
+
+    def __bool__(self) -> bool:
+        return True
+
+    def to_grid(self, cells: DataFrame, y: DataFrame, nodata: float | None = None, value: str = "y") -> DataFrame:
+        """row, col and value of every cell between the least and greatest row and column; cells without data get ``nodata``."""
+        box = cells.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+        full = box.select(F.explode(F.sequence("r0", "r1")).alias("row"), "c0", "c1").select("row", F.explode(F.sequence("c0", "c1")).alias("col"))
+        held = cells.select("id", "row", "col").join(y.select("id", F.col(value).alias("value")), "id").select("row", "col", "value")
+        return full.join(held, ["row", "col"], "left").select("row", "col", F.coalesce("value", F.lit(nodata)).alias("value") if nodata is not None else F.col("value"))
+
     def intersects(self, other: Graph) -> bool:
         return not self.links().join(other.links(), ["focal", "neighbor"], "left_semi").isEmpty()
 

@@ -47,55 +47,102 @@ def sphere_band_join(left: DataFrame, right: DataFrame, arc: float, radius: floa
     return pairs.withColumn("distance", sphere.linear_to_arc(F.col("distance"), radius)).filter(F.col("distance") <= arc + 1e-9)
 
 
-def _first_radius(spans: list[float], n: int, wanted: float) -> float:
-    """Radius whose box holds ``wanted`` of n evenly spread points; a narrow axis stops counting once it is spanned."""
-    low, high = 0.0, sum(spans) + 1e-9
-    for _ in range(50):
-        r = (low + high) / 2
-        if n * math.prod(min(1.0, 2 * r / s) for s in spans if s > 0) < wanted:
-            low = r
-        else:
-            high = r
-    return high
+def nearest_join(
+    left: DataFrame, right: DataFrame, k: int, coords: tuple[str, ...] = ("x", "y"), p: float = 2, others: bool = False, levels: int = 24,
+) -> DataFrame:
+    """focal (ids of ``left``), neighbor (ids of ``right``) and distance of the k nearest right points of each left one;
+    ties go to the lesser id. others: a point isn't its own neighbor (for a set joined with itself).
+
+    Cells halve their sides from level to level, over the extent of both sets. The right points of every cell of every
+    level are counted by one partial aggregate. A left point takes the finest cell that holds enough right points, so its
+    neighbors are within that cell's diagonal, and is joined once to the cells of that size around it: dense and sparse
+    regions have cells of their own size, and one far point widens no other point's search. Of points at one place only
+    as many as can be neighbors, those with the least ids, are candidates; so a place with a large share of all points
+    makes no quadratic join. The cut to k happens before the shuffle of the ranking.
+    """
+    if k < 1:
+        raise ValueError("k must be 1 or more")
+    need = k + int(others)
+    flat = lambda df: df.select("id", *[F.col(c).cast("double").alias(c) for c in coords])
+    near, far = flat(left), flat(right)
+    box = near.unionByName(far).agg(*[f(c).alias(f"{f.__name__}_{c}") for c in coords for f in (F.min, F.max)]).first()
+    if any(box[f"min_{c}"] is None for c in coords):
+        return near.join(far.select(F.col("id").alias("neighbor")), F.lit(False)).select(F.col("id").alias("focal"), "neighbor", F.lit(0.0).alias("distance"))
+    side = max(max(box[f"max_{c}"] - box[f"min_{c}"] for c in coords), 1e-12) * (1 + 1e-9)
+    size = lambda level: F.lit(side) / F.pow(F.lit(2.0), level)
+    at = lambda level: [F.floor((F.col(c) - box[f"min_{c}"]) / size(level)).cast("bigint").alias(f"k_{c}") for c in coords]
+    keys = ["level", *[f"k_{c}" for c in coords]]
+    far = far.withColumn("place", F.row_number().over(W.partitionBy(*coords).orderBy("id"))).filter(F.col("place") <= need).drop("place")
+    all_levels = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
+    full = far.select(*coords, all_levels).select("level", *at(F.col("level"))).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= need).drop("n")
+    finest = near.select("id", *coords, all_levels).select("id", "level", *at(F.col("level"))).join(full, keys, "left_semi").groupBy("id").agg(F.max("level").alias("own"))
+    up = math.ceil(math.log2(len(coords) ** (0 if p == math.inf else 1 / p)) - 1e-9)  # the diagonal's level
+    asked = near.join(finest, "id", "left").withColumn("level", F.greatest(F.coalesce("own", F.lit(0)) - up, F.lit(0)))
+    asked = asked.select(F.col("id").alias("focal"), "level", *[F.col(c).alias(f"a_{c}") for c in coords], *at(F.col("level")))
+    used = asked.select("level").distinct()  # ``levels`` + 1 rows at most
+    for c in coords:
+        asked = asked.withColumn(f"k_{c}", F.explode(F.sequence(F.col(f"k_{c}") - 1, F.col(f"k_{c}") + 1)))
+    held = far.crossJoin(F.broadcast(used)).select("level", F.col("id").alias("neighbor"), *[F.col(c).alias(f"b_{c}") for c in coords], *at(F.col("level")))
+    d = minkowski(p, tuple(F.col(f"a_{c}") for c in coords), tuple(F.col(f"b_{c}") for c in coords))
+    pairs = asked.join(held, keys).select("focal", "neighbor", d.alias("distance"))
+    if others:
+        pairs = pairs.filter("focal <> neighbor")
+    rank = F.row_number().over(W.partitionBy("focal").orderBy("distance", "neighbor"))
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
 
 
 def knn_join(points: DataFrame, k: int, coords: tuple[str, ...] = ("x", "y"), p: float = 2) -> DataFrame:
-    """focal, neighbor, distance of the k nearest other points of each; ties go to the lesser id.
+    """focal, neighbor, distance of the k nearest other points of each."""
+    return nearest_join(points, points, k, coords, p, others=True)
 
-    The first radius comes from the points' density over their extent. Points whose k-th neighbor isn't within the radius go on with
-    twice the radius, until all are done or the radius spans all points; so sparse regions cost rounds, and dense
-    ones don't pay for them. Rows of a finished round are written to a table."""
-    if k < 1:
-        raise ValueError("k must be 1 or more")
-    spark = points.sparkSession
-    base = points.select("id", *coords)
-    box = base.agg(F.count(F.lit(1)).alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in coords]).first()
-    if box["n"] < 2:
-        return base.select(F.col("id").alias("focal"), F.col("id").alias("neighbor"), F.lit(0.0).alias("distance")).limit(0)
-    spans = [float(box[c]) for c in coords]
-    k_true = min(k, box["n"] - 1)
-    reach = sum(spans) + 1e-9
-    radius = _first_radius(spans, box["n"], 3 * (k_true + 1))
-    todo, found, path = base, None, None
-    while True:
-        pairs = band_join(todo, base, radius, coords, p).filter("focal <> neighbor")
-        rank = F.row_number().over(W.partitionBy("focal").orderBy("distance", "neighbor"))  # cut to k before the shuffle
-        top, _ = write(pairs.withColumn("rank", rank).filter(F.col("rank") <= k_true))
-        done = top.filter(F.col("rank") == k_true).select("focal")
-        ready = top.join(done, "focal", "left_semi").select("focal", "neighbor", "distance")
-        found = ready if found is None else found.unionByName(ready)
-        rest = todo.join(done.select(F.col("focal").alias("id")), "id", "left_anti")
-        if radius > reach or rest.isEmpty():
-            break
-        rest, rest_path = write(rest)
-        if path:
-            remove(spark, path)
-        todo, path = rest, rest_path
-        radius *= 2
-    return found
+
+def _on_sphere(points: DataFrame) -> DataFrame:
+    return points.select("id", sphere.to_xyz(F.col("lon"), F.col("lat")).alias("s")).select("id", "s.*")
 
 
 def sphere_knn_join(points: DataFrame, k: int, radius: float = sphere.RADIUS_EARTH_KM) -> DataFrame:
     """As knn_join for points with lon and lat: chords order points as great circles do."""
-    on = points.select("id", sphere.to_xyz(F.col("lon"), F.col("lat")).alias("s")).select("id", "s.*")
-    return knn_join(on, k, ("x", "y", "z")).withColumn("distance", sphere.linear_to_arc(F.col("distance"), radius))
+    return knn_join(_on_sphere(points), k, ("x", "y", "z")).withColumn("distance", sphere.linear_to_arc(F.col("distance"), radius))
+
+
+def sphere_nearest_join(left: DataFrame, right: DataFrame, k: int, radius: float = sphere.RADIUS_EARTH_KM) -> DataFrame:
+    """As nearest_join for points with lon and lat."""
+    near = nearest_join(_on_sphere(left), _on_sphere(right), k, ("x", "y", "z"))
+    return near.withColumn("distance", sphere.linear_to_arc(F.col("distance"), radius))
+
+
+def segment_nearest_join(points: DataFrame, segments: DataFrame, radius: float | None = None) -> DataFrame:
+    """id, segment_id, distance of the nearest segment (id, p, q: structs of x and y) of each point; ties go to the lesser id.
+
+    Segments lie in the cells of their boxes. The search begins with the cells around a point and goes on, for points
+    that found none near enough, with cells of twice the side; rounds end when all points are done or one cell spans all.
+    """
+    from ..functions import geometry as geo
+
+    box = segments.select("id", "p", "q", *[f(F.col("p")[c], F.col("q")[c]).alias(n) for n, f, c in (("l", F.least, "x"), ("b", F.least, "y"), ("r", F.greatest, "x"), ("t", F.greatest, "y"))])
+    size = box.agg(F.avg(F.greatest(F.col("r") - F.col("l"), F.col("t") - F.col("b"))).alias("mean"), F.count(F.lit(1)).alias("n"), F.min("l").alias("l"), F.max("r").alias("r"), F.min("b").alias("b"), F.max("t").alias("t")).first()
+    if not size["n"]:
+        return points.select("id").join(segments.select(F.col("id").alias("segment_id"), F.lit(0.0).alias("distance")), F.lit(False))
+    span = max(size["r"] - size["l"], size["t"] - size["b"], 1e-9)
+    side = radius or max(size["mean"], span / max(size["n"], 1) ** 0.5, 1e-9)
+    reach = points.agg(F.max(F.greatest(F.abs(F.col("x") - size["l"]), F.abs(F.col("x") - size["r"]), F.abs(F.col("y") - size["b"]), F.abs(F.col("y") - size["t"])))).first()[0] or 0.0
+    todo, found, path = points.select("id", "x", "y"), None, None
+    while True:
+        cover = lambda lo, hi, s=side: F.explode(F.sequence(F.floor(F.col(lo) / s), F.floor(F.col(hi) / s)))
+        held = box.withColumn("cx", cover("l", "r")).withColumn("cy", cover("b", "t")).select("cx", "cy", F.col("id").alias("segment_id"), "p", "q")
+        asked = todo
+        for c, k in (("x", "cx"), ("y", "cy")):
+            asked = asked.withColumn(k, F.explode(F.sequence(F.floor(F.col(c) / side) - 1, F.floor(F.col(c) / side) + 1)))
+        gap = geo.segment_point_dist(F.col("p"), F.col("q"), F.struct("x", "y"))["dist"]
+        best = asked.join(held, ["cx", "cy"]).groupBy("id").agg(F.min(F.struct(gap.alias("distance"), F.col("segment_id"))).alias("m"))
+        top, _ = write(best.select("id", "m.segment_id", "m.distance"))
+        done = top if side > 2 * (span + reach) else top.filter(F.col("distance") <= side)
+        found = done if found is None else found.unionByName(done)
+        rest = todo.join(done.select("id"), "id", "left_anti")
+        if side > 2 * (span + reach) or rest.isEmpty():
+            return found.select("id", "segment_id", "distance")
+        rest, rest_path = write(rest)
+        if path:
+            remove(points.sparkSession, path)
+        todo, path = rest, rest_path
+        side *= 2

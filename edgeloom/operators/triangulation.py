@@ -1,7 +1,8 @@
-"""Delaunay triangulation in one Arrow task, and graphs filtered from it with joins.
+"""Delaunay triangulation by a sweep in one task, and graphs filtered from it with joins.
 
-Triangulating is a single-task algorithm here: ``max_points`` bounds it, and beyond it the builder refuses. Gabriel
-and relative-neighborhood edges are filters over the Delaunay edges and run distributed.
+Triangulating is a single-task algorithm here, in about n ** 1.5 steps: points go in from left to right, and a triangle
+whose circle the sweep has passed is finished and left alone. ``MAX_POINTS`` bounds the task's memory and time, and beyond it
+the builder refuses. Gabriel and relative-neighborhood edges are filters over the Delaunay edges and run distributed.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import kernel as kernel_value
 from .graph import Graph
 
-MAX_POINTS = 20_000
+MAX_POINTS = 1_000_000
 
 
 def delaunay_triangles(xy: np.ndarray) -> np.ndarray:
@@ -27,7 +28,7 @@ def delaunay_triangles(xy: np.ndarray) -> np.ndarray:
         return np.zeros((0, 3), int)
     mid, span = (xy.max(0) + xy.min(0)) / 2, max(float(np.ptp(xy, axis=0).max()), 1e-9)
     pts = np.vstack([(xy - mid) / span, [[0.0, 1e4], [-1e4, -1e4], [1e4, -1e4]]])
-    size = 2 * n + 16
+    size = 4096
     tri, live = np.zeros((size, 3), int), np.zeros(size, bool)
     circle = np.zeros((size, 3))
 
@@ -43,8 +44,16 @@ def delaunay_triangles(xy: np.ndarray) -> np.ndarray:
         circle[k] = (ux, uy, (ax - ux) ** 2 + (ay - uy) ** 2)
 
     put(0, n, n + 1, n + 2)
-    top, free = 1, []
-    for i in np.lexsort((pts[:n, 1], pts[:n, 0])):
+    top, free, finished = 1, [], []
+    for step, i in enumerate(np.lexsort((pts[:n, 1], pts[:n, 0])).tolist()):
+        if step % 256 == 255:  # set aside what the sweep has passed
+            passed = circle[:top, 2] >= 0
+            passed &= circle[:top, 0] + np.sqrt(np.maximum(circle[:top, 2], 0)) < pts[i, 0] - 1e-9
+            finished.append(tri[:top][live[:top] & passed])
+            left = np.flatnonzero(live[:top] & ~passed)
+            top, free = len(left), []
+            tri[:top], circle[:top] = tri[left], circle[left]
+            live[:top], live[top:] = True, False
         gap = (circle[:top, 0] - pts[i, 0]) ** 2 + (circle[:top, 1] - pts[i, 1]) ** 2
         bad = np.flatnonzero(live[:top] & (gap < circle[:top, 2] * (1 - 1e-12)))
         if not len(bad):
@@ -65,7 +74,7 @@ def delaunay_triangles(xy: np.ndarray) -> np.ndarray:
                     if k >= len(tri):
                         tri, live, circle = (np.concatenate([x, np.zeros_like(x)]) for x in (tri, live, circle))
                 put(k, a, b, i)
-    out = tri[:top][live[:top]]
+    out = np.concatenate([*finished, tri[:top][live[:top]]])
     return out[(out < n).all(1)]
 
 
@@ -94,9 +103,28 @@ def delaunay_edges(points: DataFrame) -> DataFrame:
     return sides.join(a, "focal").join(b, "neighbor").withColumn("d2", d2)
 
 
-def triangulation(points: DataFrame, method: str = "delaunay", kernel: str | None = "boxcar", bandwidth: float = math.inf) -> Graph:
-    """delaunay, gabriel or relative_neighborhood; weights by a kernel of the edge's length."""
+def triangulation(
+    points: DataFrame, method: str = "delaunay", kernel: str | None = "boxcar", bandwidth: float = math.inf, coplanar: str = "keep", rook: bool = True, clip="bounding_box", seed: int = 0,
+) -> Graph:
+    """delaunay, gabriel, relative_neighborhood or voronoi (contiguity of clipped cells); weights by a kernel of the edge's
+    length. coplanar: keep (of points at one place one takes part, the others are isolates), raise, clique or jitter."""
     from ..scratch import write
+    from .builders import induce_cliques, jitter, representatives
+
+    if coplanar not in ("keep", "raise", "clique", "jitter"):
+        raise ValueError("coplanar must be keep, raise, clique or jitter")
+    if coplanar == "jitter":
+        points, _ = write(jitter(points, seed))
+    elif coplanar != "keep":
+        reps = representatives(points)
+        if coplanar == "clique":
+            return induce_cliques(triangulation(reps.filter("id = rep").select("id", "x", "y"), method, kernel, bandwidth, "keep", rook, clip), reps)
+        if not reps.filter("id <> rep").isEmpty():
+            raise ValueError("points share a place; use coplanar='clique' or 'jitter'")
+    if method == "voronoi":
+        from .shapes import voronoi_contiguity
+
+        return voronoi_contiguity(points, rook, clip)
 
     e, _ = write(delaunay_edges(points))
     if method == "gabriel":  # no other Delaunay neighbor of the focal point inside the circle over the edge
@@ -106,16 +134,22 @@ def triangulation(points: DataFrame, method: str = "delaunay", kernel: str | Non
         bad = bad.unionByName(bad.select(F.col("neighbor").alias("focal"), F.col("focal").alias("neighbor"))).distinct()
         e = e.join(bad, ["focal", "neighbor"], "left_anti")
     elif method == "relative_neighborhood":  # a point that rules an edge out lies within its length of both ends
-        from .joins import band_join
-
-        reach = e.agg(F.max("d2").alias("d2")).first()["d2"]
-        near = band_join(points, points, math.sqrt(reach or 0.0)).filter("focal <> neighbor AND distance > 0")
-        one, two = near.toDF("focal", "k", "ik"), near.toDF("neighbor", "k", "jk")
-        d = F.sqrt("d2")
-        bad = e.join(one, "focal").filter(F.col("ik") <= d).join(two, ["neighbor", "k"]).filter(F.col("jk") <= d).select("focal", "neighbor").distinct()
+        side = F.sqrt("d2")
+        level = F.ceil(F.log2(side)).cast("int")
+        one = e.filter("focal < neighbor").withColumns({"level": level, "mx": (F.col("fx") + F.col("nx")) / 2, "my": (F.col("fy") + F.col("ny")) / 2})
+        used = one.select("level").distinct()  # powers of two between the shortest and the longest edge
+        cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("bigint")
+        around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+        asked = one.withColumn("cx", around("mx")).withColumn("cy", around("my"))
+        at = points.select(F.col("id").alias("k"), F.col("x").cast("double").alias("kx"), F.col("y").cast("double").alias("ky"))
+        held = at.crossJoin(F.broadcast(used)).withColumn("cx", cell("kx")).withColumn("cy", cell("ky"))
+        gap = lambda n: F.sqrt((F.col(f"{n}x") - F.col("kx")) * (F.col(f"{n}x") - F.col("kx")) + (F.col(f"{n}y") - F.col("ky")) * (F.col(f"{n}y") - F.col("ky")))
+        met = asked.join(held, ["level", "cx", "cy"]).filter("k <> focal AND k <> neighbor").withColumns({"ik": gap("f"), "jk": gap("n")})
+        bad = met.filter((F.col("ik") > 0) & (F.col("jk") > 0) & (F.col("ik") <= side) & (F.col("jk") <= side)).select("focal", "neighbor").distinct()
+        bad = bad.unionByName(bad.select(F.col("neighbor").alias("focal"), F.col("focal").alias("neighbor")))
         e = e.join(bad, ["focal", "neighbor"], "left_anti")
     elif method != "delaunay":
-        raise ValueError("method must be delaunay, gabriel or relative_neighborhood")
+        raise ValueError("method must be delaunay, gabriel, relative_neighborhood or voronoi")
     h = F.lit(float(bandwidth))
     w = F.lit(1.0) if kernel == "boxcar" and bandwidth == math.inf else kernel_value(F.sqrt("d2"), h, kernel or "identity")
     return Graph(e.select("focal", "neighbor", w.alias("weight")), points.select("id"))
@@ -133,6 +167,63 @@ def alpha_faces(points: DataFrame, alpha: float) -> DataFrame:
     return side.groupBy("s").count().filter("count = 1").select("s.a", "s.b")
 
 
+def alpha_polygons(points: DataFrame, alpha: float) -> DataFrame:
+    """part, area and parts of the alpha shape's polygons: an outer ring and its holes. Rings inside an odd number of outer
+    rings are holes of the smallest of them. The boundary edges, far fewer than the points, are joined to rings in one task."""
+    from ..functions import regions
+
+    place = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    e = alpha_faces(points, alpha)
+    e = e.join(place.toDF("a", "ax", "ay"), "a").join(place.toDF("b", "bx", "by"), "b").select("ax", "ay", "bx", "by")
+
+    def rings(pdf: pd.DataFrame) -> pd.DataFrame:
+        ends: dict = {}
+        for ax, ay, bx, by in pdf[["ax", "ay", "bx", "by"]].itertuples(index=False):
+            ends.setdefault((ax, ay), []).append((bx, by))
+            ends.setdefault((bx, by), []).append((ax, ay))
+        found = []
+        for start in sorted(ends):
+            while ends[start]:
+                ring, here = [start], ends[start].pop()
+                ends[here].remove(start)
+                while here != start:
+                    ring.append(here)
+                    nxt = ends[here].pop()
+                    ends[nxt].remove(here)
+                    here = nxt
+                found.append(np.array(ring))
+        inner = [regions._within(r) for r in found]
+        holders = [[j for j, o in enumerate(found) if j != k and regions.inside([o], inner[k])[0]] for k in range(len(found))]
+        outer = [k for k in range(len(found)) if len(holders[k]) % 2 == 0]
+        rows = []
+        for n, k in enumerate(outer):
+            holes = [found[j] for j in range(len(found)) if len(holders[j]) == len(holders[k]) + 1 and k in holders[j]]
+            size = abs(regions.area(found[k])) - sum(abs(regions.area(h)) for h in holes)
+            rows.append((n, size, regions.parts_of([found[k], *holes])))
+        return pd.DataFrame(rows, columns=["part", "area", "parts"])
+
+    return e.groupBy(F.lit(1).alias("all")).applyInPandas(lambda pdf: rings(pdf), "part bigint, area double, parts array<array<struct<x:double,y:double>>>")
+
+
+def bounding_circles(points: DataFrame, alpha: float) -> DataFrame:
+    """a, b (ids of an edge of the alpha shape) and the centre (x, y) of the circle of radius 1 / alpha through both, on the
+    side without points."""
+    place = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    e = alpha_faces(points, alpha).join(place.toDF("a", "ax", "ay"), "a").join(place.toDF("b", "bx", "by"), "b")
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    d = F.sqrt(dx * dx + dy * dy)
+    r = F.lit(1 / alpha)
+    up = F.sqrt(F.greatest(r * r - d * d / 4, F.lit(0.0)))
+    each = e.select("a", "b", "ax", "ay", "bx", "by", F.explode(F.array(F.lit(1.0), F.lit(-1.0))).alias("s"), dx.alias("dx"), dy.alias("dy"), d.alias("d"), up.alias("up"))
+    each = each.withColumns({"x": (F.col("ax") + F.col("bx")) / 2 - F.col("s") * F.col("up") * F.col("dy") / F.col("d"), "y": (F.col("ay") + F.col("by")) / 2 + F.col("s") * F.col("up") * F.col("dx") / F.col("d")})
+    from .joins import band_join
+
+    centres = each.withColumn("id", F.struct("a", "b", "s"))
+    held = band_join(centres, place, (1 / alpha) * (1 - 1e-9)).groupBy("focal").agg(F.count(F.lit(1)).alias("n"))
+    best = centres.join(held, centres["id"] == held["focal"], "left").groupBy("a", "b").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "x", "y")).alias("m"))
+    return best.select("a", "b", "m.x", "m.y")
+
+
 def tightest_radius(xy: np.ndarray, tri: np.ndarray) -> float:
     """Least circumradius bound whose triangles still hold every point and hang together by their sides."""
     a, b, c = (xy[tri[:, k]] for k in range(3))

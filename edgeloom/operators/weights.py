@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import Graph
+from .graph import Graph, numbered
 
 
 class Weights:
@@ -45,6 +45,33 @@ class Weights:
         c = self.cardinalities().agg(F.count(F.lit(1)).alias("n"), F.sum("cardinality").alias("nonzero"), F.max("cardinality").alias("max_neighbors"), F.min("cardinality").alias("min_neighbors"), F.avg("cardinality").alias("mean_neighbors"), F.stddev_pop("cardinality").alias("sd"), F.count_if(F.col("cardinality") == 0).alias("n_islands"))
         return c.withColumn("pct_nonzero", 100.0 * F.col("nonzero") / (F.col("n") * F.col("n")))
 
+    def __iter__(self):
+        """(id, {neighbor: weight}) of each id in order, streamed to the driver."""
+        for r in self.graph.neighbors().orderBy("id").toLocalIterator():
+            yield r["id"], dict(zip(r["neighbors"], r["weights"], strict=True))
+
+    def __getitem__(self, item) -> dict:
+        return {r["neighbor"]: r["weight"] for r in self.graph[item].collect()}
+
+    def places(self) -> DataFrame:
+        """id and ord, its place from 0: in the order of ids."""
+        return numbered(self.graph.nodes)
+
+    @classmethod
+    def from_networkx(cls, spark, graph, weight: str | None = "weight") -> Weights:
+        return cls(Graph.from_networkx(spark, graph, weight))
+
+    def to_networkx(self):
+        return self.graph.to_networkx()
+
+    def set_shapefile(self, name: str, id_variable: str | None = None, full: bool = False) -> Weights:
+        """Remember the file and id column that the weights came from (written into file headers by users)."""
+        self.source = {"name": name if full else name.rpartition("/")[2].rpartition(".")[0] or name, "id_variable": id_variable}
+        return self
+
+    def plot(self, points: DataFrame, **options) -> str:
+        return self.graph.plot(points, **options)
+
     def islands(self) -> DataFrame:
         return self.cardinalities().filter("cardinality = 0").select("id")
 
@@ -71,6 +98,40 @@ class Weights:
         return best.groupBy(F.col("focal").alias("id")).agg(pick.alias("p")).select("id", F.col("p.y").alias("lag"))
 
 
+class SparseWeights:
+    """Weights as cells (i, j, w) by place, with the ids of the places (ord, id)."""
+
+    def __init__(self, cells: DataFrame, ids: DataFrame):
+        bad = cells.select(F.explode(F.array("i", "j")).alias("ord")).distinct().join(ids, "ord", "left_anti")
+        if not bad.isEmpty():
+            raise ValueError("a cell's place has no id")
+        self.cells, self.ids = cells.select("i", "j", F.col("w").cast("double").alias("w")), ids.select("ord", "id")
+
+    @classmethod
+    def from_weights(cls, w: Weights) -> SparseWeights:
+        return cls(w.graph.to_sparse(), w.places())
+
+    def to_weights(self) -> Weights:
+        return Weights(Graph.from_sparse(self.cells, self.ids))
+
+    def diag_gtg_gg(self) -> DataFrame:
+        return Graph.from_sparse(self.cells, self.ids).diag_gtg_gg()
+
+
+def encode_labels(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with code: the place, from 0, of the column's value among its sorted distinct values."""
+    codes = numbered(df.filter(F.col(column).isNotNull()).select(F.col(column).alias("id")).distinct())
+    return df.join(codes.select(F.col("id").alias(column), F.col("ord").alias("code")), column, "left")
+
+
+def combinations(items: DataFrame, n: int = 2) -> DataFrame:
+    """All sets of n different ids, as columns c1 < c2 < ...: by its nature a row for each set."""
+    out = items.select(F.col("id").alias("c1"))
+    for k in range(2, n + 1):
+        out = out.join(items.select(F.col("id").alias(f"c{k}")), F.col(f"c{k - 1}") < F.col(f"c{k}"))
+    return out
+
+
 def filter_adjlist(e: DataFrame, focal: str = "focal", neighbor: str = "neighbor") -> DataFrame:
     """One of (a, b) and (b, a): the one with the lesser focal id."""
     pair = W.partitionBy(F.least(focal, neighbor), F.greatest(focal, neighbor)).orderBy(focal)

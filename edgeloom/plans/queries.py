@@ -217,8 +217,6 @@ add("vertex_queen", lambda s, d: edges(builders.contiguity(squares(s, d), rook=F
 add("perimeter_weights", lambda s, d: edges(builders.contiguity(squares(s, d), by_perimeter=True)), _SQE + "abs(a.x - b.x) + abs(a.y - b.y) = 1")
 add("box_contiguity", lambda s, d: edges(builders.box_contiguity(squares(s, d), buffer=0.6)), _SQE + "greatest(abs(a.x - b.x), abs(a.y - b.y)) <= 2")
 add("travel_cost", lambda s, d: edges(builders.travel_cost(_t(s, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_nationkey").cast("bigint").alias("node")), builders.lattice(s, 5, 5).edges.filter("focal < neighbor").select(F.col("focal").alias("u"), F.col("neighbor").alias("v"), F.lit(1.5).alias("cost")), 3.0)), f"WITH {_SQ} SELECT a.id AS focal, b.id AS neighbor, 1.5::DOUBLE * (abs(a.x - b.x) + abs(a.y - b.y)) AS weight FROM q a JOIN q b ON a.id <> b.id AND abs(a.x - b.x) + abs(a.y - b.y) <= 2")
-add("convex_hull", lambda s, d: triangulation.convex_hull(supplier(s, d)).select("x", "y"))
-add("delaunay", lambda s, d: edges(triangulation.triangulation(EMB(s, d))))
 add("gabriel", lambda s, d: edges(triangulation.triangulation(EMB(s, d), "gabriel")), "WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings) SELECT a.id AS focal, b.id AS neighbor, 1::DOUBLE AS weight FROM p a JOIN p b ON a.id <> b.id WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.id <> a.id AND c.id <> b.id AND (a.x - c.x) ** 2 + (a.y - c.y) ** 2 + (b.x - c.x) ** 2 + (b.y - c.y) ** 2 < (a.x - b.x) ** 2 + (a.y - b.y) ** 2)")
 add("relative_neighborhood", lambda s, d: edges(triangulation.triangulation(EMB(s, d), "relative_neighborhood")), "WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings) SELECT a.id AS focal, b.id AS neighbor, 1::DOUBLE AS weight FROM p a JOIN p b ON a.id <> b.id WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.id <> a.id AND c.id <> b.id AND greatest((a.x - c.x) ** 2 + (a.y - c.y) ** 2, (b.x - c.x) ** 2 + (b.y - c.y) ** 2) <= (a.x - b.x) ** 2 + (a.y - b.y) ** 2)")
 
@@ -227,16 +225,27 @@ add("strict_rook", lambda s, d: edges(polygons.strict_contiguity(squares(s, d)))
 add("strict_queen", lambda s, d: edges(polygons.strict_contiguity(squares(s, d), rook=False)), _SQE + "greatest(abs(a.x - b.x), abs(a.y - b.y)) = 1")
 IN = lambda s, d: _t(s, d, "customer").select(F.col("c_custkey").alias("id"), (F.pmod(F.col("c_custkey") * 37, F.lit(700)) / 100).alias("x"), (F.pmod(F.col("c_custkey") * 53, F.lit(600)) / 100).alias("y"))
 add("points_in_polygons", lambda s, d: polygons.points_in_polygons(IN(s, d), squares(s, d)), f"WITH {_SQ}, c AS (SELECT c_custkey AS id, ((c_custkey * 37) % 700) / 100::DOUBLE AS px, ((c_custkey * 53) % 600) / 100::DOUBLE AS py FROM customer) SELECT c.id, q.id AS polygon_id FROM c JOIN q ON px BETWEEN x AND x + 1 AND py BETWEEN y AND y + 1")
-add("dissolve_sides", lambda s, d: rounded(polygons.dissolve_sides(squares(s, d).withColumn("g", F.col("id") % 5), "g").groupBy("group").agg(F.count(F.lit(1)).alias("sides"), F.sum(F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y"))).alias("length"))), "SELECT v AS \"group\", 12::BIGINT AS sides, 12::DOUBLE AS length FROM range(5) t(v)")
+add("dissolve_sides", lambda s, d: rounded(polygons.dissolve_sides(squares(s, d).withColumn("g", F.col("id") % 5), "g").groupBy("group").agg(F.count(F.lit(1)).alias("sides"), F.sum(F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y"))).alias("length"))), """
+WITH q AS (SELECT n_nationkey % 5 AS x, n_nationkey // 5 AS y, n_nationkey::BIGINT % 5 AS g FROM nation), e AS (SELECT g, x, y, 0 AS v FROM q UNION ALL SELECT g, x, y + 1, 0 FROM q UNION ALL SELECT g, x, y, 1 FROM q UNION ALL SELECT g, x + 1, y, 1 FROM q)
+SELECT g AS "group", count(*) AS sides, count(*)::DOUBLE AS length FROM (SELECT g, x, y, v FROM e GROUP BY ALL HAVING count(*) = 1) GROUP BY g""")
 add("sphere_knn", lambda s, d: sphere_knn_join(LL(s, d), 2).select("focal", F.round("distance", 3).alias("distance")), f"WITH {_LL}, d AS (SELECT a.id AS focal, 2 * asin(sqrt(least(1, sin(radians(a.lat - b.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(a.lon - b.lon) / 2) ** 2))) * 6371 AS d FROM p a JOIN p b ON a.id <> b.id) SELECT focal, round(d, 3) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY focal ORDER BY d) AS r FROM d) WHERE r <= 2")
 add("voronoi_total_area", lambda s, d: rounded(polygons.voronoi_cells(EMB(s, d)).agg(F.count(F.lit(1)).alias("cells"), F.sum(geo.ring_area(F.col("parts")[0])).alias("area"))), "WITH p AS (SELECT embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings) SELECT count(*) AS cells, round((max(x) - min(x)) * (max(y) - min(y)), 6) AS area FROM p")
 DEPOTS = lambda s, d: _t(s, d, "region").select((-1 - F.col("r_regionkey")).cast("bigint").alias("id"), (F.col("r_regionkey") * 2000.0).alias("x"), (F.col("r_regionkey") * 5.0).alias("y"))
-add("spatial_matches", lambda s, d: edges(matching.spatial_matches(DEPOTS(s, d), supplier(s, d))))
+add("spatial_matches", lambda s, d: edges(matching.spatial_matches(DEPOTS(s, d), supplier(s, d))), f"""
+WITH {P}, q AS (SELECT -1 - r_regionkey::BIGINT AS id, r_regionkey * 2000.0::DOUBLE AS x, r_regionkey * 5.0::DOUBLE AS y FROM region),
+c AS (SELECT * FROM (SELECT q.id AS depot, p.id, sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) AS d, row_number() OVER (PARTITION BY q.id ORDER BY (q.x - p.x) ** 2 + (q.y - p.y) ** 2) AS r FROM q, p) WHERE r <= 5),
+m AS (SELECT a.id AS i1, b.id AS i2, e.id AS i3, f.id AS i4, g.id AS i5 FROM c a JOIN c b ON b.depot = -2 AND b.id <> a.id JOIN c e ON e.depot = -3 AND e.id NOT IN (a.id, b.id) JOIN c f ON f.depot = -4 AND f.id NOT IN (a.id, b.id, e.id)
+  JOIN c g ON g.depot = -5 AND g.id NOT IN (a.id, b.id, e.id, f.id) WHERE a.depot = -1 ORDER BY a.d + b.d + e.d + f.d + g.d LIMIT 1),
+n AS (SELECT id FROM p UNION ALL SELECT id FROM q), e0 AS (SELECT unnest([-1, -2, -3, -4, -5])::BIGINT AS focal, unnest([i1, i2, i3, i4, i5]) AS neighbor, 1::DOUBLE AS weight FROM m), {FULL()} {OUT}""")
 
 
 def queries() -> dict:
+    from . import more  # noqa: F401  adds its own
+
     return {name: plan for name, (plan, _) in CATALOG.items()}
 
 
 def sql() -> dict[str, str]:
+    from . import more  # noqa: F401
+
     return {name: text for name, (_, text) in CATALOG.items() if text}

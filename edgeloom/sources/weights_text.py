@@ -181,6 +181,13 @@ READERS = {"gal": read_gal, "gwt": read_gwt, "kwt": read_kwt, "dat": read_dat, "
 WRITERS = {"gal": write_gal, "gwt": write_gwt, "kwt": write_gwt, "dat": write_dat, "mtx": write_mtx, "parquet": write_parquet, "stata_text": write_stata, "geobugs_text": write_geobugs, "arcgis_text": write_arcgis_text}
 
 
+def write_grid_gal(spark: SparkSession, path: str, k: int = 10) -> None:
+    """The GAL file of rook contiguity on a k x k grid."""
+    from ..operators.builders import lattice
+
+    write_gal(lattice(spark, k, k), path)
+
+
 def read(spark: SparkSession, path: str, form: str | None = None) -> Graph:
     """By the file's extension, unless a format is given (``.txt`` needs one)."""
     form = form or path.rstrip("/").rpartition(".")[2].lower()
