@@ -1,5 +1,6 @@
-"""Matching of two point sets with the least total distance: each left point gets k different right points, and a
-right point serves once. A shortest-augmenting-path solver in one task; ``max_points`` bounds it."""
+"""Matching of points with the least total distance: of two sets (each left point gets k different right points, and a right
+point serves once), or within one set (each point gets k others, both ways). Solvers for one task; ``max_points`` bounds
+them, as the best matching is one problem over all points."""
 
 from __future__ import annotations
 
@@ -40,6 +41,72 @@ def assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def half_matching(cost: np.ndarray, banned: frozenset = frozenset(), forced: frozenset = frozenset()) -> np.ndarray | None:
+    """The least-cost matching within one set in which pairs may count half: the symmetric part of the best assignment of
+    the set to itself, which is the optimum of the relaxed problem. Pairs in ``forced`` count whole; None if impossible."""
+    c = cost.copy()
+    big = 1e9 * (1 + np.abs(cost[np.isfinite(cost)]).max(initial=0))
+    np.fill_diagonal(c, big)
+    for i, j in banned:
+        c[i, j] = c[j, i] = big
+    for i, j in forced:
+        kept = c[i, j], c[j, i]
+        c[[i, j], :] = big
+        c[:, [i, j]] = big
+        c[i, j], c[j, i] = kept
+    to = assign(c)
+    if (c[np.arange(len(c)), to] >= big).any():
+        return None
+    x = np.zeros_like(c)
+    x[np.arange(len(c)), to] = 0.5
+    return x + x.T
+
+
+def whole_matching(cost: np.ndarray) -> np.ndarray:
+    """The least-cost matching of an even number of points in pairs: half matchings, with a half pair forced or banned in
+    turn (branch and bound), until the best has none."""
+    best, top, stack = None, np.inf, [(frozenset(), frozenset())]
+    while stack:
+        banned, forced = stack.pop()
+        x = half_matching(cost, banned, forced)
+        if x is None:
+            continue
+        total = float((np.triu(x, 1) * cost).sum())
+        if total >= top - 1e-12:
+            continue
+        half = np.argwhere(np.triu(x == 0.5, 1))
+        if not len(half):
+            best, top = x, total
+            continue
+        pair = tuple(half[0].tolist())
+        stack += [(banned | {pair}, forced), (banned, forced | {pair})]
+    if best is None:
+        raise ValueError("the points can't be matched in pairs")
+    return best
+
+
+def matches_within(points: DataFrame, partial: bool = False, max_points: int = 500) -> Graph:
+    """points: id, x, y. Each point is matched with another one, with the least total distance. An odd number of points needs
+    ``partial``, by which pairs may count half (weight 0.5), as in the relaxed problem."""
+    n = points.count()
+    if n > max_points:
+        raise ValueError(f"matching is a single task; {max_points} points at most")
+    if n % 2 and not partial:
+        raise ValueError("an odd number of points has no matching in pairs; use partial=True")
+    kind = dict(points.dtypes)["id"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        xy, ids = pdf[["x", "y"]].to_numpy(float), pdf["id"].to_numpy()
+        cost = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2))
+        x = half_matching(cost) if partial else whole_matching(cost)
+        i, j = np.nonzero(x)
+        return pd.DataFrame({"focal": ids[i], "neighbor": ids[j], "weight": x[i, j]})
+
+    pairs = points.select("id", "x", "y", F.lit(0).alias("side")).groupBy("side").applyInPandas(run, f"focal {kind}, neighbor {kind}, weight double")
+    return Graph(pairs, points.select("id"))
+
+
 def spatial_matches(left: DataFrame, right: DataFrame, k: int = 1, max_points: int = 2000) -> Graph:
     """left, right: id, x, y, with ids of one kind."""
     n, m = left.count(), right.count()

@@ -8,7 +8,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,23 +20,47 @@ PARTS = f"array<{RING}>"
 PREDICATES = ("intersects", "contains", "within", "touches", "overlaps", "equals", "disjoint", "crosses")
 
 
-def _column(f, kind: str, *columns: Column) -> Column:
-    """A pandas function of polygon columns, given as lists of rings."""
+_POINTS = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+_KINDS = {PARTS: pa.list_(_POINTS), "double": pa.float64(), "boolean": pa.bool_()}
+
 
-    def run(*series: pd.Series) -> pd.Series:
-        return pd.Series([None if any(v is None for v in row) else f(*map(regions.rings_of, row)) for row in zip(*series, strict=True)])
+def _rings(column: pa.Array) -> list:
+    """The rings of each polygon of a column, as arrays; None for a null."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lines = column.flatten()
+    at = lines.flatten()
+    xy = np.stack([at.field(k).to_numpy(zero_copy_only=False).astype(float) for k in (0, 1)], 1) if len(at) else np.zeros((0, 2))
+    cut = lambda x: np.concatenate([[0], np.cumsum(x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).tolist()
+    ring, shape = cut(lines), cut(column)
+    held = [xy[p:q] for p, q in zip(ring, ring[1:])]
+    return [[r for r in held[p:q] if len(r) > 2] if ok else None for p, q, ok in zip(shape, shape[1:], column.is_valid().to_pylist())]
 
+
+def _arrow(f, kind: str, *columns: Column) -> Column:
+    """An Arrow function of one or two columns."""
     if len(columns) == 1:
 
-        def apply(a: pd.Series) -> pd.Series:
-            return run(a)
+        def run(a: pa.Array) -> pa.Array:
+            return f(a)
+
+        run.__annotations__ = {"a": pa.Array, "return": pa.Array}
     else:
 
-        def apply(a: pd.Series, b: pd.Series) -> pd.Series:
-            return run(a, b)
+        def run(a: pa.Array, b: pa.Array) -> pa.Array:
+            return f(a, b)
+
+        run.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, kind)(*columns)
+
+
+def _column(f, kind: str, *columns: Column) -> Column:
+    """A function of polygons, given as lists of rings; null where one of them is."""
+
+    def run(*arrays: pa.Array) -> pa.Array:
+        return pa.array([None if any(v is None for v in row) else f(*row) for row in zip(*map(_rings, arrays), strict=True)], _KINDS[kind])
 
-    apply.__annotations__ = dict.fromkeys(apply.__code__.co_varnames[: len(columns)], pd.Series) | {"return": pd.Series}
-    return F.pandas_udf(apply, kind)(*columns)
+    return _arrow(run, kind, *columns)
 
 
 def as_parts(shapes: DataFrame) -> DataFrame:
@@ -115,12 +139,12 @@ def overlay(left: DataFrame, right: DataFrame, how: str = "intersection") -> Dat
     def rest(mine: DataFrame, own: str, theirs: str) -> DataFrame:
         near = pairs.groupBy(F.col(f"{own}_id").alias("id")).agg(F.collect_list(f"{theirs}_parts").alias("others"))
 
-        @F.pandas_udf(PARTS)
-        def without(parts: pd.Series, others: pd.Series) -> pd.Series:
-            cut = lambda p, os: regions.parts_of(reduce(lambda x, o: regions.overlay(x, regions.rings_of(o), "difference") if x else x, os if os is not None else [], regions.rings_of(p)))
-            return pd.Series([cut(p, os) for p, os in zip(parts, others, strict=True)])
+        def without(parts: pa.Array, others: pa.Array) -> pa.Array:
+            flat, ends = _rings(others.flatten()), np.concatenate([[0], np.cumsum(others.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).tolist()
+            left = [reduce(lambda x, o: regions.overlay(x, o, "difference") if x else x, flat[p:q], shape) for shape, p, q in zip(_rings(parts), ends, ends[1:])]
+            return pa.array([regions.parts_of(x) for x in left], _KINDS[PARTS])
 
-        out = as_parts(mine).join(near, "id", "left").select("id", without("parts", "others").alias("parts")).filter(F.size("parts") > 0)
+        out = as_parts(mine).join(near, "id", "left").select("id", _arrow(without, PARTS, F.col("parts"), F.col("others")).alias("parts")).filter(F.size("parts") > 0)
         ids = {"l": ("id", None), "r": (None, "id")}[own]
         kinds = (dict(left.dtypes)["id"], dict(right.dtypes)["id"])
         return out.select(*[(F.col(c) if c else F.lit(None).cast(kind)).alias(n) for n, c, kind in zip(("left_id", "right_id"), ids, kinds, strict=True)], "parts")
@@ -132,12 +156,12 @@ def overlay(left: DataFrame, right: DataFrame, how: str = "intersection") -> Dat
 def _folded(rows: DataFrame, keys: list[str], how: str) -> DataFrame:
     kinds = dict(rows.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shapes = [regions.rings_of(p) for p in pdf["parts"]]
+    def run(group: pa.Table) -> pa.Table:
+        shapes = _rings(group.column("parts"))
         got = reduce(lambda x, y: regions.overlay(x, y, how), shapes[1:], shapes[0])
-        return pd.DataFrame([[pdf[k].iloc[0] for k in keys] + [regions.parts_of(got)]], columns=[*keys, "parts"])
+        return pa.table([*(group.column(k).slice(0, 1) for k in keys), pa.array([regions.parts_of(got)], _KINDS[PARTS])], [*keys, "parts"])
 
-    return rows.groupBy(*keys).applyInPandas(run, f"{', '.join(f'`{k}` {kinds[k]}' for k in keys)}, parts {PARTS}")
+    return rows.groupBy(*keys).applyInArrow(run, f"{', '.join(f'`{k}` {kinds[k]}' for k in keys)}, parts {PARTS}")
 
 
 def union(polygons: DataFrame, by: str | None = None, rounds: int = 3) -> DataFrame:
@@ -197,29 +221,40 @@ def nonplanar_neighbors(graph: Graph, polygons: DataFrame, tolerance: float = 0.
     return Graph(graph.links().unionByName(new.withColumn("weight", F.lit(1.0))), graph.nodes), new
 
 
+def voronoi_frames(points: DataFrame, clip: str | DataFrame | None = "bounding_box", margin: float = 0.0) -> DataFrame:
+    """id and parts of the points' Voronoi cells. clip: bounding_box (grown by ``margin``); convex_hull; alpha_shape (the
+    tightest one that is one piece and holds all points); a table of one polygon; None (the box grown by ten times its size)."""
+    from .triangulation import alpha_auto, alpha_polygons, convex_hull
+
+    if clip is None:
+        box = points.agg(*[f(c) for f in (F.min, F.max) for c in "xy"]).first()
+        return voronoi_cells(points, 10 * max(box[2] - box[0], box[3] - box[1], 1e-12))
+    cells = voronoi_cells(points, margin)
+    if isinstance(clip, str) and clip == "bounding_box":
+        return cells
+    if isinstance(clip, str) and clip == "convex_hull":
+        hull = convex_hull(points).agg(F.sort_array(F.collect_list(F.struct("ord", "x", "y"))).alias("h"))
+        clip = hull.select(F.array(F.transform("h", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))).alias("parts"))
+    elif isinstance(clip, str) and clip == "alpha_shape":
+        radius = alpha_auto(points).first()["radius"]
+        clip = alpha_polygons(points, 1 / (radius * (1 + 1e-9))).orderBy(F.desc("area")).select("parts").limit(1)
+    elif isinstance(clip, str):
+        raise ValueError("clip must be bounding_box, convex_hull, alpha_shape, a table of one polygon, or None")
+    framed = cells.crossJoin(F.broadcast(clip.select(F.col("parts").alias("frame")).limit(1)))  # one row
+    cut = _column(lambda x, y: regions.parts_of(regions.overlay(x, y, "intersection")), PARTS, F.col("parts"), F.col("frame"))
+    return framed.select("id", cut.alias("parts"))
+
+
 def voronoi_contiguity(points: DataFrame, rook: bool = True, clip: str | DataFrame | None = "bounding_box", margin: float = 0.0) -> Graph:
-    """Contiguity of the points' Voronoi cells. clip: bounding_box; convex_hull; a table of one polygon; None (the box grown
-    by ten times its size). Corners are compared on a grid of 1e-7 of the extent, as cells are made one by one."""
+    """Contiguity of the cells of ``voronoi_frames``. Corners are compared on a grid of 1e-7 of the extent, as cells are made
+    one by one."""
     from .builders import contiguity
-    from .triangulation import convex_hull
 
     box = points.agg(*[f(c) for f in (F.min, F.max) for c in "xy"]).first()
-    span = max(box[2] - box[0], box[3] - box[1], 1e-12)
-    cells = voronoi_cells(points, 10 * span if clip is None else margin)
-    if clip == "convex_hull":
-        hull = convex_hull(points).agg(F.sort_array(F.collect_list(F.struct("ord", "x", "y"))).alias("h"))
-        clip = hull.select(F.array(F.transform("h", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))).alias("parts"))
-    if isinstance(clip, DataFrame):
-        cells = cells.crossJoin(F.broadcast(clip.select(F.col("parts").alias("frame")).limit(1)))  # one row
-        cut = _column(lambda x, y: regions.parts_of(regions.overlay(x, y, "intersection")), PARTS, F.col("parts"), F.col("frame"))
-        cells = cells.select("id", cut.alias("parts"))
-    elif clip not in (None, "bounding_box"):
-        raise ValueError("clip must be bounding_box, convex_hull, a table of one polygon, or None")
-    unit = span * 1e-7
+    unit = max(box[2] - box[0], box[3] - box[1], 1e-12) * 1e-7
     snap = lambda p: F.struct(*[F.round((p[c] - o) / unit).alias(c) for c, o in (("x", box[0]), ("y", box[1]))])
-    snapped = cells.select("id", F.transform("parts", lambda r: F.transform(r, snap)).alias("parts"))
-    g = contiguity(snapped, rook)
-    return Graph(g.links(), points.select("id"))
+    snapped = voronoi_frames(points, clip, margin).select("id", F.transform("parts", lambda r: F.transform(r, snap)).alias("parts"))
+    return Graph(contiguity(snapped, rook).links(), points.select("id"))
 
 
 def buffered(parts: Column, distance: float) -> Column:
@@ -288,15 +323,14 @@ def is_empty(parts: Column) -> Column:
 def is_ring(line: Column) -> Column:
     """Whether a line (array of points) is closed and simple."""
 
-    @F.pandas_udf("boolean")
-    def ring(lines: pd.Series) -> pd.Series:
+    def ring(lines: pa.Array) -> pa.Array:
         out = []
-        for line_ in lines:
-            xy = np.array([[p["x"], p["y"]] for p in line_], float).reshape(-1, 2)
+        for line_ in lines.to_pylist():
+            xy = np.array([[p["x"], p["y"]] for p in line_ or []], float).reshape(-1, 2)
             out.append(bool(len(xy) > 3 and (xy[0] == xy[-1]).all() and regions.is_simple(xy[:-1])))
-        return pd.Series(out)
+        return pa.array(out, pa.bool_())
 
-    return ring(line)
+    return _arrow(ring, "boolean", line)
 
 
 def polygon_area(parts: Column) -> Column:

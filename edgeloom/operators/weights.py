@@ -85,16 +85,23 @@ class Weights:
         """id and the places of its neighbors in the order of ids."""
         return self.graph.to_sparse().groupBy("i").agg(F.sort_array(F.collect_list("j")).alias("offsets"))
 
-    def lag_categorical(self, y: DataFrame, value: str = "y", ties: str = "tryself") -> DataFrame:
-        """Label with the greatest sum of weights. ties: lowest, highest, or tryself (the own label, counted with the
-        mean weight of its links, decides; then the lowest)."""
+    def lag_categorical(self, y: DataFrame, value: str | tuple[str, ...] = "y", ties: str = "tryself", seed: int = 0) -> DataFrame:
+        """Label with the greatest sum of weights. ties: lowest, highest, random (by a hash with ``seed``), or tryself (the
+        own label, counted with the mean weight of its links, decides; then the lowest). Of several columns: lag_<name> each."""
+        if not isinstance(value, str):
+            out = self.graph.nodes
+            for c in value:
+                out = out.join(self.lag_categorical(y, c, ties, seed).withColumnRenamed("lag", f"lag_{c}"), "id", "left")
+            return out
+        if ties not in ("lowest", "highest", "random", "tryself"):
+            raise ValueError("ties must be lowest, highest, random or tryself")
         own = y.select(F.col("id").alias("focal"), F.col(value).alias("own"))
         e = self.graph.links().join(y.select(F.col("id").alias("neighbor"), F.col(value).alias("y")), "neighbor")
         tally = e.groupBy("focal", "y").agg(F.sum("weight").alias("t"))
         top = F.max("t").over(W.partitionBy("focal"))
         best = tally.withColumn("m", top).filter("t = m").join(own, "focal", "left")
-        first = (F.col("y") == F.col("own")).cast("int") if ties == "tryself" else F.lit(0)
-        pick = F.max(F.struct(first.alias("f"), "y")) if ties == "highest" else F.min(F.struct((-first).alias("f"), "y"))
+        first = {"tryself": F.coalesce(F.col("y") != F.col("own"), F.lit(True)).cast("bigint"), "random": F.xxhash64(F.lit(seed), "focal", "y")}.get(ties, F.lit(0).cast("bigint"))
+        pick = F.max(F.struct(first.alias("f"), "y")) if ties == "highest" else F.min(F.struct(first.alias("f"), "y"))
         return best.groupBy(F.col("focal").alias("id")).agg(pick.alias("p")).select("id", F.col("p.y").alias("lag"))
 
 
@@ -146,6 +153,16 @@ def adjlist_apply(e: DataFrame, attributes: DataFrame, func, *columns: str) -> D
     return out.select("*", *[func(F.col(f"{c}_focal"), F.col(f"{c}_neighbor")).alias(f"{c}_apply") for c in columns])
 
 
+def adjlist_map(e: DataFrame, attributes: DataFrame, functions: dict) -> DataFrame:
+    """e with, for each name and (function, columns) of ``functions``, the function of the columns' values at focal and at neighbor."""
+    need = sorted({c for _, columns in functions.values() for c in columns})
+    out = e
+    for end in ("focal", "neighbor"):
+        out = out.join(attributes.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in need]), end)
+    values = {name: f(*[F.col(f"{c}_{end}") for c in columns for end in ("focal", "neighbor")]) for name, (f, columns) in functions.items()}
+    return out.withColumns(values).drop(*[f"{c}_{end}" for c in need for end in ("focal", "neighbor")])
+
+
 def _nodes(a: Graph, b: Graph, shape: str, kept: DataFrame) -> DataFrame:
     if shape == "w1":
         return a.nodes

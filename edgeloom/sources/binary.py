@@ -328,3 +328,31 @@ def parse_wkb(data):
         return column.map(lambda b: None if b is None else _wkb(bytes(b))[0])
 
     return parse(data)
+
+
+def read_shx(spark: SparkSession, path: str) -> DataFrame:
+    """record, offset and length (in bytes) of the shapes that an index file lists."""
+    body = contents(spark, path).select(F.posexplode(F.sequence(F.lit(100), F.length("content") - 8, F.lit(8))).alias("record", "at"), "content")
+    word = lambda at: F.conv(F.hex(F.substring("content", at + 1, 4)), 16, 10).cast("bigint") * 2
+    return body.select("record", word(F.col("at")).alias("offset"), word(F.col("at") + 4).alias("length"))
+
+
+def ids_of(spark: SparkSession, stem: str, column: str) -> DataFrame:
+    """The id column of a shapefile's table."""
+    return read_dbf(spark, f"{stem}.dbf").select(F.col(column).alias("id"))
+
+
+def points_of(spark: SparkSession, path: str) -> DataFrame:
+    """id (record), x and y of a shapefile's points, or of its polygons' first rings' centroids."""
+    from ..functions import geometry as geo
+
+    ring = F.col("parts")[0]
+    at = F.when(F.size(ring) < 3, ring[0]).otherwise(geo.centroid(ring))
+    return read_shp(spark, path).select(F.col("record").cast("bigint").alias("id"), at["x"].alias("x"), at["y"].alias("y"))
+
+
+def min_threshold_of(spark: SparkSession, path: str, p: float = 2) -> DataFrame:
+    """Greatest distance to a nearest neighbor among a shapefile's points."""
+    from ..operators.builders import min_threshold_distance
+
+    return min_threshold_distance(points_of(spark, path), p)

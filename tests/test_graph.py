@@ -41,11 +41,11 @@ def points(spark, xy):
     return spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(xy)], "id long, x double, y double")
 
 
-@pytest.mark.parametrize("name", [n for n, (_, sql) in queries.CATALOG.items() if sql])
+@pytest.mark.parametrize("name", list(queries.sql()))
 def test_catalogue(spark, name):
-    plan, sql = queries.CATALOG[name]
+    plan, sql = queries.queries()[name], queries.sql()[name]
     con = duckdb.connect()
-    for t in "nation customer supplier part orders lineitem embeddings".split():
+    for t in "region nation customer supplier part orders lineitem embeddings".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, want = plan(spark, SF), con.sql(sql)
     cols = sorted(df.columns)
