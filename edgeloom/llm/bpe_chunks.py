@@ -33,7 +33,7 @@ MASK_BITS = 4
 class ChunkEncoder:
     """mask_bits: a cut at one of 2**mask_bits candidate places on average. store_bytes: bound of both stores."""
 
-    def __init__(self, path: str, mask_bits: int = MASK_BITS, store_bytes: int = 90_000_000):
+    def __init__(self, path: str, mask_bits: int = MASK_BITS, store_bytes: int = 64_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -190,7 +190,7 @@ def encode_decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker(tokenizer_path, mask_bits)
-        for batch in slices(batches, text_col, 2 << 20):
+        for batch in slices(batches, text_col, 1 << 20):
             ids, offs = encoder.encode(batch.column(batch.schema.get_field_index(text_col)))
             lists = [ids[a:b].tolist() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
             decoded = pa.array(encoder.tokenizer.decode_batch(lists, skip_special_tokens=False), pa.string())

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from typing import TypeVar
 
 import numpy as np
@@ -83,6 +84,9 @@ def worker_cache(owner: str, make: Callable[[], T]) -> T:
     if _held[0] != owner:
         _held[1] = None
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # what is freed goes back to the system, where the C library can do that
+            ctypes.CDLL(None).malloc_trim(0)
         _held[:] = [owner, make()]
     return _held[1]
 

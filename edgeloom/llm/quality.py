@@ -87,7 +87,7 @@ def tokens(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     d = pa.StringArray.from_buffers(len(at), pa.py_buffer(places), pa.py_buffer(buf[inside])).dictionary_encode()
     which = d.indices.to_numpy(zero_copy_only=False)
     known: dict[str, list[int]] = worker_cache("quality", dict)  # hashes of a word's tokens
-    if len(known) > 150_000:
+    if len(known) > 100_000:
         known.clear()
     lists = []
     for word in d.dictionary.to_pylist():
@@ -115,7 +115,7 @@ def _pool(bucket: np.ndarray, offs: np.ndarray, table: np.ndarray) -> np.ndarray
     out = np.zeros((len(offs) - 1, table.shape[1]), np.float32)
     n = np.diff(offs)
     full = np.flatnonzero(n > 0)
-    for part in np.array_split(full, max(1, int(n.sum()) // 200_000)):  # bounded memory, whatever the texts' lengths
+    for part in np.array_split(full, max(1, int(n.sum()) // 50_000)):  # bounded memory, whatever the texts' lengths
         if len(part):
             a, b = offs[part[0]], offs[part[-1] + 1]
             out[part] = np.add.reduceat(table[bucket[a:b]], offs[part] - a, axis=0) / n[part][:, None]

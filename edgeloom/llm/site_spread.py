@@ -46,38 +46,46 @@ def spread_lines(seen: DataFrame, max_sites: int, log2_k: int = 12) -> DataFrame
     return sure.unionByName(counted.filter(F.col("sites") > max_sites).select("h1", "h2"))
 
 
+def _among(lines: pa.Array, known: np.ndarray) -> pa.Array:
+    """Those of the lines whose hashes are in ``known``, and for each text whether its lines are among them, up to the last that is."""
+    flat, size = lines.flatten(), lines.value_lengths().to_numpy(zero_copy_only=False)
+    pos, h1, h2 = (flat.field(k).to_numpy() for k in range(3))
+    keep = np.isin(h1, known["h1"])
+    at = np.flatnonzero(keep)
+    both = np.empty(len(at), known.dtype)
+    both["h1"], both["h2"] = h1[at], h2[at]
+    keep[at] = np.isin(both, known)
+    ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(size)])]
+    n, pos = np.diff(ends), pos[keep].astype(np.int64)
+    last = np.where(n > 0, np.concatenate([[0], pos + 1])[np.where(n > 0, ends[1:], 0)], 0)
+    total = np.concatenate([[0], np.cumsum(last)])
+    marks = np.zeros(int(total[-1]), bool)
+    marks[np.repeat(total[:-1], n) + pos] = True
+    found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(pa.array(keep)))
+    return pa.StructArray.from_arrays([found, pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(marks))], ["lines", "marks"])
+
+
+_HIT = f"struct<lines:array<{_LINE}>,marks:array<boolean>>"
+
+
 def _marked(seen: DataFrame, bad: DataFrame, most_bytes: int) -> DataFrame:
-    """``seen`` with only those of its ``lines`` that are in ``bad`` (staged)."""
+    """``seen`` with only those of its ``lines`` that are in ``bad`` (staged), and ``marks``: which of a text's lines these are."""
     if bad.count() * 16 > most_bytes:
         found = seen.select("number", F.explode("lines").alias("l")).select("number", "l.*").join(bad, ["h1", "h2"])
         found = found.groupBy("number").agg(F.sort_array(F.collect_list(F.struct("pos", "h1", "h2", "words"))).alias("lines"))
-        return seen.drop("lines").join(found, "number", "left").withColumn("lines", F.coalesce("lines", F.array().cast(f"array<{_LINE}>")))
-    pairs = np.array([tuple(r) for r in bad.collect()], np.dtype([("h1", np.int64), ("h2", np.int64)]))  # within ``most_bytes``
-    known = seen.sparkSession.sparkContext.broadcast(np.sort(pairs))
-
-    def among(lines: pa.Array) -> pa.Array:
-        flat, size = lines.flatten(), lines.value_lengths().to_numpy(zero_copy_only=False)
-        h1, h2 = flat.field(1).to_numpy(), flat.field(2).to_numpy()
-        keep = np.isin(h1, known.value["h1"])
-        at = np.flatnonzero(keep)
-        both = np.empty(len(at), known.value.dtype)
-        both["h1"], both["h2"] = h1[at], h2[at]
-        keep[at] = np.isin(both, known.value)
-        ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(size)])]
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(pa.array(keep)))
-
-    return seen.withColumn("lines", _arrow(among, f"array<{_LINE}>")(F.col("lines")))
-
-
-def _marks(lines: pa.Array) -> pa.Array:
-    """For each text whether its lines are listed, up to the last one that is."""
-    pos, size = lines.flatten().field(0).to_numpy(), lines.value_lengths().to_numpy(zero_copy_only=False)
-    ends = np.cumsum(size)
-    n = np.where(size > 0, np.concatenate([[0], pos + 1])[np.where(size > 0, ends, 0)], 0)
-    total = np.concatenate([[0], np.cumsum(n)])
-    marks = np.zeros(int(total[-1]), bool)
-    marks[np.repeat(total[:-1], size) + pos] = True
-    return pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(marks))
+        every = _arrow(lambda lines: _among(lines, _pairs(lines.flatten())), _HIT)  # all that were joined
+        hit = seen.drop("lines").join(found, "number", "left").withColumn("hit", every(F.coalesce("lines", F.array().cast(f"array<{_LINE}>"))))
+    else:
+        pairs = np.array([tuple(r) for r in bad.collect()], [("h1", np.int64), ("h2", np.int64)])  # within ``most_bytes``
+        known = seen.sparkSession.sparkContext.broadcast(np.sort(pairs))
+        hit = seen.withColumn("hit", _arrow(lambda lines: _among(lines, known.value), _HIT)(F.col("lines")))
+    return hit.drop("lines").withColumns({"lines": F.col("hit.lines"), "marks": F.col("hit.marks")}).drop("hit")
+
+
+def _pairs(lines: pa.Array) -> np.ndarray:
+    out = np.empty(len(lines), [("h1", np.int64), ("h2", np.int64)])
+    out["h1"], out["h2"] = (lines.field(k).to_numpy() for k in (1, 2))
+    return np.unique(out)
 
 
 def _arrow(f, kind: str):
@@ -125,7 +133,7 @@ def remove_spread_lines(
     take = F.size("lines") > 0
     if max_removed is not None:
         take &= _words(F.col("lines")) <= max_removed * F.col("n_words")
-    out = hit.select("row", F.when(take, F.size("lines")).otherwise(0).cast("bigint").alias("n"), _arrow(_marks, "array<boolean>")(F.col("lines")).alias("marks"))
+    out = hit.select("row", F.when(take, F.size("lines")).otherwise(0).cast("bigint").alias("n"), "marks")
     text = F.col("row")[text_col]
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, k: ~F.coalesce(F.get("marks", k), F.lit(False))), "\n")
     out = out.select("row", "n", F.when(F.col("n") == 0, text).otherwise(kept).alias("clean"))
