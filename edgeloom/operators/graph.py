@@ -324,8 +324,14 @@ class Graph:
     def local_clustering(self) -> DataFrame:
         """id and the share of links among its neighbors; null where there is one neighbor, 0 for isolates."""
         n = self.edges.filter("weight <> 0 AND focal <> neighbor").select("focal", "neighbor")
-        pairs = n.join(n.select("focal", F.col("neighbor").alias("other")), "focal").filter("neighbor <> other")
-        closed = pairs.join(n.select(F.col("focal").alias("neighbor"), F.col("neighbor").alias("other")), ["neighbor", "other"]).groupBy("focal").agg(F.count(F.lit(1)).alias("links"))
+        # a link u -> v closes the pair (u, v) of each focal that is linked to both: found from the end with fewer focals,
+        # so a hub's pairs are never made
+        held = n.groupBy(F.col("neighbor").alias("id")).agg(F.count(F.lit(1)).alias("d"))
+        e = n.toDF("u", "v").join(held.toDF("u", "du"), "u").join(held.toDF("v", "dv"), "v")
+        few = F.col("du") <= F.col("dv")
+        e = e.select(F.when(few, F.col("u")).otherwise(F.col("v")).alias("neighbor"), F.when(few, F.col("v")).otherwise(F.col("u")).alias("other"))
+        both = e.join(n, "neighbor").select("focal", F.col("other").alias("neighbor")).filter("focal <> neighbor").join(n, ["focal", "neighbor"])
+        closed = both.groupBy("focal").agg(F.count(F.lit(1)).alias("links"))
         k = n.groupBy("focal").agg(F.count(F.lit(1)).alias("k"))
         out = self.nodes.join(k.join(closed, "focal", "left").withColumnRenamed("focal", "id"), "id", "left")
         share = F.coalesce("links", F.lit(0)).cast("double") / F.when(F.col("k") > 1, F.col("k") * (F.col("k") - 1))

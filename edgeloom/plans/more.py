@@ -360,6 +360,12 @@ for _k, (_f, _x) in _COLUMNS.items():
     add(f"geo_{_k}", lambda s, d, f=_f: rounded(XY(s, d).select("id", f().alias("v"))), f"WITH {_XY}, v AS (SELECT id, {_x} AS v FROM c) SELECT id, {'v' if _k in ('is_collinear', 'segment_turn', 'touches_rectangle', 'box_common', 'box_intersection', 'is_clockwise', 'ccw', 'shape_len') else 'round(v::DOUBLE, 6) + 0 AS v'} FROM v")
 add("geogrid", lambda s, d: sphere.geogrid(s, (0.0, 40.0), (20.0, 0.0), 4).filter("j = 0").select("i", F.round("lat", 4).alias("lat")), "SELECT i::INT AS i, round(40 - 10 * i::DOUBLE, 4) AS lat FROM range(5) t(i)")
 
+# flows that grow with the tables: an order leads from its customer to another one
+ORDERS = lambda s, d: _t(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("o"), (F.col("o_orderkey") * 7919 % 15013).alias("d"))
+_ORDERS = "f AS (SELECT o_orderkey AS id, o_custkey AS o, o_orderkey * 7919 % 15013 AS d FROM orders), n AS (SELECT id FROM f)"
+add("netw_orders_c", lambda s, d: edges(builders.net_weights(ORDERS(s, d), "C")), f"WITH {_ORDERS}, e0 AS (SELECT a.id AS focal, b.id AS neighbor, 1::DOUBLE AS weight FROM f a JOIN f b ON a.d = b.o AND a.id <> b.id), {FULL()} {OUT}")
+add("netw_orders_o_degrees", lambda s, d: rounded(builders.net_weights(ORDERS(s, d), "O").cardinalities()), f"WITH {_ORDERS} SELECT id, count(*) OVER (PARTITION BY o) - 1 AS cardinality FROM f")
+
 # rasters
 RASTER = lambda s, d: _t(s, d, "part").select((F.floor((F.col("p_partkey") - 1) / 40)).cast("int").alias("row"), ((F.col("p_partkey") - 1) % 40).cast("int").alias("col"), F.when(F.col("p_size") > 25, F.col("p_retailprice")).otherwise(-1.0).alias("value"))
 _RASTER = "r AS (SELECT (p_partkey - 1) // 40 AS row, (p_partkey - 1) % 40 AS col, CASE WHEN p_size > 25 THEN p_retailprice ELSE -1 END AS value FROM part)"

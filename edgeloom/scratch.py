@@ -50,6 +50,12 @@ def tables() -> set[str]:
     return set(_written)
 
 
+def drop(spark: SparkSession, paths: set[str]) -> None:
+    """Delete those of these scratch tables that still exist."""
+    for path in paths & _written.keys():
+        remove(spark, path)
+
+
 def release(spark: SparkSession, keep: set[str] = frozenset()) -> None:
     """Delete all scratch tables but those in ``keep``: results that read them must have been written before."""
     for path in [p for p, owner in _written.items() if owner is spark and p not in keep]:
