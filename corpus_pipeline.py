@@ -1,5 +1,7 @@
 """Cleaning a corpus in stages; each stage's output is written as Parquet and read again by the next.
 
+A stage's result has to be written before the next stage is called, as ``run`` does: scratch tables that it reads are deleted then.
+
 Every stage keeps the columns of its input, whatever their names and however many. A null or empty text has no words: the
 classifier scores it like any other, no line is taken from it, such texts are copies of each other, no benchmark passage
 is in it, and it encodes to no tokens. Repeated rows are copies, of which one stays; null ids are ids like others; very
@@ -9,6 +11,7 @@ long texts are read whole; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,10 +25,29 @@ from edgeloom.llm.queries import QUALITY_FROM, WORD_BPE, bpe_digests
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+_made: set[str] = set()
+
+
+def _stage(f: Stage) -> Stage:
+    """A stage that deletes the scratch tables of the stage called before it: by then that one's output has been written."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scratch.drop(spark, _made)
+        before = scratch.tables()
+        out = f(spark, docs, sf_dir)
+        _made.clear()
+        _made.update(scratch.tables() - before)
+        return out
+
+    return run_stage
+
+
 def _row(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@_stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among them, doesn't reject; without labels of both
     kinds it rejects none."""
@@ -34,6 +56,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(seen, model).filter(F.col("score") >= QUALITY_FROM).select("row.*")
 
 
+@_stage
 def drop_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines of too many sources; n_chars follows the text.
 
@@ -49,16 +72,19 @@ def drop_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return clean.select(*[new.get(c, doc[c]).alias(c) for c in docs.columns])
 
 
+@_stage
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the least by id, of each group connected by similarities of 0.8 or more; of texts without words one."""
     return near_dups.keep_first(docs)
 
 
+@_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     return decontaminate.keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the encoded and the decoded text of each document."""
     return bpe_digests(bpe_chunks.encode_decode(docs, public_tokenizers.path(WORD_BPE)))
@@ -77,12 +103,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; a stage's scratch tables are deleted when its output is written."""
+    """All stages. A stage's scratch tables are deleted when the next one begins."""
     docs = table(spark, sf_dir, "documents")
-    others = scratch.tables()
     for _, stage in STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        before = scratch.tables()
-        docs = staged(out)
-        scratch.release(spark, others | (scratch.tables() - before))
+        docs = staged(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
