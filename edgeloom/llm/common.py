@@ -22,8 +22,8 @@ BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _batch_settings(spark: SparkSession) -> dict[str, str]:
-    """Settings for Arrow batches of 8 MB and 2,000 rows at most, where the session's are higher (0 or less: no bound)."""
-    most = {BATCH_BYTES: 8 << 20, BATCH_ROWS: 2000}
+    """Settings for Arrow batches of 4 MB and 2,000 rows at most, where the session's are higher (0 or less: no bound)."""
+    most = {BATCH_BYTES: 4 << 20, BATCH_ROWS: 2000}
     now = {k: int(spark.conf.get(k, str(1 << 30)).rstrip("b")) for k in most}
     return {k: str(v) for k, v in most.items() if not 0 < now[k] <= v}
 
