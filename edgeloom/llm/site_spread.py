@@ -89,13 +89,14 @@ def _pairs(lines: pa.Array) -> np.ndarray:
 
 
 def _arrow(f, kind: str):
-    """An Arrow function of one column."""
+    """An Arrow function of one column. It counts as nondeterministic, else a filter over its result would be evaluated below
+    it by a second call, in a second Python worker of the task."""
 
     def run(column: pa.Array) -> pa.Array:
         return f(column)
 
     run.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, kind)
+    return F.arrow_udf(run, kind).asNondeterministic()
 
 
 def _words(lines):
