@@ -89,14 +89,13 @@ def _pairs(lines: pa.Array) -> np.ndarray:
 
 
 def _arrow(f, kind: str):
-    """An Arrow function of one column. It counts as nondeterministic, else a filter over its result would be evaluated below
-    it by a second call, in a second Python worker of the task."""
+    """An Arrow function of one column."""
 
     def run(column: pa.Array) -> pa.Array:
         return f(column)
 
     run.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, kind).asNondeterministic()
+    return F.arrow_udf(run, kind)
 
 
 def _words(lines):
@@ -127,10 +126,10 @@ def remove_spread_lines(
     )
     seen = seen.withColumn("n_words", _words(F.col("lines")))
     bad = staged(spread_lines(seen, max_sites))
+    if voters is not None:  # written first: a filter over an Arrow function's result would call it a second time below
+        own = staged(_marked(seen.drop("row"), bad, broadcast_bytes).select("site", "lines", "n_words"))
+        bad = staged(spread_lines(own.filter(_words(F.col("lines")) <= voters * F.col("n_words")), max_sites))
     hit = _marked(seen, bad, broadcast_bytes)
-    if voters is not None:
-        bad = staged(spread_lines(hit.filter(_words(F.col("lines")) <= voters * F.col("n_words")), max_sites))
-        hit = _marked(seen, bad, broadcast_bytes)
     take = F.size("lines") > 0
     if max_removed is not None:
         take &= _words(F.col("lines")) <= max_removed * F.col("n_words")
