@@ -153,3 +153,36 @@ g AS (SELECT rid, any_value(text) AS text, sum(hit::INT) AS n, coalesce(string_a
 o AS (SELECT rid, n, coalesce(text, '') AS text, CASE WHEN n > 0 THEN rest ELSE coalesce(text, '') END AS t FROM g)
 SELECT doc_id, n::BIGINT AS n_removed_lines, (length(o.text) - length(t))::BIGINT AS n_removed_chars, sha256(t) AS text_sha256 FROM d JOIN o USING (rid)
 """
+
+_BITS = 4294967295
+OP12 = rf"""
+WITH RECURSIVE table_steps AS (
+  SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, k + 1 FROM table_steps WHERE k < 8
+),
+crc_table AS (SELECT list(c ORDER BY i) AS steps FROM table_steps WHERE k = 8),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_fold("coalesce(text, '')")}, '{_ITEM_WORD}') AS w FROM documents),
+f AS (SELECT rid, word, count(*) AS n FROM (SELECT rid, unnest(w) AS word FROM d) GROUP BY ALL),
+b AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_fold("coalesce(text, '')")}, '{_ITEM_WORD}')) AS word FROM benchmark) GROUP BY ALL),
+h AS (SELECT word, hex(word) AS digits FROM (SELECT word FROM f UNION SELECT word FROM b)),
+p AS (
+  SELECT word, xor({_BITS}, list_reduce(list_prepend({_BITS}::BIGINT, list_transform(range(len(digits) // 2), lambda i: ('0x' || substr(digits, i * 2 + 1, 2))::BIGINT)),
+    lambda c, x: xor(c // 256, steps[(xor(c, x) % 256) + 1]))) % 10000 AS bucket
+  FROM h, crc_table
+),
+s AS (SELECT bucket, sum(n) AS s FROM f JOIN p USING (word) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS t FROM b JOIN p USING (word) GROUP BY bucket),
+g AS (
+  SELECT r.bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (coalesce((SELECT sum(s) FROM s), 0) + 10000)::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM range(10000) r(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)
+),
+w AS (SELECT rid, sum(n) AS n_features, sum(n * gain) AS weight FROM f JOIN p USING (word) JOIN g USING (bucket) GROUP BY rid),
+c AS (
+  SELECT rid, doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296))))::BIGINT AS score
+  FROM d LEFT JOIN w USING (rid)
+),
+r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id, rid) AS rank FROM c WHERE n_words >= 20)
+SELECT doc_id, n_words::BIGINT AS n_words, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM r) * 10 // 100 THEN rank END::BIGINT AS rank FROM c LEFT JOIN r USING (rid)
+"""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, decontaminate, license_scan, line_frequency, near_dups, oracle, quality, site_spread, token_counts, unit_dedup, url_filter
+from . import bpe_chunks, decontaminate, importance, license_scan, line_frequency, near_dups, oracle, packing, periodic_runs, quality, site_spread, token_counts, unit_dedup, url_filter
 from .common import spread, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -86,9 +88,30 @@ def _cleaned(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_removed_lines", "n_removed_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def made_up_repetition(doc_id: int | None, n: int) -> tuple[int, int] | None:
+    """A tenth of the documents, by CRC-32 of the id, repeat themselves from a word on: its number and the period."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    g = h // 10
+    start = g % n
+    return None if h % 10 else (start, 1 + (n - start) // (3 + g % 8))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(documents(spark, sf_dir), fold=made_up_repetition))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_frequency, op2_bpe_chunks, op3_quality, op4_token_counts, op5_license_scan, op6_unit_dedup, op7_decontaminate, op8_near_dups, op9_url_filter, op10_site_spread)
+    for f in (op1_line_frequency, op2_bpe_chunks, op3_quality, op4_token_counts, op5_license_scan, op6_unit_dedup, op7_decontaminate, op8_near_dups, op9_url_filter, op10_site_spread, op11_packing, op12_importance, op13_periodic_runs)
 }
 SQL: dict[str, str] = {
     "op1_line_frequency": oracle.OP1,
@@ -98,4 +121,5 @@ SQL: dict[str, str] = {
     "op8_near_dups": oracle.OP8,
     "op9_url_filter": oracle.OP9,
     "op10_site_spread": oracle.OP10,
+    "op12_importance": oracle.OP12,
 }
