@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from .graph import Graph
-from .triangulation import delaunay_edges
+from .triangulation import dual
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -83,14 +83,14 @@ def _as_ring(xy: np.ndarray) -> list[dict]:
 
 
 def voronoi_cells(points: DataFrame, margin: float = 0.0) -> DataFrame:
-    """id and parts: each point's cell within the points' bounding box, grown by ``margin``. A cell is the box cut by
-    the half planes towards its Delaunay neighbors, so cells are made independently of each other."""
-    box = points.agg(*[f(c) for f in (F.min, F.max) for c in "xy"]).first()
-    l, b, r, t = box[0] - margin, box[1] - margin, box[2] + margin, box[3] + margin
+    """id and parts: each point's cell within the points' bounding box, grown by ``margin``. A cell's corners are the centres
+    of the circles of the point's triangles, in their order round it; cells at the box are the box cut by the half planes
+    towards the neighbors."""
+    sides, (l, b, r, t) = dual(points, margin)
     frame = np.array([[l, b], [r, b], [r, t], [l, t]], float)
 
     @F.pandas_udf(f"array<{RING}>")
-    def cell(own: pd.DataFrame, others: pd.Series) -> pd.Series:
+    def cut(own: pd.DataFrame, others: pd.Series) -> pd.Series:
         out = []
         for x, y, near in zip(own["x"], own["y"], others, strict=True):
             ring = frame
@@ -102,9 +102,20 @@ def voronoi_cells(points: DataFrame, margin: float = 0.0) -> DataFrame:
             out.append([_as_ring(ring)])
         return pd.Series(out)
 
-    e = delaunay_edges(points)
-    near = e.groupBy(F.col("focal").alias("id"), F.col("fx").alias("x"), F.col("fy").alias("y")).agg(F.sort_array(F.collect_list(F.struct(F.col("nx").alias("x"), F.col("ny").alias("y")))).alias("near"))
-    return near.select("id", cell(F.struct("x", "y"), "near").alias("parts"))
+    ends = [F.col(c) for c in ("ux", "uy", "vx", "vy", "w")]
+    one = lambda p, q: F.struct(F.col(p).alias("id"), F.col(f"{p}x").alias("x"), F.col(f"{p}y").alias("y"), F.col(f"{q}x").alias("nx"), F.col(f"{q}y").alias("ny"), *ends)
+    each = sides.select(F.explode(F.array(one("p", "q"), one("q", "p"))).alias("e")).select("e.*")
+    corner = lambda u: F.struct(F.atan2(F.col(f"{u}y") - F.col("y"), F.col(f"{u}x") - F.col("x")).alias("turn"), F.col(f"{u}x").alias("x"), F.col(f"{u}y").alias("y"))
+    within = F.col("w").isNotNull()
+    for u in "uv":
+        within &= F.col(f"{u}x").between(l, r) & F.col(f"{u}y").between(b, t)
+    cells = each.groupBy("id", "x", "y").agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.array(corner("u"), corner("v")))))).alias("ring"),
+        F.sort_array(F.collect_list(F.struct(F.col("nx").alias("x"), F.col("ny").alias("y")))).alias("near"), F.bool_and(within).alias("whole"),
+    )
+    ring = F.array(F.transform("ring", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"))))
+    inner = cells.filter("whole").select("id", ring.alias("parts"))
+    return inner.unionByName(cells.filter("NOT whole").select("id", cut(F.struct("x", "y"), "near").alias("parts")))
 
 
 def intersect_convex(ring, clipper):

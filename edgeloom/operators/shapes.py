@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import regions
+from ..scratch import write
 from .graph import Graph
 from .polygons import RING, _boxed, _cells, _side, voronoi_cells
 
@@ -246,10 +247,25 @@ def voronoi_frames(points: DataFrame, clip: str | DataFrame | None = "bounding_b
 
 
 def voronoi_contiguity(points: DataFrame, rook: bool = True, clip: str | DataFrame | None = "bounding_box", margin: float = 0.0) -> Graph:
-    """Contiguity of the cells of ``voronoi_frames``. Corners are compared on a grid of 1e-7 of the extent, as cells are made
-    one by one."""
-    from .builders import contiguity
+    """Contiguity of the cells of ``voronoi_frames``: of cells that share a side (rook), or a side or a corner.
 
+    Within a box (bounding_box and None) cells are neighbors by the triangulation: they share the side between the two triangles
+    at their sites, if it is longer within the box than 1e-9 of the extent. Cells that share a corner are those of the sites on one
+    circle. Other clips cut the cells one by one, and their corners are compared on a grid of 1e-7 of the extent."""
+    from .builders import contiguity
+    from .triangulation import dual
+
+    if clip is None or (isinstance(clip, str) and clip == "bounding_box"):
+        if clip is None:
+            box = points.agg(*[f(c) for f in (F.min, F.max) for c in "xy"]).first()
+            margin = 10 * max((box[2] or 0) - (box[0] or 0), (box[3] or 0) - (box[1] or 0), 1e-12)
+        sides, box = dual(points, margin)
+        pairs = sides.filter((~F.col("point") & (F.col("length") > 1e-9 * max(box[2] - box[0], box[3] - box[1]))) if rook else F.col("length").isNotNull()).select("p", "q")
+        if not rook:
+            sides, _ = write(sides.filter(F.col("point") & F.col("length").isNotNull()).select("p", "q", "o", "w"))
+            pairs = pairs.unionByName(_at_one_corner(sides))
+        both = pairs.select(F.col("p").alias("focal"), F.col("q").alias("neighbor")).unionByName(pairs.select(F.col("q").alias("focal"), F.col("p").alias("neighbor")))
+        return Graph(both.distinct().withColumn("weight", F.lit(1.0)), points.select("id"))
     box = points.agg(*[f(c) for f in (F.min, F.max) for c in "xy"]).first()
     unit = max(box[2] - box[0], box[3] - box[1], 1e-12) * 1e-7
     snap = lambda p: F.struct(*[F.round((p[c] - o) / unit).alias(c) for c, o in (("x", box[0]), ("y", box[1]))])
@@ -257,6 +273,18 @@ def voronoi_contiguity(points: DataFrame, rook: bool = True, clip: str | DataFra
     return Graph(contiguity(snapped, rook).links(), points.select("id"))
 
 
+def _at_one_corner(sides: DataFrame) -> DataFrame:
+    """All pairs p and q of the sites of one circle. ``sides``: Voronoi sides that are points, between triangles (p, q, o) and
+    (p, q, w); triangles that such sides link have one circle."""
+    key = lambda *c: F.array_join(F.array_sort(F.array(*[F.col(x).cast("string") for x in c])), "|")
+    links = sides.select(key("p", "q", "o").alias("focal"), key("p", "q", "w").alias("neighbor"))
+    both = links.unionByName(links.select(F.col("neighbor").alias("focal"), F.col("focal").alias("neighbor"))).withColumn("weight", F.lit(1.0))
+    labels = Graph(both, both.select(F.col("focal").alias("id")).distinct()).component_labels()
+    sites = sides.select(key("p", "q", "o").alias("id"), F.explode(F.array("p", "q", "o")).alias("site")).unionByName(sides.select(key("p", "q", "w").alias("id"), F.explode(F.array("p", "q", "w")).alias("site")))
+    sites, _ = write(sites.distinct().join(labels, "id").select("component", "site").distinct())
+    return sites.withColumnRenamed("site", "p").join(sites.withColumnRenamed("site", "q"), "component").filter("p < q").select("p", "q")
+
+
 def buffered(parts: Column, distance: float) -> Column:
     return _column(lambda x: regions.parts_of(regions.buffered(x, distance)), PARTS, parts)
 
@@ -266,6 +294,13 @@ def boundary(parts: Column) -> Column:
     return F.transform(parts, lambda r: F.concat(r, F.slice(r, 1, 1)))
 
 
+def polygon_length(parts: Column) -> Column:
+    """Length of all rings, holes included."""
+    step = lambda a, b: F.hypot(a["x"] - b["x"], a["y"] - b["y"])
+    ring = lambda r: F.aggregate(F.zip_with(r, F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1)), step), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.transform(parts, ring), F.lit(0.0), lambda s, x: s + x)
+
+
 def envelope(parts: Column) -> Column:
     """The box of a polygon, as one ring."""
     flat = F.flatten(parts)

@@ -1,9 +1,4 @@
-"""Delaunay triangulation by a sweep in one task, and graphs filtered from it with joins.
-
-Triangulating is a single-task algorithm here, in about n ** 1.5 steps: points go in from left to right, and a triangle
-whose circle the sweep has passed is finished and left alone. ``MAX_POINTS`` bounds the task's memory and time, and beyond it
-the builder refuses. Gabriel and relative-neighborhood edges are filters over the Delaunay edges and run distributed.
-"""
+"""Graphs of the Delaunay triangulation, filtered from its sides, alpha shapes and hulls."""
 
 from __future__ import annotations
 
@@ -15,92 +10,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import kernel as kernel_value
+from . import delaunay
+from .delaunay import Triangulation
 from .graph import Graph
 
-MAX_POINTS = 1_000_000
+def delaunay_triangles(xy: np.ndarray) -> np.ndarray:
+    """Triangles of points in memory; of points at one place the first takes part."""
+    places, first = np.unique(xy, axis=0, return_index=True)
+    return first[Triangulation(places).triangles()] if len(places) else np.zeros((0, 3), int)
 
 
-def delaunay_triangles(xy: np.ndarray) -> np.ndarray:
-    """Triangles by incremental insertion: each new point removes the triangles whose circumcircles hold it, and the
-    hole's border is joined to the point."""
-    n = len(xy)
-    if n < 3:
-        return np.zeros((0, 3), int)
-    mid, span = (xy.max(0) + xy.min(0)) / 2, max(float(np.ptp(xy, axis=0).max()), 1e-9)
-    pts = np.vstack([(xy - mid) / span, [[0.0, 1e4], [-1e4, -1e4], [1e4, -1e4]]])
-    size = 4096
-    tri, live = np.zeros((size, 3), int), np.zeros(size, bool)
-    circle = np.zeros((size, 3))
-
-    def put(k: int, a: int, b: int, c: int) -> None:
-        (ax, ay), (bx, by), (cx, cy) = pts[a], pts[b], pts[c]
-        d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
-        tri[k], live[k] = (a, b, c), True
-        if d == 0:
-            circle[k] = (0, 0, -1)
-            return
-        ux = ((ax * ax + ay * ay) * (by - cy) + (bx * bx + by * by) * (cy - ay) + (cx * cx + cy * cy) * (ay - by)) / d
-        uy = ((ax * ax + ay * ay) * (cx - bx) + (bx * bx + by * by) * (ax - cx) + (cx * cx + cy * cy) * (bx - ax)) / d
-        circle[k] = (ux, uy, (ax - ux) ** 2 + (ay - uy) ** 2)
-
-    put(0, n, n + 1, n + 2)
-    top, free, finished = 1, [], []
-    for step, i in enumerate(np.lexsort((pts[:n, 1], pts[:n, 0])).tolist()):
-        if step % 256 == 255:  # set aside what the sweep has passed
-            passed = circle[:top, 2] >= 0
-            passed &= circle[:top, 0] + np.sqrt(np.maximum(circle[:top, 2], 0)) < pts[i, 0] - 1e-9
-            finished.append(tri[:top][live[:top] & passed])
-            left = np.flatnonzero(live[:top] & ~passed)
-            top, free = len(left), []
-            tri[:top], circle[:top] = tri[left], circle[left]
-            live[:top], live[top:] = True, False
-        gap = (circle[:top, 0] - pts[i, 0]) ** 2 + (circle[:top, 1] - pts[i, 1]) ** 2
-        bad = np.flatnonzero(live[:top] & (gap < circle[:top, 2] * (1 - 1e-12)))
-        if not len(bad):
-            continue  # the point stands on another
-        seen: dict[tuple[int, int], int] = {}
-        for a, b, c in tri[bad]:
-            for e in ((a, b), (b, c), (c, a)):
-                key = (min(e), max(e))
-                seen[key] = seen.get(key, 0) + 1
-        live[bad] = False
-        free += bad.tolist()
-        for (a, b), times in seen.items():
-            if times == 1:
-                if free:
-                    k = free.pop()
-                else:
-                    k, top = top, top + 1
-                    if k >= len(tri):
-                        tri, live, circle = (np.concatenate([x, np.zeros_like(x)]) for x in (tri, live, circle))
-                put(k, a, b, i)
-    out = np.concatenate([*finished, tri[:top][live[:top]]])
-    return out[(out < n).all(1)]
-
-
-def triangles(points: DataFrame, max_points: int = MAX_POINTS) -> DataFrame:
-    """a, b, c (ids) of the Delaunay triangles of distinct places."""
-    if points.count() > max_points:
-        raise ValueError(f"triangulation is a single task; {max_points} points at most")
-    kind = dict(points.dtypes)["id"]
+def sides(points: DataFrame) -> DataFrame:
+    """p and q (ids, p < q) with px, py, qx, qy of each side of a Delaunay triangle, its opposite corner o, ox, oy, and the
+    centre x, y of the triangle's circle: one row for a side on the hull, two for others."""
+    t = delaunay.triangles(points)
+    bx, by, cx, cy = (F.col(c) - F.col(f"a{c[1]}") for c in ("bx", "by", "cx", "cy"))
+    lb, lc = bx * bx + by * by, cx * cx + cy * cy
+    twice = 2 * (bx * cy - by * cx)
+    t = t.withColumns({"x": F.col("ax") + (cy * lb - by * lc) / twice, "y": F.col("ay") + (bx * lc - cx * lb) / twice})
+    end = lambda u, v, o: F.struct(
+        *[F.col(c).alias(n) for c, n in ((u, "p"), (v, "q"), (f"{u}x", "px"), (f"{u}y", "py"), (f"{v}x", "qx"), (f"{v}y", "qy"), (o, "o"), (f"{o}x", "ox"), (f"{o}y", "oy"), ("x", "x"), ("y", "y"))]
+    )
+    each = [F.when(F.col(u) < F.col(v), end(u, v, o)).otherwise(end(v, u, o)) for u, v, o in ("abc", "bca", "cab")]
+    return t.select(F.explode(F.array(*each)).alias("s")).select("s.*")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", "y", "id"]).reset_index(drop=True)
-        found = delaunay_triangles(pdf[["x", "y"]].to_numpy(float))
-        ids = pdf["id"].to_numpy()
-        return pd.DataFrame({c: ids[found[:, k]] for k, c in enumerate("abc")})
 
-    return points.select("id", F.col("x").cast("double"), F.col("y").cast("double")).groupBy(F.lit(1).alias("all")).applyInPandas(lambda pdf: run(pdf.drop(columns="all", errors="ignore")), f"a {kind}, b {kind}, c {kind}")
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """focal and neighbor with fx, fy, nx, ny, in both directions, of pairs p and q."""
+    names = ("focal", "neighbor", "fx", "fy", "nx", "ny")
+    ways = [F.struct(*[F.col(c).alias(n) for c, n in zip(cols, names, strict=True)]) for cols in (("p", "q", "px", "py", "qx", "qy"), ("q", "p", "qx", "qy", "px", "py"))]
+    return pairs.select(F.explode(F.array(*ways)).alias("e")).select("e.*")
+
 
+_ENDS = ["p", "q", "px", "py", "qx", "qy"]
 
-def delaunay_edges(points: DataFrame) -> DataFrame:
-    """focal, neighbor, their coordinates and squared length of the Delaunay sides, in both directions."""
-    t = triangles(points)
-    sides = t.select(F.explode(F.array(*[F.struct(F.col(p).alias("focal"), F.col(q).alias("neighbor")) for p in "abc" for q in "abc" if p != q])).alias("e")).select("e.*").distinct()
-    at = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    a, b = at.toDF("focal", "fx", "fy"), at.toDF("neighbor", "nx", "ny")
-    d2 = (F.col("fx") - F.col("nx")) * (F.col("fx") - F.col("nx")) + (F.col("fy") - F.col("ny")) * (F.col("fy") - F.col("ny"))
-    return sides.join(a, "focal").join(b, "neighbor").withColumn("d2", d2)
+
+def delaunay_edges(points: DataFrame, gabriel: bool = False) -> DataFrame:
+    """focal, neighbor, their coordinates and squared length of the Delaunay sides, in both directions. gabriel: only those with
+    no point inside the circle over the side; if there is one, an opposite corner of the side is inside too."""
+    gap = lambda u: (F.col(f"{u}x") - F.col("ox")) * (F.col(f"{u}x") - F.col("ox")) + (F.col(f"{u}y") - F.col("oy")) * (F.col(f"{u}y") - F.col("oy"))
+    d2 = lambda a, b: (F.col(f"{a}x") - F.col(f"{b}x")) * (F.col(f"{a}x") - F.col(f"{b}x")) + (F.col(f"{a}y") - F.col(f"{b}y")) * (F.col(f"{a}y") - F.col(f"{b}y"))
+    each = sides(points).groupBy(*_ENDS).agg(F.bool_or(d2("p", "q") > gap("p") + gap("q")).alias("ruled_out"))
+    return _both_ways(each.filter(~F.col("ruled_out")) if gabriel else each).withColumn("d2", d2("f", "n"))
 
 
 def triangulation(
@@ -126,14 +77,10 @@ def triangulation(
 
         return voronoi_contiguity(points, rook, clip)
 
-    e, _ = write(delaunay_edges(points))
-    if method == "gabriel":  # no other Delaunay neighbor of the focal point inside the circle over the edge
-        other = e.select("focal", F.col("neighbor").alias("k"), F.col("nx").alias("kx"), F.col("ny").alias("ky"), F.col("d2").alias("ik"))
-        jk = (F.col("nx") - F.col("kx")) * (F.col("nx") - F.col("kx")) + (F.col("ny") - F.col("ky")) * (F.col("ny") - F.col("ky"))
-        bad = e.join(other, "focal").filter("neighbor <> k").filter(F.col("d2") > F.col("ik") + jk).select("focal", "neighbor").distinct()
-        bad = bad.unionByName(bad.select(F.col("neighbor").alias("focal"), F.col("focal").alias("neighbor"))).distinct()
-        e = e.join(bad, ["focal", "neighbor"], "left_anti")
-    elif method == "relative_neighborhood":  # a point that rules an edge out lies within its length of both ends
+    if method not in ("delaunay", "gabriel", "relative_neighborhood"):
+        raise ValueError("method must be delaunay, gabriel, relative_neighborhood or voronoi")
+    e, _ = write(delaunay_edges(points, method == "gabriel"))
+    if method == "relative_neighborhood":  # a point that rules an edge out lies within its length of both ends
         side = F.sqrt("d2")
         level = F.ceil(F.log2(side)).cast("int")
         one = e.filter("focal < neighbor").withColumns({"level": level, "mx": (F.col("fx") + F.col("nx")) / 2, "my": (F.col("fy") + F.col("ny")) / 2})
@@ -148,8 +95,6 @@ def triangulation(
         bad = met.filter((F.col("ik") > 0) & (F.col("jk") > 0) & (F.col("ik") <= side) & (F.col("jk") <= side)).select("focal", "neighbor").distinct()
         bad = bad.unionByName(bad.select(F.col("neighbor").alias("focal"), F.col("focal").alias("neighbor")))
         e = e.join(bad, ["focal", "neighbor"], "left_anti")
-    elif method != "delaunay":
-        raise ValueError("method must be delaunay, gabriel, relative_neighborhood or voronoi")
     h = F.lit(float(bandwidth))
     w = F.lit(1.0) if kernel == "boxcar" and bandwidth == math.inf else kernel_value(F.sqrt("d2"), h, kernel or "identity")
     return Graph(e.select("focal", "neighbor", w.alias("weight")), points.select("id"))
@@ -159,10 +104,8 @@ def alpha_faces(points: DataFrame, alpha: float) -> DataFrame:
     """Boundary edges (a, b) of the alpha shape: sides of exactly one triangle with circumradius under 1 / alpha."""
     from ..functions.geometry import circumradius
 
-    t = triangles(points)
-    for c in "abc":
-        t = t.join(points.select(F.col("id").alias(c), F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).alias(f"p{c}")), c)
-    kept = t.filter(circumradius(F.col("pa"), F.col("pb"), F.col("pc")) < 1 / alpha)
+    corner = lambda c: F.struct(F.col(f"{c}x").alias("x"), F.col(f"{c}y").alias("y"))
+    kept = delaunay.triangles(points).filter(circumradius(corner("a"), corner("b"), corner("c")) < 1 / alpha)
     side = kept.select(F.explode(F.array(*[F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")) for p, q in ("ab", "bc", "ac")])).alias("s"))
     return side.groupBy("s").count().filter("count = 1").select("s.a", "s.b")
 
@@ -260,9 +203,6 @@ def tightest_radius(xy: np.ndarray, tri: np.ndarray) -> float:
 def alpha_auto(points: DataFrame) -> DataFrame:
     """Boundary edges (a, b) of the tightest alpha shape that is one piece and holds all points, with its radius."""
     kind = dict(points.dtypes)["id"]
-    if points.count() > MAX_POINTS:
-        raise ValueError(f"triangulation is a single task; {MAX_POINTS} points at most")
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["x", "y", "id"]).reset_index(drop=True)
         xy = pdf[["x", "y"]].to_numpy(float)
@@ -307,3 +247,52 @@ def convex_hull(points: DataFrame, group: str | None = None) -> DataFrame:
         return pd.DataFrame({"g": pdf["g"].iloc[0], "ord": np.arange(len(h)), "x": h[:, 0], "y": h[:, 1]})
 
     return flat.mapInPandas(part, "g string, x double, y double").groupBy("g").applyInPandas(whole, "g string, ord bigint, x double, y double")
+
+
+def dual(points: DataFrame, margin: float) -> tuple[DataFrame, tuple[float, float, float, float]]:
+    """The Voronoi sides, and the points' box grown by ``margin``. A row has the sites p and q with their coordinates, the other
+    corners o and w (null at the hull) of the triangles at p and q, the ends ux, uy, vx, vy of the side between the sites' cells (the
+    centres of the triangles' circles; at the hull one end lies beyond the box), its length within the box (null if it misses
+    the box), and whether it is a point: four sites on one circle, exactly."""
+    box = points.agg(*[f(c) for f in (F.min, F.max) for c in "xy"]).first()
+    low, high = ((box[0] or 0.0) - margin, (box[1] or 0.0) - margin), ((box[2] or 0.0) + margin, (box[3] or 0.0) + margin)
+    span = max(high[0] - low[0], high[1] - low[1], 1e-300)
+    each = sides(points).groupBy(*_ENDS).agg(F.sort_array(F.collect_list(F.struct("x", "y", "o", "ox", "oy"))).alias("t"))  # two at most
+    first, second = F.col("t")[0], F.when(F.size("t") > 1, F.col("t")[1])
+    dx, dy = F.col("qx") - F.col("px"), F.col("qy") - F.col("py")
+    away = F.when(dx * (first["oy"] - F.col("py")) - dy * (first["ox"] - F.col("px")) > 0, 1.0).otherwise(-1.0)  # the hull's outside
+    far = (4 * span + 2 * (F.abs(first["x"]) + F.abs(first["y"]) + max(map(abs, (*low, *high))))) / F.sqrt(dx * dx + dy * dy)
+    flat = each.select(
+        *_ENDS, first["o"].alias("o"), second["o"].alias("w"), *[first[f"o{c}"].alias(f"o{c}") for c in "xy"], *[second[f"o{c}"].alias(f"w{c}") for c in "xy"],
+        first["x"].alias("ux"), first["y"].alias("uy"), F.coalesce(second["x"], first["x"] + away * dy * far).alias("vx"), F.coalesce(second["y"], first["y"] - away * dx * far).alias("vy"),
+    )
+
+    def at_one_point(batches):
+        for pdf in batches:
+            yield pdf.assign(point=on_one_circle(*(pdf[[f"{c}x", f"{c}y"]].to_numpy(float) for c in "pqow")))
+
+    flat = flat.mapInPandas(at_one_point, ", ".join(f"{n} {k}" for n, k in flat.dtypes) + ", point boolean")
+    # the part of the side within the box, as shares from 0 (u) to 1 (v)
+    ranges = []
+    for c, a, b in (("x", low[0], high[0]), ("y", low[1], high[1])):
+        u, step = F.col(f"u{c}"), F.col(f"v{c}") - F.col(f"u{c}")
+        s, t = (a - u) / F.nullif(step, F.lit(0.0)), (b - u) / F.nullif(step, F.lit(0.0))
+        flat_in = u.between(a, b)
+        ranges.append((F.when(step != 0, F.least(s, t)).when(flat_in, 0.0).otherwise(2.0), F.when(step != 0, F.greatest(s, t)).when(flat_in, 1.0).otherwise(-1.0)))
+    start, end = F.greatest(F.lit(0.0), *[r[0] for r in ranges]), F.least(F.lit(1.0), *[r[1] for r in ranges])
+    length = F.when(start <= end + 1e-12, F.greatest(end - start, F.lit(0.0)) * F.hypot(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy")))
+    return flat.withColumn("length", length), (*low, *high)
+
+
+def on_one_circle(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Whether four points lie on one circle, exactly; false where one is missing. Rows that floats can't decide take fractions."""
+    from fractions import Fraction
+
+    (ax, ay), (bx, by), (cx, cy) = ((x - d).T for x in (a, b, c))
+    la, lb, lc = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+    terms = [la * bx * cy, -la * cx * by, lb * cx * ay, -lb * ax * cy, lc * ax * by, -lc * bx * ay]
+    out = np.abs(sum(terms)) <= 1e-14 * sum(np.abs(t) for t in terms)  # wide enough for all that may be
+    for k in np.flatnonzero(out).tolist():
+        (ax, ay), (bx, by), (cx, cy) = ([Fraction(p) - Fraction(q) for p, q in zip(x[k].tolist(), d[k].tolist(), strict=True)] for x in (a, b, c))
+        out[k] = (ax * ax + ay * ay) * (bx * cy - cx * by) + (bx * bx + by * by) * (cx * ay - ax * cy) + (cx * cx + cy * cy) * (ax * by - bx * ay) == 0
+    return out

@@ -310,17 +310,9 @@ s AS (SELECT focal, neighbor, (c.x - mx) * nx + (c.y - my) * ny AS s, (c.x - mx)
 one AS (SELECT focal, neighbor FROM s GROUP BY 1, 2 HAVING coalesce(max(g / s) FILTER (s < 0), -1e300) <= coalesce(min(g / s) FILTER (s > 0), 1e300) AND coalesce(min(g) FILTER (s = 0), 0) >= 0),
 e0 AS (SELECT focal, neighbor, 1::DOUBLE AS weight FROM one UNION ALL SELECT neighbor, focal, 1 FROM one)"""
 add("delaunay", lambda s, d: edges(triangulation.triangulation(EMB(s, d))), f"WITH {_DELAUNAY} SELECT focal, neighbor, weight FROM e0")
-add("voronoi_rook", lambda s, d: edges(triangulation.triangulation(builders.lattice_polygons(s, 6, 6).select("id", F.col("parts")[0][0]["x"].alias("x"), F.col("parts")[0][0]["y"].alias("y")), "voronoi")), "WITH g AS (SELECT a.i * 6 + b.i AS id, a.i AS r, b.i AS c FROM range(6) a(i), range(6) b(i)) SELECT a.id AS focal, b.id AS neighbor, 1::DOUBLE AS weight FROM g a JOIN g b ON abs(a.r - b.r) + abs(a.c - b.c) = 1")
 add("convex_hull", lambda s, d: rounded(triangulation.convex_hull(supplier(s, d)).select("x", "y")), f"""WITH {P}, u AS (SELECT DISTINCT x, y FROM p), e AS (SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS cy FROM u a JOIN u b ON a.x <> b.x OR a.y <> b.y
 WHERE NOT EXISTS (SELECT 1 FROM u c WHERE (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0 OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND ((c.x - a.x) * (c.x - b.x) > 0 OR (c.y - a.y) * (c.y - b.y) > 0))))
 SELECT DISTINCT round(x, 6) + 0 AS x, y FROM (SELECT ax AS x, ay AS y FROM e UNION ALL SELECT bx, cy FROM e)""")
-GRID = lambda s, d: builders.lattice_polygons(s, 7, 7).filter("id NOT IN (16, 17, 23, 24)").select("id", F.col("parts")[0][0]["x"].alias("x"), F.col("parts")[0][0]["y"].alias("y"))
-add("alpha_shape_area", lambda s, d: rounded(triangulation.alpha_polygons(GRID(s, d), 1 / 0.8).agg(F.count(F.lit(1)).alias("parts"), F.sum("area").alias("area"), F.sum(F.size("parts")).cast("bigint").alias("rings"))), "WITH g AS (SELECT a.i * 7 + b.i AS id, a.i AS r, b.i AS c FROM range(7) a(i), range(7) b(i)), h AS (SELECT * FROM g WHERE id NOT IN (16, 17, 23, 24)), f AS (SELECT count(*) AS n FROM g a WHERE r < 6 AND c < 6 AND 4 = (SELECT count(*) FROM h WHERE h.r - a.r IN (0, 1) AND h.c - a.c IN (0, 1))) SELECT 1::BIGINT AS parts, n::DOUBLE + (SELECT count(*) FROM g a WHERE r < 6 AND c < 6 AND 3 = (SELECT count(*) FROM h WHERE h.r - a.r IN (0, 1) AND h.c - a.c IN (0, 1))) / 2 AS area, 2::BIGINT AS rings FROM f")
-add("bounding_circles", lambda s, d: rounded(triangulation.bounding_circles(GRID(s, d), 1 / 0.8).select("a", "b", F.hypot(F.col("x") - F.col("a") % 7, F.col("y") - F.floor(F.col("a") / 7)).alias("ra"), F.hypot(F.col("x") - F.col("b") % 7, F.col("y") - F.floor(F.col("b") / 7)).alias("rb")).agg(F.count(F.lit(1)).alias("circles"), F.min("ra").alias("ra"), F.max("rb").alias("rb"))), """
-WITH g AS (SELECT a.i * 7 + b.i AS id, a.i AS r, b.i AS c FROM range(7) a(i), range(7) b(i)), h AS (SELECT * FROM g WHERE id NOT IN (16, 17, 23, 24)),
-f AS (SELECT a.r, a.c, count(*) AS n FROM g a JOIN h ON h.r - a.r IN (0, 1) AND h.c - a.c IN (0, 1) WHERE a.r < 6 AND a.c < 6 GROUP BY 1, 2 HAVING n >= 3),
-e AS (SELECT u.id AS a, v.id AS b, count(*) AS k FROM h u JOIN h v ON u.id < v.id AND abs(u.r - v.r) + abs(u.c - v.c) = 1 JOIN f ON u.r - f.r IN (0, 1) AND u.c - f.c IN (0, 1) AND v.r - f.r IN (0, 1) AND v.c - f.c IN (0, 1) GROUP BY 1, 2)
-SELECT (SELECT count(*) FROM e WHERE k = 1) + (SELECT count(*) FROM f WHERE n = 3) AS circles, 0.8::DOUBLE AS ra, 0.8::DOUBLE AS rb""")
 
 # columns of geometry, over customers
 XY = lambda s, d: CUST(s, d).select("id", F.struct((F.col("x") / 1000).alias("x"), F.col("y")).alias("p"))
