@@ -5,15 +5,15 @@ label of ``max_depth`` MinHash values in each of ``trees`` prefix tries; represe
 labels, brought together by the tries' order, are candidates.
 
 Prefixes are shortened step by step, from whole labels to the depth at which a pair at the threshold alone shares one in
-some trie with the target recall. A text takes part in a step only while it is short of matches: it has no link yet, or
-one so weak that the prefixes so far would have missed its like too often. Texts whose matches are all close stop early,
-so the loose candidates of short prefixes neither grow large clusters nor chain them together.
+some trie with the target recall. Every text takes part down to that depth, however close its matches so far: a text with
+a close copy can have a link at the threshold too. What a step spares is the group of a prefix whose texts are all in one
+cluster already, since clusters are compared in full; so a shorter prefix costs work only where it brings new texts together.
 
 Candidates are never paired within a prefix's group. They are linked to the group's least member, components of
 these links are the clusters, and every pair of candidates is inside one cluster. Clusters are verified exactly on
 their full shingle sets when a step has changed them: small ones many at a time, larger ones as pairs of blocks of
 bounded bytes, so no task holds a large cluster. Verification returns a row for each member and block (its number of
-links, the least member it is linked to and the similarity of its weakest link), never a row for each pair.
+links and the least member it is linked to), never a row for each pair.
 """
 
 from __future__ import annotations
@@ -86,11 +86,6 @@ def forest_depth(threshold: float, trees: int, max_depth: int, recall: float) ->
     return depth
 
 
-def sure_similarity(depth: int, trees: int, miss: float = 1e-4) -> float:
-    """The similarity from which on prefixes of ``depth`` miss a pair with at most the probability ``miss``."""
-    return (1 - miss ** (1 / trees)) ** (1 / depth)
-
-
 def labels(h: np.ndarray, offs: np.ndarray, trees: int, depth: int) -> np.ndarray:
     """The label of each text in each trie: ``depth`` MinHash values of 16 bits; texts must have a shingle."""
     rng = np.random.default_rng(11)
@@ -139,7 +134,6 @@ class _Links:
 
     def __init__(self, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float):
         self.count = np.zeros(len(sets), np.int64)
-        self.least = np.ones(len(sets))
         self.root = np.arange(len(sets))
         size = np.array([len(s) for s in sets])
         if len(sets) <= 6:
@@ -167,12 +161,9 @@ class _Links:
         linked = both >= threshold * union - 1e-9
         if left is right:
             np.fill_diagonal(linked, False)
-        alike = np.where(linked, both / np.maximum(union, 1), 1)
         self.count[left] += linked.sum(1)
-        self.least[left] = np.minimum(self.least[left], alike.min(1))
         if left is not right:
             self.count[right] += linked.sum(0)
-            self.least[right] = np.minimum(self.least[right], alike.min(0))
         while True:  # the least member over chains of links, in rounds
             old = self.root.copy()
             low = np.where(linked, self.root[right][None, :], len(sets)).min(1, initial=len(sets))
@@ -186,7 +177,6 @@ class _Links:
         union = size[i] + size[j] - common
         if common >= threshold * union - 1e-9:
             self.count[[i, j]] += 1
-            self.least[[i, j]] = np.minimum(self.least[[i, j]], common / max(union, 1))
             a, b = self.find(i), self.find(j)
             self.root[max(a, b)] = min(a, b)
 
@@ -212,9 +202,8 @@ def _verify(threshold: float):
             else:
                 left, right = np.flatnonzero(block[part] == i[part[0]]), np.flatnonzero(block[part] == j[part[0]])
             links = _Links(got, left, right, threshold)
-            out.append((member[part], links.count, member[part][[links.find(k) for k in range(len(part))]], links.least))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-        return pa.table([pa.array(np.concatenate(x), kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["member", "links", "root", "least"])
+            out.append((member[part], links.count, member[part][[links.find(k) for k in range(len(part))]]))
+        return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], ["member", "links", "root"])
 
     return run
 
@@ -248,25 +237,25 @@ def _checked(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, th
         "member", "cluster", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "shingles",
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.col("cluster")).alias("g"), (F.col("blocks") > 1).alias("large"),
     )
-    return staged(dealt.groupBy("large", "g", "i", "j").applyInArrow(_verify(threshold), "member bigint, links bigint, root bigint, least double"))
-
-
-def _candidates(own: DataFrame, done: DataFrame | None, depth: int) -> DataFrame:
-    """Links (a, b) from members of each prefix's group to its least one, of groups with a text that isn't done."""
-    rows = own.select("row", "tags", F.lit(True).alias("short"))
-    if done is not None:
-        rows = own.select("row", "tags").join(done.select(F.col("member").alias("row"), F.lit(False).alias("short")), "row", "left")
-        rows = rows.withColumn("short", F.coalesce("short", F.lit(True)))
-    entries = rows.select("row", "short", F.posexplode("tags").alias("tree", "label"))
-    entries = entries.select("row", "short", F.xxhash64("tree", F.substring("label", 1, 2 * depth)).alias("prefix"))
-    met = entries.groupBy("prefix").agg(F.min("row").alias("low"), F.count(F.lit(1)).alias("n"), F.bool_or("short").alias("any"))
-    met = met.filter((F.col("n") > 1) & F.col("any")).select("prefix", "low")
+    return staged(dealt.groupBy("large", "g", "i", "j").applyInArrow(_verify(threshold), "member bigint, links bigint, root bigint"))
+
+
+def _candidates(own: DataFrame, cluster: DataFrame | None, depth: int) -> DataFrame:
+    """Links (a, b) from members of each prefix's group to its least one, of groups with texts of two or more clusters (node,
+    label; a text that none has is one by itself)."""
+    rows = own.select("row", "tags", F.col("row").alias("mine"))
+    if cluster is not None:
+        rows = own.select("row", "tags").join(cluster.select(F.col("node").alias("row"), F.col("label")), "row", "left").select("row", "tags", F.coalesce("label", "row").alias("mine"))
+    entries = rows.select("row", "mine", F.posexplode("tags").alias("tree", "label"))
+    entries = entries.select("row", "mine", F.xxhash64("tree", F.substring("label", 1, 2 * depth)).alias("prefix"))
+    met = entries.groupBy("prefix").agg(F.min("row").alias("low"), F.min("mine").alias("first"), F.max("mine").alias("last"))
+    met = met.filter(F.col("first") != F.col("last")).select("prefix", "low")
     return entries.select("row", "prefix").join(met, "prefix").filter(F.col("row") != F.col("low")).select(F.col("row").alias("a"), F.col("low").alias("b")).distinct()
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
-    trees: int = 32, max_depth: int = 12, recall: float = 0.995, step: int = 2, block_bytes: int = 4 << 20,
+    trees: int = 32, max_depth: int = 12, recall: float = 0.999, step: int = 5, block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """A row a document: ``id_col``, k1 and k2 (keys of its text), row (its place), class_id, n_links, n_copies and first.
 
@@ -285,9 +274,9 @@ def near_duplicates(
     own = staged(seen.filter("n > 0").select("row", "n", "tags").join(same.select(F.col("m.row").alias("row"), F.col("m.id").alias("id"), F.col("m.k1").alias("k1"), F.col("m.k2").alias("k2")), "row"))
     known = own.select(F.col("row").alias("node"), "n", "id", "k1", "k2")
     floor = forest_depth(threshold, trees, max_depth, recall)
-    cluster = checked = done = path = None
+    cluster = checked = None
     for depth in sorted({*range(max_depth, floor, -step), floor}, reverse=True):
-        links = _candidates(own, done, depth)
+        links = _candidates(own, cluster, depth)
         if cluster is not None:
             links = links.unionByName(cluster.filter("node != label").select(F.col("node").alias("a"), F.col("label").alias("b")))
         now = components(links)
@@ -299,10 +288,6 @@ def near_duplicates(
             found = staged(found.unionByName(checked.join(members.select("member"), "member", "left_anti")))
         drop_staged(spark, members_path)
         cluster, checked = now, found
-        if path:
-            drop_staged(spark, path)
-        weakest = checked.groupBy("member").agg(F.sum("links").alias("links"), F.min("least").alias("least"))
-        done, path = staged_at(weakest.filter((F.col("links") > 0) & (F.col("least") >= sure_similarity(depth, trees))).select("member"))
     links = checked.groupBy("member").agg(F.sum("links").cast("bigint").alias("n_links")).filter("n_links > 0")
     found = components(checked.filter("member != root").select(F.col("member").alias("a"), F.col("root").alias("b")))
     reps = same.select("c1", "c2", "n_copies", F.col("m.id").alias("rep_id"), F.col("m.row").alias("rep"))
