@@ -68,8 +68,9 @@ OP6 = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 x AS (SELECT rid, regexp_extract_all(text, '{_SPACE}|{_WORD}') AS t FROM d),
 k0 AS (SELECT rid, unnest(t) AS x, generate_subscripts(t, 1) AS k FROM x),
-k1 AS (SELECT *, sum(length(x)) OVER (PARTITION BY rid ORDER BY k) AS e FROM k0),
-w AS (SELECT rid, {_fold("x")} AS w, e - length(x) AS s, e, row_number() OVER (PARTITION BY rid ORDER BY k) AS p, count(*) OVER (PARTITION BY rid) AS n
+k1 AS (SELECT *, sum(length(x)) OVER o AS e, sum((x LIKE '%' || chr(10) || '%')::INT) OVER o AS line, sum((x LIKE '%' || chr(10) || '%' || chr(10) || '%')::INT) OVER o AS para
+  FROM k0 WINDOW o AS (PARTITION BY rid ORDER BY k)),
+w AS (SELECT rid, {_fold("x")} AS w, e - length(x) AS s, e, line, para, row_number() OVER (PARTITION BY rid ORDER BY k) AS p, count(*) OVER (PARTITION BY rid) AS n
   FROM k1 WHERE NOT regexp_matches(x, '^{_SPACE}')),
 m AS (SELECT *, p = n OR regexp_matches(w, '{_quoted(SENTENCE_END)}') AS fin FROM w),
 y AS (SELECT *, coalesce(sum(fin::INT) OVER (PARTITION BY rid ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM m),
@@ -79,7 +80,9 @@ a AS (SELECT rid, part, min(p) AS lo, max(p) AS hi, any_value(n) AS n FROM q GRO
 r AS (
   SELECT l.rid, l.lo, min(h.hi) AS hi FROM a l JOIN a h ON l.rid = h.rid AND h.hi - l.lo >= 19 AND h.part BETWEEN l.part AND l.part + 20 GROUP BY l.rid, l.lo
   UNION SELECT rid, max(lo), n FROM a WHERE n - lo >= 19 GROUP BY rid, n
-  UNION SELECT rid, 1, n FROM a WHERE n < 20),
+  UNION SELECT rid, 1, n FROM a WHERE n < 20
+  UNION SELECT rid, min(p), max(p) FROM w GROUP BY rid, line HAVING count(*) >= 10
+  UNION SELECT rid, min(p), max(p) FROM w GROUP BY rid, para HAVING count(*) >= 10),
 t AS (SELECT rid, list(w ORDER BY p) AS ws, list(s ORDER BY p) AS ss, list(e ORDER BY p) AS es FROM w GROUP BY rid),
 u AS (SELECT rid, doc_id, array_to_string(ws[lo:hi], ' ') AS words, ss[lo] AS s, es[hi] AS e FROM r JOIN t USING (rid) JOIN d USING (rid)),
 k AS (SELECT *, count(*) OVER b AS times, min(rid) OVER b < max(rid) OVER b AS shared, first_value(rid) OVER o AS kr, first_value(s) OVER o AS ks, first_value(e) OVER o AS ke, first_value(doc_id) OVER o AS ki

@@ -1,10 +1,11 @@
 """Substring dedup by hashes of passages: of equal passages the earliest ranked one stays.
 
-A text is a row of words, whatever its line breaks. It is cut after every sentence end and, in a stretch of over
-``STRETCH`` words without one, after words that their own hash chooses, so that equal words are cut alike wherever they
-stand. Units are runs of such cuts: from every cut on, and from the text's end back, the shortest of at least
-``min_words`` words; a text of fewer words is one unit. Every word of a text is in some unit, and a passage is found inside
-longer lines, over lines wrapped otherwise, and between other words before and after it.
+Units are lines and paragraphs (what stands between blank lines) of at least ``line_words`` words, and runs of sentences:
+a text is cut after every sentence end and, in a stretch of over ``STRETCH`` words without one, after words that their own
+hash chooses, so that equal words are cut alike wherever they stand; from every cut on, and from the text's end back, the
+shortest run of at least ``min_words`` words is a unit; a text of fewer words is one. So every word of a text is in some unit,
+a short line is found by itself, and a longer passage inside longer lines, over lines wrapped otherwise, and between other
+words before and after it.
 
 Half of each digest is counted over the whole corpus with a partial aggregate, so a unit of a third of all documents is
 one row a task before the shuffle. Only units whose half occurs twice or more go on; of these, whole digests of 128 bits
@@ -65,7 +66,14 @@ def _digests(h: np.ndarray, base: np.uint64, lo: np.ndarray, hi: np.ndarray) ->
     return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
-def passages(column: pa.Array, min_words: int) -> tuple[np.ndarray, ...]:
+def _stretches(begins: np.ndarray, least: int) -> np.ndarray:
+    """First and last word (as one number) of each stretch of ``least`` words or more; ``begins``: words that begin one."""
+    a = np.flatnonzero(begins)
+    b = np.concatenate([a[1:], [len(begins)]]) - 1
+    return (a << 32 | b)[b - a + 1 >= least]
+
+
+def passages(column: pa.Array, min_words: int, line_words: int) -> tuple[np.ndarray, ...]:
     """Units of all texts in order: n + 1 offsets, then start, end (characters of the text), h1 and h2 of each."""
     buf, offs = text_bytes(column)
     inside = ~_space[buf]
@@ -102,17 +110,22 @@ def passages(column: pa.Array, min_words: int) -> tuple[np.ndarray, ...]:
     start = np.concatenate([[0], cut[:-1] + 1])
     doc = np.searchsorted(offs, at[start], side="right") - 1
     lo, hi = _runs(doc, cut - start + 1, np.searchsorted(doc, np.arange(len(offs))), min_words)
-    a, b = start[lo], cut[hi]
+    breaks = np.concatenate([[0], np.cumsum(buf == 10)])
+    gap = np.concatenate([[0], breaks[at[1:]] - breaks[to[:-1]]])  # line breaks before a word
+    gap[first[:-1][np.diff(first) > 0]] = 2
+    units = np.unique(np.concatenate([start[lo] << 32 | cut[hi], _stretches(gap > 0, line_words), _stretches(gap > 1, line_words)]))
+    a, b = units >> 32, units & 0xFFFFFFFF
+    doc = np.searchsorted(offs, at[a], side="right") - 1
     chars = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-    base = chars[offs[doc[lo]]]
-    n = np.searchsorted(doc[lo], np.arange(len(offs)))
+    base = chars[offs[doc]]
+    n = np.searchsorted(doc, np.arange(len(offs)))
     return n, chars[at[a]] - base, chars[to[b]] - base, _digests(h1, _base[0], a, b), _digests(h2, _base[1], a, b)
 
 
-def _units(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+def _units(docs: DataFrame, id_col: str, text_col: str, min_words: int, line_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            n, start, end, h1, h2 = passages(batch.column(2), min_words)
+            n, start, end, h1, h2 = passages(batch.column(2), min_words, line_words)
             fields = {"start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32()), "h1": pa.array(h1), "h2": pa.array(h2)}
             units = pa.ListArray.from_arrays(pa.array(n, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), units], [id_col, "row", "units"])
@@ -141,7 +154,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.ListArray.from_arrays(pa.array(ends), merged)], [*batch.schema.names[:4], "removed"])
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, line_words: int = 10) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, n_units, n_repeated (units that occur in other rows too, the kept
     occurrences included), n_removed (units that aren't their first occurrence), removed (the places to take out: structs of start
     and end in characters of the original text, ascending, without overlaps) and kept_in (sorted ids of the rows where
@@ -152,7 +165,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     overlaps its first occurrence in its own text loses only what comes after that. Null and empty texts have no units; a
     very long text has many, and is read in one piece; an empty table gives an empty result; further columns are not read.
     """
-    seen = staged(_units(docs, id_col, text_col, min_words))
+    seen = staged(_units(docs, id_col, text_col, min_words, line_words))
     each = seen.select(F.col(id_col).alias("id"), "row", F.explode("units").alias("u")).select("id", "row", "u.*")
     often = each.groupBy("h1").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > 1).select("h1")
     met = staged(each.join(staged(often), "h1", "left_semi"))

@@ -270,7 +270,7 @@ def test_unit_dedup(docs, empty):
             assert r["clean"] == "".join(c for k, c in enumerate(r["text"]) if k not in gone)
 
 
-def brute_passages(rows, min_words=20):
+def brute_passages(rows, min_words=20, line_words=10):
     """(id, text) in order -> (n_units, n_repeated, n_removed, removed spans, kept ids) of each."""
     units, counts = [], []
     for k, (_, text) in enumerate(rows):
@@ -286,6 +286,9 @@ def brute_passages(rows, min_words=20):
             runs.add((max(a for a in starts if len(found) - a >= min_words), len(found)))
         if found and len(found) < min_words:
             runs = {(0, len(found))}
+        for apart in (1, 2):  # lines, and paragraphs between blank lines
+            begins = [n for n in range(len(found)) if n == 0 or text[found[n - 1][2] : found[n][1]].count("\n") >= apart]
+            runs |= {(a, b) for a, b in zip(begins, [*begins[1:], len(found)]) if b - a >= line_words}
         units += [(tuple(w for w, _, _ in found[a:b]), k, found[a][1], found[b - 1][2]) for a, b in runs]
         counts.append(len(runs))
     holders = defaultdict(set)
@@ -324,13 +327,35 @@ def test_repeated_passages(spark, docs, empty):
     cut = lambda k: [texts[k][s["start"] : s["end"]] for s in out[k]["removed"]]
     assert cut(2) == [] and out[2]["n_repeated"] > 0 and len(cut(3)[0].split()) >= 46 and len(" ".join(cut(7)).split()) >= 46 and cut(5) == ["Few  words"]
     assert len(cut(11)[0].split()) >= 20 and set(out[11]["kept_in"]) == {10}  # inside a line without a sentence end
-    rows = [(r["doc_id"], r["text"]) for r in docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect()]
-    out = unit_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted([r["doc_id"], r["n_units"], r["n_repeated"], r["n_removed"], [tuple(x) for x in r["removed"]], list(r["kept_in"])] for r in out) == sorted([i, *x] for (i, _), x in zip(rows, brute_passages(rows), strict=True))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]  # repeated ids and rows as well: they rank by the table's order
+    out = unit_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *map(str, r[1:]))
+    got = [[r["doc_id"], r["n_units"], r["n_repeated"], r["n_removed"], [tuple(x) for x in r["removed"]], list(r["kept_in"])] for r in out]
+    assert sorted(got, key=key) == sorted(([i, *x] for (i, _), x in zip(rows, brute_passages(rows), strict=True)), key=key)
     clash = docs.withColumn("units", F.lit(1)).withColumn("last", F.lit("x"))
     assert unit_dedup.repeated_passages(clash).count() == docs.count()
 
 
+@pytest.mark.parametrize("n", [14, 18, 20, 30, 40, 60])
+def test_lines_and_paragraphs_are_found_whole(spark, n):
+    """A line, and a paragraph wrapped otherwise, of ``n`` words between other text: all copies but the first go, in full."""
+    rng, rows = random.Random(n), []
+    for k in range(60):
+        shared = sentences(rng, n)
+        wrapped = shared.split()
+        wrapped = " ".join(wrapped[: n // 2]) + "\n" + " ".join(wrapped[n // 2 :])
+        other = lambda: sentences(random.Random(rng.random()), 15)
+        rows += [(4 * k, f"{other()}\n{shared}\n{other()}"), (4 * k + 1, f"{other()}\n{shared}\n{other()}")]
+        rows += [(4 * k + 2, f"{other()}\n\n{wrapped}\n\n{other()}"), (4 * k + 3, f"{other()}\n \n{wrapped}\n\n\n{other()}")]
+    out = {r["doc_id"]: r for r in unit_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    texts = dict(rows)
+    for k in range(60):
+        for i, kept in ((1, 0), (3, 2)):
+            cut = [texts[4 * k + i][s["start"] : s["end"]] for s in out[4 * k + i]["removed"]]
+            assert len(cut) == 1 and len(cut[0].split()) == n and 4 * k in out[4 * k + i]["kept_in"] or 4 * k + kept in out[4 * k + i]["kept_in"]
+        assert not out[4 * k]["removed"]
+
+
 def test_decontaminate(spark, docs, empty):
     texts = make_texts()
     items = [(0, " ".join(texts[6].split()[20:45])), (1, "TWO, words!"), (2, "one"), (3, None), (4, "..."), (None, " ".join(texts[7].split()[:12])), (5, "nowhere to be found at all in any of these"), (6, " ".join(texts[8].split()[5:9])), (0, "Àé ß 数据 Àé ß 数据"), (9, "a a a a a a a a a a a a")]
