@@ -154,11 +154,26 @@ class _Links:
         row_l[left], row_r[right] = np.arange(len(left)), np.arange(len(right))
         for a in range(0, int(number[-1]) + 1 if len(number) else 0, 1024):  # bounded memory: some columns at a time
             s = slice(*np.searchsorted(column, [a, a + 1024]))
-            m = np.zeros((len(sets), 1024), np.float32)
-            m[owner[s], column[s] - a] = 1
-            both += m[left] @ m[right].T
-        union = size[left][:, None] + size[right][None, :] - both
-        linked = both >= threshold * union - 1e-9
+            m = np.zeros((len(left), 1024), np.float32)
+            mine = row_l[owner[s]] >= 0
+            m[row_l[owner[s][mine]], column[s][mine] - a] = 1
+            o = m
+            if left is not right:
+                o = np.zeros((len(right), 1024), np.float32)
+                mine = row_r[owner[s]] >= 0
+                o[row_r[owner[s][mine]], column[s][mine] - a] = 1
+            for rows in self._stripes(len(left), len(right)):
+                both[rows] += m[rows] @ o.T
+        linked = np.zeros(both.shape, bool)
+        for rows in self._stripes(len(left), len(right)):  # bounded memory: some rows at a time
+            union = (size[left[rows]][:, None] + size[right][None, :]).astype(np.float32) - both[rows]
+            over = both[rows] - np.float32(threshold) * union
+            doubt = np.abs(over) <= 1e-3 + 2e-6 * union  # decided exactly
+            linked[rows] = over > 0
+            for i, j in np.argwhere(doubt).tolist():
+                k = int(both[rows.start + i, j])
+                linked[rows.start + i, j] = k >= threshold * (int(size[left[rows.start + i]]) + int(size[right[j]]) - k) - 1e-9
+        del both
         if left is right:
             np.fill_diagonal(linked, False)
         self.count[left] += linked.sum(1)
@@ -166,13 +181,19 @@ class _Links:
             self.count[right] += linked.sum(0)
         while True:  # the least member over chains of links, in rounds
             old = self.root.copy()
-            low = np.where(linked, self.root[right][None, :], len(sets)).min(1, initial=len(sets))
-            self.root[left] = np.minimum(self.root[left], low)
-            low = np.where(linked, self.root[left][:, None], len(sets)).min(0, initial=len(sets))
-            self.root[right] = np.minimum(self.root[right], low)
+            for rows in self._stripes(len(left), len(right)):
+                low = np.where(linked[rows], self.root[right][None, :], len(sets)).min(1, initial=len(sets))
+                self.root[left[rows]] = np.minimum(self.root[left[rows]], low)
+                low = np.where(linked[rows], self.root[left[rows]][:, None], len(sets)).min(0, initial=len(sets))
+                self.root[right] = np.minimum(self.root[right], low)
             if (old == self.root).all():
                 break
 
+    @staticmethod
+    def _stripes(rows: int, columns: int, cells: int = 1 << 20) -> list[slice]:
+        step = max(1, cells // max(columns, 1))
+        return [slice(a, min(a + step, rows)) for a in range(0, rows, step)]
+
     def add(self, i: int, j: int, common: int, size: np.ndarray, threshold: float) -> None:
         union = size[i] + size[j] - common
         if common >= threshold * union - 1e-9:
