@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import sphere
 from ..functions.kernels import kernel as kernel_value
 from . import paths
+from .boxes import box_join, boxed
+from .distances import distance_quantile, quantile
 from .graph import BlockGraph, Graph
 from .joins import band_join, knn_join, minkowski, nearest_join, sphere_band_join, sphere_knn_join
 
@@ -115,51 +117,6 @@ def all_pairs(points: DataFrame, p: float | None = 2, coords=("x", "y")) -> Data
     return a.crossJoin(b).filter("focal <> neighbor").select("focal", "neighbor", d.alias("distance"))
 
 
-def quantile(df: DataFrame, column: str, q: float, parts: int = 4096, most: int = 20_000) -> float | None:
-    """Exact quantile with linear interpolation. The range is narrowed by counting values in equal parts of it, a partial
-    aggregate each time, until ``most`` values at most are left to sort; so no task holds all values."""
-    v = F.col(column)
-    low, high, n = df.agg(F.min(v), F.max(v), F.count(v)).first()
-    if not n:
-        return None
-    rank = q * (n - 1)
-    wanted = {math.floor(rank), math.ceil(rank)}
-    before = 0  # values under the range
-    for _ in range(40):
-        width = (high - low) / parts
-        if n <= most or width <= 0 or low + width == low:
-            break
-        place = F.least(F.greatest(F.floor((v - low) / width), F.lit(0)), F.lit(parts - 1))
-        counts = {r[0]: r[1] for r in df.filter(v.between(low, high)).groupBy(place).count().collect()}  # ``parts`` rows at most
-        seen, hit = before, []
-        for k in sorted(counts):
-            if any(seen <= w < seen + counts[k] for w in wanted):
-                hit.append((k, seen, counts[k]))
-            seen += counts[k]
-        first, last = hit[0], hit[-1]
-        # ends a little wider than the parts, as their edges are rounded
-        new = (max(low, low + (first[0] - 1e-6) * width), min(high, low + (last[0] + 1 + 1e-6) * width))
-        if new == (low, high):
-            break
-        low, high = new
-        inside = df.agg(F.count_if(v < low), F.count_if(v.between(low, high))).first()
-        before, n = inside
-    rows = df.filter(v.between(low, high))
-    if low == high:
-        return float(low)
-    if n > most:  # many equal values: count them by value
-        ranked = sorted((r[0], r[1]) for r in rows.groupBy(v).count().collect())
-        values, seen = {}, before
-        for x, c in ranked:
-            values |= {w: x for w in wanted if seen <= w < seen + c}
-            seen += c
-    else:
-        kept = sorted(r[0] for r in rows.select(v).collect())
-        values = {w: kept[w - before] for w in wanted}
-    a, b = values[math.floor(rank)], values[math.ceil(rank)]
-    return float(a + (b - a) * (rank - math.floor(rank)))
-
-
 def optimal_bandwidth(pairs: DataFrame, function: str, n: int, steps: int = 60) -> float:
     """The bandwidth up to twice the greatest distance whose kernel values are spread most evenly: the greatest entropy
     of their histogram over [0, 1] in int(sqrt(n)) bins. A golden-section search; each probe is one partial aggregate."""
@@ -196,10 +153,13 @@ def kernel(
     metric: str = "minkowski",
 ) -> Graph:
     """Kernel weights over the k nearest, or within a bandwidth. Without k and bandwidth, the bandwidth is the lower
-    quartile of all distances; ``auto`` spreads the weights most evenly. Both, and kernels without taper, need every pair
-    by their definition. metric: as in ``knn``."""
+    quartile of all distances, found without making the pairs; with taper, only pairs within the bandwidth are links.
+    ``auto`` spreads the weights most evenly; that, and kernels without taper, need every pair by their definition. metric: as in
+    ``knn``."""
     p = _power(metric, p)
     coords = ("lon", "lat") if p is None else coords
+    if k is None and bandwidth is None:
+        bandwidth = distance_quantile(points, 0.25, coords, p) or 0.0
     if k is not None:
         pairs = sphere_knn_join(points, k) if p is None else knn_join(points, k, coords, p)
         h = F.lit(float(bandwidth)) if bandwidth is not None else F.col("_h")
@@ -210,9 +170,7 @@ def kernel(
         pairs, h = pairs.filter("focal <> neighbor"), F.lit(float(bandwidth))
     else:
         pairs = all_pairs(points, p, coords)
-        if bandwidth is None:
-            bandwidth = quantile(pairs, "distance", 0.25)
-        elif bandwidth == "auto":
+        if bandwidth == "auto":
             bandwidth = optimal_bandwidth(pairs, function, points.count())
         h = F.lit(None if bandwidth is None else float(bandwidth)).cast("double")
     return _graph(pairs, points, kernel_value(F.col("distance"), h, function, taper, decay))
@@ -291,18 +249,13 @@ def contiguity(polygons: DataFrame, rook: bool = True, by_perimeter: bool = Fals
 def box_contiguity(polygons: DataFrame, buffer: float = 0.0, tolerance: float | None = None) -> Graph:
     """Fuzzy contiguity of bounding boxes grown by ``buffer`` (or tolerance * 0.5 * the lesser extent of all boxes).
 
-    Boxes are put into the grid cells that they touch; of a pair that meets in several cells, one row is kept."""
-    flat = F.flatten("parts")
-    box = polygons.select("id", *[f(F.transform(flat, lambda v: v[c])).alias(n) for n, f, c in (("l", F.array_min, "x"), ("b", F.array_min, "y"), ("r", F.array_max, "x"), ("t", F.array_max, "y"))])
-    size = box.agg((F.max("r") - F.min("l")).alias("w"), (F.max("t") - F.min("b")).alias("h"), F.avg(F.greatest(F.col("r") - F.col("l"), F.col("t") - F.col("b"))).alias("side")).first()
-    grow = buffer if tolerance is None else tolerance * 0.5 * min(size["w"], size["h"])
-    side = max(float(size["side"] or 1) + 2 * grow, 1e-9)
+    Boxes are joined at the level of the larger one's size."""
+    box = boxed(polygons.select("id", F.flatten("parts").alias("points")), F.col("points")).drop("points")
+    size = box.agg((F.max("r") - F.min("l")).alias("w"), (F.max("t") - F.min("b")).alias("h")).first()
+    grow = buffer if tolerance is None else tolerance * 0.5 * min(size["w"] or 0, size["h"] or 0)
     box = box.select("id", (F.col("l") - grow).alias("l"), (F.col("b") - grow).alias("b"), (F.col("r") + grow).alias("r"), (F.col("t") + grow).alias("t"))
-    cell = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / side), F.floor(F.col(hi) / side)))
-    in_cells = box.withColumn("cx", cell("l", "r")).withColumn("cy", cell("b", "t"))
-    a, b = (in_cells.select("cx", "cy", *[F.col(c).alias(f"{n}_{c}") for c in ("id", "l", "b", "r", "t")]) for n in ("p", "q"))
-    meet = a.join(b, ["cx", "cy"]).filter("p_id <> q_id AND p_l <= q_r AND q_l <= p_r AND p_b <= q_t AND q_b <= p_t")
-    return _graph(meet.select(F.col("p_id").alias("focal"), F.col("q_id").alias("neighbor")).distinct(), polygons)
+    a, b = (box.select(*[F.col(c).alias(f"{n}_{c}") for c in box.columns]) for n in ("l", "r"))
+    return _graph(box_join(a, b).filter("l_id <> r_id").select(F.col("l_id").alias("focal"), F.col("r_id").alias("neighbor")), polygons)
 
 
 # regular structures: neighbors come from arithmetic, without a join

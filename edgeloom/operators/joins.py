@@ -48,7 +48,7 @@ def sphere_band_join(left: DataFrame, right: DataFrame, arc: float, radius: floa
 
 
 def nearest_join(
-    left: DataFrame, right: DataFrame, k: int, coords: tuple[str, ...] = ("x", "y"), p: float = 2, others: bool = False, levels: int = 24,
+    left: DataFrame, right: DataFrame, k: int, coords: tuple[str, ...] = ("x", "y"), p: float = 2, others: bool = False, levels: int = 24, deepest: int = 50,
 ) -> DataFrame:
     """focal (ids of ``left``), neighbor (ids of ``right``) and distance of the k nearest right points of each left one;
     ties go to the lesser id. others: a point isn't its own neighbor (for a set joined with itself).
@@ -56,7 +56,8 @@ def nearest_join(
     Cells halve their sides from level to level, over the extent of both sets. The right points of every cell of every
     level are counted by one partial aggregate. A left point takes the finest cell that holds enough right points, so its
     neighbors are within that cell's diagonal, and is joined once to the cells of that size around it: dense and sparse
-    regions have cells of their own size, and one far point widens no other point's search. Of points at one place only
+    regions have cells of their own size. Where a cell of the finest level still holds many points (as one far point widens the extent
+    of all), its points have further levels, down to what a float can tell apart. Of points at one place only
     as many as can be neighbors, those with the least ids, are candidates; so a place with a large share of all points
     makes no quadratic join. The cut to k happens before the shuffle of the ranking.
     """
@@ -73,9 +74,20 @@ def nearest_join(
     at = lambda level: [F.floor((F.col(c) - box[f"min_{c}"]) / size(level)).cast("bigint").alias(f"k_{c}") for c in coords]
     keys = ["level", *[f"k_{c}" for c in coords]]
     far = far.withColumn("place", F.row_number().over(W.partitionBy(*coords).orderBy("id"))).filter(F.col("place") <= need).drop("place")
-    all_levels = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
-    full = far.select(*coords, all_levels).select("level", *at(F.col("level"))).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= need).drop("n")
-    finest = near.select("id", *coords, all_levels).select("id", "level", *at(F.col("level"))).join(full, keys, "left_semi").groupBy("id").agg(F.max("level").alias("own"))
+    ends = [F.lit(levels)] * 2
+    crowded = far.groupBy(*at(F.lit(levels))).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 16 * need).drop("n")
+    crowded, path = write(crowded)
+    if not crowded.isEmpty():
+        deep = F.when(F.col("_deep"), F.lit(deepest)).otherwise(F.lit(levels))
+        marked = crowded.withColumn("_deep", F.lit(True))
+        names = [f"k_{c}" for c in coords]
+        near, far = (df.select("*", *at(F.lit(levels))).join(marked, names, "left").drop(*names) for df in (near, far))
+        ends = [deep, deep]
+    else:
+        remove(left.sparkSession, path)
+    all_levels = lambda end: F.explode(F.sequence(F.lit(0), end)).alias("level")
+    full = far.select(*coords, all_levels(ends[1])).select("level", *at(F.col("level"))).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= need).drop("n")
+    finest = near.select("id", *coords, all_levels(ends[0])).select("id", "level", *at(F.col("level"))).join(full, keys, "left_semi").groupBy("id").agg(F.max("level").alias("own"))
     up = math.ceil(math.log2(len(coords) ** (0 if p == math.inf else 1 / p)) - 1e-9)  # the diagonal's level
     asked = near.join(finest, "id", "left").withColumn("level", F.greatest(F.coalesce("own", F.lit(0)) - up, F.lit(0)))
     asked = asked.select(F.col("id").alias("focal"), "level", *[F.col(c).alias(f"a_{c}") for c in coords], *at(F.col("level")))

@@ -10,37 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
+from .boxes import box_join, boxed
 from .graph import Graph
 from .triangulation import dual
 
 RING = "array<struct<x:double,y:double>>"
 
 
-def _cells(df: DataFrame, side: float) -> DataFrame:
-    """One row for each grid cell that a row's box (l, b, r, t) touches."""
-    cover = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / side), F.floor(F.col(hi) / side)))
-    return df.withColumn("cx", cover("l", "r")).withColumn("cy", cover("b", "t"))
-
-
-def _boxed(df: DataFrame, points) -> DataFrame:
-    return df.withColumns({n: f(F.transform(points, lambda v: v[c])) for n, f, c in (("l", F.array_min, "x"), ("b", F.array_min, "y"), ("r", F.array_max, "x"), ("t", F.array_max, "y"))})
-
-
-def _side(df: DataFrame) -> float:
-    return max(float(df.agg(F.avg(F.greatest(F.col("r") - F.col("l"), F.col("t") - F.col("b")))).first()[0] or 1.0), 1e-9)
-
-
 def points_in_polygons(points: DataFrame, polygons: DataFrame, how: str = "inner") -> DataFrame:
     """id (of the point) and polygon_id of all points in or on a polygon's rings. how: inner or left.
 
-    A polygon is dealt to the cells of its box; a point has one cell, so the join is on cells and no pair repeats."""
-    box = _boxed(polygons, F.flatten("parts"))
-    side = _side(box)
-    p = points.select("id", "x", "y", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
-    q = _cells(box.select(F.col("id").alias("polygon_id"), "parts", "l", "b", "r", "t"), side)
-    at = F.struct("x", "y")
-    inside = F.exists("parts", lambda r: geo.contains_point(r, at))
-    hit = p.join(q, ["cx", "cy"]).filter(F.col("x").between(F.col("l"), F.col("r")) & F.col("y").between(F.col("b"), F.col("t")) & inside).select("id", "polygon_id")
+    Points are boxes without an extent, joined to the polygons' boxes at the level of each polygon's own size."""
+    at = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    p = boxed(points.select("id", at.alias("at")), F.array("at"), "l_").filter("l_l IS NOT NULL AND l_b IS NOT NULL")
+    q = boxed(polygons.select(F.col("id").alias("polygon_id"), "parts"), F.flatten("parts"), "r_")
+    hit = box_join(p, q).filter(F.exists("parts", lambda r: geo.contains_point(r, F.col("at")))).select("id", "polygon_id")
     return hit if how == "inner" else points.select("id").join(hit, "id", "left")
 
 
@@ -49,10 +33,8 @@ def strict_contiguity(polygons: DataFrame, rook: bool = True, by_perimeter: bool
     meet in any point (queen). Interiors are taken to be disjoint, as in a partition of the plane."""
     ring = polygons.select("id", F.explode("parts").alias("r"))
     sides = ring.select("id", F.explode(F.zip_with("r", geo.closed(F.col("r")), lambda a, b: F.struct(a.alias("p"), b.alias("q")))).alias("s")).select("id", "s.p", "s.q").filter("p <> q")
-    sides = _boxed(sides, F.array("p", "q"))
-    cells = _cells(sides, _side(sides))
-    a, b = (cells.select("cx", "cy", *[F.col(c).alias(f"{n}{c}") for c in ("id", "p", "q", "l", "b", "r", "t")]) for n in "uv")
-    meet = a.join(b, ["cx", "cy"]).filter("uid <> vid AND ul <= vr AND vl <= ur AND ub <= vt AND vb <= ut").drop("cx", "cy").distinct()
+    a, b = (boxed(sides.select(*[F.col(c).alias(f"{n}{c}") for c in ("id", "p", "q")]), F.array(f"{n}p", f"{n}q"), n) for n in "uv")
+    meet = box_join(a, b, "u", "v").filter("uid <> vid")
     up, uq, vp, vq = (F.col(c) for c in ("up", "uq", "vp", "vq"))
     length = geo.points_dist(up, uq)
     along = lambda p: ((p["x"] - up["x"]) * (uq["x"] - up["x"]) + (p["y"] - up["y"]) * (uq["y"] - up["y"])) / length

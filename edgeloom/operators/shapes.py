@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import regions
 from ..scratch import write
 from .graph import Graph
-from .polygons import RING, _boxed, _cells, _side, voronoi_cells
+from .boxes import box_join, boxed
+from .polygons import RING, voronoi_cells
 
 PARTS = f"array<{RING}>"
 PREDICATES = ("intersects", "contains", "within", "touches", "overlaps", "equals", "disjoint", "crosses")
@@ -91,15 +92,10 @@ def validate(shapes: DataFrame, kinds: tuple[str, ...] = ("point", "polygon")) -
 
 
 def candidates(left: DataFrame, right: DataFrame, grow: float = 0.0) -> DataFrame:
-    """l_id, l_parts, r_id, r_parts of the pairs whose boxes, the left one grown, meet: an equi-join of grid cells; a pair is
-    kept only in the cell of the lower left corner of the boxes' common part, so no distinct is needed."""
-    a, b = (_boxed(as_parts(df), F.flatten("parts")) for df in (left, right))
-    a = a.withColumns({c: F.col(c) - grow for c in "lb"} | {c: F.col(c) + grow for c in "rt"})
-    side = max(_side(a), _side(b))
-    a, b = (_cells(df, side).select("cx", "cy", *[F.col(c).alias(f"{n}_{c}") for c in ("id", "parts", "l", "b", "r", "t")]) for df, n in ((a, "l"), (b, "r")))
-    meet = a.join(b, ["cx", "cy"]).filter("l_l <= r_r AND r_l <= l_r AND l_b <= r_t AND r_b <= l_t")
-    first = (F.floor(F.greatest("l_l", "r_l") / side) == F.col("cx")) & (F.floor(F.greatest("l_b", "r_b") / side) == F.col("cy"))
-    return meet.filter(first).select("l_id", "l_parts", "r_id", "r_parts")
+    """l_id, l_parts, r_id, r_parts of the pairs whose boxes, the left one grown, meet."""
+    a, b = (boxed(as_parts(df).select(F.col("id").alias(f"{n}_id"), F.col("parts").alias(f"{n}_parts")), F.flatten(f"{n}_parts"), f"{n}_") for df, n in ((left, "l"), (right, "r")))
+    a = a.withColumns({f"l_{c}": F.col(f"l_{c}") - grow for c in "lb"} | {f"l_{c}": F.col(f"l_{c}") + grow for c in "rt"})
+    return box_join(a, b).select("l_id", "l_parts", "r_id", "r_parts")
 
 
 def relation(a: Column, b: Column, predicate: str) -> Column:
@@ -171,10 +167,10 @@ def union(polygons: DataFrame, by: str | None = None, rounds: int = 3) -> DataFr
     Neighbors are merged first: polygons of a group meet by the grid cell of their box's corner, then by cells eight
     times as wide, and at last the group's outlines. Inner sides vanish on the way, so no task holds a group's polygons."""
     rows = polygons.select((F.col(by) if by else F.lit(0)).alias("group"), "parts")
-    box = _boxed(polygons, F.flatten("parts"))
-    side = 4 * _side(box)
+    box = boxed(polygons, F.flatten("parts"))
+    side = 4 * max(float(box.agg(F.avg(F.greatest(F.col("r") - F.col("l"), F.col("t") - F.col("b")))).first()[0] or 1.0), 1e-9)
     for _ in range(rounds):
-        at = _boxed(rows, F.flatten("parts"))
+        at = boxed(rows, F.flatten("parts"))
         rows = _folded(at.select("group", F.floor(F.col("l") / side).alias("cx"), F.floor(F.col("b") / side).alias("cy"), "parts"), ["group", "cx", "cy"], "union").select("group", "parts")
         side *= 8
     return _folded(rows.select("group", "parts"), ["group"], "union").filter(F.size("parts") > 0)
@@ -193,7 +189,7 @@ def fuzzy_contiguity(polygons: DataFrame, buffer: float = 0.0, tolerance: float
     """Polygons that meet when each is grown by ``buffer`` (or tolerance * 0.5 * the lesser extent of all), which is when
     they are within twice that of each other. Other predicates hold for polygons grown with round corners of 64 sides;
     None: boxes that meet."""
-    flat = _boxed(as_parts(polygons), F.flatten("parts"))
+    flat = boxed(as_parts(polygons), F.flatten("parts"))
     if tolerance is not None:
         if buffer:
             raise ValueError("give buffer or tolerance, not both")
@@ -214,7 +210,7 @@ def nonplanar_neighbors(graph: Graph, polygons: DataFrame, tolerance: float = 0.
     """The graph with links, both ways, from each isolate to the polygons that it meets, and to those within ``tolerance``
     times the lesser extent of all; and the new links (focal, neighbor)."""
     lone = as_parts(polygons).join(graph.isolates(), "id", "left_semi")
-    size = _boxed(as_parts(polygons), F.flatten("parts")).agg((F.max("r") - F.min("l")).alias("w"), (F.max("t") - F.min("b")).alias("h")).first()
+    size = boxed(as_parts(polygons), F.flatten("parts")).agg((F.max("r") - F.min("l")).alias("w"), (F.max("t") - F.min("b")).alias("h")).first()
     reach = tolerance * min(size["w"] or 0, size["h"] or 0)
     near = candidates(lone, polygons, reach).filter("l_id <> r_id").filter(polygon_distance(F.col("l_parts"), F.col("r_parts")) <= reach + 1e-12)
     near = near.select(F.col("l_id").alias("focal"), F.col("r_id").alias("neighbor"))
