@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import codes, slices, small_side, staged, sums
 from .lines import Lines
+from .site_spread import _LINE, _arrow, _lines, _marked
 
 #: Characters counted as symbols (fixed values).
 SYMBOLS = b"#*$%&|<>"
@@ -105,3 +106,28 @@ def quality_rules(
         F.col(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", failed.alias("base_failed"),
         (~failed & (F.col("n_removed_words") <= max_removed * F.col("n_words"))).alias("kept"),
     )
+
+
+def without_frequent_lines(
+    docs: DataFrame, host_col: str = "source", text_col: str = "text", max_documents: int = 20, broadcast_bytes: int = 16 << 20,
+) -> DataFrame:
+    """All rows and columns of ``docs`` with the text without its frequent lines (those on over ``max_documents`` documents of
+    the row's host), and n_removed_lines (long).
+
+    Null texts stay null and empty ones empty; a text of such lines only becomes empty. A null host is one host. Repeated rows
+    count as documents each. A very long text is read as one. An empty table gives an empty result. A column of ``docs`` named
+    n_removed_lines is replaced; others keep their values, whatever their names.
+    """
+    names = [c for c in docs.columns if c != "n_removed_lines"]
+    host = F.xxhash64(F.col(host_col).isNull(), F.col(host_col))
+    lines = _arrow(_lines, f"array<{_LINE}>")(F.coalesce(F.col(text_col), F.lit("")))
+    seen = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), host.alias("host"), lines.alias("lines"), F.monotonically_increasing_id().alias("number"))
+    of_host = F.transform("lines", lambda x: F.struct(x["pos"], F.xxhash64("host", x["h1"]).alias("h1"), F.xxhash64("host", x["h2"]).alias("h2"), x["words"]))
+    seen = staged(seen.select("row", "number", of_host.cast(f"array<{_LINE}>").alias("lines")))
+    once = F.array_distinct(F.transform("lines", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"))))
+    often = seen.select(F.explode(once).alias("l")).groupBy("l.h1", "l.h2").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") > max_documents)
+    hit = _marked(seen, staged(often.select("h1", "h2")), broadcast_bytes)
+    text, n = F.col("row")[text_col], F.size("lines")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, k: ~F.coalesce(F.get("marks", k), F.lit(False))), "\n")
+    out = hit.select("row", n.cast("bigint").alias("n"), F.when(n == 0, text).otherwise(kept).alias("clean"))
+    return out.select(*[F.col("clean").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names], F.col("n").alias("n_removed_lines"))

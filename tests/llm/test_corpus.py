@@ -110,6 +110,34 @@ def test_line_frequency_depletes(spark):
     assert all(out[100 + k]["kept"] for k in range(30))
 
 
+@pytest.mark.parametrize("broadcast_bytes", [16 << 20, 0])
+def test_without_frequent_lines(spark, docs, empty, broadcast_bytes):
+    rows = [(k, f"own line {k}\nCookies  are used\nsame\n" + ("only here\n" if k < 4 else ""), "a" if k < 9 else None) for k in range(14)]
+    rows += [(90, None, "a"), (91, "", "a"), (92, "same", "a"), (92, "same", "a"), (93, "cookies are used\n\nsame", "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"n_removed_lines": F.lit("x"), "host": F.lit(1), "lines": F.lit(2), "row": F.lit(3)})
+    got = line_frequency.without_frequent_lines(frame, max_documents=4, broadcast_bytes=broadcast_bytes)
+    assert set(got.columns) == set(frame.columns) and dict(got.dtypes)["n_removed_lines"] == "bigint"
+    counts = Counter((s, line) for _, t, s in rows for line in {line_frequency_key(x) for x in (t or "").split("\n")} if line)
+    want = Counter()
+    for i, t, s in rows:
+        parts = None if t is None else t.split("\n")
+        kept = None if t is None else [x for x in parts if counts[s, line_frequency_key(x)] <= 4]
+        want[i, None if t is None else "\n".join(kept), s, 0 if t is None else len(parts) - len(kept)] += 1
+    assert Counter((r["doc_id"], r["text"], r["source"], r["n_removed_lines"]) for r in got.collect()) == want
+    assert line_frequency.without_frequent_lines(empty).count() == 0
+    measured = line_frequency.quality_rules(docs.dropDuplicates(["doc_id"]).filter("doc_id IS NOT NULL"))
+    cleaned = line_frequency.without_frequent_lines(docs.dropDuplicates(["doc_id"]).filter("doc_id IS NOT NULL"))
+    words = lambda c: F.size(F.filter(F.split(F.coalesce(F.col(c), F.lit("")), "[ \t\n\x0b\f\r]+"), lambda w: w != ""))
+    both = cleaned.select("doc_id", words("text").alias("left")).join(measured, "doc_id")
+    assert both.filter("left <> n_words - n_removed_words").count() == 0
+
+
+def line_frequency_key(line: str) -> str:
+    from edgeloom.llm.lines import normalised
+
+    return normalised(line)
+
+
 def test_line_frequency_nulls_copies_and_large_hosts(spark, tmp_path):
     rng = random.Random(2)
     hot, copied = sentences(rng, 60), sentences(rng, 80)
