@@ -13,6 +13,7 @@ from ..functions.kernels import kernel as kernel_value
 from . import paths
 from .boxes import box_join, boxed
 from .distances import distance_quantile, quantile
+from .flows import FlowGraph
 from .graph import BlockGraph, Graph
 from .joins import band_join, knn_join, minkowski, nearest_join, sphere_band_join, sphere_knn_join
 
@@ -340,17 +341,10 @@ def od_weights(origins: Graph, destinations: Graph, standardise: bool = True) ->
     return g.transform("R") if standardise else g
 
 
-def net_weights(links: DataFrame, share: str = "A") -> Graph:
+def net_weights(links: DataFrame, share: str = "A") -> FlowGraph:
     """links: id, o, d. Other links with the same origin (O), destination (D), either (OD), that begin where this one
-    ends (C), or with any end in common (A). Each condition is an equi-join."""
-    pairs = {"O": [("o", "o")], "D": [("d", "d")], "OD": [("o", "o"), ("d", "d")], "C": [("d", "o")], "A": [("o", "o"), ("d", "d"), ("o", "d"), ("d", "o")]}.get(share.upper())
-    if pairs is None:
-        raise ValueError("share must be O, D, OD, C or A")
-    out = None
-    for mine, theirs in pairs:
-        j = links.select(F.col("id").alias("focal"), F.col(mine).alias("at")).join(links.select(F.col("id").alias("neighbor"), F.col(theirs).alias("at")), "at").filter("focal <> neighbor").select("focal", "neighbor")
-        out = j if out is None else out.unionByName(j)
-    return _graph(out.distinct(), links)
+    ends (C), or with any end in common (A). Lag, cardinalities and row standardisation make no edges."""
+    return FlowGraph(links, share)
 
 
 def vector_weights(flows: DataFrame, threshold: float, binary: bool = True, alpha: float = -1.0) -> Graph:

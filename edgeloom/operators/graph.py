@@ -179,7 +179,6 @@ class Graph:
 
     def transform(self, kind: str | Callable[[Column, list[str]], Column]) -> Graph:
         """R, D, B, V, or a function of the weight column and the partition columns (a window expression)."""
-        row = W.partitionBy("focal")
         w = F.col("weight")
         if callable(kind):
             return self._like(self.edges.withColumn("weight", kind(w, ["focal"])), "C")
@@ -187,14 +186,16 @@ class Graph:
         if kind == self.transformation:
             return self
         if kind == "R":
-            return self._like(self.edges.withColumn("weight", F.coalesce(F.try_divide(w, F.sum(w).over(row)), F.lit(0.0))), "R")
+            total = self.edges.groupBy("focal").agg(F.sum("weight").alias("_t"))  # joined, as a window would sort a hub in one task
+            return self._like(self.edges.join(total, "focal").select("focal", "neighbor", F.coalesce(F.try_divide(w, F.col("_t")), F.lit(0.0)).alias("weight")), "R")
         if kind == "B":
             return self._like(self.edges.withColumn("weight", F.when(w != 0, 1.0).otherwise(0.0)), "B")
         if kind == "D":
             total = self.edges.agg(F.sum("weight").alias("_t"))  # one row
             return self._like(self.edges.crossJoin(F.broadcast(total)).select("focal", "neighbor", F.try_divide(w, F.col("_t")).alias("weight")), "D")
         if kind == "V":
-            s = self.edges.withColumn("weight", F.coalesce(F.try_divide(w, F.sqrt(F.sum(w * w).over(row))), F.lit(0.0)))
+            norm = self.edges.groupBy("focal").agg(F.sqrt(F.sum(w * w)).alias("_q"))
+            s = self.edges.join(norm, "focal").select("focal", "neighbor", F.coalesce(F.try_divide(w, F.col("_q")), F.lit(0.0)).alias("weight"))
             total = s.groupBy("focal").agg(F.sum("weight").alias("s")).agg(F.sum("s").alias("_t"), F.count(F.lit(1)).alias("_n"))  # one row
             return self._like(s.crossJoin(F.broadcast(total)).select("focal", "neighbor", (w * F.try_divide(F.col("_n"), F.col("_t"))).alias("weight")), "V")
         raise ValueError(f"transformation {kind!r} is not supported; use one of {', '.join(TRANSFORMATIONS[1:5])} or a function")
@@ -410,55 +411,14 @@ class Graph:
     # sets
 
     def isomorphic(self, other: Graph, most: int = 2000) -> bool:
-        """Whether some renaming of nodes makes the graphs' links equal (weights aside). Sizes and degrees are compared by
-        aggregates; what they don't decide is searched on the driver, for ``most`` nodes at most."""
-        shape = lambda g: g.links().groupBy("focal").agg(F.count(F.lit(1)).alias("out")).join(g.links().groupBy(F.col("neighbor").alias("focal")).agg(F.count(F.lit(1)).alias("in")), "focal", "full").na.fill(0).groupBy("out", "in").count()
-        if self.nodes.count() != other.nodes.count() or not shape(self).exceptAll(shape(other)).isEmpty() or not shape(other).exceptAll(shape(self)).isEmpty():
+        """Whether some renaming of nodes makes the graphs' links equal (weights aside). Colours refined in rounds decide, unless
+        over ``most`` nodes look alike to them; a search over that many nodes at most is on the driver."""
+        from .colours import isomorphic
+
+        plain = [g.links().select("focal", "neighbor").distinct() for g in (self, other)]
+        if self.nodes.count() != other.nodes.count():
             return False
-        if self.nodes.count() > most:
-            raise ValueError(f"the graphs have equal degrees; a search is for {most} nodes at most")
-        sets = []
-        for g in (self, other):
-            to, back = {r["id"]: set() for r in g.nodes.collect()}, {r["id"]: set() for r in g.nodes.collect()}
-            for r in g.links().collect():
-                to[r["focal"]].add(r["neighbor"])
-                back[r["neighbor"]].add(r["focal"])
-            sets.append((to, back))
-        colours: list[dict] = [dict.fromkeys(s[0], 0) for s in sets]
-        for _ in range(len(colours[0])):  # refine colours by the neighbors' colours
-            marks = [{i: (c[i], tuple(sorted(c[j] for j in s[0][i])), tuple(sorted(c[j] for j in s[1][i]))) for i in c} for c, s in zip(colours, sets, strict=True)]
-            names = {m: k for k, m in enumerate(sorted({x for m in marks for x in m.values()}))}
-            new = [{i: names[x] for i, x in m.items()} for m in marks]
-            stable = len(set(new[0].values())) == len(set(colours[0].values()))
-            colours = new
-            if sorted(colours[0].values()) != sorted(colours[1].values()):
-                return False
-            if stable:
-                break
-        many: dict = {}
-        for c in colours[0].values():
-            many[c] = many.get(c, 0) + 1
-        order = sorted(colours[0], key=lambda i: (many[colours[0][i]], str(i)))
-        image: dict = {}
-        used: set = set()
-        stack = [iter([j for j in colours[1] if colours[1][j] == colours[0][order[0]]])] if order else []
-        while stack:
-            i = order[len(stack) - 1]
-            used.discard(image.pop(i, None))
-            for j in stack[-1]:
-                fits = j not in used and (i in sets[0][0][i]) == (j in sets[1][0][j])
-                if fits and all((a in sets[0][k][i]) == (b in sets[1][k][j]) for a, b in image.items() for k in (0, 1)):
-                    image[i] = j
-                    used.add(j)
-                    break
-            else:
-                stack.pop()
-                continue
-            if len(image) == len(order):
-                return True
-            nxt = order[len(stack)]
-            stack.append(iter([j for j in colours[1] if colours[1][j] == colours[0][nxt]]))
-        return not order
+        return isomorphic(tuple(plain), (self.nodes, other.nodes), most, _matched)
 
     def __len__(self) -> int:
         return self.links().count()
@@ -534,6 +494,41 @@ class Graph:
         return Graph(self.edges.join(a, "focal").join(b, "neighbor").select(F.col("f").alias("focal"), F.col("n").alias("neighbor"), "weight"), names.select(F.col("new_id").alias("id")))
 
 
+def _matched(first: tuple[list, dict], second: tuple[list, dict]) -> bool:
+    """Whether the nodes of two small graphs, each (links, colours), can be paired so that colours and links agree."""
+    colours, sets = [first[1], second[1]], []
+    for links, nodes in (first, second):
+        to, back = {i: set() for i in nodes}, {i: set() for i in nodes}
+        for a, b in links:
+            to[a].add(b)
+            back[b].add(a)
+        sets.append((to, back))
+    many: dict = {}
+    for c in colours[0].values():
+        many[c] = many.get(c, 0) + 1
+    order = sorted(colours[0], key=lambda i: (many[colours[0][i]], str(i)))
+    image: dict = {}
+    used: set = set()
+    stack = [iter([j for j in colours[1] if colours[1][j] == colours[0][order[0]]])] if order else []
+    while stack:
+        i = order[len(stack) - 1]
+        used.discard(image.pop(i, None))
+        for j in stack[-1]:
+            fits = j not in used and (i in sets[0][0][i]) == (j in sets[1][0][j])
+            if fits and all((a in sets[0][k][i]) == (b in sets[1][k][j]) for a, b in image.items() for k in (0, 1)):
+                image[i] = j
+                used.add(j)
+                break
+        else:
+            stack.pop()
+            continue
+        if len(image) == len(order):
+            return True
+        nxt = order[len(stack)]
+        stack.append(iter([j for j in colours[1] if colours[1][j] == colours[0][nxt]]))
+    return not order
+
+
 class BlockGraph(Graph):
     """Complete graph within each regime. Its edges grow with the square of a regime, so what sums can answer never
     makes them: lag, cardinalities and row standardisation work on one row a regime."""

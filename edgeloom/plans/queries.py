@@ -131,7 +131,7 @@ _CELLS = "c AS (SELECT p_partkey AS id, p_partkey // 50 AS r, p_partkey % 50 AS
 add("raster_contiguity", lambda s, d: edges(builders.raster_contiguity(CELLS(s, d))), f"WITH {_CELLS}, e0 AS (SELECT a.id AS focal, b.id AS neighbor, 1::DOUBLE AS weight FROM c a JOIN c b ON greatest(abs(a.r - b.r), abs(a.c - b.c)) = 1), {FULL()} {OUT}")
 
 add("cardinalities", lambda s, d: rounded(band(s, d).cardinalities()), f"WITH {BANDED} SELECT id, count(focal) AS cardinality FROM n LEFT JOIN e0 ON id = focal GROUP BY id")
-add("isolates", lambda s, d: band(s, d).isolates(), f"WITH {BANDED} SELECT id FROM n WHERE id NOT IN (SELECT focal FROM e0)")
+add("isolates", lambda s, d: SPARSE(s, d).isolates(), f"WITH {P}, {N}, {DIST} SELECT id FROM n WHERE id NOT IN (SELECT focal FROM d WHERE d <= 15)")
 add("card_histogram", lambda s, d: rounded(band(s, d).histogram()), f"WITH {BANDED}, c AS (SELECT id, count(focal) AS k FROM n LEFT JOIN e0 ON id = focal GROUP BY id), h AS (SELECT k, count(*) AS m FROM c GROUP BY k) SELECT v AS cardinality, coalesce(m, 0) AS count FROM (SELECT unnest(range((SELECT min(k) FROM h), (SELECT max(k) + 1 FROM h))) AS v) LEFT JOIN h ON v = k")
 add("properties", lambda s, d: rounded(band(s, d).properties()), f"WITH {BANDED}, {FULL()}, c AS (SELECT id, count(focal) AS k FROM n LEFT JOIN e0 ON id = focal GROUP BY id) SELECT (SELECT count(*) FROM n) AS n, (SELECT count(*) FROM e0) AS n_edges, (SELECT count(*) FROM e0) AS nonzero, round(100.0::DOUBLE * (SELECT count(*) FROM e) / (SELECT count(*) FROM n) ** 2, 6) AS pct_nonzero, (SELECT count(*) FROM c WHERE k = 0) AS n_isolates, (SELECT max(k) FROM c) AS max_neighbors, (SELECT min(k) FROM c) AS min_neighbors, (SELECT round(avg(k), 6) FROM c) AS mean_neighbors")
 add("summary_s0_s1_s2", lambda s, d: rounded(knn(s, d).summary()), f"WITH {KNN}, u AS (SELECT focal, neighbor, weight AS w, 0 AS b FROM k0 UNION ALL SELECT neighbor, focal, 0, weight FROM k0), m AS (SELECT focal, neighbor, sum(w) AS w, sum(b) AS b FROM u GROUP BY 1, 2), t AS (SELECT focal, sum(w + b) AS t FROM m GROUP BY focal) SELECT round(sum(w), 6) AS s0, round(sum((w + b) ** 2) / 2, 6) AS s1, round(sum(w * b), 6) AS trace_gg, round(sum(b * b), 6) AS trace_gtg, round(sum(w * b) + sum(b * b), 6) AS trace_gtg_gg, round((SELECT sum(t * t) FROM t), 6) AS s2 FROM m")
@@ -240,7 +240,7 @@ n AS (SELECT id FROM p UNION ALL SELECT id FROM q), e0 AS (SELECT unnest([-1, -2
 
 
 def queries() -> dict:
-    from . import more, triangles  # noqa: F401  add their own
+    from . import more, scale, triangles  # noqa: F401  add their own
 
     return {name: plan for name, (plan, _) in CATALOG.items()}
 
