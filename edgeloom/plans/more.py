@@ -164,11 +164,11 @@ add("file_convert", converted, _KNNS)
 
 def grid_gal(s, d):
     path = _file(s, "gal")
-    weights_text.write_grid_gal(s, path, 6)
+    weights_text.write_grid_gal(s, path, int(_t(s, d, "supplier").count() ** 0.5) + 1)
     return edges(weights_text.read_gal(s, path))
 
 
-add("file_grid_gal", grid_gal, "WITH g AS (SELECT a.i * 6 + b.i AS id, a.i AS r, b.i AS c FROM range(6) a(i), range(6) b(i)) SELECT a.id AS focal, b.id AS neighbor, 1::DOUBLE AS weight FROM g a JOIN g b ON abs(a.r - b.r) + abs(a.c - b.c) = 1")
+add("file_grid_gal", grid_gal, "WITH k AS (SELECT floor(sqrt(count(*)))::BIGINT + 1 AS n FROM supplier), g AS (SELECT a.i * n + b.i AS id, a.i AS r, b.i AS c FROM k, range((SELECT n FROM k)) a(i), range((SELECT n FROM k)) b(i)) SELECT a.id AS focal, b.id AS neighbor, 1::DOUBLE AS weight FROM g a JOIN g b ON abs(a.r - b.r) + abs(a.c - b.c) = 1")
 
 
 def csv_table(s, d):
@@ -350,7 +350,7 @@ _COLUMNS = {
 }
 for _k, (_f, _x) in _COLUMNS.items():
     add(f"geo_{_k}", lambda s, d, f=_f: rounded(XY(s, d).select("id", f().alias("v"))), f"WITH {_XY}, v AS (SELECT id, {_x} AS v FROM c) SELECT id, {'v' if _k in ('is_collinear', 'segment_turn', 'touches_rectangle', 'box_common', 'box_intersection', 'is_clockwise', 'ccw', 'shape_len') else 'round(v::DOUBLE, 6) + 0 AS v'} FROM v")
-add("geogrid", lambda s, d: sphere.geogrid(s, (0.0, 40.0), (20.0, 0.0), 4).filter("j = 0").select("i", F.round("lat", 4).alias("lat")), "SELECT i::INT AS i, round(40 - 10 * i::DOUBLE, 4) AS lat FROM range(5) t(i)")
+add("geogrid", lambda s, d: sphere.geogrid(s, (0.0, 40.0), (20.0, 0.0), _t(s, d, "supplier").count()).filter("j = 0").select("i", F.round("lat", 4).alias("lat")), "SELECT i::INT AS i, round(40 - 40 * i::DOUBLE / n, 4) AS lat FROM (SELECT count(*) AS n FROM supplier), range((SELECT count(*) + 1 FROM supplier)) t(i)")
 
 # flows that grow with the tables: an order leads from its customer to another one
 ORDERS = lambda s, d: _t(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("o"), (F.col("o_orderkey") * 7919 % 15013).alias("d"))
@@ -371,5 +371,5 @@ def gridded(s, d):
 
 
 add("raster_lag_grid", gridded, f"WITH {_RASTER}, k AS (SELECT * FROM r WHERE value <> -1), b AS (SELECT min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM k), f AS (SELECT row, unnest(range(c0, c1 + 1)) AS col FROM (SELECT unnest(range(r0, r1 + 1)) AS row, c0, c1 FROM b)), l AS (SELECT a.row, a.col, coalesce(sum(x.value), 0) AS v FROM k a LEFT JOIN k x ON abs(a.row - x.row) + abs(a.col - x.col) = 1 GROUP BY 1, 2) SELECT f.row, f.col, round(coalesce(v, -1), 6) AS value FROM f LEFT JOIN l ON f.row = l.row AND f.col = l.col")
-add("lattice_polygons", lambda s, d: rounded(builders.lattice_polygons(s, 4, 5).select("id", geo.bbox(F.col("parts")[0])["left"].alias("x"), geo.bbox(F.col("parts")[0])["lower"].alias("y"))), "SELECT a.i * 5 + b.i AS id, b.i::DOUBLE AS x, a.i::DOUBLE AS y FROM range(4) a(i), range(5) b(i)")
-add("made_up_raster", lambda s, d: builders.test_raster(s).groupBy("layer").agg(F.count(F.lit(1)).alias("cells")).select(F.col("layer").cast("bigint").alias("layer"), "cells"), "SELECT i AS layer, 16::BIGINT AS cells FROM range(3) t(i)")
+add("lattice_polygons", lambda s, d: rounded(builders.lattice_polygons(s, 4, _t(s, d, "supplier").count()).select("id", geo.bbox(F.col("parts")[0])["left"].alias("x"), geo.bbox(F.col("parts")[0])["lower"].alias("y"))), "SELECT a.i * n + b.i AS id, b.i::DOUBLE AS x, a.i::DOUBLE AS y FROM range(4) a(i), (SELECT count(*) AS n FROM supplier), range((SELECT count(*) FROM supplier)) b(i)")
+add("made_up_raster", lambda s, d: builders.test_raster(s, 3, 8, _t(s, d, "supplier").count()).groupBy("layer").agg(F.count(F.lit(1)).alias("cells")).select(F.col("layer").cast("bigint").alias("layer"), "cells"), "SELECT i AS layer, 8 * count(*) AS cells FROM supplier, range(3) t(i) GROUP BY i")

@@ -120,12 +120,12 @@ WITH q AS (SELECT p_partkey AS id, p_size::DOUBLE AS x, floor(p_retailprice / 20
 r AS (SELECT * FROM m WHERE id = rep), d AS (SELECT a.id AS focal, b.id AS neighbor, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id) AS k FROM r a JOIN r b ON a.id <> b.id)
 SELECT f.id AS focal, n.id AS neighbor, 1::DOUBLE AS weight FROM d JOIN m f ON d.focal = f.rep JOIN m n ON d.neighbor = n.rep WHERE k <= 2 UNION ALL SELECT a.id, b.id, 1::DOUBLE FROM m a JOIN m b ON a.rep = b.rep AND a.id <> b.id""")
 
-_GRID = "g AS (SELECT a.i * 5 + b.i AS id, a.i AS r, b.i AS c FROM range(5) a(i), range(5) b(i))"
+_GRID = "k AS (SELECT count(*) AS n FROM supplier), g AS (SELECT a.i * n + b.i AS id, a.i AS r, b.i AS c FROM range(5) a(i), k, range((SELECT count(*) FROM supplier)) b(i))"
 for _k, _x in {
     "rook": "abs(a.r - b.r) + abs(a.c - b.c) = 1", "queen": "greatest(abs(a.r - b.r), abs(a.c - b.c)) = 1", "bishop": "abs(a.r - b.r) = 1 AND abs(a.c - b.c) = 1",
     "hex": "(abs(a.r - b.r) + abs(a.c - b.c) = 1 OR (abs(a.c - b.c) = 1 AND b.r - a.r = CASE WHEN a.c % 2 = 1 THEN 1 ELSE -1 END))",
 }.items():
-    add(f"lattice_{_k}", lambda s, d, k=_k: edges(builders.lattice(s, 5, 5, k)), f"WITH {_GRID} SELECT a.id AS focal, b.id AS neighbor, 1::DOUBLE AS weight FROM g a JOIN g b ON {_x}")
+    add(f"lattice_{_k}", lambda s, d, k=_k: edges(builders.lattice(s, 5, _t(s, d, "supplier").count(), k)), f"WITH {_GRID} SELECT a.id AS focal, b.id AS neighbor, 1::DOUBLE AS weight FROM g a JOIN g b ON {_x}")
 CELLS = lambda s, d: _t(s, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 50).alias("row"), (F.col("p_partkey") % 50).alias("col"))
 _CELLS = "c AS (SELECT p_partkey AS id, p_partkey // 50 AS r, p_partkey % 50 AS c FROM part WHERE p_size > 10), n AS (SELECT id FROM c)"
 add("raster_contiguity", lambda s, d: edges(builders.raster_contiguity(CELLS(s, d))), f"WITH {_CELLS}, e0 AS (SELECT a.id AS focal, b.id AS neighbor, 1::DOUBLE AS weight FROM c a JOIN c b ON greatest(abs(a.r - b.r), abs(a.c - b.c)) = 1), {FULL()} {OUT}")
@@ -186,7 +186,21 @@ def flows(spark, sf):
 _FLOWS = "f AS (SELECT DISTINCT s_nationkey::BIGINT * 1000 + c_nationkey AS id, s_nationkey AS o, c_nationkey AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey), n AS (SELECT id FROM f)"
 for _k, _x in {"o": "a.o = b.o", "d": "a.d = b.d", "od": "(a.o = b.o OR a.d = b.d)", "c": "a.d = b.o", "a": "(a.o = b.o OR a.d = b.d OR a.o = b.d OR a.d = b.o)"}.items():
     add(f"netw_{_k}", lambda s, d, k=_k: edges(builders.net_weights(flows(s, d), k)), f"WITH {_FLOWS}, e0 AS (SELECT a.id AS focal, b.id AS neighbor, 1::DOUBLE AS weight FROM f a JOIN f b ON a.id <> b.id AND {_x}), {FULL()} {OUT}")
-add("od_kron", lambda s, d: rounded(builders.od_weights(builders.lattice(s, 2, 2), builders.lattice(s, 2, 3)).edges.select(*[(F.col(c)["o"] * 6 + F.col(c)["d"]).alias(c) for c in ("focal", "neighbor")], "weight")), "WITH g AS (SELECT a.i * 2 + b.i AS id, a.i AS r, b.i AS c FROM range(2) a(i), range(2) b(i)), h AS (SELECT a.i * 3 + b.i AS id, a.i AS r, b.i AS c FROM range(2) a(i), range(3) b(i)), x AS (SELECT a.id AS f, b.id AS n FROM g a JOIN g b ON abs(a.r - b.r) + abs(a.c - b.c) = 1), y AS (SELECT a.id AS f, b.id AS n FROM h a JOIN h b ON abs(a.r - b.r) + abs(a.c - b.c) = 1) SELECT x.f * 6 + y.f AS focal, x.n * 6 + y.n AS neighbor, round(1::DOUBLE / count(*) OVER (PARTITION BY x.f, y.f), 6) AS weight FROM x, y")
+
+
+def od_kron(s, d):
+    n = _t(s, d, "supplier").count()
+    g = builders.od_weights(builders.lattice(s, 2, 2), builders.lattice(s, 2, n))
+    return rounded(g.edges.select(*[(F.col(c)["o"] * 2 * n + F.col(c)["d"]).alias(c) for c in ("focal", "neighbor")], "weight"))
+
+
+add("od_kron", od_kron, """
+WITH k AS (SELECT count(*) AS n FROM supplier),
+g AS (SELECT a.i * 2 + b.i AS id, a.i AS r, b.i AS c FROM range(2) a(i), range(2) b(i)),
+h AS (SELECT a.i * n + b.i AS id, a.i AS r, b.i AS c FROM range(2) a(i), k, range((SELECT count(*) FROM supplier)) b(i)),
+x AS (SELECT a.id AS f, b.id AS n FROM g a JOIN g b ON abs(a.r - b.r) + abs(a.c - b.c) = 1),
+y AS (SELECT a.id AS f, b.id AS n FROM h a JOIN h b ON abs(a.r - b.r) + abs(a.c - b.c) = 1)
+SELECT x.f * 2 * k.n + y.f AS focal, x.n * 2 * k.n + y.n AS neighbor, round(1::DOUBLE / count(*) OVER (PARTITION BY x.f, y.f), 6) AS weight FROM x, y, k""")
 add("vecw_band", lambda s, d: edges(builders.vector_weights(supplier(s, d).select("id", F.col("x").alias("ox"), F.col("y").alias("oy"), (F.col("x") / 2).alias("dx"), (F.col("y") * 3).alias("dy")), 300.0)), f"WITH {P}, {N}, e0 AS (SELECT a.id AS focal, b.id AS neighbor, 1::DOUBLE AS weight FROM p a JOIN p b ON a.id <> b.id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.x / 2 - b.x / 2) ** 2 + (a.y * 3 - b.y * 3) ** 2) <= 300), {FULL()} {OUT}")
 
 LL = lambda s, d: _t(s, d, "customer").select(F.col("c_custkey").alias("id"), ((F.col("c_custkey") * 37) % 360 - 180).cast("double").alias("lon"), ((F.col("c_custkey") * 53) % 170 - 85).cast("double").alias("lat"))
