@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import kernel as kernel_value
+from ..scratch import remove, write
 from . import delaunay
 from .delaunay import Triangulation
 from .graph import Graph
@@ -59,7 +60,6 @@ def triangulation(
 ) -> Graph:
     """delaunay, gabriel, relative_neighborhood or voronoi (contiguity of clipped cells); weights by a kernel of the edge's
     length. coplanar: keep (of points at one place one takes part, the others are isolates), raise, clique or jitter."""
-    from ..scratch import write
     from .builders import induce_cliques, jitter, representatives
 
     if coplanar not in ("keep", "raise", "clique", "jitter"):
@@ -100,52 +100,74 @@ def triangulation(
     return Graph(e.select("focal", "neighbor", w.alias("weight")), points.select("id"))
 
 
-def alpha_faces(points: DataFrame, alpha: float) -> DataFrame:
-    """Boundary edges (a, b) of the alpha shape: sides of exactly one triangle with circumradius under 1 / alpha."""
+def _rim(points: DataFrame, alpha: float) -> DataFrame:
+    """u, v with their coordinates: the sides of exactly one triangle with circumradius under 1 / alpha, the triangle to the left."""
     from ..functions.geometry import circumradius
 
-    corner = lambda c: F.struct(F.col(f"{c}x").alias("x"), F.col(f"{c}y").alias("y"))
+    corner = lambda c: F.struct(F.col(c).alias("id"), F.col(f"{c}x").alias("x"), F.col(f"{c}y").alias("y"))
     kept = delaunay.triangles(points).filter(circumradius(corner("a"), corner("b"), corner("c")) < 1 / alpha)
-    side = kept.select(F.explode(F.array(*[F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")) for p, q in ("ab", "bc", "ac")])).alias("s"))
-    return side.groupBy("s").count().filter("count = 1").select("s.a", "s.b")
+    side = kept.select(F.explode(F.array(*[F.struct(corner(p).alias("u"), corner(q).alias("v")) for p, q in ("ab", "bc", "ca")])).alias("s")).select("s.*")
+    once = side.groupBy(F.least("u.id", "v.id").alias("p"), F.greatest("u.id", "v.id").alias("q")).agg(F.count(F.lit(1)).alias("n"), F.first("u").alias("u"), F.first("v").alias("v"))
+    return once.filter("n = 1").select("u", "v")
 
 
-def alpha_polygons(points: DataFrame, alpha: float) -> DataFrame:
-    """part, area and parts of the alpha shape's polygons: an outer ring and its holes. Rings inside an odd number of outer
-    rings are holes of the smallest of them. The boundary edges, far fewer than the points, are joined to rings in one task."""
-    from ..functions import regions
+def alpha_faces(points: DataFrame, alpha: float) -> DataFrame:
+    """Boundary edges (a, b) of the alpha shape: sides of exactly one triangle with circumradius under 1 / alpha."""
+    return _rim(points, alpha).select(F.least("u.id", "v.id").alias("a"), F.greatest("u.id", "v.id").alias("b"))
+
+
+def _doubled(steps: DataFrame, best, top: int = 64) -> DataFrame:
+    """Pointer doubling: ``steps`` (e, to, value) until no value changes. best: of a value and that of the one it points to."""
+    spark = steps.sparkSession
+    now, path = write(steps)
+    for _ in range(top):
+        ahead = now.select(F.col("e").alias("to"), F.col("to").alias("far"), F.col("value").alias("there"))
+        new, new_path = write(now.join(ahead, "to").select("e", F.col("far").alias("to"), best(F.col("value"), F.col("there")).alias("value"), F.col("value").alias("old")))
+        remove(spark, path)
+        now, path = new.select("e", "to", "value"), new_path
+        if new.filter("value <> old").isEmpty():
+            break
+    return now
+
+
+def rings_of(rim: DataFrame) -> DataFrame:
+    """ring (a number), ring_area (under 0: a hole) and xy (its corners in order) of directed sides u, v with the inside to the left.
+    A side goes on to the side that leaves its end first, clockwise from where it came; rings are found by pointer doubling."""
+    sides, _ = write(rim.select(F.monotonically_increasing_id().alias("e"), "u", "v"))
+    turn = lambda a, b: F.atan2(b["y"] - a["y"], b["x"] - a["x"])
+    out = sides.select(F.col("e").alias("to"), F.col("u.id").alias("at"), turn(F.col("u"), F.col("v")).alias("out"))
+    met = sides.select("e", F.col("v.id").alias("at"), turn(F.col("v"), F.col("u")).alias("back")).join(out, "at")
+    clockwise = F.pmod(F.col("back") - F.col("out"), F.lit(2 * math.pi))
+    steps, _ = write(met.groupBy("e").agg(F.min(F.struct(clockwise.alias("c"), F.col("to"))).alias("m")).select("e", F.col("m.to").alias("to")))
+    label = _doubled(steps.withColumn("value", F.least("e", "to")), F.least).select("e", F.col("value").alias("ring"))
+    root = F.col("e") == F.col("ring")  # the place in a ring: steps to its root, at which the pointers stop
+    ahead = steps.join(label, "e").select("e", F.when(root, F.col("e")).otherwise(F.col("to")).alias("to"), F.when(root, 0).otherwise(1).cast("bigint").alias("value"))
+    place = _doubled(ahead, lambda a, b: a + b).select("e", F.col("value").alias("left"))
+    flat = sides.join(label, "e").join(place, "e").withColumn("twice", F.col("u.x") * F.col("v.y") - F.col("v.x") * F.col("u.y"))
+    xy = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("left")).alias("k"), F.col("u.x").alias("x"), F.col("u.y").alias("y")))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    return flat.groupBy("ring").agg((F.sum("twice") / 2).alias("ring_area"), xy.alias("xy"))
 
-    place = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    e = alpha_faces(points, alpha)
-    e = e.join(place.toDF("a", "ax", "ay"), "a").join(place.toDF("b", "bx", "by"), "b").select("ax", "ay", "bx", "by")
-
-    def rings(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends: dict = {}
-        for ax, ay, bx, by in pdf[["ax", "ay", "bx", "by"]].itertuples(index=False):
-            ends.setdefault((ax, ay), []).append((bx, by))
-            ends.setdefault((bx, by), []).append((ax, ay))
-        found = []
-        for start in sorted(ends):
-            while ends[start]:
-                ring, here = [start], ends[start].pop()
-                ends[here].remove(start)
-                while here != start:
-                    ring.append(here)
-                    nxt = ends[here].pop()
-                    ends[nxt].remove(here)
-                    here = nxt
-                found.append(np.array(ring))
-        inner = [regions._within(r) for r in found]
-        holders = [[j for j, o in enumerate(found) if j != k and regions.inside([o], inner[k])[0]] for k in range(len(found))]
-        outer = [k for k in range(len(found)) if len(holders[k]) % 2 == 0]
-        rows = []
-        for n, k in enumerate(outer):
-            holes = [found[j] for j in range(len(found)) if len(holders[j]) == len(holders[k]) + 1 and k in holders[j]]
-            size = abs(regions.area(found[k])) - sum(abs(regions.area(h)) for h in holes)
-            rows.append((n, size, regions.parts_of([found[k], *holes])))
-        return pd.DataFrame(rows, columns=["part", "area", "parts"])
-
-    return e.groupBy(F.lit(1).alias("all")).applyInPandas(lambda pdf: rings(pdf), "part bigint, area double, parts array<array<struct<x:double,y:double>>>")
+
+def alpha_polygons(points: DataFrame, alpha: float) -> DataFrame:
+    """part (from 0), area and parts of the alpha shape's polygons: an outer ring and its holes. A hole belongs to the smallest
+    outer ring round it, found by a join of boxes."""
+    from ..functions.geometry import contains_point
+    from .boxes import box_join, boxed
+    from .graph import numbered
+
+    rings, _ = write(rings_of(_rim(points, alpha)))
+    outer = rings.filter("ring_area > 0")
+    hole = rings.filter("ring_area < 0").select(F.col("ring").alias("hole"), F.col("ring_area").alias("hole_area"), F.col("xy").alias("hole_xy"))
+    first, second = F.col("hole_xy")[0], F.col("hole_xy")[1]
+    mid = F.struct(((first["x"] + second["x"]) / 2).alias("x"), ((first["y"] + second["y"]) / 2).alias("y"))
+    hole = boxed(hole.withColumn("at", mid), F.array("at"), "l_")
+    inside = box_join(hole, boxed(outer, F.col("xy"), "r_")).filter(contains_point(F.col("xy"), F.col("at")))
+    of = inside.groupBy("hole", "hole_area", "hole_xy").agg(F.min(F.struct("ring_area", "ring")).alias("m")).select(F.col("m.ring").alias("ring"), "hole_area", "hole_xy")
+    held = of.groupBy("ring").agg(F.sum("hole_area").alias("less"), F.collect_list("hole_xy").alias("holes"))
+    part = numbered(outer.select(F.col("ring").alias("id"))).select(F.col("id").alias("ring"), F.col("ord").alias("part"))
+    full = outer.join(held, "ring", "left").join(part, "ring")
+    none = F.array().cast("array<array<struct<x:double,y:double>>>")
+    return full.select("part", (F.col("ring_area") + F.coalesce("less", F.lit(0.0))).alias("area"), F.concat(F.array("xy"), F.coalesce("holes", none)).alias("parts"))
 
 
 def bounding_circles(points: DataFrame, alpha: float) -> DataFrame:

@@ -122,3 +122,33 @@ def test_gabriel_of_a_hub(spark):
     d = ((xy[:, None] - xy[None]) ** 2).sum(2)
     want = {(i, j) for i in range(401) for j in range(401) if i != j and not (np.delete(d[i] + d[j], [i, j]) < d[i, j] - 1e-12).any()}
     assert e == want
+
+
+def test_rings_and_holes(spark):
+    """An annulus with an island in it, and two parts that meet in one point: rings in order, holes of their own outer ring."""
+    rng = np.random.default_rng(9)
+    xy = rng.uniform(-3, 3, (6000, 2))
+    r = np.hypot(*xy.T)
+    xy = np.concatenate([xy[((r > 1.5) & (r < 2.8)) | (r < 0.7)], rng.uniform(5, 6, (300, 2))])
+    parts = triangulation.alpha_polygons(points(spark, xy), 1 / 0.3).collect()
+    assert sorted(len(p["parts"]) for p in parts) == [1, 1, 2] and sorted(p["part"] for p in parts) == [0, 1, 2]
+    kept = delaunay.triangles(points(spark, xy)).toPandas()
+    a, b, c = (kept[[f"{k}x", f"{k}y"]].to_numpy() for k in "abc")
+    twice = (b - a)[:, 0] * (c - a)[:, 1] - (b - a)[:, 1] * (c - a)[:, 0]
+    size = [np.linalg.norm(p - q, axis=1) for p, q in ((a, b), (b, c), (a, c))]
+    inside = size[0] * size[1] * size[2] / (2 * twice) < 0.3
+    assert sum(p["area"] for p in parts) == pytest.approx(twice[inside].sum() / 2)
+    for p in parts:
+        ring = np.array(p["parts"][0])
+        assert len(ring) == len(np.unique(ring, axis=0))
+        want = sum(abs(shoelace(np.array(x))) * (1 if k == 0 else -1) for k, x in enumerate(p["parts"]))
+        assert p["area"] == pytest.approx(want)
+    bow = [(0, 0), (1, 1), (1, -1), (-1, 1), (-1, -1)]
+    frame = spark.createDataFrame([(tuple(map(float, (0, *bow[i]))), tuple(map(float, (0, *bow[j])))) for i, j in ((0, 2), (2, 1), (1, 0), (0, 3), (3, 4), (4, 0))], "u struct<id:double,x:double,y:double>, v struct<id:double,x:double,y:double>")
+    frame = frame.select(*[F.struct(F.concat_ws(",", F.col(f"{c}.x"), F.col(f"{c}.y")).alias("id"), F.col(f"{c}.x").alias("x"), F.col(f"{c}.y").alias("y")).alias(c) for c in "uv"])
+    assert sorted(round(r["ring_area"], 9) for r in triangulation.rings_of(frame).collect()) == [1, 1]
+
+
+def shoelace(ring):
+    nxt = np.roll(ring, -1, 0)
+    return (ring[:, 0] * nxt[:, 1] - nxt[:, 0] * ring[:, 1]).sum() / 2
