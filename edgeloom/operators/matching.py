@@ -4,7 +4,7 @@ point serves once), or within one set (each point gets k others, both ways).
 Of two sets, each left point begins with its nearest right points only. Left points that share right points, directly or over
 others, make a component; components are solved apart from each other, each exactly, by shortest augmenting paths over the lists. The
 dual prices of a solution are its certificate: a left point whose price isn't above the distance of its last listed point
-couldn't gain from any point beyond the list. The lists of the others are doubled, and the components that change are solved
+couldn't gain from any point beyond the list. The lists of the others are made longer, and the components that change are solved
 anew, until all hold. So the total is that of the best matching over all pairs, and no pairs beyond the lists are made.
 
 Within one set the best matching is one problem over all points; its solver is for one task, and ``max_points`` bounds it.
@@ -211,7 +211,7 @@ def spatial_matches(left: DataFrame, right: DataFrame, k: int = 1, most_links: i
         if wide.isEmpty():
             remove(spark, path)
             return Graph(found.withColumn("weight", F.lit(1.0)), nodes)
-        size = min(m, 2 * size)
+        size = min(m, 4 * size)
         more = nearest_join(left.join(wide, "id"), right, size).withColumn("size", F.lit(size))
         kept = lists.join(wide.withColumnRenamed("id", "focal"), "focal", "left_anti")
         new, new_path = write(kept.select("focal", "neighbor", "distance", "size").unionByName(more.select("focal", "neighbor", "distance", "size")))
