@@ -222,9 +222,12 @@ def tightest_radius(xy: np.ndarray, tri: np.ndarray) -> float:
     return float(steps[low])
 
 
-def alpha_auto(points: DataFrame) -> DataFrame:
-    """Boundary edges (a, b) of the tightest alpha shape that is one piece and holds all points, with its radius."""
+def alpha_auto(points: DataFrame, max_points: int = 1_000_000) -> DataFrame:
+    """Boundary edges (a, b) of the tightest alpha shape that is one piece and holds all points, with its radius. The radius is
+    sought in one task, over the triangles of ``max_points`` points at most."""
     kind = dict(points.dtypes)["id"]
+    if points.count() > max_points:
+        raise ValueError(f"the tightest radius is sought in one task; {max_points} points at most")
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["x", "y", "id"]).reset_index(drop=True)
         xy = pdf[["x", "y"]].to_numpy(float)

@@ -254,7 +254,7 @@ n AS (SELECT id FROM p UNION ALL SELECT id FROM q), e0 AS (SELECT unnest([-1, -2
 
 
 def queries() -> dict:
-    from . import more, scale, triangles  # noqa: F401  add their own
+    from . import extra, more, relations, scale, triangles  # noqa: F401  add their own
 
     return {name: plan for name, (plan, _) in CATALOG.items()}
 
