@@ -63,6 +63,13 @@ def edges(g: Graph) -> DataFrame:
     return rounded(g.edges)
 
 
+def rounded_pairs(df: DataFrame, value: str) -> DataFrame:
+    """As ``rounded`` for one column of values that aren't negative, for results of billions of rows: by SQL's arithmetic, since
+    ``round`` makes a decimal of each. From 2 ** 52 millionths on there is nothing to round."""
+    v = F.col(value)
+    return df.withColumn(value, F.when(v < 4e9, F.floor(v * 1e6 + 0.5) / 1e6).when(v < 1e302, v * 1e6 / 1e6).otherwise(v))
+
+
 P = "p AS (SELECT s_suppkey AS id, s_acctbal AS x, s_nationkey::DOUBLE AS y FROM supplier)"
 N = "n AS (SELECT id FROM p)"
 DIST = "d AS (SELECT a.id AS focal, b.id AS neighbor, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON a.id <> b.id)"
@@ -109,7 +116,7 @@ KERNEL_SQL = {
 }
 for _k, _x in KERNEL_SQL.items():
     add(f"kernel_{_k}", lambda s, d, k=_k: edges(builders.kernel(supplier(s, d), k, bandwidth=BAND)), f"WITH {BANDED.replace('1::DOUBLE AS weight FROM d WHERE', f'({_x})::DOUBLE AS weight FROM d WHERE')}, {FULL()} {OUT}")
-add("kernel_default_bandwidth", lambda s, d: edges(builders.kernel(supplier(s, d))), f"WITH {P}, {N}, {DIST}, h AS (SELECT quantile_cont(d, 0.25) AS h FROM d), e0 AS (SELECT focal, neighbor, exp(-(d / h) * (d / h) / 2) / sqrt(2 * pi()) AS weight FROM d, h WHERE d <= h), {FULL()} {OUT}")
+add("kernel_default_bandwidth", lambda s, d: rounded_pairs(builders.kernel(supplier(s, d), zeros=True).edges, "weight"), f"WITH {P}, {N}, {DIST}, h AS (SELECT quantile_cont(d, 0.25) AS h FROM d), e0 AS (SELECT focal, neighbor, CASE WHEN d > h THEN 0 ELSE exp(-(d / h) * (d / h) / 2) / sqrt(2 * pi()) END AS weight FROM d, h), {FULL()} {OUT}")
 add("kernel_knn", lambda s, d: edges(builders.kernel(supplier(s, d), "triangular", k=K)), f"WITH {KNN}, k1 AS (SELECT focal, neighbor, d FROM k0 JOIN d USING (focal, neighbor)), h AS (SELECT max(d) AS h FROM k1), e AS (SELECT focal, neighbor, 1 - d / h AS weight FROM k1, h) {OUT}")
 add("kernel_knn_adaptive", lambda s, d: edges(builders.adaptive_kernel(supplier(s, d), K)), f"WITH {KNN}, k1 AS (SELECT focal, neighbor, d FROM k0 JOIN d USING (focal, neighbor)), h AS (SELECT focal, max(d) * 1.0000001 AS h FROM k1 GROUP BY focal), a AS (SELECT * FROM k1 UNION ALL SELECT id, id, 0 FROM n), e AS (SELECT focal, neighbor, 1 - coalesce(d / nullif(h, 0), 0) AS weight FROM a JOIN h USING (focal)) {OUT}")
 EMB = lambda s, d: _t(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.element_at("embedding", 1).cast("double").alias("x"), F.element_at("embedding", 2).cast("double").alias("y"))
