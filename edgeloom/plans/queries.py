@@ -122,7 +122,7 @@ add("kernel_knn_adaptive", lambda s, d: edges(builders.adaptive_kernel(supplier(
 EMB = lambda s, d: _t(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.element_at("embedding", 1).cast("double").alias("x"), F.element_at("embedding", 2).cast("double").alias("y"))
 add("knn_embeddings", lambda s, d: edges(builders.knn(EMB(s, d), 3)), "WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), d AS (SELECT a.id AS focal, b.id AS neighbor, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id) AS r FROM p a JOIN p b ON a.id <> b.id) SELECT focal, neighbor, 1::DOUBLE AS weight FROM d WHERE r <= 3")
 add("min_threshold_distance", lambda s, d: rounded(builders.min_threshold_distance(supplier(s, d))), f"WITH {P}, {DIST} SELECT round(max(m), 6) AS threshold FROM (SELECT min(d) AS m FROM d GROUP BY focal)")
-add("knn_coplanar_clique", lambda s, d: edges(builders.knn(_t(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.floor(F.col("p_retailprice") / 20).cast("double").alias("y")), 2, coplanar="clique")), """
+add("knn_coplanar_clique", lambda s, d: rounded_pairs(builders.knn(_t(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.floor(F.col("p_retailprice") / 20).cast("double").alias("y")), 2, coplanar="clique").edges, "weight"), """
 WITH q AS (SELECT p_partkey AS id, p_size::DOUBLE AS x, floor(p_retailprice / 20)::DOUBLE AS y FROM part), m AS (SELECT *, min(id) OVER (PARTITION BY x, y) AS rep FROM q),
 r AS (SELECT * FROM m WHERE id = rep), d AS (SELECT a.id AS focal, b.id AS neighbor, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id) AS k FROM r a JOIN r b ON a.id <> b.id)
 SELECT f.id AS focal, n.id AS neighbor, 1::DOUBLE AS weight FROM d JOIN m f ON d.focal = f.rep JOIN m n ON d.neighbor = n.rep WHERE k <= 2 UNION ALL SELECT a.id, b.id, 1::DOUBLE FROM m a JOIN m b ON a.rep = b.rep AND a.id <> b.id""")
